@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewrack.llm import bpe, classifier, mixing, secrets, simhash
+from tidewrack.llm import bpe, classifier, host_rules, mixing, secrets, simhash, spotsigs, warc
 from tidewrack.llm.common import table
 
 
+def op1_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spotsigs.fingerprinted(table(spark, sf_dir, "documents"))
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(table(spark, sf_dir, "documents"))
 
@@ -18,6 +22,14 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"))
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archived(table(spark, sf_dir, "pages"))
+
+
+def op5_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return host_rules.host_filtered(table(spark, sf_dir, "documents"))
+
+
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_scan(table(spark, sf_dir, "documents"))
 
@@ -32,8 +44,11 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_spotsigs": op1_spotsigs,
         "op2_simhash": op2_simhash,
         "op3_bpe": op3_bpe,
+        "op4_warc": op4_warc,
+        "op5_host_rules": op5_host_rules,
         "op7_secrets": op7_secrets,
         "op8_mixing": op8_mixing,
         "op10_quality_classifier": op10_quality_classifier,
@@ -41,4 +56,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_mixing": mixing.MIXED_SQL}
+    return {"op5_host_rules": host_rules.HOST_SQL, "op8_mixing": mixing.MIXED_SQL}
