@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewrack.llm import bpe, classifier, host_rules, mixing, secrets, simhash, spotsigs, warc
+from tidewrack.llm import bpe, classifier, host_rules, mixing, packing, rlindex, secrets, simhash, spotsigs, warc
 from tidewrack.llm.common import table
 
 
@@ -30,6 +30,10 @@ def op5_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return host_rules.host_filtered(table(spark, sf_dir, "documents"))
 
 
+def op6_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rlindex.repeats_removed(table(spark, sf_dir, "documents")).drop("kept", "spans")
+
+
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_scan(table(spark, sf_dir, "documents"))
 
@@ -38,6 +42,10 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(table(spark, sf_dir, "documents"))
 
 
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(table(spark, sf_dir, "documents"))
+
+
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classifier.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -49,8 +57,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_bpe": op3_bpe,
         "op4_warc": op4_warc,
         "op5_host_rules": op5_host_rules,
+        "op6_repeats": op6_repeats,
         "op7_secrets": op7_secrets,
         "op8_mixing": op8_mixing,
+        "op9_packing": op9_packing,
         "op10_quality_classifier": op10_quality_classifier,
     }
 
