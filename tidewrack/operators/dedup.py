@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
 from math import comb
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,29 +34,32 @@ def capture_id_for(doc: Column, observed: Column, locator: Column) -> Column:
     return F.md5(F.concat_ws("|", doc, observed, F.coalesce(locator, F.lit(""))).cast("binary"))
 
 
+def signature(normal: str) -> tuple[int, int] | None:
+    """Two signed halves of the 128-bit signature of a normalized text; None without words."""
+    words = normal.split()
+    if not words:
+        return None
+    grams = [" ".join(words[k : k + 3]) for k in range(max(1, len(words) - 2))]
+    digests = np.frombuffer(b"".join([hashlib.md5(g.encode(), usedforsecurity=False).digest() for g in grams]), dtype=np.uint8).reshape(-1, 16)
+    ones = np.unpackbits(digests, axis=1).sum(axis=0, dtype=np.int64)
+    hi, lo = np.packbits(2 * ones >= len(grams)).view(">i8").tolist()
+    return hi, lo
+
+
+@F.arrow_udf("struct<hi:bigint,lo:bigint>")
+def _signatures(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    for part in texts:
+        got = [signature(x or "") for x in part.to_pylist()]
+        halves = [pa.array([g and g[k] for g in got], pa.int64()) for k in (0, 1)]
+        yield pa.StructArray.from_arrays(halves, ["hi", "lo"])
+
+
 def signatures(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """key, hi, lo: 128-bit signatures of three-word shingles, from md5 bits, each occurrence +1 or -1, a bit where the sum is not negative.
 
-    Counted inside the row: the shingles' digests, then sums for each bit, so nothing is exploded or shuffled.
+    Counted in numpy inside the row: nothing is exploded or shuffled. A text of one or two words is one shingle.
     """
-    tokens = F.split(normalized_for_hash(F.col(text)), " ")
-    df = df.select(key, F.filter(tokens, lambda t: t != "").alias("t"))
-    n = F.size("t")
-    grams = F.when(n >= 3, F.transform(F.sequence(F.lit(1), n - 2), lambda i: F.md5(F.array_join(F.slice("t", i, 3), " ").cast("binary")))).when(n > 0, F.array(F.md5(F.array_join("t", " ").cast("binary"))))
-    halves = lambda a: F.transform("g", lambda h: F.conv(F.substring(h, a, 8), 16, 10).cast("long"))
-    df = df.select(key, grams.alias("g")).select(key, F.size("g").alias("n"), *[halves(1 + 8 * k).alias(f"w{k}") for k in range(4)])
-
-    def ones(k: int, b: int) -> Column:
-        return F.aggregate(f"w{k}", F.lit(0).cast("long"), lambda a, v: a + F.shiftright(v, b).bitwiseAND(F.lit(1)))
-
-    def word(k: int) -> Column:
-        total = F.lit(0).cast("long")
-        for b in range(32):
-            total = total + F.when(2 * ones(k, b) >= F.col("n"), F.lit(1 << b).cast("long")).otherwise(F.lit(0).cast("long"))
-        return total
-
-    joined = lambda a, b: F.shiftleft(word(a), 32).bitwiseOR(word(b))
-    return df.select(key, F.when(F.col("n") > 0, joined(0, 1)).alias("hi"), F.when(F.col("n") > 0, joined(2, 3)).alias("lo"))
+    return df.select(key, _signatures(normalized_for_hash(F.col(text))).alias("s")).select(key, "s.hi", "s.lo")
 
 
 def hamming(hi_a: str, lo_a: str, hi_b: str, lo_b: str) -> Column:
