@@ -11,6 +11,7 @@ from functools import reduce
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidewrack.functions.tokens import topic_pattern
 
@@ -22,7 +23,7 @@ MAX_SYMBOL_RATIO, MAX_BULLET_LINES, MAX_ELLIPSIS_LINES, MIN_ALPHA_WORDS, MIN_STO
 BULLETS = "•-*·‣◦"
 
 
-@F.arrow_udf("string")
+@F.arrow_udf(T.StringType())
 def nfkc(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
     """Unicode NFKC, which Spark has no function for; ASCII texts go through untouched."""
     for part in texts:

@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 THRESHOLD, MOST_THRESHOLD, TIGHT = 32, 40, 12
 GUARD_RATIO, GUARD_TOKENS = 0.5, 200
@@ -46,7 +47,7 @@ def signature(normal: str) -> tuple[int, int] | None:
     return hi, lo
 
 
-@F.arrow_udf("struct<hi:bigint,lo:bigint>")
+@F.arrow_udf(T.StructType([T.StructField("hi", T.LongType()), T.StructField("lo", T.LongType())]))
 def _signatures(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
     for part in texts:
         got = [signature(x or "") for x in part.to_pylist()]
