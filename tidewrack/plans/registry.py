@@ -7,11 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewrack.functions import lexicon
+from tidewrack.functions import html, lexicon, urls
 from tidewrack.functions import text as texts
 from tidewrack.functions.tokens import ANALYTICS_STOPWORDS, DIGEST_STOPWORDS, SOURCE_STOPWORDS, re2_pattern, sql_words
-from tidewrack.operators import alerts, catalog, crosssource, dedup, digest, quality, search, sentiment, sources, terms, topics
+from tidewrack.operators import alerts, catalog, crosssource, dedup, digest, entities, jobs, operations, quality, search, sentiment, sources, terms, topics
 from tidewrack.sources.testdata import CAPTURES_SQL, captures, table
+from tidewrack.streaming import streams
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -343,6 +344,56 @@ over_captures("title_bigrams", f", t AS (SELECT capture_id, list_filter(regexp_e
 over_captures("llm_export", "SELECT md5(regexp_replace(title || chr(10) || chr(10) || text, '^\\n+|\\n+$', '', 'g')) AS output_md5, capture_id FROM (SELECT *, row_number() OVER (PARTITION BY parent_doc_or_dup_group ORDER BY observed_ts, capture_id) AS rn FROM captures) WHERE rn = 1")(lambda df: digest.llm_records(df).select(F.md5(F.col("output").cast("binary")).alias("output_md5"), "metadata.capture_id"))
 over_captures("export_rows", "SELECT capture_id FROM (SELECT *, row_number() OVER (PARTITION BY content_hash ORDER BY fetch_ts DESC, capture_id) AS rn FROM captures WHERE source_type = 'src0') WHERE rn = 1 ORDER BY fetch_ts DESC, capture_id LIMIT 1000")(lambda df: digest.exported(df, "content", source="src0").select("capture_id"))
 
+# ---- entities, URLs, pages -------------------------------------------------------------------------------------------------
+
+over_captures("entity_counts")(lambda df: entities.entity_counts(df))
+over_captures("entity_co_occurrence")(lambda df: entities.co_occurrence(df, "The"))
+over_captures("entity_trend", f", c AS (SELECT CAST(fetch_ts AS DATE) AS bucket, count(*) AS n FROM captures WHERE {_has('der')} GROUP BY 1), cal AS (SELECT CAST(unnest(generate_series(a, b, INTERVAL 1 DAY)) AS DATE) AS bucket FROM (SELECT min(bucket) AS a, max(bucket) AS b FROM c)) SELECT cal.bucket, CAST(coalesce(n, 0) AS BIGINT) AS count FROM cal LEFT JOIN c ON c.bucket = cal.bucket")(lambda df: entities.entity_trend(df, "der"))
+over_tables("canonical_urls")(lambda spark, d: urls.with_canonical(table(spark, d, "pages").select("page_id", "url")))
+over_tables("homepages")(lambda spark, d: table(spark, d, "pages").filter(urls.homepage_column("url") | ~urls.public_column("url")).select("page_id", "url"))
+over_tables("html_text")(lambda spark, d: html.html_to_text(table(spark, d, "pages")).select("page_id", "title", "language", F.length("text").alias("n_chars")))
+
+# ---- jobs, queues and metrics over the event tables ---------------------------------------------------------------------------
+
+_JOBS = "SELECT o_orderkey AS position, CASE o_orderkey % 4 WHEN 0 THEN 'linkedin' WHEN 1 THEN 'ats' WHEN 2 THEN 'remotive' ELSE 'wwr' END AS source, o_totalprice AS score FROM orders"
+
+
+def _listings(spark: SparkSession, d: str) -> DataFrame:
+    o = table(spark, d, "orders")
+    k = F.col("o_orderkey") % 4
+    return o.select(F.col("o_orderkey").alias("position"), F.when(k == 0, "linkedin").when(k == 1, "ats").when(k == 2, "remotive").otherwise("wwr").alias("source"), F.col("o_totalprice").alias("score"))
+
+
+over_tables("jobs_diversified", f"WITH j AS ({_JOBS}), p AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY score DESC, position) AS p FROM j), t AS (SELECT *, CASE WHEN source = 'linkedin' AND p <= 12 THEN 0 WHEN source = 'linkedin' THEN p - 12 ELSE p END AS turn, CASE WHEN source = 'linkedin' AND p <= 12 THEN p ELSE 0 END AS q, CASE source WHEN 'linkedin' THEN 0 WHEN 'ats' THEN 1 ELSE 2 END AS k FROM p) SELECT position, source FROM t ORDER BY turn, q, k, source LIMIT 40")(lambda spark, d: jobs.diversified(_listings(spark, d), [F.desc("score"), F.col("position")], 40).select("position", "source"))
+over_tables("jobs_deduped", "SELECT min(o_orderkey) AS position FROM orders GROUP BY o_custkey")(lambda spark, d: jobs.deduped(table(spark, d, "orders").select(F.col("o_orderkey").alias("position"), F.concat(F.lit("https://Jobs.example/"), F.col("o_custkey").cast("string"), F.lit("/")).alias("url"), F.lit("s").alias("source"), F.lit("c").alias("company"), F.col("o_custkey").cast("string").alias("title"), F.lit("l").alias("location"))).select("position"))
+over_tables("status_counts", "SELECT user_id AS job_id, event_type AS status, count(*) AS count FROM events GROUP BY 1, 2")(lambda spark, d: operations.status_counts(table(spark, d, "events").select(F.col("user_id").alias("job_id"), F.col("event_type").alias("status"))))
+over_tables("last_checkpoints", "SELECT user_id AS partition_key, arg_max(event_id, event_id) AS checkpoint FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events) WHERE rn = 1 GROUP BY 1")(lambda spark, d: operations.last_checkpoints(table(spark, d, "events").select(F.col("user_id").alias("partition_key"), F.col("event_id").alias("checkpoint"), F.col("event_id").alias("task_id"), F.col("ts").alias("completed_at"), F.lit("completed").alias("status"))))
+over_tables("percentiles", "WITH r AS (SELECT event_type AS name, value, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS k, count(*) OVER (PARTITION BY event_type) AS n FROM events) SELECT name, max(value) FILTER (WHERE k = CAST(round_even(0.5 * (n - 1), 0) AS BIGINT)) AS p50, max(value) FILTER (WHERE k = CAST(round_even(0.95 * (n - 1), 0) AS BIGINT)) AS p95 FROM r GROUP BY 1")(lambda spark, d: table(spark, d, "events").groupBy(F.col("event_type").alias("name")).agg(operations.percentile("value", 0.5).alias("p50"), operations.percentile("value", 0.95).alias("p95")))
+over_tables("backlog", "SELECT count(*) AS files, CAST(sum(user_id) AS BIGINT) AS records, CAST(sum(event_id) AS BIGINT) AS bytes, CAST(epoch(TIMESTAMP '2024-03-01 00:00:00') - floor(epoch(min(ts))) AS BIGINT) AS oldest_seconds FROM events WHERE event_type <> 'purchase'")(lambda spark, d: operations.backlog(table(spark, d, "events").select(F.col("user_id").alias("records"), F.col("event_id").alias("bytes"), F.col("ts").alias("created_at"), (F.col("event_type") == "purchase").alias("compacted")), F.expr("timestamp_ntz'2024-03-01 00:00:00'")))
+over_tables("feed_health", "SELECT user_id AS feed, count(*) AS fetches, round(100 * count(*) FILTER (WHERE event_type = 'error') / count(*), 2) AS error_percent, round(greatest(0.0, least(100.0, 100 - 10 * (100 * count(*) FILTER (WHERE event_type = 'error') / count(*)) - 5 * (100 * count(*) FILTER (WHERE event_type = 'purchase') / count(*)))), 2) AS score FROM events GROUP BY 1")(lambda spark, d: operations.feed_health(table(spark, d, "events").select(F.col("user_id").alias("feed"), F.when(F.col("event_type") == "purchase", 500).otherwise(200).alias("status"), F.when(F.col("event_type") == "error", "x").alias("error"))))
+
+# ---- streams ---------------------------------------------------------------------------------------------------------------
+
+
+def _stream(spark: SparkSession, d: str) -> DataFrame:
+    path = f"{d.rstrip('/')}/events.parquet"
+    return streams.file_stream(spark, path if spark.read.parquet(path).inputFiles()[0].rstrip("/").rpartition("/")[0].endswith("events.parquet") else f"{d.rstrip('/')}/events.parquet*", table(spark, d, "events").schema)
+
+
+def _named(rows: DataFrame) -> DataFrame:
+    """Window bounds as seconds, whatever the session's time zone."""
+    return rows.withColumn("start", F.unix_seconds("start")).withColumn("end", F.unix_seconds("end"))
+
+
+def _epoch(c: str) -> str:
+    return f"CAST(epoch({c}) AS BIGINT)"
+
+
+over_tables("stream_tumbling", 'SELECT CAST(epoch(date_trunc(\'day\', ts)) AS BIGINT) AS start, CAST(epoch(date_trunc(\'day\', ts)) AS BIGINT) + 86400 AS "end", event_type, count(*) AS count FROM events GROUP BY date_trunc(\'day\', ts), event_type')(lambda spark, d: _named(streams.drained(streams.tumbling(_stream(spark, d), "1 day", "ts", "event_type"), "tidewrack_tumbling", "complete")))
+over_tables("stream_sliding", 'WITH w AS (SELECT CAST(epoch(date_trunc(\'day\', ts)) AS BIGINT) - k * 86400 AS start FROM events CROSS JOIN (VALUES (0), (1)) v(k)) SELECT start, start + 172800 AS "end", count(*) AS count FROM w GROUP BY start')(lambda spark, d: _named(streams.drained(streams.sliding(_stream(spark, d), "2 days", "1 day"), "tidewrack_sliding", "complete")))
+over_tables("stream_first_seen", "SELECT DISTINCT user_id, event_type FROM events")(lambda spark, d: streams.drained(streams.distinct_keys(_stream(spark, d).select("user_id", "event_type"), "user_id", "event_type"), "tidewrack_first_seen"))
+over_tables("batch_sessions", 'WITH g AS (SELECT user_id, ts, CASE WHEN ts > lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 30 MINUTE OR lag(ts) OVER (PARTITION BY user_id ORDER BY ts) IS NULL THEN 1 ELSE 0 END AS s FROM events), n AS (SELECT *, sum(s) OVER (PARTITION BY user_id ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS k FROM g) SELECT user_id, CAST(floor(epoch(min(ts))) AS BIGINT) AS start, CAST(floor(epoch(max(ts) + INTERVAL 30 MINUTE)) AS BIGINT) AS "end", count(*) AS count FROM n GROUP BY user_id, k')(lambda spark, d: _named(streams.sessions(table(spark, d, "events"))))
+
 
 def queries() -> dict[str, Query]:
     return dict(_queries)
