@@ -18,7 +18,7 @@ GAP_LEAST, GAP_RATIO = 25, 0.1
 
 def flat_safe_corr(x: str, y: str) -> Column:
     """Pearson's r; 0 for less than two rows or a flat series."""
-    return F.coalesce(F.when((F.stddev_pop(x) > 0) & (F.stddev_pop(y) > 0), F.corr(F.col(x).cast("double"), F.col(y).cast("double"))), F.lit(0.0))
+    return F.coalesce(F.covar_pop(x, y) / F.nullif(F.stddev_pop(x) * F.stddev_pop(y), F.lit(0.0)), F.lit(0.0))
 
 
 def compared(local: DataFrame, external: DataFrame) -> DataFrame:

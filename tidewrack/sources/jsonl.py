@@ -26,16 +26,19 @@ def repaired(raw: DataFrame) -> DataFrame:
     return raw.select(*columns)
 
 
-def read_jsonl(spark: SparkSession, root: str, keep_corrupt: bool = False) -> DataFrame:
-    """All *.jsonl and *.jsonl.gz files below root; writers' temporary files are not read, corrupt lines and files are passed over.
+_FILES = {"recursiveFileLookup": True, "pathGlobFilter": "*.jsonl{,.gz}", "ignoreCorruptFiles": True}
 
-    With keep_corrupt, the rows are as they were read, and _corrupt_record has the lines that are no JSON objects.
-    """
-    schema = T.StructType([*RAW_CAPTURES, T.StructField("_corrupt_record", T.StringType())])
-    raw = spark.read.schema(schema).option("mode", "PERMISSIVE").option("ignoreCorruptFiles", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.jsonl{,.gz}").json(root)
-    if keep_corrupt:
-        return raw
-    return repaired(raw.filter(F.col("capture_id").isNotNull()))
+
+def read_jsonl(spark: SparkSession, root: str) -> DataFrame:
+    """All *.jsonl and *.jsonl.gz files below root; writers' temporary files are not read, corrupt lines and files are passed over."""
+    raw = spark.read.schema(RAW_CAPTURES).options(mode="PERMISSIVE", **_FILES).json(root)
+    return repaired(raw).filter(F.col("capture_id").isNotNull())
+
+
+def bad_records(spark: SparkSession, root: str) -> DataFrame:
+    """path, value of the lines that are no JSON, for a dead-letter table."""
+    lines = spark.read.options(**_FILES).text(root).select(F.input_file_name().alias("path"), "value")
+    return lines.filter((F.trim("value") != "") & F.try_parse_json("value").isNull())
 
 
 def union_captures(*tables: DataFrame) -> DataFrame:
@@ -55,7 +58,3 @@ def fixture(spark: SparkSession, rows: list[dict], min_chars: int = 50) -> DataF
     """Captures from Python rows, for tests; short texts are left out."""
     raw = spark.createDataFrame([{f.name: None if r.get(f.name) is None else str(r[f.name]) for f in CAPTURES} for r in rows], RAW_CAPTURES)
     return repaired(raw).filter(F.length(F.trim("text")) >= min_chars)
-
-
-def bad_records(raw: DataFrame) -> DataFrame:
-    return raw.filter(F.col("_corrupt_record").isNotNull())
