@@ -1,0 +1,375 @@
+"""Each operator against brute force, and on nulls, empty and long texts, ties, repeated rows, empty tables and clashing columns."""
+
+import base64
+import hashlib
+import random
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from tidewrack.llm import bpe, classifier, components, host_rules, mixing, packing, queries, rlindex, secrets, simhash, spotsigs, warc
+
+TEXT = "doc_id long, text string"
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+random.seed(11)
+COMMON = "the of and to in that with le la der die das el los".split()
+NOUNS = [f"{a}{b}" for a in ("stone", "river", "glass", "field", "cloud") for b in ("er", "ing", "wick", "ham", "ford", "é", "ß")]
+
+
+def prose(n):
+    return " ".join(random.choice(COMMON if random.random() < 0.4 else NOUNS) for _ in range(n))
+
+
+BASE = prose(120)
+ODD = [None, "", " \n\t", "word", BASE, BASE, BASE + " end", prose(200), prose(3000), "aaaa " * 500, "日本語 テキスト ß Σ", "x" * 3000, "line one\nline one\nline two"]
+
+
+def odd_docs(spark, extra=True):
+    rows = [(k, t, "clash") for k, t in enumerate(ODD)] + [(4, BASE, "clash"), (None, "no id", "clash"), (None, None, "clash")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, fingerprint string")
+    return df.withColumns({"fp": F.lit(1), "score": F.lit("s"), "size": F.lit(2), "z": F.lit(3), "n": F.lit(4), "component_id": F.lit(5)}) if extra else df.select("doc_id", "text")
+
+
+def empty(spark, schema=TEXT):
+    return spark.createDataFrame([], schema)
+
+
+# ---- 1 ---------------------------------------------------------------------------------------------------------------
+
+
+def test_spotsigs_fingerprints(spark):
+    docs = [(k * 7 % 101, t or "") for k, t in enumerate(ODD + [prose(50) for _ in range(30)])]
+    got = {r.doc_id: r for r in spotsigs.fingerprinted(spark.createDataFrame(docs, TEXT), 4).collect()}
+    order = sorted(docs, reverse=True)
+    for k, (i, t) in enumerate(order):
+        after = order[(k + 1) % len(order)][1]
+        n = len(t) // 3
+        edited = t[: len(t) - n] + after[:n]
+        a, b = Counter(spotsigs.signatures(t).tolist()), Counter(spotsigs.signatures(edited).tolist())
+        like = sum((a & b).values()) / sum((a | b).values()) if a or b else 1.0
+        r = got[i]
+        assert (r.n_chars, r.edited_sha256) == (len(t), hashlib.sha256(edited.encode()).hexdigest())
+        assert r.near_edited == pytest.approx(like) and 0 <= r.near_next <= 1 and r.fingerprint == spotsigs.digest(spotsigs.signatures(t))
+    alone = spotsigs.fingerprinted(spark.createDataFrame([(5, "abcdef")], TEXT)).first()
+    assert alone.edited_sha256 == hashlib.sha256(b"abcdab").hexdigest() and alone.near_next == 1.0
+    assert spotsigs.fingerprinted(odd_docs(spark)).count() == len(ODD) + 3 and spotsigs.fingerprinted(empty(spark)).count() == 0
+
+
+def test_spotsigs_pruned_jaccard_and_classes(spark):
+    for _ in range(200):
+        a, b = (np.sort(np.array([random.randrange(30) for _ in range(random.randrange(40))], dtype=np.uint64)) for _ in range(2))
+        ca, cb = Counter(a.tolist()), Counter(b.tolist())
+        exact = sum((ca & cb).values()) / sum((ca | cb).values()) if ca or cb else 1.0
+        assert spotsigs.jaccard(a, b) == pytest.approx(exact)
+        assert spotsigs.jaccard(a, b, 0.6) == pytest.approx(exact if exact >= 0.6 else 0.0)
+    docs = [(k, t) for k, t in enumerate([BASE, BASE, BASE + " the cloud river", prose(100), "", None])]
+    got = {r.doc_id: r.class_id for r in spotsigs.near_duplicates(spark.createDataFrame(docs, TEXT)).collect()}
+    assert got == {0: 0, 1: 0, 2: 0, 3: 3, 4: 4, 5: 4}
+
+
+# ---- 2 ---------------------------------------------------------------------------------------------------------------
+
+
+def plain_simhash(text):
+    words = re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
+    words = WORD.findall(words)
+    grams = [" ".join(words[k : k + 4]) for k in range(max(1, len(words) - 3))] if words else []
+    import xxhash
+
+    hs = [xxhash.xxh64_intdigest(g.encode(), 42) for g in grams]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hs) > len(hs)) if hs else 0
+
+
+def test_simhash(spark):
+    rows = odd_docs(spark).collect()
+    got = simhash.simhash_components(odd_docs(spark)).collect()
+    assert len(got) == len(rows)
+    fps = {(r.doc_id, r.text): plain_simhash(r.text) for r in rows}
+    values = list(fps.values())
+    parent = {v: v for v in values}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a in values:
+        for b in values:
+            if (a ^ b).bit_count() <= 4:
+                parent[find(a)] = find(b)
+    least = {}
+    for (i, _), v in fps.items():
+        if i is not None:
+            least[find(v)] = min(least.get(find(v), i), i)
+    assert Counter((r.doc_id, r.fingerprint, r.component_id) for r in got) == Counter((r.doc_id, f"{fps[r.doc_id, r.text]:016x}", least.get(find(fps[r.doc_id, r.text]))) for r in rows)
+    assert simhash.simhash_components(empty(spark)).count() == 0
+
+
+@pytest.mark.parametrize("part_rows", [8, 4096])
+def test_simhash_links_lose_none(spark, part_rows):
+    base = [random.getrandbits(64) for _ in range(40)]
+    values = {0, 2**64 - 1} | {(b ^ sum(1 << random.randrange(64) for _ in range(random.randrange(6)))) % 2**64 for b in base for _ in range(8)}
+    signed = [v - 2**64 if v >> 63 else v for v in values]
+    links = simhash.fingerprint_links(spark.createDataFrame([(v,) for v in signed], "fp long"), part_rows=part_rows)
+    got = {r.node: r.root for r in components.connected_components(links).collect()}
+    parent = {v: v for v in signed}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a in signed:
+        for b in signed:
+            if ((a ^ b) & (2**64 - 1)).bit_count() <= 4:
+                x, y = sorted((find(a), find(b)))
+                parent[y] = x
+    assert {v: got.get(v, v) for v in signed} == {v: find(v) for v in signed}
+
+
+def test_masks_cover_every_pair():
+    for distinct in (10, 10**7, 10**10):
+        masks = simhash.agreeing_masks(distinct)
+        for _ in range(300):
+            x = sum(1 << b for b in random.sample(range(64), 4))
+            assert any(not x & m for m in masks)
+
+
+# ---- 3 ---------------------------------------------------------------------------------------------------------------
+
+
+def test_bpe_equals_the_library(spark):
+    from tokenizers import Tokenizer
+
+    path = bpe.default_path()
+    tok = Tokenizer.from_file(path)
+    alpha = "abcdeé ßσΣςİıǅ́ｆ'’sS12٣中文 \x1c\x1d\t\n\x85\xa0 #$%<|>😀﻿​"
+    texts = [t or "" for t in ODD] + ["".join(random.choice(alpha) for _ in range(random.randrange(80))) for _ in range(500)] + ["<|endoftext|>a<|startoftext|>", "don't I'LL 've", "ab" * 2000, "ΑΣ ΑΣ."]
+    made = list(bpe.TextEncoder(path).encode(texts, block=500))
+    for t, (raw, said) in zip(texts, made):
+        ids = tok.encode(t, add_special_tokens=False).ids
+        assert np.frombuffer(raw, "<u4").tolist() == ids and said == tok.decode(ids, skip_special_tokens=False)
+    trie = bpe.encoder(path).trie
+    names = [s for s in trie.final if len(s) < 30]
+    got = trie.encode_words(names)
+    assert all([trie.final[s]] == got[s] for s in random.sample(names, 3000))
+    rows = bpe.encode_documents(odd_docs(spark)).collect()
+    assert len(rows) == len(ODD) + 3 and rows[0].n_tokens == 0 and rows[0].ids_sha256 == hashlib.sha256(b"").hexdigest()
+    assert bpe.encode_documents(empty(spark)).count() == 0
+
+
+# ---- 4 ---------------------------------------------------------------------------------------------------------------
+
+
+def test_warc_round_trip(spark, tmp_path):
+    pages = [(k, f"https://e.com/{k}\nx", t) for k, t in enumerate(ODD)] + [(None, None, BASE), (None, "u", "alone"), (4, "again", BASE)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").withColumn("sha", F.lit(1)).withColumn("first", F.lit(2))
+    manifest = warc.write_bundles(df, f"file://{tmp_path}/w", frame_bytes=2000, bundle_bytes=3000)
+    got = warc.read_bundles(manifest).collect()
+    first = {}
+    for i, _, t in pages:
+        if i is not None:
+            first[t or ""] = min(first.get(t or "", i), i)
+
+    def expected(i, t):
+        raw, least = (t or "").encode(), first.get(t or "")
+        copies = sum((x or "") == (t or "") for _, _, x in pages)
+        again = copies > 1 and least is not None and i != least
+        return (i, len(raw), base64.b32encode(hashlib.sha1(raw).digest()).decode(), "revisit" if again else "response", least if again else None)
+
+    assert Counter(tuple(r) for r in got) == Counter(expected(i, t) for i, _, t in pages)
+    path = manifest.first().path
+    bundle = warc.open_bundle(path)
+    name = bundle.index[-1][0]
+    assert bundle.find(name)[0]["warc-record-id"] == name
+    import io
+
+    import zstandard
+
+    with open(path.removeprefix("file://"), "rb") as f:
+        plain = zstandard.ZstdDecompressor().stream_reader(io.BytesIO(f.read()), read_across_frames=True).read()
+    assert plain.count(b"WARC/1.1") == len(bundle.index)
+    assert warc.archived(empty(spark, "page_id long, url string, html string")).count() == 0
+
+
+# ---- 5 ---------------------------------------------------------------------------------------------------------------
+
+
+def plain_measures(t):
+    w = WORD.findall(t or "")
+    g = [tuple(w[k : k + 3]) for k in range(len(w) - 2)]
+    c = Counter(g)
+    covered = {k + d for k, x in enumerate(g) if c[x] > 1 for d in range(3)}
+    lines = [x for x in (t or "").split("\n") if WORD.search(x)]
+    return len(w), sum(map(len, w)), sum(x in "#*$%&|<>" for x in t or ""), len(lines) - len(set(lines)), len(covered)
+
+
+def test_host_rules(spark):
+    good, bad = prose(60), "x"
+    rows = [(k, t, "odd") for k, t in enumerate(ODD)] + [(100 + k, bad, "bad.com") for k in range(40)] + [(140, good, "bad.com"), (None, good, None), (200, good + " #" * 3, "good.com")] + [(300 + k, good, "good.com") for k in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumns({"host": F.lit(1), "w": F.lit(1), "failed": F.lit(1)})
+    got = host_rules.host_filtered(df).collect()
+    texts = Counter((i, t) for i, t, _ in rows)
+    by_id = {i: t for i, t, _ in rows}
+    assert len(got) == sum(texts.values())
+    for r in got:
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == plain_measures(by_id[r.doc_id])
+        assert r.base_failed == (r.n_words < 50 or 100 * r.n_repeat_words > 50 * r.n_words)
+    kept = {r.doc_id: r.kept for r in got}
+    assert kept[200] and kept[None] and not kept[140] and kept[305]
+    assert host_rules.host_filtered(empty(spark, "doc_id long, text string, source string")).count() == 0
+
+
+# ---- 6 ---------------------------------------------------------------------------------------------------------------
+
+
+def test_run_length_index_counts_repeats():
+    for length in (5, 16, 40):
+        for n in range(30):
+            base = bytes(random.choice(b"ab" if n % 2 else b"\x00abcdefg\xff") for _ in range(200))
+            segments = []
+            for _ in range(random.randint(2, 9)):
+                a = random.randrange(120)
+                s = bytearray(base[a : a + random.randint(1, 80)])
+                s[random.randrange(len(s))] = random.choice(b"\x00abx")
+                segments.append(bytes(s))
+            c = Counter(s[k : k + length] for s in segments for k in range(len(s) - length + 1))
+            got = [x.tolist() for x in rlindex.repeated_starts(segments, length)]
+            assert got == [[k for k in range(len(s) - length + 1) if c[s[k : k + length]] > 1] for s in segments]
+
+
+@pytest.mark.parametrize("most_segments", [1, 4096])
+def test_repeats_removed(spark, most_segments):
+    shared = prose(150)
+    texts = ODD + [prose(40) + " " + shared + " " + prose(30), shared[10:700] + prose(20), shared[:350], shared + shared, "Und " * 300, "é" * 900]
+    rows = list(enumerate(texts)) + [(None, shared), (3, "word")]
+    raw = [(i, (t or "").encode()) for i, t in rows]
+    c = Counter(x[k : k + 400] for _, x in raw for k in range(len(x) - 399))
+    expected = []
+    for i, x in raw:
+        mask = np.zeros(len(x) + 1, dtype=bool)
+        for k in range(len(x) - 399):
+            if c[x[k : k + 400]] > 1:
+                mask[k : k + 400] = True
+        runs = int((mask[:-1] & ~np.concatenate([[False], mask[:-2]])).sum()) if len(x) else 0
+        expected.append((i, len(x), int(mask.sum()), runs, hashlib.sha256(bytes(b for b, m in zip(x, mask) if not m)).hexdigest()))
+    df = spark.createDataFrame(rows, TEXT).withColumns({"rid": F.lit(0), "z": F.lit(1), "places": F.lit(2)})
+    got = rlindex.repeats_removed(df, most_segments=most_segments).collect()
+    assert Counter(tuple(r)[:5] for r in got) == Counter(expected)
+    assert rlindex.repeats_removed(empty(spark)).count() == 0
+
+
+# ---- 7 ---------------------------------------------------------------------------------------------------------------
+
+
+def test_secrets(spark):
+    token = "q7Zk2LxV9bTn4RfJ8sWmC3"
+    t = f'password = "abcdefghijkl" api-key: x  APIKEY:{"k" * 12} AKIA{"Q" * 16} AKIA12 {"ab12" * 8} é {token} internationalization2024text 123e4567-e89b-12d3-a456-426614174000 paſſword=abcdefghijklm'
+    base, spans = secrets.scan(t, secrets.vocabulary(secrets.default_path()))
+    said = [(k, t[a:b]) for a, k, b in base]
+    assert said == [("assign", 'password = "abcdefghijkl'), ("assign", "APIKEY:" + "k" * 12), ("access", "AKIA" + "Q" * 16), ("hex", "ab12" * 8)]
+    assert ("random", token) in [(k, t[a:b]) for a, k, b in spans] and len(spans) == 5
+    assert token not in secrets.redacted(t, spans) and secrets.redacted("ab", []) == "ab"
+    rows = secrets.secret_scan(odd_docs(spark)).collect()
+    assert len(rows) == len(ODD) + 3 and rows[0].spans == "" and rows[0].base_sha256 == hashlib.sha256(b"").hexdigest()
+    df = spark.createDataFrame([(1, t, 5, "x"), (2, None, 0, "y"), (3, "clean", 5, "z")], "doc_id long, text string, n_chars long, redacted string")
+    out = {r.doc_id: r for r in secrets.redact(df).collect()}
+    assert out[1].n_chars == len(out[1].text) and out[2].text is None and tuple(out[3]) == (3, "clean", 5, "z")
+    assert secrets.secret_scan(empty(spark)).count() == 0
+
+
+# ---- 8 ---------------------------------------------------------------------------------------------------------------
+
+
+def test_mixing(spark):
+    rows = [(k, " ".join(["w"] * random.randrange(40)), random.choice(["a", "b", "c", "d", None, "é"]) if k > 3 else "tiny") for k in range(300)] + [(None, "null id", "a"), (None, None, "a"), (7, "again", "b")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumns({"size": F.lit(9), "key": F.lit("k"), "n": F.lit(1)})
+    got = mixing.mixed(df, bucket_rows=8).collect()
+    assert Counter(tuple(r) for r in got) == Counter(tuple(r) for r in mixing.mixed(df.repartition(5), bucket_rows=10**6).collect())
+    size = Counter()
+    for _, t, s in rows:
+        size[s] += len(WORD.findall(t or ""))
+    names = sorted(x for x in size if x is not None) + [None]
+    weight = {s: (5, 2, 1)[k % 3] for k, s in enumerate(names)}
+    capped, target = set(), {}
+    while True:  # the excess goes round again until no source is above its limit
+        left = sum(size.values()) - sum(3 * size[s] for s in capped)
+        target = {s: 3.0 * size[s] if s in capped else left * weight[s] / sum(weight[x] for x in names if x not in capped) for s in names}
+        over = {s for s in names if target[s] > 3 * size[s]}
+        if not over:
+            break
+        capped |= over
+    assert {(r.source_size, round(r.target, 6)) for r in got} == {(size[s], round(target[s], 6)) for s in names}
+    taken = Counter()
+    for r in got:
+        taken[r.source_size, r.target] += r.taken
+        assert 0 <= r.taken <= 3 * r["size"]
+    assert len({size[s] for s in names}) < len(names) or all(abs(taken[k] - k[1]) <= 0.5 for k in taken)
+    copies = mixing.mix(df)
+    assert copies.columns == df.columns and copies.filter("text is null").count() == 0
+    assert mixing.mixed(empty(spark, "doc_id long, text string, source string")).count() == 0
+
+
+# ---- 9 ---------------------------------------------------------------------------------------------------------------
+
+
+def test_packing(spark, tmp_path):
+    for _ in range(60):
+        n = random.randint(1, 30)
+        ids = [np.array([random.randrange(50000) for _ in range(random.randrange(80))], dtype="<u2") for _ in range(random.randrange(40))]
+        block = packing.pack(ids, n)
+        assert all((a == b).all() for a, b in zip(ids, packing.unpack(block, len(ids))))
+        room = []
+        for size in sorted((len(x) % n for x in ids if len(x) % n), reverse=True):
+            fits = [r for r in room if r >= size]
+            if fits:
+                room.remove(min(fits))
+            room.append((min(fits) if fits else n) - size)
+        assert len(block["ids"]) == sum(len(x) // n for x in ids) + len(room)
+        for k in range(len(block["ids"])):
+            cu = block["cu_seqlens"][block["row_ptr"][k] : block["row_ptr"][k + 1]]
+            assert cu[0] == 0 and (np.diff(cu) > 0).all() and cu[-1] <= n
+            p = packing.positions(block)[k]
+            assert all((p[a:b] == np.arange(b - a)).all() for a, b in zip(cu, cu[1:]))
+    encoder = packing.byte_encoder(packing.default_path())
+    for t in [x or "" for x in ODD] + ["".join(random.choice("ab'sé  \x1c\x85\n\t中1#'ll") for _ in range(40)) for _ in range(500)]:
+        assert encoder.encode(t).tolist() == encoder.encoding.encode_ordinary(t) and encoder.decode(encoder.encode(t)) == t
+    manifest = packing.write_packed(odd_docs(spark), f"file://{tmp_path}/p", row_tokens=64, block_tokens=500)
+    got = Counter((r.doc_id, r.n_tokens, r.ids_sha256) for r in packing.read_packed(manifest).collect())
+    want = Counter()
+    for r in odd_docs(spark).collect():
+        ids = encoder.encoding.encode_ordinary(r.text or "")
+        want[r.doc_id, len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()] += 1
+    assert got == want and packing.packed(empty(spark)).count() == 0
+
+
+# ---- 10 --------------------------------------------------------------------------------------------------------------
+
+
+def test_classifier(spark):
+    def junk():
+        return " ".join(w + random.choice(["###", "$$$", "%%%"]) for w in prose(40).split())
+
+    rows = [(k, prose(60) if k % 3 else junk(), int(k % 3 > 0)) for k in range(900)]
+    docs = spark.createDataFrame([(k, t, "x", 1.0) for k, t, _ in rows] + [(None, None, "x", 1.0), (5, rows[5][1], "y", 0.0), (2000, "", "z", 0.0)], "doc_id long, text string, lang string, score double")
+    labels = spark.createDataFrame([(k, q, 0) for k, _, q in rows] + [(None, 1, 0), (3, None, None)], "doc_id long, quality int, toxic int")
+    got = classifier.classify(docs, labels).collect()
+    assert len(got) == len(rows) + 3
+    truth = {k: q for k, _, q in rows}
+    for r in got:
+        assert r.held_out == (r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 5 == 0) and 0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3)
+    held = [r for r in got if r.held_out and r.doc_id in truth]
+    assert sum(r.predicted == truth[r.doc_id] for r in held) / len(held) > 0.97
+    # what is held out is never learnt from
+    flipped = spark.createDataFrame([(k, 1 - q if zlib.crc32(str(k).encode()) % 5 == 0 else q, 0) for k, _, q in rows], "doc_id long, quality int, toxic int")
+    assert np.array_equal(classifier.fit(docs.dropDuplicates(["doc_id"]), labels), classifier.fit(docs.dropDuplicates(["doc_id"]), flipped))
+    assert classifier.keep_good(docs, labels).columns == docs.columns
+    assert classifier.classify(empty(spark), labels).count() == 0 and {r.score for r in classifier.classify(docs.limit(3), labels.limit(0)).collect()} == {0.5}
+
+
+def test_names():
+    assert [int(re.match(r"op(\d+)_", n)[1]) for n in queries.queries()] == list(range(1, 11))
