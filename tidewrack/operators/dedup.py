@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidewrack.session import cut
+
 THRESHOLD, MOST_THRESHOLD, TIGHT = 32, 40, 12
 GUARD_RATIO, GUARD_TOKENS = 0.5, 200
 BANDS, BAND_BITS = 16, 8
@@ -104,7 +106,8 @@ def near_decisions(df: DataFrame, threshold: int = THRESHOLD, arrival: str = "ob
     threshold = max(0, min(threshold, MOST_THRESHOLD))
     exact = exact_decisions(df, arrival)
     new = df.join(exact.filter("decision = 'NEW'").select("capture_id"), "capture_id", "left_semi").withColumn("s", token_sketch(F.col("text")))
-    new = new.join(signatures(new.select("capture_id", "text"), key="capture_id"), "capture_id").select("capture_id", "doc_id", F.col(arrival).alias("at"), "hi", "lo", "s.token_hash", "s.token_count").checkpoint()
+    new = new.join(signatures(new.select("capture_id", "text"), key="capture_id"), "capture_id").select("capture_id", "doc_id", F.col(arrival).alias("at"), "hi", "lo", "s.token_hash", "s.token_count")
+    new = cut(new)
     bands = band_rows(new, "capture_id").join(new, "capture_id")
     other = bands.select("seg", "seg_value", *[F.col(c).alias(f"b_{c}") for c in new.columns])
     pairs = bands.join(other, ["seg", "seg_value"]).filter(F.struct("b_at", "b_capture_id") < F.struct("at", "capture_id"))
@@ -112,10 +115,10 @@ def near_decisions(df: DataFrame, threshold: int = THRESHOLD, arrival: str = "ob
     nearest = pairs.groupBy("capture_id").agg(F.min(F.struct(distance.alias("d"), "b_at", "b_capture_id", "b_doc_id", "b_token_hash", "b_token_count", "token_hash", "token_count")).alias("n"))
     ok = (F.col("n.d") <= threshold) & guard_allows(F.col("n.token_hash"), F.col("n.token_count"), F.col("n.b_token_hash"), F.col("n.b_token_count"))
     parents = nearest.filter(ok).select("capture_id", F.col("n.b_capture_id").alias("parent"), F.col("n.d").alias("distance"))
-    tree = new.select("capture_id", "doc_id").join(parents, "capture_id", "left").select("capture_id", "doc_id", F.coalesce("parent", "capture_id").alias("parent"), "distance").checkpoint()
+    tree = cut(new.select("capture_id", "doc_id").join(parents, "capture_id", "left").select("capture_id", "doc_id", F.coalesce("parent", "capture_id").alias("parent"), "distance"))
     while True:
         up = tree.select(F.col("capture_id").alias("parent"), F.col("parent").alias("above"))
-        tree = tree.join(up, "parent").select("capture_id", "doc_id", F.col("above").alias("parent"), "distance", (F.col("above") != F.col("parent")).alias("moved")).checkpoint()
+        tree = cut(tree.join(up, "parent").select("capture_id", "doc_id", F.col("above").alias("parent"), "distance", (F.col("above") != F.col("parent")).alias("moved")))
         if tree.filter("moved").isEmpty():
             break
         tree = tree.drop("moved")

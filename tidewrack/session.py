@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import os
+import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 #: For large clusters; sizes are per task, so they hold at any scale.
 SETTINGS = {
@@ -33,3 +34,13 @@ def configured(builder: SparkSession.Builder) -> SparkSession.Builder:
     for key, value in SETTINGS.items():
         builder = builder.config(key, value)
     return builder
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df computed once and read from the shared checkpoint folder: spark.checkpoint.dir, or one of our own where that is unset."""
+    spark = df.sparkSession
+    context = spark.sparkContext
+    if not context._jsc.sc().getCheckpointDir().isDefined():
+        path = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tidewrack-checkpoints-")
+        context.setCheckpointDir(path)
+    return df.checkpoint()
