@@ -29,11 +29,18 @@ def as_of():
     return F.expr(f"timestamp_ntz'{AS_OF}'")
 
 
+#: Queries that look at duplicate groups; the others are spared the join that makes them.
+GROUPED = frozenset(
+    """lead_times source_impact replication_map top_replicators domain_rank story_origins publisher_firsts quality_snapshot
+    quality_history captures_unique_group related_counts related_captures collapsed_search search_page llm_export""".split()
+)
+
+
 def over_captures(name: str, sql: str | None = None) -> Callable:
-    """Registers a function of captures; sql may use captures, and cut (with hi) through {tail}."""
+    """Registers a function of captures, and SQL that may use captures."""
 
     def add(f: Callable[[DataFrame], DataFrame]) -> Callable:
-        _queries[name] = lambda spark, sf_dir: f(captures(spark, sf_dir))
+        _queries[name] = lambda spark, sf_dir: f(captures(spark, sf_dir, name in GROUPED))
         if sql:
             _oracles[name] = f"WITH {CAPTURES_SQL}{sql if sql.lstrip().startswith(',') else chr(10) + sql}"
         return f

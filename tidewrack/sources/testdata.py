@@ -12,11 +12,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def captures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """documents as captures. The group of a capture is the least id with its text, found by a grouped minimum and a join."""
+def captures(spark: SparkSession, sf_dir: str, groups: bool = True) -> DataFrame:
+    """documents as captures. The group of a capture is the least id with its text, found by a grouped minimum and a join; without groups it is null."""
     docs = table(spark, sf_dir, "documents").withColumn("content_hash", F.md5(F.col("text").cast("binary")))
-    first = docs.groupBy("content_hash").agg(F.min("doc_id").alias("first_id"))
-    docs = docs.join(first, "content_hash", "left")
+    if groups:
+        docs = docs.join(docs.groupBy("content_hash").agg(F.min("doc_id").alias("first_id")), "content_hash", "left")
+    else:
+        docs = docs.withColumn("first_id", F.lit(None).cast("long"))
     minutes = F.expr(f"timestampadd(MINUTE, cast((doc_id * 37) % 43200 as int), timestamp_ntz'{ANCHOR}')")
     key = F.col("doc_id").cast("string")
     return docs.select(
