@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tidewrack.llm import bpe, classifier, mixing, secrets, simhash
 from tidewrack.llm.common import shared_subdir, table
+from tidewrack.session import importable
 
 
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -19,21 +20,25 @@ def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps of each group of near-duplicates the row with the least doc_id."""
+    importable(spark)
     return simhash.keep_one_of_each(docs)
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces secrets in the texts; all rows stay."""
+    importable(spark)
     return secrets.redact(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Takes each source to its target weight: documents are left out, taken, or repeated up to three times."""
+    importable(spark)
     return mixing.mix(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document: doc_id, n_tokens, ids_sha256, decoded_sha256, ids (little-endian, 32 bits each)."""
+    importable(spark)
     return bpe.encode_documents(docs, with_ids=True)
 
 

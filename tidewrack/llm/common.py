@@ -9,13 +9,15 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewrack.session import importable
+
 #: Characters that separate words: space and U+0009 to U+000D.
 SPACE_CLASS = r"\x20\x09-\x0D"
 WORD_PATTERN = rf"[^{SPACE_CLASS}]+"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return importable(spark).read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def text_or_empty(name: str = "text") -> Column:
