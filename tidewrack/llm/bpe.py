@@ -27,8 +27,10 @@ from pyspark.sql import functions as F
 from tidewrack.llm.common import text_or_empty
 
 VOCABULARY = "word_bpe_49k.json"
-#: Known chunks and pre-tokens are forgotten beyond so many.
-KEPT_CHUNKS = 600_000
+#: Known chunks, pre-tokens and pairs of tokens are forgotten beyond so many, about 150 MB a worker in all.
+KEPT_CHUNKS = 250_000
+KEPT_WORDS = 150_000
+KEPT_PAIRS = 300_000
 #: A chunk or pre-token of more characters is encoded but not kept.
 KEPT_LENGTH = 64
 
@@ -105,7 +107,7 @@ class TrieEncoder:
                     n = self.rank.get((a, b))
                     if n is not None and n < used_a and n <= used_b and made_a < used_b and made_b < used_a:
                         known = False
-            if len(self._fits) > 2_000_000:
+            if len(self._fits) > KEPT_PAIRS:
                 self._fits.clear()
             self._fits[key] = known
         return known
@@ -202,7 +204,7 @@ class TextEncoder:
 
     def learn(self, chunks: Iterable[str]) -> dict[str, tuple[bytes, str]]:
         """Encodes chunks that are not known; returns what they give. Those too long are not kept."""
-        if len(self.words) > KEPT_CHUNKS:
+        if len(self.words) > KEPT_WORDS:
             self.words.clear()
         cut = {c: self._pretokens(c) for c in chunks if c not in self.trie.special}
         words, names, raw = self.words, self.trie.names, self.trie.bytes

@@ -32,7 +32,7 @@ FOLDS = 5
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 1e-5, 1e-4
 #: Words of a training text that are used for one update at most; longer texts give several updates.
 CHUNK_WORDS = 2_000
-KEPT_WORDS = 500_000
+KEPT_WORDS = 200_000
 
 _TOKENS = re.compile(r"\w+|[^\w\s]+")
 _SIZE = 1 << HASH_BITS
