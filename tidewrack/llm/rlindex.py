@@ -30,15 +30,15 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewrack.llm.common import cut, shuffle_partitions, text_or_empty
+from tidewrack.llm.common import cut, release, shared_subdir, shuffle_partitions, text_or_empty
 
 LENGTH = 400
 ANCHOR = 32
 #: Texts are hashed in pieces of so many bytes, with an overlap.
 PIECE = 1 << 20
 #: Bytes that one index holds, and different segments of an anchor beyond which strings are counted instead.
-INDEX_BYTES = 4_000_000
-MOST_SEGMENTS = 4_096
+INDEX_BYTES = 1_000_000
+MOST_SEGMENTS = 2_048
 
 _M = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0xFF51AFD7ED558CCD)]
 _POS_BITS = np.uint64(22)
@@ -57,6 +57,16 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
+def _stretch_hashes(words: np.ndarray, n: int, size: int) -> np.ndarray:
+    """A hash of the `size` bytes (a multiple of 8) from each of n positions."""
+    h = np.zeros(n, dtype=np.uint64)
+    for k in range(size // 8):
+        h += words[8 * k : 8 * k + n] * _M[k % 4]
+        h ^= h >> np.uint64(27)
+        h *= _M[(k + 1) % 4]
+    return _mix(h)
+
+
 def _window_min(values: np.ndarray, width: int) -> np.ndarray:
     """Least value of each window, by running minima of blocks from both sides."""
     n = len(values)
@@ -79,12 +89,7 @@ def anchors(raw: bytes, length: int = LENGTH, anchor: int = ANCHOR, piece: int =
         data = np.frombuffer(raw, dtype=np.uint8, count=min(piece + length - 1, len(raw) - begin), offset=begin)
         words = _words(data)
         n = len(data) - anchor + 1
-        h = np.zeros(n, dtype=np.uint64)
-        for k in range(anchor // 8):
-            h += words[8 * k : 8 * k + n] * _M[k % 4]
-            h ^= h >> np.uint64(27)
-            h *= _M[(k + 1) % 4]
-        h = _mix(h)
+        h = _stretch_hashes(words, n, anchor)
         packed = (h & ~((np.uint64(1) << _POS_BITS) - np.uint64(1))) | np.arange(n, dtype=np.uint64)
         at = (_window_min(packed, length - anchor + 1) & ((np.uint64(1) << _POS_BITS) - np.uint64(1))).astype(np.int64)
         starts = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
@@ -93,27 +98,41 @@ def anchors(raw: bytes, length: int = LENGTH, anchor: int = ANCHOR, piece: int =
             yield a, begin + x, begin + y
 
 
-def suffix_order(text: np.ndarray) -> np.ndarray:
-    """The suffix array of a text of non-negative numbers, by doubling from eight symbols on. The end sorts before all symbols."""
+def suffix_order(text: np.ndarray, packed: np.ndarray | None = None, left: np.ndarray | None = None) -> np.ndarray:
+    """The suffix array of a text of non-negative numbers, by doubling. The end sorts before all symbols.
+
+    packed, if given, has the first eight symbols of each suffix as one number, zeros behind the end of its segment, and
+    left tells suffixes with less than eight symbols apart, in their order and before all others.
+    """
     n = len(text)
-    _, ranks = np.unique(text, return_inverse=True)
-    ranks = ranks.astype(np.int64) + 1
-    step = 1
+    if packed is None:
+        _, ranks = np.unique(text, return_inverse=True)
+        ranks, step = ranks.astype(np.int64) + 1, 1
+    else:
+        order = np.argsort(packed)
+        ordered = packed[order]
+        ranks = np.empty(n, dtype=np.int64)
+        ranks[order] = np.cumsum(np.concatenate([[1], ordered[1:] != ordered[:-1]]))
+        order, ranks = _ranked(ranks * (int(left.max()) + 2) + left)
+        step = 8
     while True:
         after = np.zeros(n, dtype=np.int64)
         if step < n:
             after[:-step] = ranks[step:]
-        key = ranks * (n + 2) + after
-        order = np.argsort(key)
-        ordered = key[order]
-        fresh = np.empty(n, dtype=np.int64)
-        fresh[order] = np.cumsum(np.concatenate([[1], ordered[1:] != ordered[:-1]]))
-        ranks = fresh
-        if int(ranks.max()) == n or step >= n:
+        order, ranks = _ranked(ranks * (n + 2) + after)
+        if int(ranks[order[-1]]) == n or step >= n:
             return order
         step *= 2
 
 
+def _ranked(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.argsort(key)
+    ordered = key[order]
+    ranks = np.empty(len(key), dtype=np.int64)
+    ranks[order] = np.cumsum(np.concatenate([[1], ordered[1:] != ordered[:-1]]))
+    return order, ranks
+
+
 class RunLengthIndex:
     """Run-length compressed Burrows-Wheeler transform of segments, each ended by a symbol of its own, with samples at run heads and ends."""
 
@@ -126,7 +145,13 @@ class RunLengthIndex:
         text[:] = flat.astype(np.int64) + len(segments)
         text[self.ends - 1] = np.arange(len(segments))
         self.text = text
-        order = suffix_order(text)
+        rest = np.repeat(self.ends - 1, lengths) - np.arange(len(text))  # symbols before the end of the segment
+        padded = np.concatenate([flat, np.zeros(8, dtype=np.uint8)])
+        words = _words(padded)[: len(text)].byteswap()
+        short = np.maximum(8 - rest, 0).astype(np.uint64) * np.uint64(8)
+        words = np.where(rest > 0, words >> short << short, np.uint64(0)) if len(text) else words
+        left = np.where(rest < 8, rest * len(segments) + np.repeat(np.arange(len(segments)), lengths), 8 * len(segments))
+        order = suffix_order(text, words, left)
         bwt = text[order - 1]  # the byte before each suffix, cyclically
         heads = np.concatenate([[True], bwt[1:] != bwt[:-1]])
         self.run_heads = np.flatnonzero(heads)
@@ -178,6 +203,37 @@ def repeated_starts(segments: list[bytes], length: int = LENGTH) -> list[np.ndar
     return [np.flatnonzero(found[a : b - 1]) for a, b in zip(index.begins.tolist(), index.ends.tolist())]
 
 
+def shared_stretches(segments: list[bytes], groups: list[int], length: int = LENGTH, part: int = ANCHOR) -> list[list[tuple[int, int]]]:
+    """For each segment the first and last starts of strings that can repeat in its group: all of a fixed quarter of their stretches of `part` bytes occur twice there.
+
+    No string that repeats is lost; what an edit has changed goes, before anything is indexed.
+    """
+    flat = np.frombuffer(b"".join(segments) + bytes(8), dtype=np.uint8)
+    sizes = np.array([len(s) for s in segments], dtype=np.int64)
+    begins = np.cumsum(sizes) - sizes
+    h = _stretch_hashes(_words(flat), len(flat) - part - 7, part)
+    group = np.repeat(np.array(groups, dtype=np.uint64), sizes)[: len(h)]
+    seen = np.flatnonzero((h & np.uint64(3)) == 0)
+    end = np.repeat(begins + sizes, sizes)
+    seen = seen[seen + part <= end[seen]]  # not across segments
+    key = h[seen] ^ (group[seen] * _M[1])
+    order = np.argsort(key)
+    ordered = key[order]
+    alone = np.ones(len(key), dtype=bool)
+    if len(key) > 1:
+        same = ordered[1:] == ordered[:-1]
+        alone[order[1:]] &= ~same
+        alone[order[:-1]] &= ~same
+    bad = np.zeros(len(flat) + 1, dtype=np.int64)
+    bad[seen[alone] + 1] = 1
+    bad = np.cumsum(bad)
+    out = []
+    for at, n in zip(begins.tolist(), sizes.tolist()):
+        starts = np.arange(at, at + n - length + 1)
+        out.append(_runs(np.flatnonzero(bad[starts + length - part + 1] == bad[starts])) if len(starts) else [])
+    return out
+
+
 def _runs(starts: np.ndarray) -> list[tuple[int, int]]:
     """First and last of each run of consecutive numbers."""
     if not len(starts):
@@ -212,7 +268,7 @@ def _anchor_rows(length: int):
     return run
 
 
-_SEGMENT = "anchor long, single boolean, large boolean, rid long, start long, segment binary"
+_SEGMENT = "anchor long, single boolean, rid long, start long, segment binary"
 
 
 def _segments(length: int):
@@ -223,10 +279,10 @@ def _segments(length: int):
             out = []
             for rid, z, wanted in zip(*[batch.column(k).to_pylist() for k in ("rid", "z", "wanted")]):
                 raw = expand.decompress(z)
-                out += [(w["anchor"], w["single"], w["large"], rid, w["start"], raw[w["start"] : w["last"] + length]) for w in wanted]
+                out += [(w["anchor"], w["single"], rid, w["start"], raw[w["start"] : w["last"] + length]) for w in wanted]
             if out:
-                types = [pa.int64(), pa.bool_(), pa.bool_(), pa.int64(), pa.int64(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*out), types)], names=["anchor", "single", "large", "rid", "start", "segment"])
+                types = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*out), types)], names=["anchor", "single", "rid", "start", "segment"])
 
     return run
 
@@ -234,6 +290,33 @@ def _segments(length: int):
 _PLACES = pa.schema([("rid", pa.int64()), ("start", pa.int64()), ("stop", pa.int64())])
 
 
+def repeated_places(rows: list[tuple[int, bytes]], length: int = LENGTH) -> list[list[tuple[int, int]]]:
+    """rows: (group, segment); segments of a group share an anchor. For each the first and last starts of strings that repeat.
+
+    Segments are trimmed to what can repeat. Stretches that are then equal repeat whole; one of each content is indexed.
+    """
+    stretches = shared_stretches([r[1] for r in rows], [r[0] for r in rows], length)
+    parts = [(k, a, b) for k, runs in enumerate(stretches) for a, b in runs]
+    by_content: dict[tuple[int, bytes], list[int]] = {}
+    for n, (k, a, b) in enumerate(parts):
+        by_content.setdefault((rows[k][0], rows[k][1][a : b + length]), []).append(n)
+    out: list[list[tuple[int, int]]] = [[] for _ in rows]
+    for same in by_content.values():
+        if len(same) > 1:
+            for n in same:
+                out[parts[n][0]].append(parts[n][1:])
+    kinds: dict[int, int] = {}
+    for group, _ in by_content:
+        kinds[group] = kinds.get(group, 0) + 1
+    mixed = [(content, same) for (group, content), same in by_content.items() if kinds[group] > 1]
+    if mixed:
+        for (_, same), starts in zip(mixed, repeated_starts([c for c, _ in mixed], length)):
+            if len(same) == 1:
+                k, a, _ = parts[same[0]]
+                out[k] += [(a + x, a + y) for x, y in _runs(starts)]
+    return out
+
+
 def _index_places(length: int, index_bytes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come ordered by anchor. Whole anchors are gathered up to the size of an index; places of repeats come out."""
@@ -243,9 +326,9 @@ def _index_places(length: int, index_bytes: int):
         def flush(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
             out = []
             if len(rows) > 1:
-                for (_, single, rid, start, _), starts in zip(rows, repeated_starts([r[4] for r in rows], length)):
+                for (_, single, rid, start, _), runs in zip(rows, repeated_places([(r[0] % (1 << 64), r[4]) for r in rows], length)):
                     if single:
-                        out += [(rid, start + a, start + b + length) for a, b in _runs(starts)]
+                        out += [(rid, start + a, start + b + length) for a, b in runs]
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], schema=_PLACES)
 
@@ -306,17 +389,31 @@ def repeats_removed(docs: DataFrame, length: int = LENGTH, index_bytes: int = IN
     parts = shuffle_partitions(spark)
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), text_or_empty("text").alias("t"))
     texts = cut(rows.mapInArrow(_pack, "rid long, doc_id long, z binary").repartition(parts, "rid"))
-    found = cut(texts.mapInArrow(_anchor_rows(length), "anchor long, content long, rid long, start long, last long"))
-    contents = found.groupBy("anchor", "content").agg(F.count("*").alias("m"), F.min(F.struct("rid", "start", "last")).alias("place"))
-    kinds = contents.groupBy("anchor").agg(F.count("*").alias("kinds"))
-    repeated = contents.filter("m > 1").select("anchor", "content")
-    whole = found.join(repeated, ["anchor", "content"], "left_semi").select("rid", "start", (F.col("last") + length).alias("stop"))
-    mixed = contents.join(kinds.filter("kinds > 1"), "anchor").select("place.rid", F.struct("anchor", (F.col("m") == 1).alias("single"), (F.col("kinds") > most_segments).alias("large"), "place.start", "place.last").alias("w"))
-    wanted = mixed.groupBy("rid").agg(F.collect_list("w").alias("wanted"))
-    segments = cut(texts.join(wanted, "rid").select("rid", "z", "wanted").mapInArrow(_segments(length), _SEGMENT))
-    met = segments.filter("NOT large").drop("large").repartition(parts, "anchor").sortWithinPartitions("anchor", "rid", "start")
-    places = whole.union(met.mapInArrow(_index_places(length, index_bytes), "rid long, start long, stop long"))
-    strings = segments.filter("large").select("anchor", "single", "rid", "start", "segment").mapInArrow(_string_hashes(length), "string binary, single boolean, rid long, start long")
+    release(spark)  # the shuffle of the texts is not needed again
+
+    def table(df: DataFrame, name: str) -> DataFrame:
+        """df written to the shared folder; the shuffles behind it can go."""
+        folder = shared_subdir(spark, name)
+        df.write.parquet(folder)
+        release(spark)
+        return spark.read.parquet(folder)
+
+    found = table(texts.mapInArrow(_anchor_rows(length), "anchor long, content long, rid long, start long, last long"), "anchors")
+    shared = found.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor")
+    near = table(found.join(shared, "anchor", "left_semi"), "shared-anchors")
+    contents = near.groupBy("anchor", "content").agg(F.count("*").alias("m"), F.first("rid").alias("rid"), F.first("start").alias("start"), F.first("last").alias("last"))
+    contents = table(contents, "contents")
+    kinds = contents.groupBy("anchor").agg(F.count("*").alias("kinds")).filter("kinds > 1")
+    whole = near.join(contents.filter("m > 1").select("anchor", "content"), ["anchor", "content"], "left_semi").select("rid", "start", (F.col("last") + length).alias("stop"))
+    mixed = table(contents.join(kinds, "anchor").select("rid", "anchor", (F.col("m") == 1).alias("single"), "start", "last", (F.col("kinds") > most_segments).alias("large")), "segments")
+
+    def segments(part: DataFrame) -> DataFrame:
+        wanted = part.groupBy("rid").agg(F.collect_list(F.struct("anchor", "single", "start", "last")).alias("wanted"))
+        return texts.join(wanted, "rid").select("rid", "z", "wanted").mapInArrow(_segments(length), _SEGMENT)
+
+    met = segments(mixed.filter("NOT large")).repartition(parts, "anchor").sortWithinPartitions("anchor", "rid", "start")
+    places = table(whole.union(met.mapInArrow(_index_places(length, index_bytes), "rid long, start long, stop long")), "places")
+    strings = segments(mixed.filter("large")).mapInArrow(_string_hashes(length), "string binary, single boolean, rid long, start long")
     common = strings.groupBy("string").agg(F.count("*").alias("n")).filter("n > 1").select("string")
     counted = strings.filter("single").join(common, "string", "left_semi").select("rid", "start", (F.col("start") + length).alias("stop"))
     places = places.union(counted).groupBy("rid").agg(F.collect_list(F.struct("start", "stop")).alias("places"))
