@@ -2,8 +2,8 @@
 
 Documents get a hash-random key. Within each source they are ordered by that key over range buckets: sums by bucket
 are made first (combined before the shuffle), a running sum over the few bucket sums gives each bucket its offset, and
-a running sum inside the bucket gives each document its place. A source with most of the rows is so many buckets, and
-the order does not depend on their number. The budget of a source is cut exactly: whole epochs, then a prefix.
+a running sum inside the bucket gives each document its place. A source is cut into as many buckets as its rows need,
+and the order does not depend on their number. The budget of a source is cut exactly: whole epochs, then a prefix.
 """
 
 from __future__ import annotations
@@ -16,8 +16,8 @@ from tidewrack.llm.common import WORD_PATTERN, cut
 WEIGHTS = (5, 2, 1)
 MAX_EPOCHS = 3
 SEED = "mix-1"
-#: Mean rows that a range bucket holds at most.
-BUCKET_ROWS = 50_000
+#: Mean rows that a range bucket of the largest source holds at most.
+BUCKET_ROWS = 4_096
 
 
 def word_count(name: str = "text") -> Column:
@@ -64,19 +64,19 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MAX_E
     """
     sized = cut(_keyed(docs, seed))
     by_source = cut(sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n")))
-    targets = source_targets(by_source.select("source", "source_size"), weights, most)
+    name = F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("")).alias("source_key")
+    targets = source_targets(by_source.select("source", "source_size"), weights, most).select(name, "source_size", "target")
     n = by_source.agg(F.max("n")).first()[0] or 0
-    digits = 1
+    digits = 0
     while n / 16**digits > bucket_rows:
         digits += 1
-    bucketed = sized.withColumn("bucket", F.substring("key", 1, digits)).withColumn("source_key", F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("")))
+    bucketed = sized.withColumn("source_key", name).withColumn("bucket", F.substring("key", 1, digits))
     sums = bucketed.groupBy("source_key", "bucket").agg(F.sum("size").alias("words"))
     running = Window.partitionBy("source_key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sums.select("source_key", "bucket", F.coalesce(F.sum("words").over(running), F.lit(0)).alias("offset"))
+    offsets = sums.select("source_key", "bucket", F.coalesce(F.sum("words").over(running), F.lit(0)).alias("offset")).join(targets, "source_key")
     inside = Window.partitionBy("source_key", "bucket").orderBy("key", "tie", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # all that a row needs comes with its bucket, so the rows are dealt by source and bucket once, never by source alone
     placed = bucketed.withColumn("upto", F.sum("size").over(inside)).join(offsets, ["source_key", "bucket"])
-    targets = targets.withColumn("source_key", F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit(""))).drop("source")
-    placed = placed.join(targets, "source_key")
     budget = F.floor(F.col("target") + 0.5)
     epochs = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(F.lit(0))
     rest = budget - epochs * F.col("source_size")
