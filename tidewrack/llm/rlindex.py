@@ -30,7 +30,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewrack.llm.common import cut, release, shared_subdir, shuffle_partitions, text_or_empty
+from tidewrack.llm.common import cut, release, remove, shared_subdir, shuffle_partitions, text_or_empty
 
 LENGTH = 400
 ANCHOR = 32
@@ -243,7 +243,7 @@ def _runs(starts: np.ndarray) -> list[tuple[int, int]]:
 
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    press = zstandard.ZstdCompressor(level=1)
+    press = zstandard.ZstdCompressor(level=3)
     for batch in batches:
         z = [press.compress((x or "").encode("utf-8", "replace")) for x in batch.column("t").to_pylist()]
         yield pa.RecordBatch.from_arrays([batch.column("rid"), batch.column("doc_id"), pa.array(z, pa.binary())], names=["rid", "doc_id", "z"])
@@ -391,16 +391,19 @@ def repeats_removed(docs: DataFrame, length: int = LENGTH, index_bytes: int = IN
     texts = cut(rows.mapInArrow(_pack, "rid long, doc_id long, z binary").repartition(parts, "rid"))
     release(spark)  # the shuffle of the texts is not needed again
 
+    folders: dict[str, str] = {}
+
     def table(df: DataFrame, name: str) -> DataFrame:
         """df written to the shared folder; the shuffles behind it can go."""
-        folder = shared_subdir(spark, name)
-        df.write.parquet(folder)
+        folders[name] = shared_subdir(spark, name)
+        df.write.parquet(folders[name])
         release(spark)
-        return spark.read.parquet(folder)
+        return spark.read.parquet(folders[name])
 
     found = table(texts.mapInArrow(_anchor_rows(length), "anchor long, content long, rid long, start long, last long"), "anchors")
     shared = found.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor")
     near = table(found.join(shared, "anchor", "left_semi"), "shared-anchors")
+    remove(spark, folders["anchors"])
     contents = near.groupBy("anchor", "content").agg(F.count("*").alias("m"), F.first("rid").alias("rid"), F.first("start").alias("start"), F.first("last").alias("last"))
     contents = table(contents, "contents")
     kinds = contents.groupBy("anchor").agg(F.count("*").alias("kinds")).filter("kinds > 1")
@@ -413,6 +416,8 @@ def repeats_removed(docs: DataFrame, length: int = LENGTH, index_bytes: int = IN
 
     met = segments(mixed.filter("NOT large")).repartition(parts, "anchor").sortWithinPartitions("anchor", "rid", "start")
     places = table(whole.union(met.mapInArrow(_index_places(length, index_bytes), "rid long, start long, stop long")), "places")
+    remove(spark, folders["shared-anchors"])
+    remove(spark, folders["contents"])
     strings = segments(mixed.filter("large")).mapInArrow(_string_hashes(length), "string binary, single boolean, rid long, start long")
     common = strings.groupBy("string").agg(F.count("*").alias("n")).filter("n > 1").select("string")
     counted = strings.filter("single").join(common, "string", "left_semi").select("rid", "start", (F.col("start") + length).alias("stop"))
