@@ -83,3 +83,23 @@ def test_stages_on_odd_and_empty_tables(spark, tmp_path):
     kept = corpus_pipeline.deduplicate(spark, spark.read.parquet(str(tmp_path / "odd")), str(tmp_path)).collect()
     texts = Counter(r.text for r in kept)
     assert texts[ODD[4]] == 1 and np.isclose(sum(1 for r in kept if not (r.text or "").strip()), 1)
+
+
+def test_near_duplicates_go_though_the_table_is_split_anew_between_reads(spark, tmp_path, monkeypatch):
+    texts = [prose(60) for _ in range(40)]
+    rows = [(k, texts[k % 40], "en", "s", 1) for k in range(80)]
+    for k in range(0, 80, 10):  # a file every ten rows
+        spark.createDataFrame(rows[k : k + 10], SCHEMA).coalesce(1).write.mode("append").parquet(str(tmp_path / "docs"))
+    real, key = simhash.connected_components, "spark.sql.files.maxPartitionBytes"
+
+    def with_other_splits(edges):
+        spark.conf.set(key, "2k")  # as when executors are lost or come back
+        return real(edges)
+
+    monkeypatch.setattr(simhash, "connected_components", with_other_splits)
+    spark.conf.set(key, "128m")
+    try:
+        kept = simhash.keep_one_of_each(spark.read.parquet(str(tmp_path / "docs"))).collect()
+    finally:
+        spark.conf.unset(key)
+    assert sorted((r.doc_id, r.text) for r in kept) == list(enumerate(texts))

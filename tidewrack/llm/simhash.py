@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from tidewrack.llm.common import cut, shuffle_partitions, text_or_empty
+from tidewrack.llm.common import cut, shared_subdir, shuffle_partitions, text_or_empty
 from tidewrack.llm.components import connected_components
 
 WORDS = 4
@@ -208,14 +208,17 @@ def simhash_components(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
 def keep_one_of_each(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """The rows of docs without all but one of each group of near-duplicates: that with the least doc_id, nulls last.
 
-    Of repeated rows one stays. docs must give the same rows in the same order when read again (a table, not a random
-    split), as rows are recognised by their place; its columns are returned as they are.
+    Of repeated rows one stays. docs may be read in any order: rows are numbered and fingerprinted once, in a table in the
+    shared folder that both the decisions and the result are read from. Its columns are returned as they are.
     """
-    placed = docs.withColumn("__row", F.monotonically_increasing_id())
-    fps = cut(placed.select("__row", "doc_id", fingerprint_column("text").alias("fp")))
+    spark = docs.sparkSession
+    folder = shared_subdir(spark, "numbered")
+    docs.withColumns({"__row": F.monotonically_increasing_id(), "__fp": fingerprint_column("text")}).write.parquet(folder)
+    placed = spark.read.parquet(folder)
+    fps = placed.select("__row", "doc_id", F.col("__fp").alias("fp"))
     nodes = fps.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "__row")).alias("first"))
     nodes = cut(nodes)
     roots = connected_components(fingerprint_links(nodes.select("fp"), radius))
     rooted = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("first", F.coalesce("root", "fp").alias("root"))
     kept = cut(rooted.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.__row").alias("__row")))
-    return placed.join(kept, "__row", "left_semi").drop("__row")
+    return placed.join(kept, "__row", "left_semi").select(*docs.columns)
