@@ -174,3 +174,10 @@ def test_digest_and_export(spark, tmp_path):
     digest.write_captures(df, str(tmp_path / "c"))
     assert spark.read.parquet(str(tmp_path / "c")).filter("fetch_day = date'2024-06-10'").count() == 2
     assert "# T" in digest.render_markdown("T", {"n": 1}, {"x": [("a", 1)]})
+
+
+def test_digest_terms_count_whole_texts(spark):
+    df = make(spark, [{"text": "early " * 500 + "late " * 600, "title": None}])
+    as_of = F.expr("timestamp_ntz'2024-06-11 00:00:00'")
+    assert [tuple(r) for r in digest.digest_terms(df, as_of).collect()] == [("late", 600), ("early", 500)]
+    assert [tuple(r) for r in digest.digest_terms(df, as_of, chars=2000).collect()] == [("early", 333)]

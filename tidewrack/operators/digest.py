@@ -36,9 +36,9 @@ def new_domains(df: DataFrame, as_of: Column, days: int = 7) -> DataFrame:
     return first.filter(F.col("first_ts").between(as_of - F.expr(f"interval {days} days"), as_of))
 
 
-def digest_terms(df: DataFrame, as_of: Column, days: int = 7, limit: int = 20) -> DataFrame:
-    """Letters-only tokens of three and more of title and the first 2000 characters of text."""
-    part = in_window(df, as_of, days).select(F.concat_ws(" ", "title", F.substring("text", 1, 2000)).alias("t"))
+def digest_terms(df: DataFrame, as_of: Column, days: int = 7, limit: int = 20, chars: int | None = None) -> DataFrame:
+    """Letters-only tokens of three and more of title and text (whole texts, unless chars is given)."""
+    part = in_window(df, as_of, days).select(F.concat_ws(" ", "title", F.col("text") if chars is None else F.substring("text", 1, chars)).alias("t"))
     rows = part.select(F.explode(kept_tokens(letter_tokens(F.col("t")), 3, DIGEST_STOPWORDS)).alias("term")).groupBy("term").agg(F.count("*").alias("count"))
     return rows.orderBy(F.desc("count"), "term").limit(checked_limit(limit))
 

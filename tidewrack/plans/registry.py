@@ -346,7 +346,8 @@ over_captures("session_timeline")(lambda df: crosssource.session_timeline(df.sel
 
 _NOW = f"observed_ts BETWEEN TIMESTAMP '{AS_OF}' - INTERVAL 7 DAY AND TIMESTAMP '{AS_OF}'"
 over_captures("digest_metrics", f", a AS (SELECT count(*) FILTER (WHERE {_NOW}) AS captures, count(*) FILTER (WHERE observed_ts >= TIMESTAMP '{AS_OF}' - INTERVAL 14 DAY AND observed_ts < TIMESTAMP '{AS_OF}' - INTERVAL 7 DAY) AS previous, count(DISTINCT CASE WHEN {_NOW} AND trim(domain) <> '' THEN domain END) AS domains FROM captures), n AS (SELECT count(*) AS new_domains FROM (SELECT min(observed_ts) AS f FROM captures GROUP BY domain) WHERE f BETWEEN TIMESTAMP '{AS_OF}' - INTERVAL 7 DAY AND TIMESTAMP '{AS_OF}') SELECT captures, previous, round((captures - previous) / nullif(previous, 0), 4) AS growth, domains, new_domains FROM a CROSS JOIN n")(lambda df: digest.digest_metrics(df, as_of()))
-over_captures("digest_terms", f", t AS (SELECT unnest(regexp_extract_all(lower(title || ' ' || substr(text, 1, 2000)), '\\pL+')) AS term FROM captures WHERE {_NOW}) SELECT term, count(*) AS count FROM t WHERE length(term) >= 3 AND term NOT IN ({sql_words(DIGEST_STOPWORDS)}) GROUP BY 1 ORDER BY count DESC, term LIMIT 20")(lambda df: digest.digest_terms(df, as_of()))
+over_captures("digest_terms", f", t AS (SELECT unnest(regexp_extract_all(lower(title || ' ' || substr(text, 1, 2000)), '\\pL+')) AS term FROM captures WHERE {_NOW}) SELECT term, count(*) AS count FROM t WHERE length(term) >= 3 AND term NOT IN ({sql_words(DIGEST_STOPWORDS)}) GROUP BY 1 ORDER BY count DESC, term LIMIT 20")(lambda df: digest.digest_terms(df, as_of(), chars=2000))
+over_captures("digest_terms_whole", f", t AS (SELECT unnest(regexp_extract_all(lower(concat_ws(' ', title, text)), '\\pL+')) AS term FROM captures WHERE {_NOW}) SELECT term, count(*) AS count FROM t WHERE length(term) >= 3 AND term NOT IN ({sql_words(DIGEST_STOPWORDS)}) GROUP BY 1 ORDER BY count DESC, term LIMIT 20")(lambda df: digest.digest_terms(df, as_of()))
 over_captures("title_bigrams", f", t AS (SELECT capture_id, list_filter(regexp_extract_all(lower(title), '\\pL+'), lambda x: length(x) >= 3 AND x NOT IN ({sql_words(DIGEST_STOPWORDS)})) AS w FROM captures WHERE {_NOW}), u AS (SELECT capture_id, unnest(w) AS a, generate_subscripts(w, 1) AS p FROM t WHERE len(w) > 0), b AS (SELECT a || ' ' || lead(a) OVER (PARTITION BY capture_id ORDER BY p) AS term FROM u) SELECT term, count(*) AS count FROM b WHERE term IS NOT NULL GROUP BY 1 ORDER BY count DESC, term LIMIT 20")(lambda df: digest.title_bigrams(df, as_of()))
 over_captures("llm_export", "SELECT md5(regexp_replace(title || chr(10) || chr(10) || text, '^\\n+|\\n+$', '', 'g')) AS output_md5, capture_id FROM (SELECT *, row_number() OVER (PARTITION BY parent_doc_or_dup_group ORDER BY observed_ts, capture_id) AS rn FROM captures) WHERE rn = 1")(lambda df: digest.llm_records(df).select(F.md5(F.col("output").cast("binary")).alias("output_md5"), "metadata.capture_id"))
 over_captures("export_rows", "SELECT capture_id FROM (SELECT *, row_number() OVER (PARTITION BY content_hash ORDER BY fetch_ts DESC, capture_id) AS rn FROM captures WHERE source_type = 'src0') WHERE rn = 1 ORDER BY fetch_ts DESC, capture_id LIMIT 1000")(lambda df: digest.exported(df, "content", source="src0").select("capture_id"))
