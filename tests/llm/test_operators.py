@@ -282,6 +282,15 @@ def test_secrets(spark):
     assert secrets.secret_scan(empty(spark)).count() == 0
 
 
+def test_secrets_of_letters_and_behind_paths():
+    vocabulary, key = secrets.vocabulary(secrets.default_path()), "qZxVbNkWjTrPgHsLdFyM"
+    path = "articles/documentation/understanding/international"
+    for t, said in ((f"see {key} here", key), (f"at {path}/q7Zx9VbN2kWj4TrP8gHs5LdF", "q7Zx9VbN2kWj4TrP8gHs5LdF")):
+        assert [t[a:b] for a, kind, b in secrets.scan(t, vocabulary)[1] if kind == "random"] == [said]
+    for t in ("antidisestablishmentarianism", "Rechtsschutzversicherungsgesellschaften", path, "x" * 3000, "sha256-" + "qZ7xV9bN" * 5 + "abc="):
+        assert secrets.scan(t, vocabulary)[1] == []
+
+
 # ---- 8 ---------------------------------------------------------------------------------------------------------------
 
 

@@ -1,8 +1,9 @@
 """Secret scans: assignments, access keys and hex runs by pattern, random strings by token efficiency.
 
 A language text takes few tokens a character under a byte-pair vocabulary; a random string takes many. A run of key
-characters with letters and digits whose characters per token lie under a ratio is reported as `random`, unless it is
-a digest of a usual length, a UUID, a number or another known identifier, or lies in a span that a pattern has found.
+characters with letters whose characters per token lie under a ratio (a stricter one without digits) is reported as
+`random`, unless it is a digest of a usual length, a UUID, a number or another known identifier, or lies in a span that a
+pattern has found. A run that is not random as a whole is measured by its pieces between separators as well.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ VOCABULARY = "byte_bpe_50k.tiktoken"
 #: A candidate has so many characters at least, and so many a token at most.
 RANDOM_LENGTH = 20
 RANDOM_RATIO = 2.2
+#: The same for runs without a digit, as long compounds take more tokens than other words.
+LETTERS_RATIO = 2.0
 
 KINDS = ("assign", "access", "hex", "random")
 _NAMES = ("password", "passwd", "secret", "token", "api_key", "apikey")
@@ -31,6 +34,8 @@ _ASSIGN = re.compile(r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{16,}")  # greedy: the runs that [0-9a-f]+ finds, less those that are too short
 _RUN = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % RANDOM_LENGTH)
+#: What a run has between separators; a digest and its name are one piece.
+_PIECE = re.compile(r"(?:sha(?:1|224|256|384|512)|md5)-[A-Za-z0-9+/]+={0,2}|[A-Za-z0-9+]+", re.IGNORECASE | re.ASCII)
 _UUID = re.compile(r"[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}")
 _DIGEST = re.compile(r"(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{56}|[0-9a-f]{64}|[0-9a-f]{96}|[0-9a-f]{128}|(?:sha(?:1|224|256|384|512)|md5)-[A-Za-z0-9+/]+={0,2})", re.IGNORECASE)
 
@@ -65,17 +70,22 @@ def pattern_spans(text: str) -> list[tuple[int, str, int]]:
     return found + [(m.start(), "hex", m.end()) for m in _HEX.finditer(text)]
 
 
+def _is_random(run: str, encoding: tiktoken.Encoding, ratio: float) -> bool:
+    if len(run) < RANDOM_LENGTH or not re.search("[A-Za-z]", run) or _is_known(run):
+        return False
+    return len(run) <= (ratio if re.search("[0-9]", run) else min(ratio, LETTERS_RATIO)) * len(encoding.encode_ordinary(run))
+
+
 def random_spans(text: str, encoding: tiktoken.Encoding, taken: list[tuple[int, str, int]], ratio: float = RANDOM_RATIO) -> list[tuple[int, str, int]]:
     found = []
     for m in _RUN.finditer(text):
-        run = m[0]
-        if run.isalpha() or not re.search("[0-9]", run) or not re.search("[A-Za-z]", run) or _is_known(run):
-            continue
-        if any(a < m.end() and m.start() < b for a, _, b in taken):
+        if _is_known(m[0]):
             continue
-        if len(run) <= ratio * len(encoding.encode_ordinary(run)):
+        if _is_random(m[0], encoding, ratio):
             found.append((m.start(), "random", m.end()))
-    return found
+        else:
+            found += [(p.start(), "random", p.end()) for p in _PIECE.finditer(text, *m.span()) if _is_random(p[0], encoding, ratio)]
+    return [s for s in found if not any(a < s[2] and s[0] < b for a, _, b in taken)]
 
 
 def _ordered(spans: list[tuple[int, str, int]]) -> list[tuple[int, str, int]]:
