@@ -2,8 +2,8 @@
 
 A language text takes few tokens a character under a byte-pair vocabulary; a random string takes many. A run of key
 characters with letters whose characters per token lie under a ratio (a stricter one without digits) is reported as
-`random`, unless it is a digest of a usual length, a UUID, a number or another known identifier, or lies in a span that a
-pattern has found. A run that is not random as a whole is measured by its pieces between separators as well.
+`random`, unless it is a digest of a usual length, a UUID, a number or another known identifier. Of a run that touches
+spans that patterns have found, what they leave is measured. A run that is not random as a whole is measured by its pieces between separators as well.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -76,16 +77,48 @@ def _is_random(run: str, encoding: tiktoken.Encoding, ratio: float) -> bool:
     return len(run) <= (ratio if re.search("[0-9]", run) else min(ratio, LETTERS_RATIO)) * len(encoding.encode_ordinary(run))
 
 
+def _outside(a: int, b: int, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The stretches of a to b that spans, which are in order and do not meet, leave."""
+    left = []
+    for x, y in spans[bisect_right(spans, a, key=lambda s: s[1]) :]:
+        if x >= b:
+            break
+        if x > a:
+            left.append((a, x))
+        a = y
+    return [*left, (a, b)] if a < b else left
+
+
+def _united(taken: list[tuple[int, str, int]]) -> list[tuple[int, int]]:
+    out: list[tuple[int, int]] = []
+    for a, _, b in sorted(taken):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(out[-1][1], b))
+        else:
+            out.append((a, b))
+    return out
+
+
 def random_spans(text: str, encoding: tiktoken.Encoding, taken: list[tuple[int, str, int]], ratio: float = RANDOM_RATIO) -> list[tuple[int, str, int]]:
-    found = []
+    """Spans outside those taken by patterns. What the hex pattern leaves of a random piece goes too, however short it is."""
+    found: set[tuple[int, int]] = set()
+    every, hexes = _united(taken), {(a, b) for a, kind, b in taken if kind == "hex"}
     for m in _RUN.finditer(text):
         if _is_known(m[0]):
             continue
-        if _is_random(m[0], encoding, ratio):
-            found.append((m.start(), "random", m.end()))
-        else:
-            found += [(p.start(), "random", p.end()) for p in _PIECE.finditer(text, *m.span()) if _is_random(p[0], encoding, ratio)]
-    return [s for s in found if not any(a < s[2] and s[0] < b for a, _, b in taken)]
+        left = _outside(*m.span(), every)
+        for a, b in left:
+            if _is_random(text[a:b], encoding, ratio):
+                found.add((a, b))
+            else:
+                found.update(p.span() for p in _PIECE.finditer(text, a, b) if _is_random(p[0], encoding, ratio))
+        if left and left != [m.span()] and hexes:
+            for p in _PIECE.finditer(text, *m.span()):
+                rest = _outside(*p.span(), every)
+                inner = _outside(*p.span(), rest)
+                if rest and inner and all(x in hexes for x in inner) and _is_random(p[0], encoding, ratio):
+                    found.update(x for x in rest if not any(a < x[1] and x[0] < b for a, b in found))
+    return [(a, "random", b) for a, b in sorted(found)]
 
 
 def _ordered(spans: list[tuple[int, str, int]]) -> list[tuple[int, str, int]]:
