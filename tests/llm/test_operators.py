@@ -9,6 +9,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from tidewrack.llm import bpe, classifier, components, host_rules, mixing, packing, queries, rlindex, secrets, simhash, spotsigs, warc
@@ -59,6 +60,17 @@ def test_spotsigs_fingerprints(spark):
     assert spotsigs.fingerprinted(odd_docs(spark)).count() == len(ODD) + 3 and spotsigs.fingerprinted(empty(spark)).count() == 0
 
 
+def test_spotsigs_null_ids_come_last(spark):
+    rows = [(k * 3, prose(40)) for k in range(-20, 20)] + [(None, prose(40)) for _ in range(6)] + [(-(2**63), prose(40))]
+    got = {r.edited_sha256: r for r in spotsigs.fingerprinted(spark.createDataFrame(rows, TEXT), 4).collect()}
+    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), xxhash.xxh64_intdigest(r[1].encode()) >> 1))
+    assert len(got) == len(rows)
+    for (i, t), (_, after) in zip(order, order[1:] + order[:1]):
+        n = len(t) // 3
+        r = got[hashlib.sha256((t[: len(t) - n] + after[:n]).encode()).hexdigest()]
+        assert r.doc_id == i and r.near_next == pytest.approx(spotsigs.jaccard(spotsigs.signatures(t), spotsigs.signatures(after)))
+
+
 def test_spotsigs_pruned_jaccard_and_classes(spark):
     for _ in range(200):
         a, b = (np.sort(np.array([random.randrange(30) for _ in range(random.randrange(40))], dtype=np.uint64)) for _ in range(2))

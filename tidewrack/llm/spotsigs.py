@@ -114,12 +114,13 @@ def _packer(bounds: list, heads: list):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdCompressor(level=1)
-        edges = np.array(bounds, dtype=np.int64)
+        rising = np.array(bounds[::-1], dtype=np.int64)
         before = {head: bucket for bucket, head in heads}
         for batch in batches:
             ids = batch.column("doc_id")
-            values = np.array([np.iinfo(np.int64).min if x is None else x for x in ids.to_pylist()], dtype=np.int64)
-            bucket = np.searchsorted(-edges, -values, "left")  # edges fall; ids above the first edge are bucket 0
+            values = ids.fill_null(0).to_numpy(zero_copy_only=False)
+            bucket = len(rising) - np.searchsorted(rising, values, "right")  # ids above all edges are bucket 0
+            bucket[ids.is_null().to_numpy(zero_copy_only=False)] = len(rising)  # null ids come last
             texts = [x or "" for x in batch.column("t").to_pylist()]
             raw = [x.encode("utf-8", "replace") for x in texts]
             guests = [k for k, x in enumerate(ids.to_pylist()) if x in before]
