@@ -36,11 +36,25 @@ def configured(builder: SparkSession.Builder) -> SparkSession.Builder:
     return builder
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df computed once and read from the shared checkpoint folder: spark.checkpoint.dir, or one of our own where that is unset."""
-    spark = df.sparkSession
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share, qualified by its file system: spark.checkpoint.dir, or the context's checkpoint folder.
+
+    Where neither is set, a local session gets a temporary folder of its own; a cluster has to name one.
+    """
     context = spark.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        path = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tidewrack-checkpoints-")
+    current = context._jsc.sc().getCheckpointDir()
+    path = spark.conf.get("spark.checkpoint.dir", None) or (current.get() if current.isDefined() else None)
+    if not path:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        path = "file://" + tempfile.mkdtemp(prefix="tidewrack-checkpoints-")
+    if not current.isDefined():
         context.setCheckpointDir(path)
-    return df.checkpoint()
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(context._jsc.hadoopConfiguration()).makeQualified(place).toString()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df computed once and read from the shared checkpoint folder from then on: a lost executor costs tasks, not results."""
+    shared_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
