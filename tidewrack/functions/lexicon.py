@@ -1,42 +1,33 @@
-"""The sentiment lexicon: word families by rule, from roots and endings. Pass another Lexicon for other words."""
+"""The sentiment lexicon: word sets, and how far words before a sentiment word reach.
+
+The words below are a short general list of our own. Lexicon.of(...) takes another one from a table.
+"""
 
 from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-_VOWELS = "aeiou"
-
-
-def family(root: str) -> set[str]:
-    """A verb root with its -s, -ed and -ing forms, spelt by the usual rules."""
-    if root.endswith("e"):
-        return {root, root + "s", root + "d", root[:-1] + "ing"}
-    if root.endswith("y") and root[-2] not in _VOWELS:
-        return {root, root[:-1] + "ies", root[:-1] + "ied", root + "ing"}
-    if root.endswith(("s", "sh", "ch", "x")):
-        return {root, root + "es", root + "ed", root + "ing"}
-    double = root + root[-1] if len(root) > 2 and root[-1] not in "wxy" and root[-1] not in _VOWELS and root[-2] in _VOWELS and root[-3] not in _VOWELS and len(root) < 5 else root
-    return {root, root + "s", double + "ed", double + "ing"}
-
+from pyspark.sql import DataFrame
 
-def grown(roots: str, plain: str) -> frozenset[str]:
-    words: set[str] = set(plain.split())
-    for root in roots.split():
-        words |= family(root)
-    return frozenset(words)
-
-
-POSITIVE = grown(
-    "rally surge soar jump gain climb advance rebound outperform exceed surpass boost boom expand flourish thrive succeed reward improve upgrade accelerate",
-    "rise rises rose rising record high growth grow grew profit profits profitable surplus bullish optimism optimistic positive upside upbeat strong stronger strongest robust solid healthy resilient promising impressive win wins winning won winner victory breakthrough success successful improvement good better best great excellent confident confidence opportunity opportunities momentum milestone",
+POSITIVE = frozenset(
+    """admirable admire amazing beautiful beneficial benefit brilliant calm charming cheerful comfortable delight delighted
+    delightful eager effective efficient elegant enjoy enjoyable enjoyed excellent fair fantastic friendly generous gentle glad
+    good grateful great happy helpful honest hope hopeful improve improved inspiring joy kind love loved lovely lucky nice
+    perfect pleasant pleased praise proud reliable safe satisfied smart smooth splendid strong succeed success successful superb
+    support thankful thrilled trust useful valuable warm welcome wise wonderful worthy""".split()
 )
-NEGATIVE = grown(
-    "slump crash plunge tumble drop decline slide collapse panic worry deteriorate miss disappoint fail stumble falter strain delay halt freeze suspend recall downgrade default warn",
-    "fall falls fell bearish pessimistic pessimism fear fears weak weaker weakness negative gloomy grim bleak dire awful terrible bad worse worst trouble problem problems uncertainty turmoil risk risks risky threat danger dangerous fragile volatile loss losses lose lost shortfall shortage setback pressure cut cuts layoff layoffs shutdown debt deficit bankruptcy bankrupt recession inflation war wars sanctions fraud probe lawsuit penalty guilty",
+NEGATIVE = frozenset(
+    """abuse afraid anger angry annoyed annoying anxious ashamed awful bad bitter boring broken cheat complain complaint confused
+    corrupt cruel damage damaged danger dangerous defect defective despair dirty disappointed disaster disgust dishonest dreadful
+    error evil fail failed failure false fault fear filthy flawed fool guilty harm harmful hate hated horrible hostile hurt ill
+    jealous lonely lost mad misery mistake nasty offensive pain painful poor rude sad scared severe sick sorry stupid terrible
+    tragedy tragic ugly unfair unhappy unsafe useless vicious violent weak worried worry worse worst wrong""".split()
 )
 # Words that turn or strengthen a sentiment word within the three tokens before it.
 NEGATIONS = frozenset("not no never without despite lacks".split())
 INTENSIFIERS = frozenset("very extremely strongly sharply significantly".split())
+#: Words that a lexicon may have; they are literals of the plan.
+MOST_WORDS = 20_000
 
 
 @dataclass(frozen=True)
@@ -48,5 +39,13 @@ class Lexicon:
     reach: int = 3
     intensity: float = 0.5
 
+    @classmethod
+    def of(cls, words: DataFrame) -> Lexicon:
+        """From a table of word and polarity (above, below or at 0: positive, negative, no part of it); a larger one than MOST_WORDS is refused."""
+        rows = words.select("word", "polarity").limit(MOST_WORDS + 1).collect()
+        if len(rows) > MOST_WORDS:
+            raise ValueError(f"a lexicon has up to {MOST_WORDS} words")
+        return cls(*[frozenset(r.word.lower() for r in rows if r.word and sign * (r.polarity or 0) > 0) for sign in (1, -1)])
+
 
 DEFAULT = Lexicon()

@@ -14,12 +14,45 @@ from pyspark.sql import types as T
 from tidewrack.functions.tokens import matches
 from tidewrack.functions.windows import bucket, checked_limit
 
-# Fixed values, to be replaced by larger gazetteers through Gazetteer.
-TICKERS = frozenset("BTC ETH SOL XRP AAPL MSFT GOOGL AMZN META TSLA NVDA AMD INTC NFLX SPY QQQ VIX".split())
-PLACES = frozenset("London,Paris,Berlin,Tokyo,Madrid,Rome,Istanbul,Moscow,Beijing,Washington,New York,Los Angeles,San Francisco,Hong Kong,Germany,France,Spain,Italy,Turkey,China,Japan,India,Brazil,Canada,United States,United Kingdom,South Korea,Saudi Arabia".split(","))
-ORG_SUFFIXES = frozenset("Inc Corp Corporation Ltd LLC Bank Group Exchange University Fund ETF Agency Association Institute Commission Council Union Holdings Labs".split())
-STARTERS = frozenset("The A An This That These Those In On At By For With From And But Or If When While After Before Mr Mrs Ms Dr".split())
-HEADLINE_NOUNS = frozenset("Rally Price Prices Market Markets Stock Stocks Shares Rate Rates Deal Deals Record News Report Update Growth Inflation Economy Oil Gold Dollar Euro Index Bond Bonds Token Coin".split())
+# The dictionaries of the entity rules. Results depend on every entry; Gazetteer takes others.
+TICKERS = frozenset(
+    """BTC ETH SOL XRP ADA DOGE DOT AVAX LINK UNI AAVE APT SUI INJ ARB OP SEI PEPE BONK WIF TON LTC BCH SHIB ATOM NEAR FIL
+    ICP HBAR VET ALGO ETC EOS XTZ XLM TRX AAPL MSFT GOOGL AMZN META TSLA NVDA AMD INTC NFLX SPY QQQ VIX GLD SLV USO JPM
+    BAC GS XOM CVX KO PEP WMT DIS BA GE""".split()
+)
+PLACES = frozenset(
+    x.strip()
+    for x in """Istanbul, Ankara, Izmir, Tokyo, Osaka, London, New York, Los Angeles, Chicago, Houston, San Francisco, Boston,
+    Seattle, Miami, Berlin, Munich, Frankfurt, Paris, Lyon, Marseille, Beijing, Shanghai, Shenzhen, Moscow, Saint Petersburg,
+    Dubai, Abu Dhabi, Singapore, Zurich, Geneva, Washington, Seoul, Sydney, Melbourne, Toronto, Vancouver, Montreal, Mumbai,
+    Delhi, Bangalore, Sao Paulo, Rio de Janeiro, Mexico City, Johannesburg, Cape Town, Cairo, Nairobi, Lagos, Amsterdam,
+    Madrid, Barcelona, Rome, Milan, Vienna, Stockholm, Oslo, Helsinki, Warsaw, Prague, Budapest, Athens, Lisbon, Dublin,
+    Brussels, Copenhagen, Buenos Aires, Santiago, Lima, Bogota, Karachi, Dhaka, Jakarta, Bangkok, Manila, Kuala Lumpur,
+    Ho Chi Minh City, Taipei, Hong Kong, Riyadh, Doha, Tel Aviv, Kyiv, Turkey, Turkkiye, Germany, France, United Kingdom,
+    China, Russia, Japan, India, Brazil, Canada, Australia, Switzerland, Netherlands, Spain, Italy, Poland, Sweden, Norway,
+    Ukraine, Iran, Saudi Arabia, United Arab Emirates, Egypt, South Africa, Nigeria, Mexico, Argentina, Chile, Colombia,
+    Indonesia, Vietnam, Thailand, South Korea, United States, Portugal, Belgium, Austria, Denmark, Finland, Ireland, Greece,
+    Czech Republic, Hungary, Romania, Bulgaria, Croatia, Serbia, Israel, Jordan, Qatar, Kuwait, Oman, Morocco, Tunisia,
+    Algeria, Ethiopia, Kenya, Ghana, Pakistan, Bangladesh, Sri Lanka, Malaysia, Philippines, New Zealand""".replace("\n", " ").split(",")
+)
+ORG_SUFFIXES = frozenset(
+    """Inc Corp Corporation Ltd LLC Bank Group Exchange University Fund ETF Agency Association Institute Commission Council
+    Union Holdings Labs Technologies Systems Media News Times Post Journal Herald Tribune Reserve Fed Parliament Senate
+    Congress Ministry Department Authority Board Committee Foundation Organization Organisation Partnership Company Co Club
+    Center Centre School College Hospital Trust Airways Airlines Energy Petroleum Pharma Therapeutics Biosciences Capital
+    Ventures Partners Advisors Consulting Research""".split()
+)
+STARTERS = frozenset(
+    """The A An On In At For To Of And Or With By From Into Onto Upon About After Before During Under Over Via Vs This That
+    These Those His Her Their Our Your Its It He She They We You I Not But As If When Where Who Whom Which What How All Any
+    Some More Most Other New Old High Low Big Small Large First Last Next Every Each Both""".split()
+)
+HEADLINE_NOUNS = frozenset(
+    """Rally Price Prices Market Markets Stock Stocks Shares Rates Rate Deal Deals Record High Low Peak Drop Rise Surge Slump
+    Gain Gains Loss Losses Profit Revenue Earnings Report Reports Update Updates News Analysis Outlook Forecast Growth
+    Inflation Economy Fed Bond Bonds Yield Yields Oil Gold Dollar Euro Index Indices Fund Funds ETF ETFs Token Tokens Coin
+    Coins""".split()
+)
 
 
 @dataclass(frozen=True)
@@ -51,15 +84,13 @@ def _of_span(span: list[str], g: Gazetteer) -> Iterator[tuple[str, str]]:
     for n, k in enumerate(ends):
         first = ends[n - 1] + 1 if n else 0
         yield " ".join([*[w for w in span[first:k] if w not in g.starters][-3:], span[k]]), "ORG"
-    found = False
     for k in range(len(span)):
         for size in range(1, 5):
             part = span[max(0, k - size + 1) : k + 1]
             if len(part) == size and not any(w in g.suffixes for w in part) and " ".join(part) in g.places:
-                found = True
                 yield " ".join(part), "PLACE"
                 break
-    if not ends and not found and 2 <= len(span) <= 3 and span[0] not in g.starters and not any(w in g.nouns or w in g.places for w in span):
+    if not ends and 2 <= len(span) <= 3 and span[0] not in g.starters and not any(w in g.nouns or w in g.places for w in span):
         yield " ".join(span[:2]), "PERSON"
 
 
