@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # The word lists that results are counted without.
@@ -46,10 +47,15 @@ def letter_tokens(text: Column) -> Column:
     return F.coalesce(F.regexp_extract_all(F.lower(text), F.lit(LETTER_TOKEN), F.lit(0)), F.array().cast("array<string>"))
 
 
-def kept_tokens(tokens: Column, least: int, stopwords: frozenset[str]) -> Column:
-    """Tokens of a length that are no stopwords. The list is a literal of bounded size."""
-    words = F.array(*[F.lit(w) for w in sorted(stopwords)])
-    return F.filter(tokens, lambda t: (F.length(t) >= least) & ~F.array_contains(words, t))
+def is_kept(token: Column, least: int, stopwords: frozenset[str]) -> Column:
+    """Whether a token has the length and is no stopword (a look-up in one hash set)."""
+    return (F.length(token) >= least) & ~token.isin(*sorted(stopwords))
+
+
+def counted_tokens(tokens: DataFrame, least: int, stopwords: frozenset[str], column: str = "tokens", term: str = "term") -> DataFrame:
+    """tokens: a column of arrays. term, count of the tokens that are kept. Counted first, as there are far fewer terms than tokens."""
+    counts = tokens.select(F.explode(column).alias(term)).groupBy(term).agg(F.count("*").alias("count"))
+    return counts.filter(is_kept(F.col(term), least, stopwords))
 
 
 def sql_words(words: frozenset[str]) -> str:
@@ -57,7 +63,8 @@ def sql_words(words: frozenset[str]) -> str:
 
 
 _W = "[0-9A-Za-z_]"
-_EDGE = f"(?:(?<={_W})(?!{_W})|(?<!{_W})(?={_W}))"
+#: Letters beyond ASCII that a pattern without case takes for ASCII ones though lower case leaves them, or puts a mark behind them.
+_FOLDED = {"s": "\u017f", "i": "\u0130"}
 
 
 def java_escape(text: str) -> str:
@@ -65,8 +72,13 @@ def java_escape(text: str) -> str:
 
 
 def term_pattern(term: str) -> str:
-    """Case-insensitive, with ASCII word edges on both sides of the term, as RE2's word boundary has them."""
-    return f"(?iu){_EDGE}{java_escape(term)}{_EDGE}"
+    """Case-insensitive, with ASCII word edges on both sides of the term, as RE2's word boundary has them.
+
+    An edge lies where just one side is a word character; as the term's own ends are known, one look at the other side tells.
+    """
+    left = f"(?<!{_W})" if re.match(_W, term) else f"(?<={_W})"
+    right = f"(?!{_W})" if re.match(_W, term[-1]) else f"(?={_W})"
+    return f"(?iu){left}{java_escape(term)}{right}"
 
 
 def re2_pattern(term: str) -> str:
@@ -81,13 +93,26 @@ def topic_pattern(term: str) -> str:
 
 
 def matches(term: str, mode: str = "title_text", title: str = "title", text: str = "text") -> Column:
-    """Whether title, text or either has the term."""
-    pattern = term_pattern(checked_term(term))
+    """Whether title, text or either has the term.
+
+    Only where the lower-case text has the term at all is it looked for as a word: a plain search costs far less than a pattern.
+    """
+    term = checked_term(term)
     parts = {"title": [title], "text": [text], "title_text": [title, text]}
     if mode not in parts:
         raise ValueError(f"mode must be one of {sorted(parts)}")
-    found = [F.coalesce(F.col(c).rlike(pattern), F.lit(False)) for c in parts[mode]]
-    return found[0] if len(found) == 1 else found[0] | found[1]
+
+    def found(name: str) -> Column:
+        word = F.col(name).rlike(term_pattern(term))
+        if term.isascii():
+            seen = F.contains(F.lower(F.col(name)), F.lit(term.lower()))
+            for letter, other in _FOLDED.items():
+                if letter in term.lower():
+                    seen = seen | F.contains(F.col(name), F.lit(other))
+            word = seen & word
+        return F.coalesce(word, F.lit(False))
+
+    return reduce(lambda a, b: a | b, [found(c) for c in parts[mode]])
 
 
 def checked_term(term: str) -> str:

@@ -64,18 +64,24 @@ def bounds(df: DataFrame, column: str = "fetch_ts") -> DataFrame:
     return df.agg(F.min(column).alias("lo"), F.max(column).alias("hi"))
 
 
-def tail(df: DataFrame, days: int, column: str = "fetch_ts") -> DataFrame:
-    """Rows of the last days before the corpus's newest time, ends included; adds lo_ts and hi_ts. The one-row side is bounded."""
-    edge = bounds(df, column).select((F.col("hi") - F.expr(f"interval {checked_days(days)} days")).alias("lo_ts"), F.col("hi").alias("hi_ts"))
-    return df.join(F.broadcast(edge), F.col(column).between(F.col("lo_ts"), F.col("hi_ts")))
+def newest(df: DataFrame, column: str = "fetch_ts") -> Column:
+    """The newest time of a table as a literal, null for an empty one. It is looked up now, so that filters by it reach the scan and prune days."""
+    found = df.agg(F.max(column).cast("string")).first()[0]
+    return F.lit(found).cast(df.schema[column].dataType)
 
 
-def calendar(df: DataFrame, days: int, column: str = "fetch_ts", granularity: str = "day") -> DataFrame:
+def tail(df: DataFrame, days: int, column: str = "fetch_ts", end: Column | None = None) -> DataFrame:
+    """Rows of the last days before the corpus's newest time (end, if it is known), ends included."""
+    end = newest(df, column) if end is None else end
+    return pruned(df, end - F.expr(f"interval {checked_days(days)} days"), end, column)
+
+
+def calendar(df: DataFrame, days: int, column: str = "fetch_ts", granularity: str = "day", end: Column | None = None) -> DataFrame:
     """Every bucket of the tail window, in column bucket; none for an empty table."""
     step = {"day": "interval 1 day", "week": "interval 7 days", "month": "interval 1 month"}[granularity]
-    edge = bounds(df, column).filter("hi IS NOT NULL")
-    first = bucket(F.col("hi") - F.expr(f"interval {checked_days(days)} days"), granularity)
-    return edge.select(F.explode(F.sequence(first, bucket(F.col("hi"), granularity), F.expr(step))).alias("bucket"))
+    end = newest(df, column) if end is None else end
+    first = bucket(end - F.expr(f"interval {checked_days(days)} days"), granularity)
+    return df.sparkSession.range(1).select(F.explode(F.sequence(first, bucket(end, granularity), F.expr(step))).alias("bucket"))
 
 
 def pruned(df: DataFrame, start: Column | None, end: Column | None, column: str = "fetch_ts") -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewrack.functions.tokens import matches
-from tidewrack.functions.windows import checked_limit
+from tidewrack.functions.windows import checked_limit, pruned
 
 SPIKE_FACTOR, SPIKE_FLOOR, BASELINE_DAYS = 3.0, 3.0, 7
 
@@ -27,13 +27,17 @@ class Rule:
 def evaluated(df: DataFrame, rules: list[Rule], as_of: Column) -> DataFrame:
     """rule_id, kind, term, count, baseline, required, fired of every rule: counts in [as_of - window, as_of), the baseline over the seven days before."""
     interval = lambda h: F.make_dt_interval(hours=F.lit(int(h)), mins=F.lit(int(h % 1 * 60)))
-    counts = []
+    longest = max(r.window_hours for r in rules)
+    part = pruned(df, as_of - interval(longest) - interval(24 * BASELINE_DAYS), as_of)
+    hits, counts = {}, []
     for k, r in enumerate(rules):
         start = as_of - interval(r.window_hours)
-        hit = matches(r.term)
-        counts.append(F.count_if(hit & (F.col("fetch_ts") >= start) & (F.col("fetch_ts") < as_of)).alias(f"c{k}"))
-        counts.append(F.count_if(hit & (F.col("fetch_ts") >= start - interval(24 * BASELINE_DAYS)) & (F.col("fetch_ts") < start)).alias(f"b{k}"))
-    one = df.agg(*counts)
+        now = (F.col("fetch_ts") >= start) & (F.col("fetch_ts") < as_of)
+        before = (F.col("fetch_ts") >= start - interval(24 * BASELINE_DAYS)) & (F.col("fetch_ts") < start)
+        hits[f"__{k}"] = F.when((now | before) & matches(r.term), now)  # whether a hit is in the window; the time is looked at first
+        counts.append(F.count(F.when(F.col(f"__{k}"), True)).alias(f"c{k}"))
+        counts.append(F.count(F.when(~F.col(f"__{k}"), True)).alias(f"b{k}"))
+    one = part.select(*[c.alias(n) for n, c in hits.items()]).agg(*counts)
     each = F.explode(F.array(*[F.struct(F.lit(r.id).alias("rule_id"), F.lit(r.kind).alias("kind"), F.lit(r.term).alias("term"), F.lit(float(r.threshold)).alias("threshold"), F.col(f"c{k}").alias("count"), (F.col(f"b{k}") / BASELINE_DAYS).alias("baseline")) for k, r in enumerate(rules)]))
     rows = one.select(each.alias("r")).select("r.*")
     spike = F.greatest("threshold", F.when(F.col("baseline") > 0, SPIKE_FACTOR * F.col("baseline")).otherwise(SPIKE_FLOOR))

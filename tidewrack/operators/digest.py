@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewrack.functions.tokens import DIGEST_STOPWORDS, kept_tokens, letter_tokens
+from tidewrack.functions.tokens import DIGEST_STOPWORDS, counted_tokens, is_kept, letter_tokens
 from tidewrack.functions.windows import checked_limit
 from tidewrack.operators.catalog import fold_key, folded
 from tidewrack.operators.sources import named
@@ -39,12 +39,12 @@ def new_domains(df: DataFrame, as_of: Column, days: int = 7) -> DataFrame:
 def digest_terms(df: DataFrame, as_of: Column, days: int = 7, limit: int = 20, chars: int | None = None) -> DataFrame:
     """Letters-only tokens of three and more of title and text (whole texts, unless chars is given)."""
     part = in_window(df, as_of, days).select(F.concat_ws(" ", "title", F.col("text") if chars is None else F.substring("text", 1, chars)).alias("t"))
-    rows = part.select(F.explode(kept_tokens(letter_tokens(F.col("t")), 3, DIGEST_STOPWORDS)).alias("term")).groupBy("term").agg(F.count("*").alias("count"))
+    rows = counted_tokens(part.select(letter_tokens(F.col("t")).alias("tokens")), 3, DIGEST_STOPWORDS)
     return rows.orderBy(F.desc("count"), "term").limit(checked_limit(limit))
 
 
 def title_bigrams(df: DataFrame, as_of: Column, days: int = 7, limit: int = 20) -> DataFrame:
-    part = in_window(df, as_of, days).select(kept_tokens(letter_tokens(F.col("title")), 3, DIGEST_STOPWORDS).alias("w")).filter(F.size("w") > 1)
+    part = in_window(df, as_of, days).select(F.filter(letter_tokens(F.col("title")), lambda t: is_kept(t, 3, DIGEST_STOPWORDS)).alias("w")).filter(F.size("w") > 1)
     pairs = F.explode(F.zip_with(F.slice("w", 1, F.size("w") - 1), F.slice("w", 2, F.size("w") - 1), lambda a, b: F.concat_ws(" ", a, b)))
     return part.select(pairs.alias("term")).groupBy("term").agg(F.count("*").alias("count")).orderBy(F.desc("count"), "term").limit(checked_limit(limit))
 

@@ -14,7 +14,7 @@ from tidewrack.operators.terms import domain_breakdown, language_breakdown
 def topic_matrix(df: DataFrame, terms: list[str], days: int = 30, top_domains: int = 20) -> DataFrame:
     """term, domain, count, domain_total: documents with each term by each of the largest domains, zeros included, in one scan."""
     part = named(tail(df, days), "trim")
-    rows = part.groupBy("domain").agg(F.count("*").alias("domain_total"), *[F.count_if(matches(t)).alias(f"n{k}") for k, t in enumerate(terms)])
+    rows = part.groupBy("domain").agg(F.count("*").alias("domain_total"), *[F.count(F.when(matches(t), True)).alias(f"n{k}") for k, t in enumerate(terms)])
     rows = rows.orderBy(F.desc("domain_total"), "domain").limit(checked_limit(top_domains))
     cells = F.explode(F.array(*[F.struct(F.lit(t).alias("term"), F.col(f"n{k}").alias("count")) for k, t in enumerate(terms)]))
     return rows.select("domain", "domain_total", cells.alias("c")).select("c.term", "domain", "c.count", "domain_total")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidewrack.functions.lexicon import DEFAULT, Lexicon
 from tidewrack.functions.tokens import ascii_tokens, matches
-from tidewrack.functions.windows import bucket, calendar, tail
+from tidewrack.functions.windows import bucket, calendar, newest, tail
 
 
 def _words(words: frozenset[str]) -> Column:
@@ -38,10 +38,11 @@ def scored(df: DataFrame, text: Column | None = None, lexicon: Lexicon = DEFAULT
 
 def sentiment_series(df: DataFrame, term: str, days: int = 14, granularity: str = "day", lexicon: Lexicon = DEFAULT) -> DataFrame:
     """bucket, docs, positive, negative, avg_score over the documents with the term; zeros included."""
-    hits = tail(df, days).filter(matches(term)).select("fetch_ts", "text")
+    end = newest(df)
+    hits = tail(df, days, end=end).filter(matches(term)).select("fetch_ts", "text")
     rows = scored(hits, lexicon=lexicon).groupBy(bucket(F.col("fetch_ts"), granularity).alias("bucket")).agg(F.count("*").alias("docs"), F.count_if(F.col("score") > 0).alias("positive"), F.count_if(F.col("score") < 0).alias("negative"), F.avg("score").alias("avg_score"))
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
-    return calendar(df, days, granularity=granularity).join(rows, "bucket", "left").select("bucket", zero("docs"), zero("positive"), zero("negative"), F.round(F.coalesce("avg_score", F.lit(0.0)), 4).alias("avg_score"))
+    return calendar(df, days, granularity=granularity, end=end).join(rows, "bucket", "left").select("bucket", zero("docs"), zero("positive"), zero("negative"), F.round(F.coalesce("avg_score", F.lit(0.0)), 4).alias("avg_score"))
 
 
 def market_heat(df: DataFrame, term: str, days: int = 30, lexicon: Lexicon = DEFAULT) -> DataFrame:

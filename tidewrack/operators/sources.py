@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from tidewrack.functions.tokens import SOURCE_STOPWORDS, ascii_tokens, kept_tokens, matches
+from tidewrack.functions.tokens import SOURCE_STOPWORDS, ascii_tokens, counted_tokens, matches
 from tidewrack.functions.windows import checked_limit, tail
 from tidewrack.operators.terms import primary_language
 
@@ -104,8 +104,8 @@ def profile_or_fail(df: DataFrame, domain: str, as_of: Column) -> DataFrame:
 
 def domain_terms(df: DataFrame, limit: int = 20) -> DataFrame:
     """Tokens of three characters and more, not all digits, without stopwords; ties by term."""
-    words = df.select(F.explode(kept_tokens(ascii_tokens(F.col("text")), 3, SOURCE_STOPWORDS)).alias("term")).filter(~F.col("term").rlike("^[0-9]+$"))
-    return words.groupBy("term").agg(F.count("*").alias("count")).orderBy(F.desc("count"), "term").limit(checked_limit(limit))
+    counts = counted_tokens(df.select(ascii_tokens(F.col("text")).alias("tokens")), 3, SOURCE_STOPWORDS).filter(~F.col("term").rlike("^[0-9]+$"))
+    return counts.orderBy(F.desc("count"), "term").limit(checked_limit(limit))
 
 
 def story_clusters(df: DataFrame, term: str, days: int = 30) -> DataFrame:

@@ -5,37 +5,38 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewrack.functions.tokens import ANALYTICS_STOPWORDS, ascii_tokens, kept_tokens, matches
-from tidewrack.functions.windows import bucket, calendar, checked_limit, tail
+from tidewrack.functions.tokens import ANALYTICS_STOPWORDS, ascii_tokens, counted_tokens, matches
+from tidewrack.functions.windows import bucket, calendar, checked_limit, newest, tail
 
 
 def term_frequency(df: DataFrame, term: str, days: int = 7, granularity: str = "day", mode: str = "title_text") -> DataFrame:
     """bucket, count: documents with the term in each bucket of the tail window, zeros included."""
-    hits = tail(df, days).filter(matches(term, mode))
+    end = newest(df)
+    hits = tail(df, days, end=end).filter(matches(term, mode))
     counts = hits.groupBy(bucket(F.col("fetch_ts"), granularity).alias("bucket")).agg(F.count("*").alias("n"))
-    return calendar(df, days, granularity=granularity).join(counts, "bucket", "left").select("bucket", F.coalesce("n", F.lit(0)).cast("long").alias("count"))
+    return calendar(df, days, granularity=granularity, end=end).join(counts, "bucket", "left").select("bucket", F.coalesce("n", F.lit(0)).cast("long").alias("count"))
 
 
 def terms_frequency(df: DataFrame, terms: list[str], days: int = 7, granularity: str = "day", mode: str = "title_text") -> DataFrame:
     """term, bucket, count for many terms in one scan: a conditional count for each term, then a row each."""
-    part = tail(df, days)
-    counts = part.groupBy(bucket(F.col("fetch_ts"), granularity).alias("bucket")).agg(*[F.count_if(matches(t, mode)).alias(f"n{k}") for k, t in enumerate(terms)])
+    end = newest(df)
+    part = tail(df, days, end=end)
+    counts = part.groupBy(bucket(F.col("fetch_ts"), granularity).alias("bucket")).agg(*[F.count(F.when(matches(t, mode), True)).alias(f"n{k}") for k, t in enumerate(terms)])
     rows = F.explode(F.array(*[F.struct(F.lit(t).alias("term"), F.coalesce(F.col(f"n{k}"), F.lit(0)).cast("long").alias("count")) for k, t in enumerate(terms)]))
-    return calendar(df, days, granularity=granularity).join(counts, "bucket", "left").select("bucket", rows.alias("r")).select("r.term", "bucket", "r.count")
+    return calendar(df, days, granularity=granularity, end=end).join(counts, "bucket", "left").select("bucket", rows.alias("r")).select("r.term", "bucket", "r.count")
 
 
 def top_terms(df: DataFrame, limit: int = 50, min_count: int = 2, days: int | None = None) -> DataFrame:
     """term, count: occurrences of tokens of two characters and more that are no stopwords, most frequent first."""
     part = tail(df, days) if days else df
-    words = part.select(F.explode(kept_tokens(ascii_tokens(F.col("text")), 2, ANALYTICS_STOPWORDS)).alias("term"))
-    counts = words.groupBy("term").agg(F.count("*").alias("count")).filter(F.col("count") >= min_count)
+    counts = counted_tokens(part.select(ascii_tokens(F.col("text")).alias("tokens")), 2, ANALYTICS_STOPWORDS).filter(F.col("count") >= min_count)
     return counts.orderBy(F.desc("count"), "term").limit(checked_limit(limit))
 
 
 def co_occurring(df: DataFrame, term: str, limit: int = 50, min_count: int = 2) -> DataFrame:
     """Tokens of the texts that have the term, but for the term itself."""
-    words = df.filter(matches(term)).select(F.explode(kept_tokens(ascii_tokens(F.col("text")), 2, ANALYTICS_STOPWORDS)).alias("term")).filter(F.col("term") != term.strip().lower())
-    counts = words.groupBy("term").agg(F.count("*").alias("count")).filter(F.col("count") >= min_count)
+    words = df.filter(matches(term)).select(ascii_tokens(F.col("text")).alias("tokens"))
+    counts = counted_tokens(words, 2, ANALYTICS_STOPWORDS).filter((F.col("count") >= min_count) & (F.col("term") != term.strip().lower()))
     return counts.orderBy(F.desc("count"), "term").limit(checked_limit(limit))
 
 

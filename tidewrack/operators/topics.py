@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewrack.functions.lexicon import DEFAULT, Lexicon
-from tidewrack.functions.tokens import ANALYTICS_STOPWORDS, ascii_tokens, kept_tokens, matches
-from tidewrack.functions.windows import checked_limit, tail
+from tidewrack.functions.tokens import ANALYTICS_STOPWORDS, ascii_tokens, is_kept, matches
+from tidewrack.functions.windows import checked_limit, newest, tail
 from tidewrack.operators.sentiment import scored
 from tidewrack.operators.sources import named, origins, replication_edges
 from tidewrack.operators.terms import terms_frequency
@@ -64,12 +64,13 @@ def lifecycles(df: DataFrame, terms: list[str], days: int = 30) -> DataFrame:
 
 def emerging(df: DataFrame, days: int = 7, limit: int = 20) -> DataFrame:
     """term, count, first_seen, domains_covered: tokens first seen in the window's last three days, three times or more."""
-    part = tail(df, days)
-    rows = part.select(F.to_date("fetch_ts").alias("day"), F.to_date("hi_ts").alias("today"), "domain", F.explode(kept_tokens(ascii_tokens(F.col("text")), 2, ANALYTICS_STOPWORDS)).alias("term"))
-    # counted by document day and domain first, so the distinct count is over few rows
-    small = rows.groupBy("term", "day", "domain", "today").agg(F.count("*").alias("n"))
-    found = small.groupBy("term", "today").agg(F.sum("n").alias("count"), F.min("day").alias("first_seen"), F.countDistinct(F.when(F.col("domain") != "", F.col("domain"))).alias("domains_covered"))
-    found = found.filter((F.col("count") >= FLOOR) & (F.col("first_seen") >= F.date_sub("today", EMERGING_DAYS - 1)))
+    end = newest(df)
+    part = tail(df, days, end=end)
+    rows = part.select(F.to_date("fetch_ts").alias("day"), "domain", F.explode(ascii_tokens(F.col("text"))).alias("term"))
+    # counted by domain first, so the distinct count is over few rows
+    small = rows.groupBy("term", "domain").agg(F.count("*").alias("n"), F.min("day").alias("day")).filter(is_kept(F.col("term"), 2, ANALYTICS_STOPWORDS))
+    found = small.groupBy("term").agg(F.sum("n").alias("count"), F.min("day").alias("first_seen"), F.count(F.when(F.col("domain") != "", True)).alias("domains_covered"))
+    found = found.filter((F.col("count") >= FLOOR) & (F.col("first_seen") >= F.date_sub(F.to_date(end), EMERGING_DAYS - 1)))
     return found.select("term", "count", "first_seen", "domains_covered").orderBy(F.desc("count"), "term").limit(checked_limit(limit))
 
 
