@@ -254,10 +254,29 @@ def test_run_length_index_counts_repeats():
             assert got == [[k for k in range(len(s) - length + 1) if c[s[k : k + length]] > 1] for s in segments]
 
 
-@pytest.mark.parametrize("most_segments", [1, 4096])
+def test_equal_strings_get_equal_longer_anchors():
+    passage = prose(120).encode()
+    raws = [prose(30).encode() + passage[:n] + prose(30).encode() for n in (430, 460, 500, 700, 420)]
+    strings: dict[bytes, set] = {}
+    for raw in raws:
+        for a, place, first, last in rlindex.anchors(raw):
+            rows = [(a, first, last, place - first, raw[first : last + 400])]
+            for width in rlindex.DEPTHS:
+                rows = [r for row in rows for r in rlindex.longer_anchors(*row, width)]
+                covered = [k for _, x, y, _, _ in rows for k in range(x, y + 1)]
+                assert covered == list(range(first, last + 1)) and all(s == raw[x : y + 400] for _, x, y, _, s in rows)
+                for k, x, y, _, _ in rows:
+                    for n in range(x, y + 1):
+                        strings.setdefault((width, raw[n : n + 400]), set()).add(k)
+    assert all(len(keys) == 1 for keys in strings.values())
+
+
+@pytest.mark.parametrize("most_segments", [1, 5, 4096])
 def test_repeats_removed(spark, most_segments):
     shared = prose(150)
-    texts = ODD + [prose(40) + " " + shared + " " + prose(30), shared[10:700] + prose(20), shared[:350], shared + shared, "Und " * 300, "é" * 900]
+    common = prose(100)
+    crowd = [prose(random.randrange(60)) + " " + common[random.randrange(30) : random.randrange(440, 520)] + prose(random.randrange(60)) for _ in range(40)]
+    texts = ODD + crowd + [prose(40) + " " + shared + " " + prose(30), shared[10:700] + prose(20), shared[:350], shared + shared, "Und " * 300, "é" * 900]
     rows = list(enumerate(texts)) + [(None, shared), (3, "word")]
     raw = [(i, (t or "").encode()) for i, t in rows]
     c = Counter(x[k : k + 400] for _, x in raw for k in range(len(x) - 399))

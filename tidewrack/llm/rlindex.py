@@ -13,9 +13,11 @@ indexed together:
   holds for the suffix after it. The larger of the two is the matching statistic of the position against all others;
 * a position whose matching statistic is LENGTH or more begins a repeated string.
 
-Anchors with more different segments than one index takes are settled by counting the hashes of all their strings
-instead, which needs no group to meet in one task. Texts move once, compressed, and are checkpointed with their
-partitioning; later joins bring places to texts, not texts to places.
+No group need be larger than one index: where more different segments share an anchor, each is cut into runs of strings
+that hold the anchor at nearly the same depth, and what all strings of such a run have in common becomes a longer
+anchor. Equal strings get equal longer anchors, so nothing is lost, and only runs that still share too much are cut
+again, down to single strings. Texts move once, compressed, and are checkpointed with their partitioning; later joins
+bring places to texts, not texts to places.
 """
 
 from __future__ import annotations
@@ -36,9 +38,11 @@ LENGTH = 400
 ANCHOR = 32
 #: Texts are hashed in pieces of so many bytes, with an overlap.
 PIECE = 1 << 20
-#: Bytes that one index holds, and different segments of an anchor beyond which strings are counted instead.
+#: Bytes that one index holds, and different segments of an anchor beyond which the anchor is made longer.
 INDEX_BYTES = 1_000_000
 MOST_SEGMENTS = 2_048
+#: Depths of the anchor that the strings of one run have, from cut to cut.
+DEPTHS = (64, 8, 1)
 
 _M = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0xFF51AFD7ED558CCD)]
 _POS_BITS = np.uint64(22)
@@ -79,8 +83,8 @@ def _window_min(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(back[: n - width + 1], ahead[width - 1 : n])
 
 
-def anchors(raw: bytes, length: int = LENGTH, anchor: int = ANCHOR, piece: int = PIECE) -> Iterator[tuple[int, int, int]]:
-    """(hash of the anchor, first start, last start) for each run of strings with one anchor.
+def anchors(raw: bytes, length: int = LENGTH, anchor: int = ANCHOR, piece: int = PIECE) -> Iterator[tuple[int, int, int, int]]:
+    """(hash of the anchor, its place, first start, last start) for each run of strings with one anchor.
 
     The anchor of a string is the leftmost place of the least hash of `anchor` bytes in it, so it depends on the
     string alone. anchor must be a multiple of 8.
@@ -94,8 +98,8 @@ def anchors(raw: bytes, length: int = LENGTH, anchor: int = ANCHOR, piece: int =
         at = (_window_min(packed, length - anchor + 1) & ((np.uint64(1) << _POS_BITS) - np.uint64(1))).astype(np.int64)
         starts = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
         ends = np.append(starts[1:], len(at)) - 1
-        for a, x, y in zip(h[at[starts]].view(np.int64).tolist(), starts.tolist(), ends.tolist()):
-            yield a, begin + x, begin + y
+        for a, p, x, y in zip(h[at[starts]].view(np.int64).tolist(), at[starts].tolist(), starts.tolist(), ends.tolist()):
+            yield a, begin + p, begin + x, begin + y
 
 
 def suffix_order(text: np.ndarray, packed: np.ndarray | None = None, left: np.ndarray | None = None) -> np.ndarray:
@@ -155,8 +159,6 @@ class RunLengthIndex:
         bwt = text[order - 1]  # the byte before each suffix, cyclically
         heads = np.concatenate([[True], bwt[1:] != bwt[:-1]])
         self.run_heads = np.flatnonzero(heads)
-        self.run_symbols = bwt[self.run_heads]
-        self.run_lengths = np.diff(np.append(self.run_heads, len(bwt)))
         ends = np.append(self.run_heads[1:], len(bwt)) - 1
         before = order[np.maximum(self.run_heads - 1, 0)]
         after = order[np.minimum(ends + 1, len(order) - 1)]
@@ -249,26 +251,35 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("rid"), batch.column("doc_id"), pa.array(z, pa.binary())], names=["rid", "doc_id", "z"])
 
 
+def _hash(raw: bytes, seed: int = 0) -> int:
+    return xxhash.xxh3_64_intdigest(raw, seed) - (1 << 63)
+
+
 def _anchor_rows(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         expand = zstandard.ZstdDecompressor()
-        names = ["anchor", "content", "rid", "start", "last"]
+        names = ["anchor", "content", "rid", "start", "last", "deep"]
         for batch in batches:
-            out: list[list] = [[], [], [], [], []]
+            out: list[list] = [[] for _ in names]
             for rid, z in zip(batch.column("rid").to_pylist(), batch.column("z").to_pylist()):
                 raw = expand.decompress(z)
-                for a, x, y in anchors(raw, length):
-                    for column, value in zip(out, (a, xxhash.xxh3_64_intdigest(raw[x : y + length]) - (1 << 63), rid, x, y)):
+                for a, p, x, y in anchors(raw, length):
+                    for column, value in zip(out, (a, _hash(raw[x : y + length]), rid, x, y, p - x)):
                         column.append(value)
                 if len(out[0]) > 200_000:
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names=names)
-                    out = [[], [], [], [], []]
+                    out = [[] for _ in names]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names=names)
 
     return run
 
 
-_SEGMENT = "anchor long, single boolean, rid long, start long, segment binary"
+_SEGMENT = pa.schema([("anchor", pa.int64()), ("single", pa.bool_()), ("rid", pa.int64()), ("start", pa.int64()), ("last", pa.int64()), ("deep", pa.int64()), ("segment", pa.binary())])
+_SEGMENT_COLUMNS = "anchor long, single boolean, rid long, start long, last long, deep long, segment binary"
+
+
+def _segment_batch(rows: list[tuple], schema: pa.Schema = _SEGMENT) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
 
 def _segments(length: int):
@@ -279,10 +290,41 @@ def _segments(length: int):
             out = []
             for rid, z, wanted in zip(*[batch.column(k).to_pylist() for k in ("rid", "z", "wanted")]):
                 raw = expand.decompress(z)
-                out += [(w["anchor"], w["single"], rid, w["start"], raw[w["start"] : w["last"] + length]) for w in wanted]
+                out += [(w["anchor"], w["single"], rid, w["start"], w["last"], w["deep"], raw[w["start"] : w["last"] + length]) for w in wanted]
             if out:
-                types = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*out), types)], names=["anchor", "single", "rid", "start", "segment"])
+                yield _segment_batch(out)
+
+    return run
+
+
+def longer_anchors(anchor: int, start: int, last: int, deep: int, segment: bytes, width: int, length: int = LENGTH, part: int = ANCHOR) -> Iterator[tuple[int, int, int, int, bytes]]:
+    """A segment cut into runs of strings that hold the anchor at depths of one range of `width`: (longer anchor, start, last, deep, segment) of each.
+
+    deep is how far behind the start of the first string the anchor lies. The longer anchor is a hash of the old one, the
+    range, and the bytes that every string with the anchor at such a depth has.
+    """
+    first = start
+    while first <= last:
+        depth = deep - (first - start)
+        shallow = depth // width * width  # the range: shallow to shallow + width - 1, as far as strings go
+        end = min(last, first + depth - shallow)
+        widest = min(shallow + width - 1, length - part)
+        common = segment[deep - shallow : deep - widest + length]
+        yield _hash(common, (anchor * 0x9E3779B97F4A7C15 + shallow) % (1 << 64)), first, end, depth, segment[first - start : end - start + length]
+        first = end + 1
+
+
+_CUT = pa.schema([("content", pa.int64()), *_SEGMENT])
+
+
+def _longer(length: int, width: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for a, single, rid, start, last, deep, segment in zip(*[batch.column(f.name).to_pylist() for f in _SEGMENT]):
+                out += [(_hash(s, 1), k, single, rid, x, y, d, s) for k, x, y, d, s in longer_anchors(a, start, last, deep, segment, width, length)]
+            if out:
+                yield _segment_batch(out, _CUT)
 
     return run
 
@@ -344,17 +386,6 @@ def _index_places(length: int, index_bytes: int):
     return run
 
 
-def _string_hashes(length: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for anchor, single, rid, start, segment in zip(*[batch.column(k).to_pylist() for k in ("anchor", "single", "rid", "start", "segment")]):
-                n = len(segment) - length + 1
-                first = [xxhash.xxh3_128_digest(segment[k : k + length]) for k in range(n)]
-                yield pa.RecordBatch.from_arrays([pa.array(first, pa.binary()), pa.array([single] * n, pa.bool_()), pa.array([rid] * n, pa.int64()), pa.array(range(start, start + n), pa.int64())], names=["string", "single", "rid", "start"])
-
-    return run
-
-
 def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     expand = zstandard.ZstdDecompressor()
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "spans"]
@@ -379,11 +410,12 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*out), types)], names=names)
 
 
-def repeats_removed(docs: DataFrame, length: int = LENGTH, index_bytes: int = INDEX_BYTES, most_segments: int = MOST_SEGMENTS) -> DataFrame:
+def repeats_removed(docs: DataFrame, length: int = LENGTH, index_bytes: int = INDEX_BYTES, most_segments: int = MOST_SEGMENTS, depths: tuple[int, ...] = DEPTHS) -> DataFrame:
     """docs: doc_id, text. One row each: doc_id, n_bytes, n_removed, n_spans, kept_sha256, and what is kept and the removed spans.
 
     A null text counts as empty, a text shorter than length loses nothing; repeated rows and ids are texts of their own, so
     long equal texts vanish entirely. Other columns are ignored. docs may be read in any order: rows are numbered once.
+    Of depths each must divide the one before, and the last must be 1, where all that share an anchor are equal.
     """
     spark = docs.sparkSession
     parts = shuffle_partitions(spark)
@@ -400,26 +432,42 @@ def repeats_removed(docs: DataFrame, length: int = LENGTH, index_bytes: int = IN
         release(spark)
         return spark.read.parquet(folders[name])
 
-    found = table(texts.mapInArrow(_anchor_rows(length), "anchor long, content long, rid long, start long, last long"), "anchors")
-    shared = found.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor")
+    found = table(texts.mapInArrow(_anchor_rows(length), "anchor long, content long, rid long, start long, last long, deep long"), "anchors")
+    shared = table(found.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor"), "repeated-anchors")
     near = table(found.join(shared, "anchor", "left_semi"), "shared-anchors")
     remove(spark, folders["anchors"])
-    contents = near.groupBy("anchor", "content").agg(F.count("*").alias("m"), F.first("rid").alias("rid"), F.first("start").alias("start"), F.first("last").alias("last"))
-    contents = table(contents, "contents")
-    kinds = contents.groupBy("anchor").agg(F.count("*").alias("kinds")).filter("kinds > 1")
-    whole = near.join(contents.filter("m > 1").select("anchor", "content"), ["anchor", "content"], "left_semi").select("rid", "start", (F.col("last") + length).alias("stop"))
-    mixed = table(contents.join(kinds, "anchor").select("rid", "anchor", (F.col("m") == 1).alias("single"), "start", "last", (F.col("kinds") > most_segments).alias("large")), "segments")
+    remove(spark, folders["repeated-anchors"])
+    numbers = [F.first(c).alias(c) for c in ("rid", "start", "last", "deep")]
+    contents = table(near.groupBy("anchor", "content").agg(F.count("*").alias("m"), *numbers), "contents")
+    kinds = table(contents.groupBy("anchor").agg(F.count("*").alias("kinds")).filter("kinds > 1"), "kinds")
+    stop = (F.col("last") + length).alias("stop")
+    whole = near.join(contents.filter("m > 1").select("anchor", "content"), ["anchor", "content"], "left_semi").select("rid", "start", stop)
+    mixed = table(contents.join(kinds, "anchor").select("anchor", (F.col("m") == 1).alias("single"), "rid", "start", "last", "deep", (F.col("kinds") > most_segments).alias("large")), "segments")
 
     def segments(part: DataFrame) -> DataFrame:
-        wanted = part.groupBy("rid").agg(F.collect_list(F.struct("anchor", "single", "start", "last")).alias("wanted"))
-        return texts.join(wanted, "rid").select("rid", "z", "wanted").mapInArrow(_segments(length), _SEGMENT)
-
-    met = segments(mixed.filter("NOT large")).repartition(parts, "anchor").sortWithinPartitions("anchor", "rid", "start")
+        wanted = part.groupBy("rid").agg(F.collect_list(F.struct("anchor", "single", "start", "last", "deep")).alias("wanted"))
+        return texts.join(wanted, "rid").select("rid", "z", "wanted").mapInArrow(_segments(length), _SEGMENT_COLUMNS)
+
+    indexed = segments(mixed.filter("NOT large"))
+    large = mixed.filter("large")
+    large = None if large.isEmpty() else table(segments(large), "large-0")
+    for width in depths:
+        if large is None:
+            break
+        runs = table(large.mapInArrow(_longer(length, width), "content long, " + _SEGMENT_COLUMNS), f"runs-{width}")
+        contents = table(runs.groupBy("anchor", "content").agg(F.count("*").alias("m"), F.min(F.struct("rid", "start")).alias("head")), f"run-contents-{width}")
+        kinds = table(contents.groupBy("anchor").agg(F.count("*").alias("kinds")), f"run-kinds-{width}")
+        known = table(runs.join(contents.join(kinds, "anchor"), ["anchor", "content"]), f"known-runs-{width}")
+        whole = whole.union(known.filter("single AND m > 1").select("rid", "start", stop))
+        # of each content one run stays; it is no longer to be judged where the content has been found to repeat
+        left = known.filter("kinds > 1 AND struct(rid, start) = head").withColumn("single", F.col("single") & (F.col("m") == 1))
+        indexed = indexed.union(left.filter(F.col("kinds") <= most_segments).select(*_SEGMENT.names))
+        large = left.filter(F.col("kinds") > most_segments).select(*_SEGMENT.names)
+        large = None if large.isEmpty() else large
+    met = indexed.select("anchor", "single", "rid", "start", "segment").repartition(parts, "anchor").sortWithinPartitions("anchor", "rid", "start")
     places = table(whole.union(met.mapInArrow(_index_places(length, index_bytes), "rid long, start long, stop long")), "places")
-    remove(spark, folders["shared-anchors"])
-    remove(spark, folders["contents"])
-    strings = segments(mixed.filter("large")).mapInArrow(_string_hashes(length), "string binary, single boolean, rid long, start long")
-    common = strings.groupBy("string").agg(F.count("*").alias("n")).filter("n > 1").select("string")
-    counted = strings.filter("single").join(common, "string", "left_semi").select("rid", "start", (F.col("start") + length).alias("stop"))
-    places = places.union(counted).groupBy("rid").agg(F.collect_list(F.struct("start", "stop")).alias("places"))
+    for name in folders:
+        if name != "places":
+            remove(spark, folders[name])
+    places = places.groupBy("rid").agg(F.collect_list(F.struct("start", "stop")).alias("places"))
     return texts.join(places, "rid", "left").select("doc_id", "z", "places").mapInArrow(_remove, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, spans array<array<long>>")
