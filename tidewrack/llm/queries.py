@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tidewrack.llm import bpe, classifier, host_rules, mixing, packing, rlindex, secrets, simhash, spotsigs, warc
 from tidewrack.llm.common import table
@@ -31,7 +32,8 @@ def op5_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rlindex.repeats_removed(table(spark, sf_dir, "documents")).drop("kept", "spans")
+    removed = rlindex.repeats_removed(table(spark, sf_dir, "documents"))
+    return removed.withColumn("kept", F.make_valid_utf8(F.col("kept").cast("string")))
 
 
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
