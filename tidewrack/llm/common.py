@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 import gc
-import os
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewrack.session import importable
+from tidewrack.session import cut, importable, shared_dir
+
+__all__ = ["SPACE_CLASS", "WORD_PATTERN", "cut", "join_by_hot_keys", "release", "remove", "shared_dir", "shared_subdir", "shuffle_partitions", "table", "text_or_empty"]
 
 #: Characters that separate words: space and U+0009 to U+000D.
 SPACE_CLASS = r"\x20\x09-\x0D"
@@ -25,30 +25,10 @@ def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        current = spark.sparkContext._jsc.sc().getCheckpointDir()
-        path = current.get() if current.isDefined() else None
-    if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="tidewrack-checkpoints-")
-        spark.sparkContext.setCheckpointDir(path)
-    elif not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(path)
-    return path if "://" in path or path.startswith("file:") else "file://" + os.path.abspath(path)
-
-
 def shared_subdir(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Writes df to the shared checkpoint folder and reads it from there: computed once, and safe from lost executors."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def release(spark: SparkSession) -> None:
     """Lets Spark delete the shuffle files of results that have been cut: it does so when the driver's garbage is collected."""
     gc.collect()
@@ -63,3 +43,18 @@ def remove(spark: SparkSession, folder: str) -> None:
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
+
+
+#: A key with more than one in so many rows is hot; there are fewer such keys than this, so what they are joined with can be broadcast.
+HOT_SHARE = 500
+
+
+def join_by_hot_keys(rows: DataFrame, keyed: DataFrame, key: str, weight: str = "n") -> DataFrame:
+    """rows joined with keyed, which has one row a key (not null) and in `weight` the number of rows of that key. Both are tables that have been cut.
+
+    The rows of hot keys meet a broadcast of at most HOT_SHARE rows and stay where they are; all others are shuffled by key.
+    """
+    total = keyed.agg(F.sum(weight)).first()[0] or 0
+    hot = keyed.filter(F.col(weight) * HOT_SHARE > total)
+    names = F.broadcast(hot.select(key))
+    return rows.join(F.broadcast(hot), key).unionByName(rows.join(names, key, "left_anti").join(keyed.filter(F.col(weight) * HOT_SHARE <= total), key))

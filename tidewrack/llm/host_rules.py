@@ -3,7 +3,8 @@
 Each text is measured inside its own row (array functions, no explosion of words). Failures of the rules are summed by
 host; a host's failure rate is shrunk towards all hosts' by a beta prior fitted to the hosts by moments, so a host with
 few documents is not judged by them alone; hosts whose shrunk rate is above a limit are rejected, and that verdict is
-joined back to the documents. One row a host is all that is shuffled besides the numbers of each document.
+joined back to the documents: those of hosts with a large share of all rows by broadcast, as there are few such hosts,
+the others by shuffle. One row a host is all that is shuffled besides the numbers of each document.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewrack.llm.common import SPACE_CLASS, WORD_PATTERN, cut, text_or_empty
+from tidewrack.llm.common import SPACE_CLASS, WORD_PATTERN, cut, join_by_hot_keys, text_or_empty
 
 MIN_WORDS = 50
 REPEAT_PERCENT = 50
@@ -24,7 +25,7 @@ PRIOR_LEAST, PRIOR_MOST = 2.0, 1000.0
 
 
 def _repeat_words(words: Column, grams: Column) -> Column:
-    """Words inside a window of three that is found twice or more: grams has a hash of each window, in order.
+    """What words inside a window of three that is found twice or more are counted from: grams has a hash of each window, in order.
 
     Hashes and places are packed into longs and sorted as such; equal windows are then neighbours.
     """
@@ -89,8 +90,7 @@ def host_filtered(docs: DataFrame, limit: float = HOST_LIMIT) -> DataFrame:
     """
     rows = cut(measured(docs).withColumn("host", F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit(""))).drop("source"))
     hosts = rows.groupBy("host").agg(F.count("*").alias("n"), F.sum(F.col("failed").cast("long")).alias("f"))
-    judged = host_verdicts(hosts, limit)
-    out = rows.join(judged, "host")
+    out = join_by_hot_keys(rows, cut(host_verdicts(hosts, limit)), "host")
     kept = ~F.col("base_failed") & F.col("good")
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), F.col("n").alias("host_docs"), F.col("f").alias("host_failed"))
 
