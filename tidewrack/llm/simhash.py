@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from tidewrack.llm.common import cut, shared_subdir, shuffle_partitions, text_or_empty
+from tidewrack.llm.common import cut, join_by_hot_keys, shared_subdir, shuffle_partitions, text_or_empty
 from tidewrack.llm.components import connected_components
 
 WORDS = 4
@@ -190,12 +190,12 @@ def near_duplicate_classes(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     roots = connected_components(fingerprint_links(nodes.select("fp"), radius))
     rooted = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     rooted = cut(rooted)
-    labels = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    return rooted.join(labels, "root").select("fp", "component_id")
+    labels = cut(rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("n")))
+    return join_by_hot_keys(rooted, labels, "root").select("fp", "component_id")
 
 
 def simhash_components(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """One row per document of (doc_id, text): doc_id, fingerprint (16 hex digits), component_id, n_component.
+    """One row per document of (doc_id, text): doc_id, fingerprint (16 hex digits), component_id.
 
     A null text counts as empty. Texts without words have fingerprint zero and are linked like any other.
     Repeated rows are all returned. Columns beyond doc_id and text are ignored.
@@ -209,16 +209,16 @@ def keep_one_of_each(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """The rows of docs without all but one of each group of near-duplicates: that with the least doc_id, nulls last.
 
     Of repeated rows one stays. docs may be read in any order: rows are numbered and fingerprinted once, in a table in the
-    shared folder that both the decisions and the result are read from. Its columns are returned as they are.
+    shared folder that both the decisions and the result are read from; each row is one column there, so its own columns
+    may have any names, and are returned as they are.
     """
     spark = docs.sparkSession
     folder = shared_subdir(spark, "numbered")
-    docs.withColumns({"__row": F.monotonically_increasing_id(), "__fp": fingerprint_column("text")}).write.parquet(folder)
+    docs.select(F.struct(*docs.columns).alias("doc"), F.monotonically_increasing_id().alias("row"), fingerprint_column("text").alias("fp")).write.parquet(folder)
     placed = spark.read.parquet(folder)
-    fps = placed.select("__row", "doc_id", F.col("__fp").alias("fp"))
-    nodes = fps.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "__row")).alias("first"))
+    nodes = placed.groupBy("fp").agg(F.min(F.struct(F.col("doc.doc_id").isNull().alias("missing"), F.col("doc.doc_id").alias("doc_id"), "row")).alias("first"))
     nodes = cut(nodes)
     roots = connected_components(fingerprint_links(nodes.select("fp"), radius))
     rooted = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("first", F.coalesce("root", "fp").alias("root"))
-    kept = cut(rooted.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.__row").alias("__row")))
-    return placed.join(kept, "__row", "left_semi").select(*docs.columns)
+    kept = cut(rooted.groupBy("root").agg(F.min("first").alias("first")).select("first.row"))
+    return placed.join(kept, "row", "left_semi").select("doc.*")
