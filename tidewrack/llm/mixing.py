@@ -1,9 +1,10 @@
 """Mixing sources to target weights, with DataFrame operations only.
 
 Documents get a hash-random key. Within each source they are ordered by that key over range buckets: sums by bucket
-are made first (combined before the shuffle), a running sum over the few bucket sums gives each bucket its offset, and
-a running sum inside the bucket gives each document its place. A source is cut into as many buckets as its rows need,
-and the order does not depend on their number. The budget of a source is cut exactly: whole epochs, then a prefix.
+are made first (combined before the shuffle), running sums over the bucket sums, and over groups of buckets, give each
+bucket its offset, and a running sum inside the bucket gives each document its place. A source is cut into as many
+buckets as its rows need, and the order does not depend on their number. The budget of a source is cut exactly: whole
+epochs, then a prefix.
 """
 
 from __future__ import annotations
@@ -11,58 +12,56 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewrack.llm.common import WORD_PATTERN, cut
+from tidewrack.llm.common import WORD_PATTERN, cut, shared_subdir, shuffle_partitions
 
 WEIGHTS = (5, 2, 1)
 MAX_EPOCHS = 3
 SEED = "mix-1"
 #: Mean rows that a range bucket of the largest source holds at most.
-BUCKET_ROWS = 4_096
+BUCKET_ROWS = 1_024
 
 
 def word_count(name: str = "text") -> Column:
     return F.coalesce(F.regexp_count(F.col(name), F.lit(WORD_PATTERN)), F.lit(0)).cast("long")
 
 
-def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MAX_EPOCHS) -> DataFrame:
-    """sizes: (source, source_size), a row a source. Adds target: shares of the total by weight, none above `most` times its size.
-
-    Sources in code-point order, null last, weigh as weights repeat. With the limits c = most * size, the targets are
-    min(c, level * weight) for the one level that spends the total; as sources reach their limit in the order of
-    c / weight, the level follows from running sums in that order.
-    """
-    place = Window.orderBy(F.col("source").asc_nulls_last())
-    weight = F.element_at(F.array(*[F.lit(w) for w in weights]), ((F.row_number().over(place) - 1) % len(weights) + 1).cast("int")).cast("long")
-    rows = sizes.withColumn("weight", weight).withColumn("cap", F.col("source_size") * most)
-    order = Window.orderBy((F.col("cap") / F.col("weight")).asc(), F.col("source").asc_nulls_last())
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    rows = (
-        rows.withColumn("total", F.sum("source_size").over(Window.partitionBy()))
-        .withColumn("all_weight", F.sum("weight").over(Window.partitionBy()))
-        .withColumn("left_words", F.col("total") - F.coalesce(F.sum("cap").over(before), F.lit(0)))
-        .withColumn("left_weight", F.col("all_weight") - F.coalesce(F.sum("weight").over(before), F.lit(0)))
-    )
-    # a source is at its limit if, with all before it at theirs, its share of the rest reaches the limit
-    rows = rows.withColumn("full", F.col("cap") * F.col("left_weight") <= F.col("left_words") * F.col("weight"))
-    first = F.min(F.when(~F.col("full"), F.struct(F.col("cap") / F.col("weight"), F.col("source").isNull(), "source", "left_words", "left_weight"))).over(Window.partitionBy())
-    rows = rows.withColumn("level", first)
-    share = F.col("weight") * F.col("level.left_words") / F.col("level.left_weight")
-    return rows.select("source", "source_size", "weight", F.when(F.col("full"), F.col("cap").cast("double")).otherwise(share).alias("target"))
-
-
-def _keyed(docs: DataFrame, seed: str) -> DataFrame:
-    key = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).cast("binary"))
-    return docs.select(*[c for c in docs.columns if c == "__row"], "doc_id", "source", word_count("text").alias("size"), key.alias("key"), F.xxhash64("text").alias("tie"))
+def _placed(sizes: DataFrame) -> DataFrame:
+    """Adds place: the number, from 0, of each source in code-point order, null last. Sources are cut into ranges; only a row a range is summed in one task."""
+    order = F.col("source").asc_nulls_last()
+    ranged = cut(sizes.repartitionByRange(shuffle_partitions(sizes.sparkSession), order).withColumn("range", F.spark_partition_id()))
+    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    counts = ranged.groupBy("range").agg(F.count("*").alias("c")).select("range", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("before"))
+    inside = F.row_number().over(Window.partitionBy("range").orderBy(order)) - 1
+    return ranged.withColumn("inside", inside).join(F.broadcast(counts), "range").select("source", "source_size", (F.col("inside") + F.col("before")).alias("place"))
 
 
-def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MAX_EPOCHS, seed: str = SEED, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """docs: doc_id, source, text (and __row, kept). Returns doc_id, size, source_size, target, taken.
+def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MAX_EPOCHS) -> DataFrame:
+    """sizes: (source, source_size), a row a source. Adds target: shares of the total by weight, none above `most` times its size.
 
-    taken counts the words that the mix takes of a document: size for each whole epoch of its source, and in the last,
-    partial epoch all, some (one document a source, at the cut) or none. The sum over a source is its target, rounded.
-    A null text has size 0; a null source is a source; null or repeated ids are ordered by a hash of the text.
+    Sources in code-point order, null last, weigh as weights repeat. Sources whose share reaches their limit stop there, and
+    what is left is shared by weight again until none is above; each time takes two sums over the sources.
     """
-    sized = cut(_keyed(docs, seed))
+    weight = F.element_at(F.array(*[F.lit(w) for w in weights]), (F.col("place") % len(weights) + 1).cast("int")).cast("long")
+    rows = cut(_placed(sizes).select("source", "source_size", weight.alias("weight"), (F.col("source_size") * most).alias("cap")))
+    total, all_weight = [x or 0 for x in rows.agg(F.sum("source_size"), F.sum("weight")).first()]
+    words, share = total, all_weight
+
+    def full() -> Column:
+        return F.col("cap") * F.lit(share) <= F.lit(words) * F.col("weight")
+
+    while share:
+        capped, spent = [x or 0 for x in rows.filter(full()).agg(F.sum("cap"), F.sum("weight")).first()]
+        if (total - capped, all_weight - spent) == (words, share):
+            break
+        words, share = total - capped, all_weight - spent
+    target = F.when(full(), F.col("cap").cast("double")).otherwise(F.col("weight") * F.lit(words) / F.lit(share)) if share else F.col("cap").cast("double")
+    return rows.select("source", "source_size", "weight", target.alias("target"))
+
+
+def _mixed(docs: DataFrame, carried: tuple[str, ...], weights: tuple[int, ...], most: int, seed: str, bucket_rows: int) -> DataFrame:
+    named = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("null:"), F.xxhash64("text").cast("string")))
+    key = F.md5(F.concat(F.lit(seed + ":"), named).cast("binary"))
+    sized = cut(docs.select(*carried, "doc_id", "source", word_count("text").alias("size"), key.alias("key"), F.xxhash64("text").alias("tie")))
     by_source = cut(sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n")))
     name = F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("")).alias("source_key")
     targets = source_targets(by_source.select("source", "source_size"), weights, most).select(name, "source_size", "target")
@@ -72,8 +71,14 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MAX_E
         digits += 1
     bucketed = sized.withColumn("source_key", name).withColumn("bucket", F.substring("key", 1, digits))
     sums = bucketed.groupBy("source_key", "bucket").agg(F.sum("size").alias("words"))
-    running = Window.partitionBy("source_key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sums.select("source_key", "bucket", F.coalesce(F.sum("words").over(running), F.lit(0)).alias("offset")).join(targets, "source_key")
+    # buckets are summed within groups of buckets, and groups within the source, so that neither sum is long
+    sums = cut(sums.withColumn("group", F.substring("bucket", 1, digits // 2)))
+    earlier = Window.orderBy("group").rowsBetween(Window.unboundedPreceding, -1)
+    groups = sums.groupBy("source_key", "group").agg(F.sum("words").alias("words"))
+    groups = groups.select("source_key", "group", F.coalesce(F.sum("words").over(earlier.partitionBy("source_key")), F.lit(0)).alias("base"))
+    running = Window.partitionBy("source_key", "group").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sums.withColumn("within", F.coalesce(F.sum("words").over(running), F.lit(0))).join(groups, ["source_key", "group"]).join(targets, "source_key")
+    offsets = offsets.select("source_key", "bucket", "source_size", "target", (F.col("base") + F.col("within")).alias("offset"))
     inside = Window.partitionBy("source_key", "bucket").orderBy("key", "tie", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     # all that a row needs comes with its bucket, so the rows are dealt by source and bucket once, never by source alone
     placed = bucketed.withColumn("upto", F.sum("size").over(inside)).join(offsets, ["source_key", "bucket"])
@@ -83,18 +88,34 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MAX_E
     start = F.col("offset") + F.col("upto") - F.col("size")
     partial = F.greatest(F.lit(0), F.least(F.col("size"), rest - start))
     taken = (epochs * F.col("size") + partial).cast("long")
-    return placed.select(*[c for c in docs.columns if c == "__row"], "doc_id", "size", "source_size", "target", taken.alias("taken"))
+    return placed.select(*carried, "doc_id", "size", "source_size", "target", taken.alias("taken"))
+
+
+def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MAX_EPOCHS, seed: str = SEED, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """docs: doc_id, source, text. Returns doc_id, size, source_size, target, taken for each row.
+
+    taken counts the words that the mix takes of a document: size for each whole epoch of its source, and in the last,
+    partial epoch all, some (one document a source, at the cut) or none. The sum over a source is its target, rounded.
+    A null text has size 0; a null source is a source; rows with null ids have a key by their text, repeated ids are ordered
+    by a hash of the text; an empty table gives an empty one. Other columns are ignored.
+    """
+    return _mixed(docs, (), weights, most, seed, bucket_rows)
 
 
-def mix(docs: DataFrame, **options) -> DataFrame:
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MAX_EPOCHS, seed: str = SEED, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """The mix itself: each row of docs as often as its taken words make whole documents, to the nearest; its columns as they are.
 
-    docs must give the same rows in the same order when read again. Rows of size 0 are not taken.
+    Rows of size 0 are not taken. Rows are numbered once, in a table in the shared folder that both the decisions and the
+    result are read from; each row is one column there, so its own columns may have any names.
     """
-    placed = docs.withColumn("__row", F.monotonically_increasing_id())
+    spark = docs.sparkSession
+    folder = shared_subdir(spark, "mixing")
+    docs.select(F.struct(*docs.columns).alias("doc"), F.monotonically_increasing_id().alias("row")).write.parquet(folder)
+    placed = spark.read.parquet(folder)
     copies = F.floor(F.col("taken") / F.greatest(F.col("size"), F.lit(1)) + 0.5).cast("int")
-    taken = mixed(placed.select("__row", "doc_id", "source", "text"), **options).select("__row", copies.alias("__copies")).filter("__copies > 0")
-    return placed.join(taken, "__row").withColumn("__copy", F.explode(F.array_repeat(F.lit(0), F.col("__copies")))).drop("__row", "__copies", "__copy")
+    taken = _mixed(placed.select("row", "doc.doc_id", "doc.source", "doc.text"), ("row",), weights, most, seed, bucket_rows)
+    taken = taken.select("row", copies.alias("copies")).filter("copies > 0")
+    return placed.join(taken, "row").select("doc", F.explode(F.array_repeat(F.lit(0), F.col("copies")))).select("doc.*")
 
 
 #: The same in DuckDB's SQL.
