@@ -30,8 +30,6 @@ EPOCHS = 4
 THRESHOLD = 0.3
 FOLDS = 5
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 1e-5, 1e-4
-#: Words of a training text that are used for one update at most; longer texts give several updates.
-CHUNK_WORDS = 2_000
 KEPT_WORDS = 200_000
 
 _TOKENS = re.compile(r"\w+|[^\w\s]+")
@@ -137,8 +135,8 @@ def _trainer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> np.ndarray:
-    """The weights; only they, of fixed size, reach the driver."""
-    got = training_sample(docs, labels, rows).coalesce(1).mapInArrow(_trainer, "weights binary").first()
+    """The weights; only they, of fixed size, reach the driver. The documents are read by many tasks, the sample goes to one."""
+    got = training_sample(docs, labels, rows).repartition(1).mapInArrow(_trainer, "weights binary").first()
     return np.frombuffer(bytes(got[0]), dtype=np.float32) if got else train([])
 
 
@@ -161,6 +159,5 @@ def classify(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Dat
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
-    """The rows of docs that are predicted to be good, as they are."""
-    names = docs.columns
-    return docs.withColumn("__score", score_column(fit(docs, labels, rows))).filter(F.col("__score") >= THRESHOLD).select(*names)
+    """The rows of docs that are predicted to be good, as they are; repeated rows are judged alike, an empty table stays empty."""
+    return docs.filter(score_column(fit(docs, labels, rows)) >= THRESHOLD)
