@@ -176,10 +176,8 @@ def secret_scan(docs: DataFrame, path: str | None = None) -> DataFrame:
 
 def redact(docs: DataFrame, path: str | None = None) -> DataFrame:
     """docs with every secret in text replaced, n_chars (if there is one) set anew, and null texts left null; all rows and columns stay."""
-    names = docs.columns
-    out = docs.withColumn("__scan", scan_column("text", path, with_text=True))
-    text = F.when(F.col("text").isNotNull(), F.col("__scan.redacted"))
-    out = out.withColumn("text", text)
-    if "n_chars" in names:
-        out = out.withColumn("n_chars", F.when(F.col("__scan.spans") != "", F.length("text").cast(dict(docs.dtypes)["n_chars"])).otherwise(F.col("n_chars")))
-    return out.select(*names)
+    scanned = docs.select(F.struct(*docs.columns).alias("doc"), scan_column("text", path, with_text=True).alias("scan"))
+    new = {"text": F.when(F.col("doc.text").isNotNull(), F.col("scan.redacted"))}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(F.col("scan.spans") != "", F.length("scan.redacted").cast(dict(docs.dtypes)["n_chars"])).otherwise(F.col("doc.n_chars"))
+    return scanned.select(*[new.get(c, F.col("doc").getField(c)).alias(c) for c in docs.columns])
