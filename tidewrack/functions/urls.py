@@ -243,3 +243,23 @@ def is_allowed(robots: str | None, url: str, agent: str = "*") -> bool:
     parser = RobotFileParser()
     parser.parse((robots or "").splitlines())
     return parser.can_fetch(agent, url)
+
+
+def robots_column(robots: Column | str, url: Column | str, agent: str = "*") -> Column:
+    """is_allowed for tables of (robots.txt, URL); each robots.txt of a batch is parsed once."""
+
+    @F.arrow_udf(T.BooleanType())
+    def run(parts: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        from urllib.robotparser import RobotFileParser
+
+        for texts, addresses in parts:
+            parsers: dict[str, RobotFileParser] = {}
+            out = []
+            for text, address in zip(texts.to_pylist(), addresses.to_pylist()):
+                if (text or "") not in parsers:
+                    parsers[text or ""] = RobotFileParser()
+                    parsers[text or ""].parse((text or "").splitlines())
+                out.append(address is not None and parsers[text or ""].can_fetch(agent, address))
+            yield pa.array(out, pa.bool_())
+
+    return run(robots, url)

@@ -8,6 +8,7 @@ from datetime import timedelta
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewrack.functions.lexicon import DEFAULT, Lexicon
 from tidewrack.functions.tokens import ascii_tokens
 from tidewrack.functions.windows import checked_limit
 from tidewrack.operators.sentiment import tweet_class, tweet_score, with_tweet_hits
@@ -67,9 +68,9 @@ def combined(news: DataFrame, messages: DataFrame) -> DataFrame:
     return both.withColumn("verdict", verdict(F.avg("news").over(w), F.avg("other").over(w)))
 
 
-def session_timeline(messages: DataFrame) -> DataFrame:
+def session_timeline(messages: DataFrame, lexicon: Lexicon = DEFAULT) -> DataFrame:
     """messages: created_at, text. bucket, positive, negative, neutral, score (mean)."""
-    hits = with_tweet_hits(messages.select(F.to_date("created_at").alias("bucket"), "text"))
+    hits = with_tweet_hits(messages.select(F.to_date("created_at").alias("bucket"), "text"), lexicon=lexicon)
     rows = hits.select("bucket", tweet_class(F.col("pos"), F.col("neg")).alias("c"), tweet_score(F.col("pos"), F.col("neg")).alias("s"))
     return rows.groupBy("bucket").agg(*[F.count_if(F.col("c") == k).alias(k) for k in ("positive", "negative", "neutral")], F.round(F.avg("s"), 4).alias("score"))
 

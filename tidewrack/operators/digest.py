@@ -100,7 +100,8 @@ def write_csv(df: DataFrame, path: str) -> None:
 
 def write_captures(df: DataFrame, path: str, max_records: int = 5_000_000) -> None:
     """Appends to the day and source partitions; a commit is whole or not at all."""
-    df.withColumn("fetch_day", F.to_date("fetch_ts")).write.mode("append").option("maxRecordsPerFile", max_records).partitionBy("fetch_day", "source_type").parquet(path)
+    rows = df.withColumn("fetch_day", F.to_date("fetch_ts")).hint("rebalance", "fetch_day", "source_type")  # few files a partition, large ones split
+    rows.write.mode("append").option("maxRecordsPerFile", max_records).partitionBy("fetch_day", "source_type").parquet(path)
 
 
 def fold_of(df: DataFrame, unique: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -42,6 +42,41 @@ def orphaned(tasks: DataFrame, as_of: Column, lease_seconds: int, max_retries: i
     return tasks.filter((F.col("status") == "running") & late).withColumn("action", F.when(F.col("attempts") >= max_retries, "dead_letter").otherwise("requeue"))
 
 
+def claimed(tasks: DataFrame, n: int, as_of: Column) -> DataFrame:
+    """The next n pending tasks that are due, as running: oldest first, ties by id. One writer at a time merges them into the table."""
+    due = tasks.filter((F.col("status") == "pending") & (F.coalesce("next_at", as_of) <= as_of))
+    return due.orderBy(F.col("created_at").asc_nulls_first(), "task_id").limit(n).withColumns({"status": F.lit("running"), "started_at": as_of, "attempts": F.col("attempts") + 1})
+
+
+def rearmed(tasks: DataFrame, wanted: DataFrame, reset_attempts: bool = True) -> DataFrame:
+    """Dead tasks that wanted names (task_id), as pending again."""
+    rows = tasks.filter("status = 'dead'").join(wanted.select("task_id").distinct(), "task_id", "left_semi")
+    return rows.withColumns({"status": F.lit("pending"), "attempts": F.lit(0).cast(tasks.schema["attempts"].dataType) if reset_attempts else F.col("attempts")})
+
+
+def planned(requests: DataFrame, partitions: DataFrame) -> DataFrame:
+    """requests: job_id, source, first, last, max_tasks; partitions: source, partition_key, first, last. job_id, partition_key of each request's tasks.
+
+    Partitions whose days meet the request's, earliest first, up to max_tasks (null: all). A request without tasks has one row
+    with a null partition_key and a reason: no_partitions of its source, or outside_window.
+    """
+    p = partitions.select("source", "partition_key", F.col("first").alias("p_first"), F.col("last").alias("p_last"))
+    met = (F.col("p_first") <= F.col("last")) & (F.col("p_last") >= F.col("first"))
+    rows = requests.join(p, "source", "left").withColumn("met", F.coalesce(met, F.lit(False)))
+    place = F.row_number().over(Window.partitionBy("job_id").orderBy(F.desc("met"), "p_first", "partition_key"))
+    rows = rows.withColumn("place", place)
+    tasks = rows.filter(F.col("met") & (F.col("place") <= F.coalesce("max_tasks", F.col("place"))))
+    none = rows.filter((F.col("place") == 1) & ~F.col("met"))
+    reason = F.when(F.col("partition_key").isNull(), "no_partitions").otherwise("outside_window")
+    return tasks.select("job_id", "partition_key", F.lit(None).cast("string").alias("reason")).union(none.select("job_id", F.lit(None).cast("string"), reason))
+
+
+def subpartitioned(tasks: DataFrame, found: DataFrame) -> DataFrame:
+    """found: partition_key, sub_key, as running tasks have discovered them. New pending tasks of the same jobs, each key once and not yet there."""
+    rows = tasks.join(found, "partition_key").select("job_id", F.col("sub_key").alias("partition_key"))
+    return new_tasks(tasks, rows).withColumn("status", F.lit("pending"))
+
+
 def expired(tasks: DataFrame, as_of: Column, days: int) -> DataFrame:
     return tasks.filter(F.col("status").isin("completed", "failed") & (F.col("completed_at") < as_of - F.expr(f"interval {days} days")))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewrack.functions.tokens import matches
@@ -73,6 +73,18 @@ def quality_history(df: DataFrame, days: int = 30, granularity: str = "day") ->
     return rows.select("bucket", zero("total").alias("total"), ratio("dup").alias("duplicate_ratio"), ratio("near").alias("near_duplicate_ratio"), F.round(F.coalesce("avg_length", F.lit(0.0)), 4).alias("avg_length"), zero("new_domains").alias("new_domains"), F.round(zero("total") / span, 4).alias("capture_rate"))
 
 
+def record_snapshot(snapshot: DataFrame, path: str, at: Column) -> None:
+    """Appends a one-row snapshot to a history of JSON lines, with its time."""
+    snapshot.withColumn("recorded_at", at).coalesce(1).write.mode("append").json(path)
+
+
+def recorded_snapshots(spark: SparkSession, path: str, columns: str, since: Column | None = None) -> DataFrame:
+    """The history, oldest first; columns is its schema. Lines that can't be read are passed over."""
+    rows = spark.read.schema(columns + ", recorded_at string").option("mode", "DROPMALFORMED").json(path)
+    rows = rows.withColumn("recorded_at", F.col("recorded_at").try_cast("timestamp_ntz")).filter("recorded_at IS NOT NULL")
+    return (rows if since is None else rows.filter(F.col("recorded_at") >= since)).orderBy("recorded_at")
+
+
 def hash_multiplicity(df: DataFrame, limit: int = 20) -> DataFrame:
     rows = df.filter(_present("content_hash")).groupBy("content_hash").agg(F.count("*").alias("copies")).filter("copies > 1")
     return rows.orderBy(F.desc("copies"), "content_hash").limit(checked_limit(limit))

@@ -30,7 +30,7 @@ def as_of():
 
 
 #: Queries that look at duplicate groups; the others are spared the join that makes them.
-GROUPED = frozenset(
+GROUPED = set(
     """lead_times source_impact replication_map top_replicators domain_rank story_origins publisher_firsts quality_snapshot
     quality_history captures_unique_group related_counts related_captures collapsed_search search_page llm_export""".split()
 )
@@ -162,7 +162,6 @@ SELECT domain, round(0.4 * ln(1 + captures) / ln(1 + mc) + 0.3 * (CASE WHEN hi >
 FROM w ORDER BY score DESC, captures DESC, domain LIMIT 50""",
 )(lambda df: sources.domain_rank(df, as_of()))
 over_captures("freshness", f"SELECT domain, CAST(max(observed_ts) AS DATE) AS last_seen, CAST(greatest(0, floor((epoch(TIMESTAMP '{AS_OF}') - epoch(max(observed_ts))) / 86400)) AS INTEGER) AS days_since_last, count(*) FILTER (WHERE observed_ts >= TIMESTAMP '{AS_OF}' - INTERVAL 7 DAY) AS captures_7d, count(*) FILTER (WHERE observed_ts >= TIMESTAMP '{AS_OF}' - INTERVAL 30 DAY) AS captures_30d FROM captures WHERE domain <> '' GROUP BY domain ORDER BY max(observed_ts) DESC, domain LIMIT 50")(lambda df: sources.freshness(df, as_of()))
-over_captures("domain_profile")(lambda df: sources.domain_profile(df, "src3.example", as_of()))
 over_captures("domain_terms", f", {_words('text', 3, SOURCE_STOPWORDS, 'domain = ' + chr(39) + 'src3.example' + chr(39))} SELECT term, count(*) AS count FROM words WHERE NOT regexp_matches(term, '^[0-9]+$') GROUP BY term ORDER BY count DESC, term LIMIT 20")(lambda df: sources.domain_terms(df.filter("domain = 'src3.example'")))
 _STORY = f""", hits AS (SELECT * FROM captures WHERE {_has(TERM)} AND {_tail(30, 'observed_ts')} AND parent_doc_or_dup_group <> '' AND trim(domain) <> ''),
 firsts AS (SELECT parent_doc_or_dup_group AS g, domain, count(*) AS n, min(observed_ts) AS ts FROM hits GROUP BY 1, 2),
@@ -255,11 +254,9 @@ over_tables("sql_passthrough", f"WITH {CAPTURES_SQL} SELECT domain, count(*) AS
 # ---- text ------------------------------------------------------------------------------------------------------------------
 
 over_captures("language_filter", "SELECT capture_id FROM captures WHERE language = 'es' OR language LIKE 'es-%'")(lambda df: df.filter(texts.language_filter("ES")).select("capture_id"))
-over_captures("topic_filter")(lambda df: df.filter(texts.TopicFilter(("the", "c++")).column()).select("capture_id"))
 over_captures("detected_language")(lambda df: df.select("capture_id", "language", texts.detect_language(F.col("text")).alias("detected")))
 _CLEAN = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\r\n?', chr(10), 'g'), '[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]', '', 'g'), '[ \t]+\n', chr(10), 'g'), '[ \t]{2,}', ' ', 'g'), '\n{3,}', chr(10) || chr(10), 'g')"
 over_captures("basic_clean", rf"SELECT capture_id, md5(regexp_replace({_CLEAN}, '^\s+|\s+$', '', 'g')) AS clean_md5 FROM captures")(lambda df: df.select("capture_id", F.md5(texts.basic_clean(F.col("text"), normalize=False).cast("binary")).alias("clean_md5")))
-over_captures("normalized")(lambda df: texts.normalized(df).select("capture_id", "n_chars", "n_words", "n_lines", "discard"))
 _STRIP = "'^[.,!?;:\"''()\\[\\]]+|[.,!?;:\"''()\\[\\]]+$'"
 over_captures(
     "gate_reasons",
@@ -312,7 +309,6 @@ sc AS (SELECT q.capture_id, fr.idf, 2.0 * tf_title / greatest(1e-4, 1 + 0.3 * (l
 scored AS (SELECT capture_id, sum(idf * tf / (1.2 + tf)) AS score FROM sc GROUP BY 1)"""
 over_captures("bm25_scores", f"{_BM25} SELECT capture_id, round(score, 6) AS score FROM scored")(lambda df: search.bm25f(df, _QUERY).withColumn("score", F.round("score", 6)))
 over_captures("document_frequencies", f"{_POST} SELECT term, count(*) AS df FROM post GROUP BY term")(lambda df: search.document_frequencies(search.postings(df)))
-over_captures("dropped_terms")(lambda df: search.dropped_terms(df, _QUERY, search.postings(df)))
 over_captures("substring_search", "SELECT capture_id FROM captures WHERE title ILIKE '%theand%' OR text ILIKE '%theand%'")(lambda df: search.substring_matches(df, ["theand"]).select("capture_id"))
 over_captures("phrase_search", "SELECT capture_id FROM captures WHERE title ILIKE '%of the%' OR text ILIKE '%of the%'")(lambda df: search.phrase_matches(df, search.phrase_of('"of the"')).select("capture_id"))
 over_captures("facets", "SELECT facet, value, count FROM (SELECT *, row_number() OVER (PARTITION BY facet ORDER BY count DESC, value) AS rn FROM (SELECT 'domain' AS facet, lower(trim(domain)) AS value, count(*) AS count FROM captures GROUP BY 2 UNION ALL SELECT 'source', lower(trim(source_type)), count(*) FROM captures GROUP BY 2 UNION ALL SELECT 'language', split_part(lower(language), '-', 1), count(*) FROM captures GROUP BY 2)) WHERE rn <= 10")(lambda df: search.facets(df))
@@ -340,7 +336,6 @@ over_captures(
     f"{_series(TERM, 30)}, other AS (SELECT CAST(fetch_ts AS DATE) AS bucket, count(*) AS n FROM captures WHERE {_has('der')} AND {_tail(30)} GROUP BY 1), x AS (SELECT row_number() OVER (ORDER BY s.bucket) AS k, s.count AS x, coalesce(o.n, 0) AS y FROM series s LEFT JOIN other o USING (bucket)), l AS (SELECT unnest(generate_series(-3, 3)) AS lag), r AS (SELECT lag, round(corr(a.x, b.y), 4) AS r FROM l CROSS JOIN x a JOIN x b ON b.k = a.k - lag GROUP BY lag) SELECT lag, r, row_number() OVER (ORDER BY abs(r) DESC, abs(lag), lag) = 1 AS best FROM r",
 )(lambda df: crosssource.lagged_correlation(df, TERM, "der"))
 over_tables("session_authors", "SELECT role AS author, count(*) AS count FROM conversations GROUP BY 1 ORDER BY count DESC, author LIMIT 20")(lambda spark, d: crosssource.session_authors(table(spark, d, "conversations"), "role"))
-over_captures("session_timeline")(lambda df: crosssource.session_timeline(df.select(F.col("fetch_ts").alias("created_at"), "text")))
 
 # ---- digests and exports -----------------------------------------------------------------------------------------------------
 
@@ -358,7 +353,6 @@ over_captures("entity_counts")(lambda df: entities.entity_counts(df))
 over_captures("entity_co_occurrence")(lambda df: entities.co_occurrence(df, "The"))
 over_captures("entity_trend", f", c AS (SELECT CAST(fetch_ts AS DATE) AS bucket, count(*) AS n FROM captures WHERE {_has('der')} GROUP BY 1), cal AS (SELECT CAST(unnest(generate_series(a, b, INTERVAL 1 DAY)) AS DATE) AS bucket FROM (SELECT min(bucket) AS a, max(bucket) AS b FROM c)) SELECT cal.bucket, CAST(coalesce(n, 0) AS BIGINT) AS count FROM cal LEFT JOIN c ON c.bucket = cal.bucket")(lambda df: entities.entity_trend(df, "der"))
 over_tables("canonical_urls")(lambda spark, d: urls.with_canonical(table(spark, d, "pages").select("page_id", "url")))
-over_tables("homepages")(lambda spark, d: table(spark, d, "pages").filter(urls.homepage_column("url") | ~urls.public_column("url")).select("page_id", "url"))
 over_tables("html_text")(lambda spark, d: html.html_to_text(table(spark, d, "pages")).select("page_id", "title", "language", F.length("text").alias("n_chars")))
 
 # ---- jobs, queues and metrics over the event tables ---------------------------------------------------------------------------

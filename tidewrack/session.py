@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: For large clusters; sizes are per task, so they hold at any scale.
 SETTINGS = {
@@ -51,7 +53,28 @@ def shared_dir(spark: SparkSession) -> str:
     if not current.isDefined():
         context.setCheckpointDir(path)
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return place.getFileSystem(context._jsc.hadoopConfiguration()).makeQualified(place).toString()
+    said = place.getFileSystem(context._jsc.hadoopConfiguration()).makeQualified(place).toString()
+    return "file://" + said.removeprefix("file:") if said.startswith("file:/") and not said.startswith("file://") else said
+
+
+def shared_subdir(spark: SparkSession, name: str) -> str:
+    """A new folder of that name in the shared folder."""
+    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+#: A table with less than this for each core is dealt out before work on its texts.
+SPREAD_BYTES = 8 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A small table, as it comes from its files, dealt over all cores; larger ones as they are.
+
+    A file is read by row groups, and a small table may be one of them, so that a single core would do all the work on its
+    texts. The rows are dealt by a seeded random number: unlike a round robin, no filter is moved to the scan across it.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(cores, F.rand(1)) if 1 < cores and size < cores * SPREAD_BYTES else df
 
 
 def cut(df: DataFrame) -> DataFrame:

@@ -15,29 +15,26 @@ class FilePartition(InputPartition):
 
 class WarcReader(DataSourceReader):
     def __init__(self, path: str):
-        self.path = path
+        self.path = path if "://" in path else "file://" + path.removeprefix("file:")
 
     def partitions(self) -> list[FilePartition]:
         from pyarrow import fs
 
-        system, base = fs.FileSystem.from_uri(self.path if "://" in self.path else f"file://{self.path}")
+        system, base = fs.FileSystem.from_uri(self.path)
         found = system.get_file_info(fs.FileSelector(base, recursive=True))
         return [FilePartition(x.path) for x in sorted(found, key=lambda x: x.path) if x.is_file and x.path.endswith((".warc", ".warc.gz", ".wet", ".wet.gz"))] or [FilePartition("")]
 
     def read(self, partition: FilePartition) -> Iterator[tuple]:
-        import gzip
-
         from pyarrow import fs
 
-        from tidewrack.sources.web import records_of
+        from tidewrack.sources.web import opened, records_of
 
         if not partition.path:
             return
-        system = fs.FileSystem.from_uri(self.path if "://" in self.path else f"file://{self.path}")[0]
-        with system.open_input_file(partition.path) as f:
-            raw = f.read()
-        for k, (h, body) in enumerate(records_of(gzip.decompress(raw) if raw[:2] == b"\x1f\x8b" else raw)):
-            yield partition.path, k, h.get("warc-type"), h.get("warc-target-uri"), body
+        system = fs.FileSystem.from_uri(self.path)[0]
+        with system.open_input_stream(partition.path, compression=None) as f:
+            for k, (h, body) in enumerate(records_of(opened(f, partition.path))):
+                yield partition.path, k, h.get("warc-type"), h.get("warc-target-uri"), body
 
 
 class WarcDataSource(DataSource):

@@ -5,11 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewrack.session import spread
+
 ANCHOR = "2024-01-01 00:00:00"
 
 
+#: Tables with texts, on which work is by the row.
+TEXTS = ("documents", "pages")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    rows = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return spread(rows) if name in TEXTS else rows
 
 
 def captures(spark: SparkSession, sf_dir: str, groups: bool = True) -> DataFrame:

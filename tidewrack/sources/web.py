@@ -6,10 +6,12 @@ Fetching stays outside Spark; these take what was fetched (files, or tables of b
 from __future__ import annotations
 
 import gzip
+import io
 import json
 import re
 from collections.abc import Iterator
 from datetime import date, datetime, timedelta
+from typing import BinaryIO
 from xml.etree import ElementTree
 
 import pyarrow as pa
@@ -45,50 +47,100 @@ def shard_paths(spark: SparkSession, listing: str, most: int | None = None) -> D
     return rows.select("shard", "path") if most is None else rows.orderBy("shard").limit(most).select("shard", "path")
 
 
+_INDEX_LINE = "url string, timestamp string, filename string, `offset` string, length string, status string, mime string, digest string"
+
+
+def index_records(lines: DataFrame, start: Column, end: Column, most: int = 5_000) -> DataFrame:
+    """lines: crawl, first, last, value (a line of an index reply, as JSON). Byte ranges of the archives to read: crawl, url, fetched, filename, first_byte, last_byte.
+
+    Only successful HTML replies inside both the crawl's window and [start, end] count, each range once; of each crawl the
+    first `most`, by address and time, as one query of the index gives no more.
+    """
+    rows = lines.select("crawl", "first", "last", F.from_json("value", _INDEX_LINE).alias("r")).select("crawl", "first", "last", "r.*")
+    rows = rows.withColumn("fetched", F.try_to_timestamp("timestamp", F.lit("yyyyMMddHHmmss"))).withColumns({"first_byte": F.expr("try_cast(`offset` AS bigint)"), "size": F.expr("try_cast(length AS bigint)")})
+    day = F.to_date("fetched")
+    rows = rows.filter((F.col("status") == "200") & F.coalesce(F.col("mime").contains("html"), F.lit(True)) & day.between(F.col("first"), F.col("last")) & day.between(start, end) & F.col("first_byte").isNotNull() & (F.col("size") > 0))
+    rows = rows.dropDuplicates(["crawl", "filename", "first_byte"])
+    place = F.row_number().over(Window.partitionBy("crawl").orderBy("url", "fetched", "filename", "first_byte"))
+    return rows.withColumn("place", place).filter(F.col("place") <= most).select("crawl", "url", "fetched", "filename", "first_byte", (F.col("first_byte") + F.col("size") - 1).alias("last_byte"))
+
+
+def index_pages(matches: int, page: int = 100, most: int = 5_000) -> list[tuple[int, int]]:
+    """(page, limit) of the queries that fetch so many matches of an index."""
+    left = max(0, min(matches, most))
+    return [(k, min(page, left - k * page)) for k in range(-(-left // page))]
+
+
 # ---- WARC and WET --------------------------------------------------------------------------------------------------------
 
 _RECORD = T.StructType([T.StructField(n, T.StringType()) for n in ("path", "record_type", "record_id", "url", "record_date", "content_type")] + [T.StructField("ordinal", T.LongType()), T.StructField("payload", T.BinaryType())])
 
 
-def records_of(raw: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Headers (lower case) and bodies of WARC records; a torn last record ends the file."""
-    at = 0
-    while True:
-        at = raw.find(b"WARC/", at)
-        end = raw.find(b"\r\n\r\n", at)
-        if at < 0 or end < 0:
-            return
+def records_of(f: BinaryIO) -> Iterator[tuple[dict[str, str], bytes]]:
+    """Headers (lower case) and bodies of the WARC records of an open file, one record in memory at a time; a torn last record ends it."""
+    while line := f.readline():
+        if not line.startswith(b"WARC/"):
+            continue
         headers = {}
-        for line in raw[at:end].decode("utf-8", "replace").split("\r\n")[1:]:
-            k, _, v = line.partition(":")
+        while (line := f.readline()).strip():
+            k, _, v = line.decode("utf-8", "replace").partition(":")
             headers[k.strip().lower()] = v.strip()
         size = int(headers.get("content-length", 0) or 0)
-        body = raw[end + 4 : end + 4 + size]
-        if len(body) < size:
+        body = f.read(size)
+        if not line or len(body) < size:
             return
         yield headers, body
-        at = end + 4 + size
 
 
-def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["path", "record_type", "record_id", "url", "record_date", "content_type", "ordinal", "payload"]
+def opened(f: BinaryIO, name: str) -> BinaryIO:
+    """A stream that is read by lines and pieces; .gz files are unpacked on the way, however many members they have."""
+    return io.BufferedReader(gzip.GzipFile(fileobj=f) if name.endswith(".gz") else f, 1 << 20)
+
+
+_BATCH_BYTES = 8 << 20
+
+
+def _record_batches(path: str, f: BinaryIO) -> Iterator[pa.RecordBatch]:
+    names = [x.name for x in _RECORD]
     types = [pa.string()] * 6 + [pa.int64(), pa.binary()]
+    rows, held = [], 0
+    for k, (h, body) in enumerate(records_of(f)):
+        rows.append((path, h.get("warc-type"), h.get("warc-record-id"), h.get("warc-target-uri", "").strip("<>") or None, h.get("warc-date"), h.get("content-type"), k, body))
+        held += len(body)
+        if held > _BATCH_BYTES or len(rows) == 1000:
+            yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*rows), types)], names=names)
+            rows, held = [], 0
+    if rows:
+        yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*rows), types)], names=names)
+
+
+def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for path, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist()):
-            raw = gzip.decompress(content) if content[:2] == b"\x1f\x8b" else content
-            rows = []
-            for k, (h, body) in enumerate(records_of(raw)):
-                rows.append((path, h.get("warc-type"), h.get("warc-record-id"), h.get("warc-target-uri", "").strip("<>") or None, h.get("warc-date"), h.get("content-type"), k, body))
-                if len(rows) == 1000:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*rows), types)], names=names)
-                    rows = []
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*rows), types)], names=names)
+            yield from _record_batches(path, opened(io.BytesIO(content), path))
+
+
+def _streamed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    from pyarrow import fs
+
+    for batch in batches:
+        for path in batch.column("path").to_pylist():
+            system, name = fs.FileSystem.from_uri(re.sub("^file:/(?!/)", "file:///", path))
+            with system.open_input_stream(name, compression=None) as f:
+                yield from _record_batches(path, opened(f, name))
 
 
-def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """Records of WARC or WET files, a task a file: path, record_type, record_id, url, record_date, content_type, ordinal, payload."""
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(_parsed, _RECORD)
+def read_warc(spark: SparkSession, path: str, whole: bool = False) -> DataFrame:
+    """Records of WARC or WET files: path, record_type, record_id, url, record_date, content_type, ordinal, payload.
+
+    Files are dealt to tasks and read as streams, so they may be of any size. whole lets Spark read them (up to 2 GB each),
+    for stores that only Spark reaches.
+    """
+    files = spark.read.format("binaryFile").load(path)
+    if whole:
+        return files.select("path", "content").mapInArrow(_parsed, _RECORD)
+    names = files.select("path")
+    return names.repartition(max(1, min(names.count(), 10_000))).mapInArrow(_streamed, _RECORD)
 
 
 def wet_captures(records: DataFrame, domains: list[str] | None = None, languages: list[str] | None = None, min_chars: int = 200, quality: bool = True, after: int | None = None) -> DataFrame:
@@ -219,6 +271,20 @@ def sitemap_locs(body: str) -> tuple[list[str], list[str]]:
     return ([], locs) if _local(root.tag) == "sitemapindex" else (locs, [])
 
 
+@F.arrow_udf(T.StructType([T.StructField("pages", T.ArrayType(T.StringType())), T.StructField("sitemaps", T.ArrayType(T.StringType()))]))
+def _sitemap_column(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    for part in parts:
+        rows = [sitemap_locs(x or "") for x in part.to_pylist()]
+        yield pa.StructArray.from_arrays([pa.array([r[k] for r in rows], pa.list_(pa.string())) for k in (0, 1)], ["pages", "sitemaps"])
+
+
+def sitemap_rows(sitemaps: DataFrame) -> DataFrame:
+    """sitemaps: sitemap, body. sitemap, kind (page or sitemap), position, url; what is of kind sitemap is to be fetched and read once more."""
+    found = sitemaps.select("sitemap", _sitemap_column("body").alias("x"))
+    kinds = [found.select("sitemap", F.lit(k).alias("kind"), F.posexplode(f"x.{k}s").alias("position", "url")) for k in ("page", "sitemap")]
+    return kinds[0].union(kinds[1])
+
+
 @F.arrow_udf(T.ArrayType(T.StringType()))
 def _feed_column(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
     for part in parts:
