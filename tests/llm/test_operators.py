@@ -60,6 +60,36 @@ def test_spotsigs_fingerprints(spark):
     assert spotsigs.fingerprinted(odd_docs(spark)).count() == len(ODD) + 3 and spotsigs.fingerprinted(empty(spark)).count() == 0
 
 
+def plain_chains(t):
+    """Signatures by the definition, as tuples of words."""
+    words = re.findall(r"[^\W_]+", t.lower())
+    content = [w for w in words if w not in spotsigs.ANCHORS]
+    found, seen = Counter(), 0
+    for w in words:
+        if w not in spotsigs.ANCHORS:
+            seen += 1
+        elif seen + spotsigs.DISTANCE * (spotsigs.CHAIN - 1) < len(content):
+            found[(w, *content[seen : seen + spotsigs.DISTANCE * (spotsigs.CHAIN - 1) + 1 : spotsigs.DISTANCE])] += 1
+    return found or (Counter([tuple(words)]) if words else Counter())
+
+
+def test_spotsigs_equals_chains_by_definition(spark):
+    texts = [t or "" for t in ODD] + [prose(random.randrange(200)) for _ in range(60)] + ["The the THE", "la rivière de l'été_bleu, et LA Mer!", "one two three"]
+    docs = list(enumerate(texts))
+    got = {r.doc_id: r for r in spotsigs.fingerprinted(spark.createDataFrame(docs, TEXT), 3).collect()}
+    for k, t in docs:
+        after = texts[k - 1]  # descending ids; the first follows the last
+        n = len(t) // 3
+        chains, edited, other = plain_chains(t), plain_chains(t[: len(t) - n] + after[:n]), plain_chains(after)
+        like = lambda a, b: sum((a & b).values()) / sum((a | b).values()) if a or b else 1.0
+        assert got[k].near_edited == pytest.approx(like(chains, edited)) and got[k].near_next == pytest.approx(like(chains, other))
+        assert int(got[k].fingerprint.split("-")[0]) == sum(chains.values())
+    same = {}
+    for k, t in docs:
+        same.setdefault(frozenset(plain_chains(t).items()), set()).add(got[k].fingerprint)
+    assert all(len(x) == 1 for x in same.values()) and len({y for x in same.values() for y in x}) == len(same)
+
+
 def test_spotsigs_null_ids_come_last(spark):
     rows = [(k * 3, prose(40)) for k in range(-20, 20)] + [(None, prose(40)) for _ in range(6)] + [(-(2**63), prose(40))]
     got = {r.edited_sha256: r for r in spotsigs.fingerprinted(spark.createDataFrame(rows, TEXT), 4).collect()}
@@ -313,6 +343,71 @@ def test_secrets(spark):
     assert secrets.secret_scan(empty(spark)).count() == 0
 
 
+def plain_base(text):
+    """The contract's patterns, and their conditions on what they match."""
+    assign = re.compile(r"""([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
+    found = [(m.start(), 0, m.end()) for m in assign.finditer(text) if len(m[2]) > 11]
+    found += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) > 17]
+    found += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) > 15]
+    return [("assign access hex".split()[k], a, b) for a, k, b in sorted(found)]
+
+
+def plain_random(text, base, encoding):
+    """Which places the method's rules cover besides, place by place."""
+    taken = {p for _, a, b in base for p in range(a, b)}
+    by_hex = {(a, b) for k, a, b in base if k == "hex"}
+    known = re.compile(r"[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}|[0-9a-fA-F]+|(?i:sha1|sha224|sha256|sha384|sha512|md5)-[A-Za-z0-9+/]+={0,2}")
+
+    def is_known(x):
+        return bool(known.fullmatch(x)) and (not re.fullmatch("[0-9a-fA-F]+", x) or len(x) in (32, 40, 56, 64, 96, 128))
+
+    def is_random(a, b):
+        x = text[a:b]
+        least = 2.2 if any(c.isdigit() for c in x) else 2.0
+        return len(x) >= 20 and any(c.isalpha() for c in x) and not is_known(x) and len(x) / len(encoding.encode_ordinary(x)) <= least
+
+    def stretches(a, b):
+        free = "".join("0" if p in taken else "1" for p in range(a, b))
+        return [(a + m.start(), a + m.end()) for m in re.finditer("1+", free)]
+
+    out = set()
+    for m in re.finditer("[A-Za-z0-9+/_=-]{20,}", text):
+        if is_known(m[0]):
+            continue
+        pieces = lambda a, b: [(p.start() + a, p.end() + a) for p in re.finditer(r"(?i:sha1|sha224|sha256|sha384|sha512|md5)-[A-Za-z0-9+/]+={0,2}|[A-Za-z0-9+]+", text[a:b])]
+        for a, b in stretches(*m.span()):
+            for x, y in [(a, b)] if is_random(a, b) else [p for p in pieces(a, b) if is_random(*p)]:
+                out |= set(range(x, y))
+        for a, b in pieces(*m.span()) if taken & set(range(*m.span())) else []:
+            inside = [s for s in by_hex if a <= s[0] and s[1] <= b]
+            covered = {p for s in inside for p in range(*s)}
+            if inside and covered == taken & set(range(a, b)) and len(covered) < b - a and is_random(a, b):
+                out |= set(range(a, b)) - covered
+    return out
+
+
+def test_secrets_equal_the_plain_rules(spark):
+    encoding = secrets.vocabulary(secrets.default_path())
+    alphabet = "abcdef0123456789ABCDEFGHqZxVkW"
+    parts = ["password=", "SECRET: '", "token", "api_key = ", "ApiKey:", "AKIA", "/", "-", "_", "=", "+", " ", " ", "\n", "é", "sha256-", "deadbeef", "123e4567-e89b-12d3-a456-426614174000", "articles/documentation", "https://e.example/", "passwd:passwd:"]
+    texts = [t or "" for t in ODD]
+    for _ in range(400):
+        texts.append("".join(random.choice(parts) if random.random() < 0.5 else "".join(random.choice(random.choice([alphabet, alphabet[:16], alphabet[-14:]])) for _ in range(random.randrange(30))) for _ in range(random.randrange(1, 14))))
+    got = {r.doc_id: r for r in secrets.secret_scan(spark.createDataFrame(list(enumerate(texts)), TEXT)).collect()}
+    hits = 0
+    for k, t in enumerate(texts):
+        base = plain_base(t)
+        said = ",".join(f"{kind}:{a}:{b}" for kind, a, b in base)
+        kinds = Counter(kind for kind, _, _ in base)
+        assert (got[k].n_assign, got[k].n_access, got[k].n_hex, got[k].base_sha256) == (kinds["assign"], kinds["access"], kinds["hex"], hashlib.sha256(said.encode()).hexdigest()), t
+        spans = [(x.split(":")[0], *map(int, x.split(":")[1:])) for x in got[k].spans.split(",") if x]
+        assert [s for s in spans if s[0] != "random"] == base, t
+        places = {p for kind, a, b in spans if kind == "random" for p in range(a, b)}
+        assert places == plain_random(t, base, encoding), t
+        hits += len(places) > 0
+    assert hits > 50
+
+
 def test_secrets_of_letters_and_behind_paths():
     vocabulary, key = secrets.vocabulary(secrets.default_path()), "qZxVbNkWjTrPgHsLdFyM"
     path = "articles/documentation/understanding/international"
@@ -423,5 +518,49 @@ def test_classifier(spark):
     assert classifier.classify(empty(spark), labels).count() == 0 and {r.score for r in classifier.classify(docs.limit(3), labels.limit(0)).collect()} == {0.5}
 
 
+def plain_score(rows, texts):
+    """Follow-the-regularised-leader one number at a time, over the same features, each counted in a dictionary."""
+
+    def counted(text):
+        found = classifier.features(text).tolist()
+        return {**{i: 5 * c / len(found) for i, c in Counter(found).items()}, "bias": 1.0}
+
+    z, n = Counter(), Counter()
+
+    def weight(i):
+        if abs(z[i]) <= classifier.L1:
+            return 0.0
+        return -(z[i] - (classifier.L1 if z[i] > 0 else -classifier.L1)) / ((classifier.BETA + n[i] ** 0.5) / classifier.ALPHA + classifier.L2)
+
+    def chance(x):
+        return 1 / (1 + 2.718281828459045 ** -sum(weight(i) * v for i, v in x.items()))
+
+    samples = [(counted(t), label) for t, label in rows]
+    for _ in range(classifier.EPOCHS):
+        for x, label in samples:
+            p = chance(x)
+            for i, v, w in [(i, v, weight(i)) for i, v in x.items()]:
+                g = (p - label) * v
+                z[i] += g - ((n[i] + g * g) ** 0.5 - n[i] ** 0.5) / classifier.ALPHA * w
+                n[i] += g * g
+    return [chance(counted(t)) for t in texts]
+
+
+def test_classifier_equals_plain_updates(spark):
+    texts = [prose(random.randrange(3, 40)) + random.choice(["", " !!! $$$", " ###"]) for _ in range(80)] + ["", "\t"]
+    labels = [(k, int("#" not in t and "$" not in t), 0) for k, t in enumerate(texts)]
+    got = {r.doc_id: r.score for r in classifier.classify(spark.createDataFrame(list(enumerate(texts)), TEXT), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()}
+    rows = sorted((xxhash.xxh64_intdigest(str(k)), texts[k], q) for k, q, _ in labels if zlib.crc32(str(k).encode()) % 5)
+    assert [got[k] for k in range(len(texts))] == pytest.approx(plain_score([(t, q) for _, t, q in rows], texts), abs=1e-5)
+
+
+def test_features_are_words_pairs_and_shapes():
+    """Texts with the same words and shapes have the same features, any other word or shape gives others; the number of features is fixed by that of words."""
+    a, b = classifier.features("the River runs"), classifier.features("the River runs")
+    assert (a == b).all() and len(a) == 3 + 3 + 2 + 2 + 1
+    for other in ("the river runs", "the River Runs", "River the runs", "the River runs9", "the River runs!"):
+        assert Counter(classifier.features(other).tolist()) != Counter(a.tolist())
+
+
 def test_names():
     assert [int(re.match(r"op(\d+)_", n)[1]) for n in queries.queries()] == list(range(1, 11))
