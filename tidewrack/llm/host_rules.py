@@ -18,6 +18,8 @@ MIN_WORDS = 50
 REPEAT_PERCENT = 50
 SYMBOL_PERCENT = 10
 DUP_LINE_PERCENT = 30
+#: Bits of a window's hash that are sorted together with its place in one long.
+PACKED_BITS = 48
 #: A host is rejected if its shrunk failure rate is above this.
 HOST_LIMIT = 0.5
 #: Bounds of the prior's strength, in documents.
@@ -27,13 +29,16 @@ PRIOR_LEAST, PRIOR_MOST = 2.0, 1000.0
 def _repeat_words(words: Column, grams: Column) -> Column:
     """What words inside a window of three that is found twice or more are counted from: grams has a hash of each window, in order.
 
-    Hashes and places are packed into longs and sorted as such; equal windows are then neighbours.
+    Windows are ordered by hash and place, so equal ones are neighbours: as longs of the hash's high bits and the place where
+    those leave PACKED_BITS for the hash, which sorts fast, and as pairs in longer texts.
     """
     n = F.size(grams)
-    bits = F.ceil(F.log2(n + 1)).cast("int")
-    low = F.expr("1L") * F.pow(F.lit(2), bits).cast("long") - 1
+    low = F.lit((1 << (64 - PACKED_BITS)) - 1)
     packed = F.sort_array(F.transform(grams, lambda h, i: h.bitwiseAND(F.bitwise_not(low)).bitwiseOR(i.cast("long"))))
-    return F.struct(grams.alias("g"), packed.alias("s"), low.alias("low"), n.alias("n"))
+    fast = F.transform(packed, lambda x: x.bitwiseAND(low).cast("int"))
+    pairs = F.sort_array(F.transform(grams, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    order = F.when(n <= 1 << (64 - PACKED_BITS), fast).otherwise(F.transform(pairs, lambda x: x["i"]))
+    return F.struct(grams.alias("g"), order.alias("at"), n.alias("n"))
 
 
 def measured(docs: DataFrame) -> DataFrame:
@@ -56,7 +61,7 @@ def measured(docs: DataFrame) -> DataFrame:
     df = df.withColumn("r", F.when(F.col("g").isNotNull() & twice, _repeat_words(F.col("n_words"), F.col("g"))))
 
     def place(k: Column) -> Column:
-        return F.get("r.s", k).bitwiseAND(F.col("r.low")).cast("int")
+        return F.get("r.at", k)
 
     def gram(k: Column) -> Column:
         return F.get("r.g", place(k))
