@@ -3,12 +3,11 @@
 from __future__ import annotations
 
 import gc
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewrack.session import cut, importable, shared_dir
+from tidewrack.session import cut, importable, shared_dir, shared_subdir, spread
 
 __all__ = ["SPACE_CLASS", "WORD_PATTERN", "cut", "join_by_hot_keys", "release", "remove", "shared_dir", "shared_subdir", "shuffle_partitions", "table", "text_or_empty"]
 
@@ -18,17 +17,14 @@ WORD_PATTERN = rf"[^{SPACE_CLASS}]+"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return importable(spark).read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    rows = importable(spark).read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return spread(rows) if name in ("documents", "pages") else rows
 
 
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
-def shared_subdir(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def release(spark: SparkSession) -> None:
     """Lets Spark delete the shuffle files of results that have been cut: it does so when the driver's garbage is collected."""
     gc.collect()
