@@ -72,6 +72,37 @@ def test_catalog(spark):
     assert catalog.latest_captures(df.union(older)).join(df, ["capture_id", "fetch_ts"]).count() == 4
 
 
+@pytest.mark.parametrize("part_rows", [7, 4096])
+def test_nearest_earlier_equals_brute_force_over_bands(spark, monkeypatch, part_rows):
+    import random
+
+    monkeypatch.setattr(dedup, "PART_ROWS", part_rows)
+    monkeypatch.setattr(dedup, "TILE_ROWS", 5)
+    rng = random.Random(3)
+    base = [rng.getrandbits(128) for _ in range(12)]
+    rows = [b ^ sum(1 << k for k in rng.sample(range(128), rng.randrange(45))) for b in base for _ in range(12)] + [0, 0, 2**128 - 1]
+    rng.shuffle(rows)
+    signed = lambda x: x - 2**64 if x >> 63 else x
+    df = spark.createDataFrame([(k, signed(x >> 64), signed(x & (2**64 - 1))) for k, x in enumerate(rows)], "nid long, hi long, lo long")
+    got = {r.nid: (r.d, r.other) for r in dedup.nearest_earlier(df, 32).collect()}
+    want, all_near = {}, 0
+    for k, x in enumerate(rows):
+        near = sorted(((x ^ y).bit_count(), j) for j, y in enumerate(rows[:k]) if (x ^ y).bit_count() <= 32)
+        shared = [(d, j) for d, j in near if any(not (x ^ rows[j]) >> 8 * s & 255 for s in range(16))]
+        all_near += bool(near)
+        if shared:
+            want[k] = shared[0]
+    assert got == want and len(want) >= 0.9 * all_near  # what bands find of all that have a neighbour
+
+
+def test_wide_bands_cover_the_signature(spark):
+    df = spark.createDataFrame([(1, -(2**63) + 5, 3), (2, -(2**63) + 5, 3)], "nid long, hi long, lo long")
+    x = (2**63 + 5) << 64 | 3
+    for rows, width in ((10, 8), (4096 * 2**13, 13), (4096 * 2**20, 20)):
+        got = {(r.seg, r.key) for r in dedup.band_keys(df, rows).collect()}
+        assert got == {(s, (x >> 8 * s | x << 128 - 8 * s) & (2**width - 1)) for s in range(16)}
+
+
 def test_near_decisions_match_one_by_one(spark):
     import random
 

@@ -97,36 +97,132 @@ def exact_decisions(df: DataFrame, arrival: str = "observed_ts") -> DataFrame:
     return rows.select("capture_id", decision.alias("decision"), F.col("f.doc_id").alias("first_doc"))
 
 
+#: Mean rows of a band's value above which bands are made wider, rows of one side that a task compares, and rows of a numpy tile.
+BAND_ROWS, PART_ROWS, TILE_ROWS = 4096, 4096, 512
+
+
+def band_keys(sigs: DataFrame, rows: int) -> DataFrame:
+    """sigs: nid, hi, lo. nid, hi, lo, seg, key: sixteen bands, of eight bits while rows are few, else wider, so that values do not fill up.
+
+    Bands start every eight bits and wider ones overlap; what they are likely to find falls with their width.
+    """
+    width = BAND_BITS
+    while rows / 2**width > BAND_ROWS and width < 64:
+        width += 1
+
+    def bits(s: int) -> Column:
+        """width bits from bit 8 s on; bit 0 is the lowest of lo, and the highest of hi is followed by it again."""
+        first, second = ("lo", "hi") if s < 8 else ("hi", "lo")
+        at = 8 * (s % 8)
+        value = F.shiftrightunsigned(F.col(first), at)
+        if at + width > 64:
+            value = value.bitwiseOR(F.shiftleft(F.col(second), 64 - at))
+        return value.bitwiseAND(F.lit((1 << width) - 1)) if width < 64 else value
+
+    bands = F.array(*[F.struct(F.lit(s).alias("seg"), bits(s).cast("long").alias("key")) for s in range(BANDS)])
+    return sigs.select("nid", "hi", "lo", F.explode(bands).alias("b")).select("nid", "hi", "lo", "b.seg", "b.key")
+
+
+def nearest_before(nid: np.ndarray, bits: np.ndarray, late: np.ndarray, early: np.ndarray, most: int) -> Iterator[tuple[int, int, int]]:
+    """(nid, distance, nid of the other) of each of the late rows: the nearest of the early rows with a smaller nid, ties by nid, within most bits. bits: (n, 2) uint64."""
+    late, early = late[np.argsort(nid[late])], early[np.argsort(nid[early])]
+    for k in range(0, len(late), TILE_ROWS):
+        own = late[k : k + TILE_ROWS]
+        best = np.full(len(own), most + 1, dtype=np.int64)
+        other = np.full(len(own), -1, dtype=np.int64)
+        for j in range(0, len(early), TILE_ROWS):
+            them = early[j : j + TILE_ROWS]
+            if nid[them[0]] >= nid[own[-1]]:
+                break
+            d = np.bitwise_count(bits[own, None, :] ^ bits[None, them, :]).sum(axis=2, dtype=np.int64)
+            d[nid[them][None, :] >= nid[own][:, None]] = most + 1
+            at = d.argmin(axis=1)  # the first of equals is the earliest
+            found = d[np.arange(len(own)), at]
+            nearer = found < best
+            best[nearer], other[nearer] = found[nearer], nid[them[at[nearer]]]
+        for i in np.flatnonzero(other >= 0).tolist():
+            yield int(nid[own[i]]), int(best[i]), int(other[i])
+
+
+def _nearest(most: int):
+    schema = pa.schema([("nid", pa.int64()), ("d", pa.int64()), ("other", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows (seg, key, i, j, part, nid, hi, lo) come ordered by the first four; one such pair of parts, of bounded size, is held at a time."""
+        held = np.zeros((0, 8), dtype=np.int64)
+
+        def compared(rows: np.ndarray) -> pa.RecordBatch:
+            nid, bits, part = rows[:, 5], rows[:, 6:8].astype(np.int64).view(np.uint64).reshape(-1, 2), rows[:, 4]
+            every = np.arange(len(rows))
+            i, j = int(rows[0, 2]), int(rows[0, 3])
+            if i == j:
+                found = list(nearest_before(nid, bits, every, every, most))
+            else:
+                a, b = every[part == i], every[part == j]
+                found = [*nearest_before(nid, bits, a, b, most), *nearest_before(nid, bits, b, a, most)]
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in range(3)], schema=schema)
+
+        for batch in batches:
+            rows = np.stack([batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(8)], axis=1)
+            rows = np.concatenate([held, rows])
+            if not len(rows):
+                continue
+            starts = np.flatnonzero(np.concatenate([[True], (rows[1:, :4] != rows[:-1, :4]).any(axis=1)]))
+            for a, b in zip(starts[:-1].tolist(), starts[1:].tolist()):
+                if b - a > 1:
+                    yield compared(rows[a:b])
+            held = rows[starts[-1] :]
+        if len(held) > 1:
+            yield compared(held)
+
+    return run
+
+
+def nearest_earlier(sigs: DataFrame, most: int) -> DataFrame:
+    """sigs: nid (in order of arrival), hi, lo; a table that has been cut. nid, d, other: the nearest earlier row that shares a band, within most bits.
+
+    A band's value that many rows have is dealt as pairs of parts of its rows to many tasks, so no value meets in one task.
+    """
+    dealt = band_keys(sigs, sigs.count())
+    sizes = dealt.groupBy("seg", "key").agg(F.count("*").alias("n")).filter(F.col("n") > 1)
+    dealt = dealt.join(sizes.select("seg", "key", F.ceil(F.col("n") / PART_ROWS).cast("long").alias("parts")), ["seg", "key"])
+    dealt = dealt.withColumn("part", F.pmod(F.xxhash64("nid"), F.col("parts")))
+    pair = F.transform(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1), lambda o: F.struct(F.least(o, F.col("part")).alias("i"), F.greatest(o, F.col("part")).alias("j")))
+    dealt = dealt.withColumn("pair", F.explode(pair)).select("seg", "key", "pair.i", "pair.j", "part", "nid", "hi", "lo")
+    # with the number of partitions left to Spark, small ones are joined
+    ordered = dealt.repartition("seg", "key", "i", "j").sortWithinPartitions("seg", "key", "i", "j")
+    found = ordered.mapInArrow(_nearest(most), "nid long, d long, other long")
+    return found.groupBy("nid").agg(F.min(F.struct("d", "other")).alias("m")).select("nid", "m.d", "m.other")
+
+
 def near_decisions(df: DataFrame, threshold: int = THRESHOLD, arrival: str = "observed_ts") -> DataFrame:
     """All decisions, with dup_group: a new document that is nearest to an earlier one, within the threshold and past the guard, joins its group.
 
     The nearest earlier neighbour is the only candidate and roots never move, so groups are chains of pointers; they
-    are followed by doubling. Band pairs are reduced to the nearest neighbour before anything is kept.
+    are followed by doubling. Neighbours are looked for among those that share a band; only the nearest leaves a task.
     """
     threshold = max(0, min(threshold, MOST_THRESHOLD))
     exact = exact_decisions(df, arrival)
-    new = df.join(exact.filter("decision = 'NEW'").select("capture_id"), "capture_id", "left_semi").withColumn("s", token_sketch(F.col("text")))
-    new = new.join(signatures(new.select("capture_id", "text"), key="capture_id"), "capture_id").select("capture_id", "doc_id", F.col(arrival).alias("at"), "hi", "lo", "s.token_hash", "s.token_count")
-    new = cut(new)
-    bands = band_rows(new, "capture_id").join(new, "capture_id")
-    other = bands.select("seg", "seg_value", *[F.col(c).alias(f"b_{c}") for c in new.columns])
-    pairs = bands.join(other, ["seg", "seg_value"]).filter(F.struct("b_at", "b_capture_id") < F.struct("at", "capture_id"))
-    distance = hamming("hi", "lo", "b_hi", "b_lo")
-    nearest = pairs.groupBy("capture_id").agg(F.min(F.struct(distance.alias("d"), "b_at", "b_capture_id", "b_doc_id", "b_token_hash", "b_token_count", "token_hash", "token_count")).alias("n"))
-    ok = (F.col("n.d") <= threshold) & guard_allows(F.col("n.token_hash"), F.col("n.token_count"), F.col("n.b_token_hash"), F.col("n.b_token_count"))
-    parents = nearest.filter(ok).select("capture_id", F.col("n.b_capture_id").alias("parent"), F.col("n.d").alias("distance"))
-    tree = cut(new.select("capture_id", "doc_id").join(parents, "capture_id", "left").select("capture_id", "doc_id", F.coalesce("parent", "capture_id").alias("parent"), "distance"))
+    new = df.join(exact.filter("decision = 'NEW'").select("capture_id"), "capture_id", "left_semi").select("capture_id", "doc_id", F.col(arrival).alias("at"), _signatures(normalized_for_hash(F.col("text"))).alias("sig"), token_sketch(F.col("text")).alias("s"))
+    # sorted as a whole, so that numbers rise with arrival
+    new = cut(new.orderBy(F.col("at").asc_nulls_first(), "capture_id").select(F.monotonically_increasing_id().alias("nid"), "capture_id", "doc_id", "sig.hi", "sig.lo", "s.token_hash", "s.token_count"))
+    nearest = nearest_earlier(new.select("nid", "hi", "lo").filter("hi IS NOT NULL"), threshold)
+    own = new.select("nid", "token_hash", "token_count")
+    other = new.select(F.col("nid").alias("other"), F.col("token_hash").alias("b_hash"), F.col("token_count").alias("b_count"))
+    allowed = guard_allows(F.col("token_hash"), F.col("token_count"), F.col("b_hash"), F.col("b_count"))
+    parents = nearest.join(own, "nid").join(other, "other").filter(allowed).select("nid", F.col("other").alias("parent"), F.col("d").alias("distance"))
+    tree = cut(new.select("nid", "capture_id", "doc_id").join(parents, "nid", "left").select("nid", "capture_id", "doc_id", F.coalesce("parent", "nid").alias("parent"), "distance"))
     while True:
-        up = tree.select(F.col("capture_id").alias("parent"), F.col("parent").alias("above"))
-        tree = cut(tree.join(up, "parent").select("capture_id", "doc_id", F.col("above").alias("parent"), "distance", (F.col("above") != F.col("parent")).alias("moved")))
+        up = tree.select(F.col("nid").alias("parent"), F.col("parent").alias("above"))
+        tree = cut(tree.join(up, "parent").select("nid", "capture_id", "doc_id", F.col("above").alias("parent"), "distance", (F.col("above") != F.col("parent")).alias("moved")))
         if tree.filter("moved").isEmpty():
             break
         tree = tree.drop("moved")
-    roots = tree.join(tree.select(F.col("capture_id").alias("parent"), F.col("doc_id").alias("root")), "parent")
+    roots = tree.join(tree.select(F.col("nid").alias("parent"), F.col("doc_id").alias("root")), "parent")
     by_doc = roots.groupBy("doc_id").agg(F.min("root").alias("dup_group"))
     near = roots.filter("distance IS NOT NULL").select("capture_id", "distance")
     out = exact.join(by_doc.withColumnRenamed("doc_id", "first_doc"), "first_doc", "left").join(near, "capture_id", "left")
-    return out.select("capture_id", F.when((F.col("decision") == "NEW") & F.col("distance").isNotNull(), "NEAR_DUP").otherwise(F.col("decision")).alias("decision"), F.coalesce("dup_group", "first_doc").alias("dup_group"), "distance")
+    return out.select("capture_id", F.when((F.col("decision") == "NEW") & F.col("distance").isNotNull(), "NEAR_DUP").otherwise(F.col("decision")).alias("decision"), F.coalesce("dup_group", "first_doc").alias("dup_group"), F.col("distance").cast("int").alias("distance"))
 
 
 def stored(decisions: DataFrame) -> DataFrame:

@@ -173,6 +173,20 @@ def _guards(df: DataFrame) -> DataFrame:
 
 _SKETCH = registry.oracle_sql()["token_sketches"]
 over_tables("merge_guards", f"WITH s AS (SELECT *, CAST(substr(capture_id, 5) AS BIGINT) AS k FROM ({_SKETCH})) SELECT a.capture_id, coalesce(abs(a.token_count - b.token_count) / greatest(a.token_count, b.token_count) <= 0.5 AND (a.token_count > 200 OR b.token_count > 200 OR a.token_hash = b.token_hash), true) AS allowed FROM s a JOIN s b ON b.k = a.k + 1")(lambda spark, d: _guards(captures(spark, d, False)))
+_XOR = "sum(bit_count(xor(instr('0123456789abcdef', substr(x.signature, CAST(i AS INTEGER), 1)) - 1, instr('0123456789abcdef', substr(y.signature, CAST(i AS INTEGER), 1)) - 1)))"
+_DECIDED = f"""{registry._SIGS}, ex AS ({registry.oracle_sql()["exact_decisions"].partition("documents d)")[2]}), sk AS ({_SKETCH}),
+nu AS (SELECT c.capture_id, c.doc_id, c.observed_ts AS seen_at, signature, token_hash, token_count FROM captures c JOIN ex ON ex.capture_id = c.capture_id LEFT JOIN sig ON sig.capture_id = c.capture_id LEFT JOIN sk ON sk.capture_id = c.capture_id WHERE decision = 'NEW'),
+bands AS (SELECT capture_id, seen_at, seg, substr(signature, 31 - 2 * CAST(seg AS INTEGER), 2) AS v FROM nu CROSS JOIN (SELECT unnest(generate_series(0, 15)) AS seg) WHERE signature IS NOT NULL),
+cand AS (SELECT DISTINCT a.capture_id AS a, b.capture_id AS b FROM bands a JOIN bands b ON a.seg = b.seg AND a.v = b.v AND (b.seen_at < a.seen_at OR b.seen_at = a.seen_at AND b.capture_id < a.capture_id)),
+dist AS (SELECT a, b, CAST({_XOR} AS INTEGER) AS d FROM cand JOIN nu x ON x.capture_id = a JOIN nu y ON y.capture_id = b CROSS JOIN (SELECT unnest(generate_series(1, 32)) AS i) GROUP BY a, b),
+best AS (SELECT a, b, d FROM (SELECT a, b, d, row_number() OVER (PARTITION BY a ORDER BY d, y.seen_at, b) AS rn FROM dist JOIN nu y ON y.capture_id = b) WHERE rn = 1 AND d <= 32),
+parent AS (SELECT a, b, d FROM best JOIN nu x ON x.capture_id = a JOIN nu y ON y.capture_id = b WHERE coalesce(abs(x.token_count - y.token_count) / greatest(x.token_count, y.token_count) <= 0.5 AND (x.token_count > 200 OR y.token_count > 200 OR x.token_hash = y.token_hash), true)),
+up AS (SELECT capture_id, doc_id, doc_id AS top FROM nu WHERE capture_id NOT IN (SELECT a FROM parent) UNION ALL SELECT n.capture_id, n.doc_id, up.top FROM parent p JOIN up ON up.capture_id = p.b JOIN nu n ON n.capture_id = p.a),
+near AS (SELECT ex.capture_id, CASE WHEN decision = 'NEW' AND d IS NOT NULL THEN 'NEAR_DUP' ELSE decision END AS decision, coalesce(top, fd) AS dup_group, d AS distance
+  FROM (SELECT capture_id, decision, first_doc AS fd FROM ex) ex LEFT JOIN parent ON a = ex.capture_id LEFT JOIN (SELECT doc_id, min(top) AS top FROM up GROUP BY 1) t ON t.doc_id = fd)"""
+_RECURSIVE = CAPTURES_SQL.replace("captures AS", "RECURSIVE captures AS", 1)
+over_tables("near_decisions", f"WITH {_RECURSIVE}{_DECIDED} SELECT capture_id, decision, dup_group, coalesce(distance, -1) AS distance FROM near")(lambda spark, d: dedup.near_decisions(captures(spark, d, False)).fillna(-1, ["distance"]))
+over_tables("stored_captures", f"WITH {_RECURSIVE}{_DECIDED} SELECT capture_id, decision, dup_group, coalesce(distance, -1) AS distance FROM near WHERE decision NOT IN ('EXACT_DUP', 'REVISION') AND NOT (decision = 'NEAR_DUP' AND distance <= 12)")(lambda spark, d: dedup.stored(dedup.near_decisions(captures(spark, d, False))).fillna(-1, ["distance"]))
 over_tables("false_positive_rates", "WITH k AS (SELECT unnest(generate_series(0, 16)) AS k), c AS (SELECT k, CAST(factorial(16) AS DOUBLE) / (CAST(factorial(CAST(k AS INTEGER)) AS DOUBLE) * CAST(factorial(CAST(16 - k AS INTEGER)) AS DOUBLE)) / 65536.0 AS p FROM k) SELECT CAST(k AS INTEGER) AS threshold, round(sum(p) OVER (ORDER BY k), 9) AS rate FROM c")(
     lambda spark, d: spark.createDataFrame([(t, round(dedup.false_positive_rate(16, t), 9)) for t in range(17)], "threshold int, rate double")
 )

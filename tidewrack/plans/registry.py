@@ -293,8 +293,6 @@ def _signature(df: DataFrame) -> DataFrame:
 
 over_captures("signatures", f"{_SIGS} SELECT capture_id, signature FROM sig")(_signature)
 over_captures("band_rows", f"{_SIGS}, seg AS (SELECT unnest(generate_series(0, 15)) AS seg) SELECT capture_id, CAST(seg AS INTEGER) AS seg, CAST((instr('0123456789abcdef', substr(signature, 31 - 2 * CAST(seg AS INTEGER), 1)) - 1) * 16 + instr('0123456789abcdef', substr(signature, 32 - 2 * CAST(seg AS INTEGER), 1)) - 1 AS INTEGER) AS seg_value FROM sig CROSS JOIN seg")(lambda df: dedup.band_rows(dedup.signatures(df.select("capture_id", "text"), key="capture_id"), "capture_id"))
-over_captures("near_decisions")(lambda df: dedup.near_decisions(df))
-over_captures("stored_captures")(lambda df: dedup.stored(dedup.near_decisions(df)))
 over_captures("dedup_stats", "SELECT count(DISTINCT content_hash) AS distinct_hashes, count(*) AS captures FROM captures")(lambda df: dedup.dedup_stats(df))
 
 # ---- search ------------------------------------------------------------------------------------------------------------------
