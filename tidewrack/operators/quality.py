@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewrack.functions.tokens import matches
-from tidewrack.functions.windows import bucket, checked_limit, tail
+from tidewrack.functions.windows import bucket, checked_limit, newest, pruned, tail
 from tidewrack.operators.sources import named
 from tidewrack.operators.terms import domain_breakdown, language_breakdown
 
@@ -24,22 +24,19 @@ def _present(name: str) -> Column:
     return F.col(name).isNotNull() & (F.trim(name) != "")
 
 
-def _repeated(df: DataFrame, key: str, *within: Column, extra: Column | None = None) -> DataFrame:
-    """Rows whose key another capture has: by counts of distinct captures for each key, so no group meets in one task."""
-    part = df.filter(_present(key))
-    names = [f"__w{k}" for k in range(len(within))]
-    part = part.select("capture_id", "doc_id", key, *[w.alias(n) for w, n in zip(within, names)])
-    many = part.groupBy(key, *names).agg(F.min("capture_id").alias("a"), F.max("capture_id").alias("b")).filter("a <> b").drop("a", "b")
-    part = part if extra is None else part.filter(extra)
-    return part.join(many, [key, *names], "left_semi")
+def _repeated(df: DataFrame, key: str, within: Column | None = None, extra: Column | None = None) -> DataFrame:
+    """bucket (within, or null), n: rows whose key another capture (of the bucket) has, if extra holds for them. Two sums, no join: no group meets in one task."""
+    part = df.filter(_present(key)).withColumn("bucket", F.lit(None).cast("date") if within is None else within)
+    counts = part.groupBy(key, "bucket").agg(F.min("capture_id").alias("a"), F.max("capture_id").alias("b"), (F.count("*") if extra is None else F.count_if(extra)).alias("n"))
+    return counts.filter("a <> b").groupBy("bucket").agg(F.sum("n").alias("n"))
 
 
 def quality_snapshot(df: DataFrame, days: int | None = None) -> DataFrame:
     """One row: totals, empty texts, duplicate ratios, average length, groups and rate a day. Zeros for an empty table."""
     part = tail(df, days) if days else df
     main = part.agg(F.count("*").alias("total"), F.count_if(F.col("text").isNull() | (F.trim("text") == "")).alias("empty_text"), F.avg(F.length(F.coalesce("text", F.lit("")))).alias("avg"), ((F.unix_seconds(F.max("fetch_ts").cast("timestamp")) - F.unix_seconds(F.min("fetch_ts").cast("timestamp"))) / 86400).alias("span"))
-    dup = _repeated(part, "content_hash").agg(F.count("*").alias("dup"))
-    near = _repeated(part, "parent_doc_or_dup_group", extra=F.col("parent_doc_or_dup_group") != F.col("doc_id")).agg(F.count("*").alias("near"))
+    dup = _repeated(part, "content_hash").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("dup"))
+    near = _repeated(part, "parent_doc_or_dup_group", extra=F.col("parent_doc_or_dup_group") != F.col("doc_id")).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("near"))
     groups = part.filter(_present("parent_doc_or_dup_group")).groupBy("parent_doc_or_dup_group").count().filter("count >= 2").agg(F.count("*").alias("groups"))
     one = main.crossJoin(F.broadcast(dup)).crossJoin(F.broadcast(near)).crossJoin(F.broadcast(groups))  # single rows
     ratio = lambda c: F.round(F.coalesce(F.col(c) / F.nullif(F.col("total"), F.lit(0)), F.lit(0.0)), 6)
@@ -56,15 +53,16 @@ def snapshot_domains(df: DataFrame) -> DataFrame:
 
 def quality_history(df: DataFrame, days: int = 30, granularity: str = "day") -> DataFrame:
     """bucket, total, duplicate_ratio, near_duplicate_ratio, avg_length, new_domains, capture_rate; ratios inside each bucket, zeros included."""
-    edge = df.agg(F.to_date(F.max("fetch_ts")).alias("end_day")).withColumn("start_day", F.date_sub("end_day", days - 1))
+    end = F.to_date(newest(df))
+    start = F.date_sub(end, days - 1)
     step = {"day": "interval 1 day", "week": "interval 7 days", "month": "interval 1 month"}[granularity]
-    cal = edge.filter("end_day IS NOT NULL").select(F.explode(F.sequence(bucket(F.col("start_day"), granularity), bucket(F.col("end_day"), granularity), F.expr(step))).alias("bucket"))
-    part = df.join(F.broadcast(edge), F.to_date("fetch_ts") >= F.col("start_day")).drop("start_day", "end_day")
+    cal = df.sparkSession.range(1).select(F.explode(F.sequence(bucket(start, granularity), bucket(end, granularity), F.expr(step))).alias("bucket"))
+    part = pruned(df, start.cast(df.schema["fetch_ts"].dataType), None)
     key = bucket(F.col("fetch_ts"), granularity)
     total = part.groupBy(key.alias("bucket")).agg(F.count("*").alias("total"), F.avg(F.length(F.coalesce("text", F.lit("")))).alias("avg_length"))
-    dup = _repeated(part, "content_hash", key).groupBy(F.col("__w0").alias("bucket")).agg(F.count("*").alias("dup"))
-    near = _repeated(part, "parent_doc_or_dup_group", key, extra=F.col("parent_doc_or_dup_group") != F.col("doc_id")).groupBy(F.col("__w0").alias("bucket")).agg(F.count("*").alias("near"))
-    first = named(df, "trim").groupBy("domain").agg(F.min("fetch_ts").alias("first")).join(F.broadcast(edge), F.to_date("first") >= F.col("start_day"))
+    dup = _repeated(part, "content_hash", key).withColumnRenamed("n", "dup")
+    near = _repeated(part, "parent_doc_or_dup_group", key, F.col("parent_doc_or_dup_group") != F.col("doc_id")).withColumnRenamed("n", "near")
+    first = named(df, "trim").groupBy("domain").agg(F.min("fetch_ts").alias("first")).filter(F.to_date("first") >= start)
     new = first.groupBy(bucket(F.col("first"), granularity).alias("bucket")).agg(F.count("*").alias("new_domains"))
     span = F.lit(1) if granularity == "day" else F.lit(7) if granularity == "week" else F.day(F.last_day("bucket"))
     rows = cal.join(total, "bucket", "left").join(dup, "bucket", "left").join(near, "bucket", "left").join(new, "bucket", "left")

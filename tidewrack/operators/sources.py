@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, WindowSpec
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewrack.functions.tokens import SOURCE_STOPWORDS, ascii_tokens, counted_tokens, matches
@@ -10,9 +10,9 @@ from tidewrack.functions.windows import checked_limit, tail
 from tidewrack.operators.terms import primary_language
 
 
-def _all() -> WindowSpec:
-    """All rows of a small table, such as one row a domain."""
-    return Window.partitionBy(F.lit(0))
+def with_totals(rows: DataFrame, *totals: Column) -> DataFrame:
+    """rows with aggregates over all of them in every row: one row, combined before it is sent, not a window in one task."""
+    return rows.crossJoin(F.broadcast(rows.agg(*totals)))
 
 
 def named(df: DataFrame, blank: str = "empty") -> DataFrame:
@@ -68,7 +68,7 @@ def domain_rank(df: DataFrame, as_of: Column, limit: int = 50) -> DataFrame:
     stats = domain_stats(df)
     recent = named(df).filter(F.col("observed_ts").between(as_of - F.expr("interval 30 days"), as_of)).groupBy("domain").agg((F.count("*") / 30.0).alias("v"))
     rows = stats.join(recent, "domain", "left").withColumn("velocity", F.coalesce("v", F.lit(0.0))).withColumn("avg_length", F.coalesce("avg_len", F.lit(0.0)))
-    rows = rows.withColumn("most", F.max("captures").over(_all())).withColumn("lo", F.min("avg_length").over(_all())).withColumn("hi", F.max("avg_length").over(_all())).withColumn("fastest", F.max("velocity").over(_all()))
+    rows = with_totals(rows, F.max("captures").alias("most"), F.min("avg_length").alias("lo"), F.max("avg_length").alias("hi"), F.max("velocity").alias("fastest"))
     ratio = F.col("replicated") / F.col("captures")
     length = F.when(F.col("hi") > F.col("lo"), (F.col("avg_length") - F.col("lo")) / (F.col("hi") - F.col("lo"))).otherwise(F.lit(1.0))
     speed = F.when(F.col("fastest") > 0, F.col("velocity") / F.col("fastest")).otherwise(F.lit(0.0))

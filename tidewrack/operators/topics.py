@@ -9,7 +9,7 @@ from tidewrack.functions.lexicon import DEFAULT, Lexicon
 from tidewrack.functions.tokens import ANALYTICS_STOPWORDS, ascii_tokens, is_kept, matches
 from tidewrack.functions.windows import checked_limit, newest, tail
 from tidewrack.operators.sentiment import scored
-from tidewrack.operators.sources import named, origins, replication_edges
+from tidewrack.operators.sources import named, origins, replication_edges, with_totals
 from tidewrack.operators.terms import terms_frequency
 
 EMERGING_DAYS = 3
@@ -78,7 +78,7 @@ def dominance(df: DataFrame, term: str, days: int = 14, limit: int = 10, lexicon
     """domain, doc_count, doc_fraction, avg_sentiment (of the first 200 characters) of the documents with the term."""
     hits = tail(df, days).filter(matches(term)).select(F.trim("domain").alias("domain"), F.substring("text", 1, 200).alias("text")).filter("domain <> ''")
     rows = scored(hits, lexicon=lexicon).groupBy("domain").agg(F.count("*").alias("doc_count"), F.avg("score").alias("s"))
-    rows = rows.withColumn("all", F.sum("doc_count").over(Window.partitionBy(F.lit(0))))
+    rows = with_totals(rows, F.sum("doc_count").alias("all"))
     return rows.select("domain", "doc_count", F.round(F.col("doc_count") / F.col("all"), 4).alias("doc_fraction"), F.round("s", 4).alias("avg_sentiment")).orderBy(F.desc("doc_count"), "domain").limit(checked_limit(limit))
 
 
@@ -94,7 +94,7 @@ def source_impact(df: DataFrame, since: Column | None = None, limit: int = 20) -
     """domain, impact_score, captures, replica_edges, avg_lead_minutes. Copies weigh by the logarithm of the number of relations."""
     edges = replication_edges(df, since).groupBy("origin").agg(F.sum("count").alias("copies"), F.count("*").alias("degree"))
     part = named(df) if since is None else named(df).filter(F.col("observed_ts") >= since)
-    own = part.groupBy("domain").agg(F.count("*").alias("captures")).withColumn("most", F.max("captures").over(Window.partitionBy(F.lit(0))))
+    own = with_totals(part.groupBy("domain").agg(F.count("*").alias("captures")), F.max("captures").alias("most"))
     lead = lead_times(df, since).select("origin", "avg_lead_minutes")
     rows = edges.join(own, edges["origin"] == own["domain"], "left").drop("domain").join(lead, "origin", "left")
     score = F.col("copies") * F.log1p("degree") + F.coalesce(F.log1p("captures") / F.log1p("most"), F.lit(0.0))

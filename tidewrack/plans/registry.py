@@ -254,7 +254,8 @@ over_tables("sql_passthrough", f"WITH {CAPTURES_SQL} SELECT domain, count(*) AS
 # ---- text ------------------------------------------------------------------------------------------------------------------
 
 over_captures("language_filter", "SELECT capture_id FROM captures WHERE language = 'es' OR language LIKE 'es-%'")(lambda df: df.filter(texts.language_filter("ES")).select("capture_id"))
-over_captures("detected_language")(lambda df: df.select("capture_id", "language", texts.detect_language(F.col("text")).alias("detected")))
+_MARKS = ", ".join(f"{{'n': len(list_filter(w, lambda x: x IN ({sql_words(frozenset(m))}))), 'lang': '{k}'}}" for k, m in sorted(texts.LANGUAGE_MARKS.items()))
+over_captures("detected_language", f", t AS (SELECT *, regexp_extract_all(lower(substr(text, 1, 5000)), '\\pL+') AS w FROM captures), c AS (SELECT capture_id, language, text, [{_MARKS}] AS m FROM t), b AS (SELECT *, list_max(m) AS best, list_sum(list_transform(m, lambda x: x.n)) AS total FROM c) SELECT capture_id, language, CASE WHEN length(text) >= 80 AND best.n > 0 AND best.n / total >= 0.5 THEN best.lang END AS detected FROM b")(lambda df: df.select("capture_id", "language", texts.detect_language(F.col("text")).alias("detected")))
 _CLEAN = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\r\n?', chr(10), 'g'), '[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]', '', 'g'), '[ \t]+\n', chr(10), 'g'), '[ \t]{2,}', ' ', 'g'), '\n{3,}', chr(10) || chr(10), 'g')"
 over_captures("basic_clean", rf"SELECT capture_id, md5(regexp_replace({_CLEAN}, '^\s+|\s+$', '', 'g')) AS clean_md5 FROM captures")(lambda df: df.select("capture_id", F.md5(texts.basic_clean(F.col("text"), normalize=False).cast("binary")).alias("clean_md5")))
 _STRIP = "'^[.,!?;:\"''()\\[\\]]+|[.,!?;:\"''()\\[\\]]+$'"
@@ -350,7 +351,10 @@ over_captures("export_rows", "SELECT capture_id FROM (SELECT *, row_number() OVE
 over_captures("entity_counts")(lambda df: entities.entity_counts(df))
 over_captures("entity_co_occurrence")(lambda df: entities.co_occurrence(df, "The"))
 over_captures("entity_trend", f", c AS (SELECT CAST(fetch_ts AS DATE) AS bucket, count(*) AS n FROM captures WHERE {_has('der')} GROUP BY 1), cal AS (SELECT CAST(unnest(generate_series(a, b, INTERVAL 1 DAY)) AS DATE) AS bucket FROM (SELECT min(bucket) AS a, max(bucket) AS b FROM c)) SELECT cal.bucket, CAST(coalesce(n, 0) AS BIGINT) AS count FROM cal LEFT JOIN c ON c.bucket = cal.bucket")(lambda df: entities.entity_trend(df, "der"))
-over_tables("canonical_urls")(lambda spark, d: urls.with_canonical(table(spark, d, "pages").select("page_id", "url")))
+_CANONICAL = r"""WITH p AS (SELECT page_id, url, regexp_replace(regexp_extract(url, '^https?://([^/?#]+)', 1), '^((www|m|mobile|amp)[.])+', '') AS host, regexp_extract(url, '^https?://[^/?#]+([^?#]*)', 1) AS path, list_filter(string_split(regexp_extract(url, '[?]([^#]*)', 1), '&'), lambda x: x <> '' AND NOT regexp_matches(x, '^(utm_[a-z]+|ref|fbclid)=') AND NOT regexp_matches(x, '^(page|p|paged|pg)=(0?1)?$')) AS q FROM pages),
+c AS (SELECT *, coalesce(nullif(regexp_replace(regexp_replace(path, '[.]html?$', ''), '(.)/$', '\1'), ''), '/') AS plain, array_to_string(list_sort(q), '&') AS kept FROM p)
+SELECT page_id, url, 'https://' || host || plain || CASE WHEN kept <> '' THEN '?' || kept ELSE '' END AS canonical_url, regexp_extract(host, '([^.]+[.][^.]+)$', 1) AS site FROM c"""
+over_tables("canonical_urls", _CANONICAL)(lambda spark, d: urls.with_canonical(table(spark, d, "pages").select("page_id", "url")))
 over_tables("html_text")(lambda spark, d: html.html_to_text(table(spark, d, "pages")).select("page_id", "title", "language", F.length("text").alias("n_chars")))
 
 # ---- jobs, queues and metrics over the event tables ---------------------------------------------------------------------------
