@@ -54,6 +54,7 @@ def test_spotsigs_fingerprints(spark):
         like = sum((a & b).values()) / sum((a | b).values()) if a or b else 1.0
         r = got[i]
         assert (r.n_chars, r.edited_sha256) == (len(t), hashlib.sha256(edited.encode()).hexdigest())
+        assert r.alike_edited == (like >= 0.8) and r.alike_next == (r.near_next >= 0.8)
         assert r.near_edited == pytest.approx(like) and 0 <= r.near_next <= 1 and r.fingerprint == spotsigs.digest(spotsigs.signatures(t))
     alone = spotsigs.fingerprinted(spark.createDataFrame([(5, "abcdef")], TEXT)).first()
     assert alone.edited_sha256 == hashlib.sha256(b"abcdab").hexdigest() and alone.near_next == 1.0
@@ -108,6 +109,16 @@ def test_spotsigs_pruned_jaccard_and_classes(spark):
         exact = sum((ca & cb).values()) / sum((ca | cb).values()) if ca or cb else 1.0
         assert spotsigs.jaccard(a, b) == pytest.approx(exact)
         assert spotsigs.jaccard(a, b, 0.6) == pytest.approx(exact if exact >= 0.6 else 0.0)
+    copies = [" ".join("x" + w if random.random() < 0.02 else w for w in BASE.split()) for _ in range(25)] + [prose(50) for _ in range(10)]
+    made = {r.doc_id: r.class_id for r in spotsigs.near_duplicates(spark.createDataFrame(list(enumerate(copies)), TEXT)).collect()}
+    parent = list(range(len(copies)))
+    sets = [Counter(spotsigs.signatures(t).tolist()) for t in copies]
+    for a in range(len(copies)):
+        for b in range(a):
+            if sum((sets[a] & sets[b]).values()) >= 0.8 * sum((sets[a] | sets[b]).values()):
+                low, high = sorted((parent[a], parent[b]))
+                parent = [low if x == high else x for x in parent]
+    assert made == dict(enumerate(parent)) and len(set(parent)) < len(copies)
     docs = [(k, t) for k, t in enumerate([BASE, BASE, BASE + " the cloud river", prose(100), "", None])]
     got = {r.doc_id: r.class_id for r in spotsigs.near_duplicates(spark.createDataFrame(docs, TEXT)).collect()}
     assert got == {0: 0, 1: 0, 2: 0, 3: 3, 4: 4, 5: 4}

@@ -13,6 +13,7 @@ as soon as the lengths or the signatures left cannot reach the threshold.
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 from collections.abc import Iterator
 
@@ -109,6 +110,18 @@ def jaccard(a: np.ndarray, b: np.ndarray, at_least: float = 0.0) -> float:
     return common / (len(a) + len(b) - common)
 
 
+def length_partition(n: int, threshold: float = THRESHOLD) -> int:
+    """The partition of set length: sets of partitions that are more than one apart differ too much in length to match."""
+    return math.floor(math.log(max(n, 1)) / -math.log(threshold) + 1e-9)
+
+
+def alike(a: np.ndarray, b: np.ndarray, threshold: float = THRESHOLD) -> bool:
+    """Whether two sorted multisets resemble each other: only those of neighbouring length partitions are compared, as far as the threshold needs."""
+    if abs(length_partition(len(a), threshold) - length_partition(len(b), threshold)) > 1:
+        return False
+    return jaccard(a, b, threshold) >= threshold
+
+
 def _packer(bounds: list, heads: list):
     """Rows to (bucket, guest, doc_id, tie, n, z): buckets by descending doc_id, each head again as a guest that closes the bucket before it."""
 
@@ -144,8 +157,8 @@ def _packer(bounds: list, heads: list):
 def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each row with the row after it in its bucket; a guest only ends a bucket, and only the first of equal guests counts."""
     expand = zstandard.ZstdDecompressor()
-    names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
-    types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
+    names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "alike_edited", "alike_next"]
+    types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.bool_(), pa.bool_()]
     held = None
 
     def compared(row, after) -> tuple:
@@ -154,7 +167,7 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         edited = text[: len(text) - k] + after[3][:k]
         other = signatures(edited) if k else sigs
         sha = hashlib.sha256(edited.encode("utf-8", "replace")).hexdigest()
-        return (doc_id, len(text), sha, digest(sigs), digest(other), jaccard(sigs, other), jaccard(sigs, after[4]))
+        return (doc_id, len(text), sha, digest(sigs), digest(other), jaccard(sigs, other), jaccard(sigs, after[4]), alike(sigs, other), alike(sigs, after[4]))
 
     for batch in batches:
         out = []
@@ -170,8 +183,9 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fingerprinted(docs: DataFrame, buckets: int | None = None) -> DataFrame:
-    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next for each row of docs.
+    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, alike_edited, alike_next for each row of docs.
 
+    The near columns are whole likenesses; the alike ones tell which are near duplicates, by length partitions and pruned Jaccard.
     The edited text is the text with its last third replaced by the beginning of the next document's text, where
     documents follow one another in descending doc_id, nulls last, repeated ids by a hash of their text, and the first
     follows the last (itself, if it is alone). A null text counts as empty; other columns are ignored.
@@ -189,21 +203,16 @@ def fingerprinted(docs: DataFrame, buckets: int | None = None) -> DataFrame:
     heads = [(tops[k - 1][0], tops[k][1]) for k in range(len(tops))]  # a bucket's first id goes to the bucket before; the very first to the last
     packed = rows.mapInArrow(_packer(edges, heads), "bucket int, guest int, doc_id long, tie long, z binary")
     dealt = packed.repartitionById(len(edges) + 1, F.col("bucket")).sortWithinPartitions("bucket", "guest", F.col("doc_id").desc_nulls_last(), "tie")
-    return dealt.mapInArrow(_pairs, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
-
-
-def length_partition(n: np.ndarray | int, threshold: float = THRESHOLD):
-    """The partition of set length: sets of partitions that are more than one apart differ too much in length to match."""
-    return np.floor(np.log(np.maximum(n, 1)) / -np.log(threshold) + 1e-9).astype(np.int64)
+    return dealt.mapInArrow(_pairs, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, alike_edited boolean, alike_next boolean")
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """docs: doc_id, text. Returns (doc_id, class_id): classes linked by a resemblance of at least threshold, named by their least doc_id.
 
     Equal fingerprints are one node, whatever their number. Null texts count as empty; empty fingerprints are one class.
-    Candidates are pairs of distinct fingerprints that share a rare signature and a length partition. Their number
-    grows with the square of a group of differing near copies, so a corpus with very large such groups should be
-    reduced by SimHash first; no registered query calls this.
+    Candidates are pairs of distinct fingerprints that share a rare signature and a length partition. First each is compared
+    with the least one of every such group, which joins most of a group of near copies; then only pairs of a group that are
+    not yet in one class are, other than those inside the group's largest class. No registered query calls this.
     """
 
     @F.arrow_udf("struct<fp:string,sigs:array<long>>")
@@ -221,20 +230,33 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     lonely = F.col("n") - F.col("shared")  # signatures of no other set come first of all
     prefix = F.col("n") - F.ceil(threshold * F.col("n")) + 1
     before = F.aggregate("l", F.struct(lonely.cast("long").alias("seen"), F.array().cast("array<long>").alias("keys")), lambda a, x: F.when(a["seen"] < prefix, F.struct((a["seen"] + x["c"]).alias("seen"), F.concat(a["keys"], F.array(x["sig"])).alias("keys"))).otherwise(a), lambda a: a["keys"])
-    part = F.floor(F.log("n") / F.lit(float(-np.log(threshold))) + 1e-9)
+    part = F.floor(F.log("n") / F.lit(-math.log(threshold)) + 1e-9)  # length_partition
     keys = ranked.select("node", "n", part.alias("part"), F.explode(before).alias("key"))
-    both = keys.withColumn("part", F.explode(F.array(F.col("part"), F.col("part") + 1)))
-    left, right = both.select("key", "part", F.col("node").alias("u"), F.col("n").alias("un")), both.select("key", "part", F.col("node").alias("v"), F.col("n").alias("vn"))
-    pairs = left.join(right, ["key", "part"]).filter((F.col("u") < F.col("v")) & (F.least("un", "vn") >= threshold * F.greatest("un", "vn"))).select("u", "v").distinct()
+    both = cut(keys.withColumn("part", F.explode(F.array(F.col("part"), F.col("part") + 1))))
 
     @F.arrow_udf("boolean")
-    def alike(a: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    def near(a: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for x, y in a:
-            yield pa.array([jaccard(np.array(p, np.int64).view(np.uint64), np.array(q, np.int64).view(np.uint64), threshold) >= threshold for p, q in zip(x.to_pylist(), y.to_pylist())])
+            yield pa.array([alike(np.array(p, np.int64).view(np.uint64), np.array(q, np.int64).view(np.uint64), threshold) for p, q in zip(x.to_pylist(), y.to_pylist())])
 
     su, sv = nodes.select(F.col("node").alias("u"), F.col("sigs").alias("su")), nodes.select(F.col("node").alias("v"), F.col("sigs").alias("sv"))
-    links = pairs.join(su, "u").join(sv, "v").filter(alike("su", "sv")).select("u", "v")
-    roots = connected_components(links)
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        """u, un, v, vn: the pairs that resemble each other."""
+        fit = F.least("un", "vn") >= threshold * F.greatest("un", "vn")
+        known = pairs.filter((F.col("u") != F.col("v")) & fit).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+        return cut(known.join(su, "u").join(sv, "v").filter(near("su", "sv")).select("u", "v"))
+
+    heads = both.groupBy("key", "part").agg(F.min(F.struct("node", "n")).alias("h")).select("key", "part", F.col("h.node").alias("u"), F.col("h.n").alias("un"))
+    first = linked(both.select("key", "part", F.col("node").alias("v"), F.col("n").alias("vn")).join(heads, ["key", "part"]))
+    known = connected_components(first)
+    classed = cut(both.join(known, "node", "left").withColumn("class", F.coalesce("root", "node")).drop("root"))
+    sizes = classed.groupBy("key", "part", "class").agg(F.count("*").alias("c")).groupBy("key", "part").agg(F.max_by("class", F.struct("c", "class")).alias("largest"), F.count("*").alias("classes")).filter("classes > 1")
+    mixed = classed.join(cut(sizes.select("key", "part", "largest")), ["key", "part"])
+    small = mixed.filter(F.col("class") != F.col("largest")).select("key", "part", F.col("node").alias("u"), F.col("n").alias("un"), F.col("class").alias("uc"))
+    other = mixed.select("key", "part", F.col("node").alias("v"), F.col("n").alias("vn"), F.col("class").alias("vc"))
+    second = linked(small.join(other, ["key", "part"]).filter("uc <> vc").select("u", "un", "v", "vn"))
+    roots = connected_components(first.union(second))
     rooted = nodes.select("fp", "node", "least").join(roots, "node", "left").select("fp", "least", F.coalesce("root", "node").alias("root"))
     labels = rooted.groupBy("root").agg(F.min("least").alias("class_id"))
     return made.select("doc_id", "fp").join(rooted.join(labels, "root").select("fp", "class_id"), "fp").select("doc_id", "class_id")
