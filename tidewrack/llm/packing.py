@@ -254,4 +254,9 @@ def read_packed(manifest: DataFrame) -> DataFrame:
 
 
 def packed(docs: DataFrame, folder: str | None = None) -> DataFrame:
+    """docs packed into folder (a new one in the shared folder, if none is given) and put together again: what read_packed returns.
+
+    A null or empty text has no tokens and still has its row, with no segment; overlong texts are split and joined again;
+    repeated rows and ids are documents of their own. An empty table gives an empty result.
+    """
     return read_packed(write_packed(docs, folder))

@@ -232,4 +232,9 @@ def read_bundles(manifest: DataFrame) -> DataFrame:
 
 
 def archived(pages: DataFrame, folder: str | None = None) -> DataFrame:
+    """pages written as bundles into folder (a new one in the shared folder, if none is given) and read back: what read_bundles returns.
+
+    A null html is an empty payload; a null page_id comes last, and is a revisit where another page has its payload; repeated
+    rows are records of their own. An empty table gives an empty result.
+    """
     return read_bundles(write_bundles(pages, folder))
