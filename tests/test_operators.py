@@ -72,6 +72,68 @@ def test_catalog(spark):
     assert catalog.latest_captures(df.union(older)).join(df, ["capture_id", "fetch_ts"]).count() == 4
 
 
+def plain_murmur(raw):
+    """MurmurHash3 x64 128, a block at a time."""
+    m = 2**64 - 1
+    rot = lambda x, r: (x << r | x >> 64 - r) & m
+    c1, c2, a, b = 0x87C37B91114253D5, 0x4CF5AD432745937F, 0, 0
+    whole = len(raw) // 16 * 16
+    for k in range(0, whole, 16):
+        x, y = int.from_bytes(raw[k : k + 8], "little"), int.from_bytes(raw[k + 8 : k + 16], "little")
+        a = ((rot(a ^ rot(x * c1 & m, 31) * c2 & m, 27) + b) * 5 + 0x52DCE729) & m
+        b = ((rot(b ^ rot(y * c2 & m, 33) * c1 & m, 31) + a) * 5 + 0x38495AB5) & m
+    rest = raw[whole:]
+    b ^= rot(int.from_bytes(rest[8:], "little") * c2 & m, 33) * c1 & m
+    a ^= rot(int.from_bytes(rest[:8], "little") * c1 & m, 31) * c2 & m
+    a, b = a ^ len(raw), b ^ len(raw)
+    a = a + b & m
+    b = b + a & m
+
+    def finish(x):
+        x = (x ^ x >> 33) * 0xFF51AFD7ED558CCD & m
+        x = (x ^ x >> 33) * 0xC4CEB9FE1A85EC53 & m
+        return x ^ x >> 33
+
+    a, b = finish(a), finish(b)
+    a = a + b & m
+    return a, b + a & m
+
+
+def test_weighted_signatures_equal_plain_ones(spark):
+    import math
+    import random
+    from collections import Counter
+
+    import xxhash
+
+    rng = random.Random(5)
+    texts = [None, "", "One", "two words", "Ünï-cödé, ＦＵＬＬ width! " * 3] + [" ".join("abcdefghij"[: rng.randint(1, 9)] * rng.randint(1, 4) for _ in range(rng.randint(1, 60))) for _ in range(60)] + ["a b c " * 50]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in dedup.weighted_signatures(df).collect()}
+    hashes = {r.doc_id: r.h for r in df.select("doc_id", dedup.content_hash_xxh3(F.col("text")).alias("h")).collect()}
+    assert plain_murmur(b"hello") == (0xCBD8A7B341BD9B02, 0x5B1E906A48AE1D19)
+    signed = lambda x: x - 2**64 if x >> 63 else x
+    for k, t in enumerate(texts):
+        import re
+        import unicodedata
+
+        words = re.sub(r"[^0-9a-z\s]", " ", unicodedata.normalize("NFKC", t or "").lower()).split()
+        assert hashes[k] == (None if t is None else xxhash.xxh3_64_hexdigest(" ".join(words)))
+        grams = [" ".join(words[i : i + 3]) for i in range(max(1, len(words) - 2))] if words else []
+        if not grams:
+            assert (got[k].hi, got[k].lo, got[k].simhash64) == (None, None, 0)
+            continue
+        sums, plain = [0.0] * 128, [0] * 64
+        for g, n in Counter(grams).items():
+            lo, hi = plain_murmur(g.encode())
+            for b in range(128):
+                sums[b] += (1 + math.log1p(n)) * (1 if (hi << 64 | lo) >> b & 1 else -1)
+            for b in range(64):
+                plain[b] += n if lo >> b & 1 else -n
+        sig = sum(1 << b for b in range(128) if sums[b] >= -1e-9)
+        assert ((got[k].hi, got[k].lo) == (signed(sig >> 64), signed(sig & 2**64 - 1)) or min(map(abs, sums)) < 1e-6) and got[k].simhash64 == signed(sum(1 << b for b in range(64) if plain[b] >= 0))
+
+
 @pytest.mark.parametrize("part_rows", [7, 4096])
 def test_nearest_earlier_equals_brute_force_over_bands(spark, monkeypatch, part_rows):
     import random

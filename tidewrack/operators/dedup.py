@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidewrack.functions.hashing import signatures_of, xxh3_64_hex, xxh3_128_hex
+from tidewrack.functions.text import nfkc
 from tidewrack.session import cut
 
 THRESHOLD, MOST_THRESHOLD, TIGHT = 32, 40, 12
@@ -29,6 +31,19 @@ def content_hash(text: Column) -> Column:
     return F.md5(normalized_for_hash(text).cast("binary"))
 
 
+def content_hash_xxh3(text: Column) -> Column:
+    """The content hash in 16 hexadecimal digits of XXH3, of the NFKC form."""
+    return xxh3_64_hex(normalized_for_hash(nfkc(text)))
+
+
+def doc_id_xxh3(url: Column, content: Column) -> Column:
+    return xxh3_128_hex(F.concat(F.coalesce(url, F.lit("")), F.lit("::"), content))
+
+
+def capture_id_xxh3(doc: Column, observed: Column, locator: Column) -> Column:
+    return xxh3_128_hex(F.concat_ws("|", doc, observed, F.coalesce(locator, F.lit(""))))
+
+
 def doc_id_for(url: Column, content: Column) -> Column:
     return F.md5(F.concat(F.coalesce(url, F.lit("")), F.lit("::"), content).cast("binary"))
 
@@ -65,6 +80,11 @@ def signatures(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFr
     return df.select(key, _signatures(normalized_for_hash(F.col(text))).alias("s")).select(key, "s.hi", "s.lo")
 
 
+def weighted_signatures(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """key, hi, lo, simhash64: 128-bit signatures of Murmur3 bits, distinct shingles weighted by 1 + ln(1 + their number), and plain 64-bit ones."""
+    return df.select(key, signatures_of(normalized_for_hash(nfkc(F.col(text)))).alias("s")).select(key, "s.hi", "s.lo", "s.simhash64")
+
+
 def hamming(hi_a: str, lo_a: str, hi_b: str, lo_b: str) -> Column:
     return F.bit_count(F.col(hi_a).bitwiseXOR(F.col(hi_b))) + F.bit_count(F.col(lo_a).bitwiseXOR(F.col(lo_b)))
 
@@ -195,15 +215,17 @@ def nearest_earlier(sigs: DataFrame, most: int) -> DataFrame:
     return found.groupBy("nid").agg(F.min(F.struct("d", "other")).alias("m")).select("nid", "m.d", "m.other")
 
 
-def near_decisions(df: DataFrame, threshold: int = THRESHOLD, arrival: str = "observed_ts") -> DataFrame:
+def near_decisions(df: DataFrame, threshold: int = THRESHOLD, arrival: str = "observed_ts", weighted: bool = False) -> DataFrame:
     """All decisions, with dup_group: a new document that is nearest to an earlier one, within the threshold and past the guard, joins its group.
 
+    weighted takes weighted_signatures, else the portable ones, which SQL can check.
     The nearest earlier neighbour is the only candidate and roots never move, so groups are chains of pointers; they
     are followed by doubling. Neighbours are looked for among those that share a band; only the nearest leaves a task.
     """
     threshold = max(0, min(threshold, MOST_THRESHOLD))
     exact = exact_decisions(df, arrival)
-    new = df.join(exact.filter("decision = 'NEW'").select("capture_id"), "capture_id", "left_semi").select("capture_id", "doc_id", F.col(arrival).alias("at"), _signatures(normalized_for_hash(F.col("text"))).alias("sig"), token_sketch(F.col("text")).alias("s"))
+    sig = signatures_of(normalized_for_hash(nfkc(F.col("text")))) if weighted else _signatures(normalized_for_hash(F.col("text")))
+    new = df.join(exact.filter("decision = 'NEW'").select("capture_id"), "capture_id", "left_semi").select("capture_id", "doc_id", F.col(arrival).alias("at"), sig.alias("sig"), token_sketch(F.col("text")).alias("s"))
     # sorted as a whole, so that numbers rise with arrival
     new = cut(new.orderBy(F.col("at").asc_nulls_first(), "capture_id").select(F.monotonically_increasing_id().alias("nid"), "capture_id", "doc_id", "sig.hi", "sig.lo", "s.token_hash", "s.token_count"))
     nearest = nearest_earlier(new.select("nid", "hi", "lo").filter("hi IS NOT NULL"), threshold)

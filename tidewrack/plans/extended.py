@@ -161,7 +161,9 @@ registry.GROUPED |= {"capture_detail"}
 over_captures("captures_health", "SELECT count(*) AS captures, CAST(epoch(max(fetch_ts)) AS BIGINT) AS newest, count(*) FILTER (WHERE text IS NULL) AS without_text FROM captures")(lambda df: briefing.health(df).withColumn("newest", F.unix_seconds(F.col("newest").cast("timestamp"))))
 _POP = "sum(bit_count(xor(instr('0123456789abcdef', substr(a.signature, CAST(i AS INTEGER), 1)) - 1, instr('0123456789abcdef', substr(b.signature, CAST(i AS INTEGER), 1)) - 1)))"
 over_captures("dedup_check", f"{registry._SIGS} SELECT a.capture_id, CAST({_POP} AS INTEGER) AS distance FROM sig a CROSS JOIN (SELECT signature FROM sig WHERE capture_id = 'cap-2') b CROSS JOIN (SELECT unnest(generate_series(1, 32)) AS i) GROUP BY 1 HAVING {_POP} <= 32")(lambda df: briefing.dedup_check(df, df.filter("capture_id = 'cap-2'").first()["text"]))
-_PAIRED = "concat('cap-', CAST(CAST(doc_id AS BIGINT) + 1 AS VARCHAR))"
+over_captures("weighted_signatures")(lambda df: dedup.weighted_signatures(df, key="capture_id"))
+over_captures("xxh3_identities")(lambda df: df.select("capture_id", dedup.content_hash_xxh3(F.col("text")).alias("hash"), dedup.doc_id_xxh3(F.col("url"), F.col("content_hash")).alias("doc"), dedup.capture_id_xxh3(F.col("doc_id"), F.col("domain"), F.col("url")).alias("capture")))
+over_captures("weighted_near_decisions")(lambda df: dedup.near_decisions(df, weighted=True))
 
 
 def _guards(df: DataFrame) -> DataFrame:
