@@ -31,49 +31,107 @@ LEAD_CHARS, LENGTH_PIVOT, LENGTH_FLOOR, HALF_LIFE_DAYS = 280, 4000, 0.75, 30.0
 # ---- index -------------------------------------------------------------------------------------------------------
 
 
-def postings(df: DataFrame, stem: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """term, capture_id, tf_title, tf_text. stem maps a table of distinct terms to (term, stem); it is joined to the tokens."""
+def postings(df: DataFrame, stem: Callable[[DataFrame], DataFrame] | None = None, stopwords: frozenset[str] = frozenset()) -> DataFrame:
+    """term, capture_id, tf_title, tf_text, without stopwords. stem maps a table of distinct terms to (term, stem); it is joined to the tokens."""
     parts = [df.select("capture_id", F.lit(k).alias("f"), F.explode(letter_tokens(F.col(c))).alias("term")) for k, c in enumerate(("title", "text"))]
     rows = parts[0].union(parts[1]).groupBy("capture_id", "term").agg(F.count_if(F.col("f") == 0).alias("tf_title"), F.count_if(F.col("f") == 1).alias("tf_text"))
+    if stopwords:
+        rows = rows.filter(~F.col("term").isin(*sorted(stopwords)))
     if stem is not None:
         stems = stem(rows.select("term").distinct())
         rows = rows.join(stems, "term").groupBy("capture_id", F.col("stem").alias("term")).agg(F.sum("tf_title").alias("tf_title"), F.sum("tf_text").alias("tf_text"))
     return rows.select("term", "capture_id", "tf_title", "tf_text")
 
 
+def field_sums(df: DataFrame) -> DataFrame:
+    """One row: docs, title_chars, text_chars; rows of several tables can be added up."""
+    chars = lambda c: F.coalesce(F.sum(F.length(c)), F.lit(0)).cast("long")
+    return df.agg(F.count("*").alias("docs"), chars("title").alias("title_chars"), chars("text").alias("text_chars"))
+
+
+def averaged(sums: DataFrame) -> DataFrame:
+    """One row: docs, avg_title, avg_text (characters, one at least), of one or more rows of field_sums."""
+    docs = F.coalesce(F.sum("docs"), F.lit(0))
+    mean = lambda c: F.greatest(F.lit(1.0), F.coalesce(F.sum(c) / F.nullif(docs, F.lit(0)), F.lit(0.0)))
+    return sums.agg(docs.alias("docs"), mean("title_chars").alias("avg_title"), mean("text_chars").alias("avg_text"))
+
+
 def field_stats(df: DataFrame) -> DataFrame:
-    """One row: docs, avg_title, avg_text (characters, one at least)."""
-    mean = lambda c: F.greatest(F.lit(1.0), F.coalesce(F.avg(F.length(F.coalesce(c, F.lit("")))), F.lit(0.0)))
-    return df.agg(F.count("*").alias("docs"), mean("title").alias("avg_title"), mean("text").alias("avg_text"))
+    return averaged(field_sums(df))
+
+
+#: Captures and days of appended postings from which they are due to be merged.
+PROMOTE_DOCS, PROMOTE_DAYS = 50_000, 7
 
 
 @dataclass
 class SearchIndex:
-    """An index that is stored as Parquet, terms hashed over files so a term's postings are together."""
+    """An index that is stored as Parquet: a generation of postings, with terms hashed over files so a term's are together, and a delta that is appended to.
+
+    Readers follow the newest entry of `generations`, which is written last, so a failed build or promotion leaves the one before in place.
+    """
 
     spark: SparkSession
     path: str
 
-    def build(self, df: DataFrame, buckets: int = 64, **options) -> SearchIndex:
-        postings(df, **options).withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets))).repartition("bucket").sortWithinPartitions("term").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/postings")
-        field_stats(df).withColumn("buckets", F.lit(buckets)).write.mode("overwrite").parquet(f"{self.path}/stats")
+    def _generation(self):
+        return self.spark.read.parquet(f"{self.path}/generations").orderBy(F.desc("number")).first()
+
+    def _write(self, part: str, post: DataFrame, docs: DataFrame, sums: DataFrame, buckets: int) -> None:
+        post.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets))).repartition("bucket").sortWithinPartitions("term").write.mode("append").partitionBy("bucket").parquet(f"{part}/postings")
+        docs.write.mode("append").parquet(f"{part}/docs")
+        sums.write.mode("append").parquet(f"{part}/sums")  # last: what has no sums is not counted as appended
+
+    def _read(self, kind: str, number: int, delta: bool = True) -> DataFrame:
+        parts = [f"{self.path}/{number}/base/{kind}"] + [f"{self.path}/{number}/delta/{kind}"] * (delta and self._has_delta(number))
+        return self.spark.read.option("basePath", parts[0]).parquet(parts[0]) if len(parts) == 1 else self.spark.read.parquet(parts[0]).unionByName(self.spark.read.parquet(parts[1]))
+
+    def _has_delta(self, number: int) -> bool:
+        place = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{number}/delta/sums/_SUCCESS")
+        return place.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
+
+    def _publish(self, number: int, buckets: int) -> None:
+        self.spark.createDataFrame([(number, buckets)], "number long, buckets int").coalesce(1).write.mode("append").parquet(f"{self.path}/generations")
+
+    def build(self, df: DataFrame, buckets: int = 64, number: int = 1, **options) -> SearchIndex:
+        self._write(f"{self.path}/{number}/base", postings(df, **options), df.select("capture_id"), field_sums(df).withColumn("at", F.current_timestamp()), buckets)
+        self._publish(number, buckets)
+        return self
+
+    def append(self, df: DataFrame, at: Column | None = None, **options) -> SearchIndex:
+        """Adds captures that the index has not, in the delta; document frequencies and averages are over all of it."""
+        now = self._generation()
+        fresh = df.join(self._read("docs", now.number), "capture_id", "left_anti")
+        self._write(f"{self.path}/{now.number}/delta", postings(fresh, **options), fresh.select("capture_id"), field_sums(fresh).withColumn("at", F.current_timestamp() if at is None else at.cast("timestamp")), now.buckets)
         return self
 
-    def append(self, df: DataFrame, **options) -> SearchIndex:
-        """Adds captures that the index has not; document frequencies are over all of it."""
-        known = self.spark.read.parquet(f"{self.path}/postings").select("capture_id").distinct()
-        fresh = df.join(known, "capture_id", "left_anti")
-        n = self.stats().first()["buckets"]
-        postings(fresh, **options).withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(n))).repartition("bucket").sortWithinPartitions("term").write.mode("append").partitionBy("bucket").parquet(f"{self.path}/postings")
+    def due(self, as_of: Column) -> bool:
+        """Whether the delta is large or old enough to be merged."""
+        number = self._generation().number
+        if not self._has_delta(number):
+            return False
+        row = self.spark.read.parquet(f"{self.path}/{number}/delta/sums").agg(F.sum("docs").alias("docs"), (F.min("at") <= as_of.cast("timestamp") - F.expr(f"interval {PROMOTE_DAYS} days")).alias("old")).first()
+        return (row.docs or 0) >= PROMOTE_DOCS or bool(row.old)
+
+    def promote(self) -> SearchIndex:
+        """A new generation of base and delta together. The one before stays, for readers that have begun."""
+        now = self._generation()
+        sums = self._read("sums", now.number).agg(*[F.sum(c).alias(c) for c in ("docs", "title_chars", "text_chars")], F.max("at").alias("at"))
+        self._write(f"{self.path}/{now.number + 1}/base", self._read("postings", now.number).drop("bucket"), self._read("docs", now.number), sums, now.buckets)
+        self._publish(now.number + 1, now.buckets)
         return self
 
+    def missing(self, df: DataFrame) -> DataFrame:
+        """The captures of df that the index has not: none if it is fresh."""
+        return df.join(self._read("docs", self._generation().number), "capture_id", "left_anti")
+
     def stats(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/stats")
+        return averaged(self._read("sums", self._generation().number))
 
     def of_terms(self, terms: list[str]) -> DataFrame:
-        n = self.stats().first()["buckets"]
-        hashed = self.spark.createDataFrame([(t,) for t in terms], "term string").select("term", F.pmod(F.xxhash64("term"), F.lit(n)).alias("b")).collect()
-        return self.spark.read.parquet(f"{self.path}/postings").filter(F.col("bucket").isin([r.b for r in hashed]) & F.col("term").isin(terms)).drop("bucket")
+        now = self._generation()
+        hashed = self.spark.createDataFrame([(t,) for t in terms], "term string").select("term", F.pmod(F.xxhash64("term"), F.lit(now.buckets)).alias("b")).collect()
+        return self._read("postings", now.number).filter(F.col("bucket").isin([r.b for r in hashed]) & F.col("term").isin(terms)).drop("bucket")
 
 
 # ---- ranking -----------------------------------------------------------------------------------------------------

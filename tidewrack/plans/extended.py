@@ -220,6 +220,22 @@ SELECT 'src3.example' AS domain, count(*) AS captures, round(avg(length(text)),
 _DROPPED = ", ".join(f"'{t}'" for t in ["the", *registry._QUERY])
 over_captures("dropped_terms", f"{registry._POST}, f AS (SELECT term, count(*) AS df FROM post WHERE term IN ({_DROPPED}) GROUP BY 1), i AS (SELECT *, ln(1 + ((SELECT count(*) FROM captures) - df + 0.5) / (df + 0.5)) AS idf, (SELECT count(*) FROM captures) AS docs FROM f), g AS (SELECT *, idf < 1.0 AND docs >= 20 AS low FROM i) SELECT term, df, round(idf, 6) AS idf, low AND NOT bool_and(low) OVER () AS dropped FROM g")(lambda df: search.dropped_terms(df, ["the", *registry._QUERY], search.postings(df)))
 
+
+
+def _indexed(spark: SparkSession, d: str) -> DataFrame:
+    """An index that is built, appended to, promoted and appended to again; what it then knows of some terms."""
+    df, third = captures(spark, d, False), F.col("doc_id").cast("long") % 3
+    index = search.SearchIndex(spark, shared_subdir(spark, "index")).build(df.filter(third == 0), 8)
+    old = ntz("2024-01-01 00:00:00")
+    if index.append(df.filter(third <= 1), old).due(as_of()):
+        index.promote()
+    index.append(df, old)
+    found = search.document_frequencies(index.of_terms(["the", *registry._QUERY]))
+    return found.crossJoin(F.broadcast(index.stats())).select("term", "df", "docs", F.round("avg_title", 4).alias("avg_title"), F.round("avg_text", 4).alias("avg_text"), F.lit(index.missing(df).count()).alias("missing"))
+
+
+over_tables("index_lifecycle", f"WITH {CAPTURES_SQL}{registry._POST} SELECT term, count(*) AS df, (SELECT count(*) FROM captures) AS docs, (SELECT round(greatest(1.0, avg(length(title))), 4) FROM captures) AS avg_title, (SELECT round(greatest(1.0, avg(length(text))), 4) FROM captures) AS avg_text, 0 AS missing FROM post WHERE term IN ({_DROPPED}) GROUP BY term")(_indexed)
+
 # ---- URLs ------------------------------------------------------------------------------------------------------------------
 
 _URLS = "u AS (SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'https://' || source || '.example/' WHEN 1 THEN 'https://' || source || '.example/index.html' WHEN 2 THEN 'http://localhost/' || doc_id WHEN 3 THEN 'https://10.0.0.' || doc_id % 200 || '/x' ELSE 'https://www.' || source || '.co.uk/a?b=' || doc_id END AS url, source FROM documents)"
