@@ -11,7 +11,7 @@ from tidewrack.functions import text as texts
 from tidewrack.functions import urls
 from tidewrack.functions.tokens import ANALYTICS_STOPWORDS, SOURCE_STOPWORDS, sql_words
 from tidewrack.functions.windows import bucket
-from tidewrack.operators import alerts, briefing, crosssource, dedup, digest, jobs, operations, quality, search, sentiment, sources, terms
+from tidewrack.operators import alerts, briefing, catalog, crosssource, dedup, digest, entities, jobs, operations, quality, search, sentiment, sources, terms
 from tidewrack.plans import registry
 from tidewrack.plans.registry import AS_OF, OTHER, RULES, TERM, TOPICS, as_of, over_captures, over_tables
 from tidewrack.session import shared_subdir
@@ -150,6 +150,25 @@ UNION ALL SELECT job_id, NULL, CASE WHEN source IN (SELECT source FROM p) THEN '
 over_tables("metric_histogram", 'WITH r AS (SELECT event_type AS name, value, row_number() OVER (PARTITION BY event_type ORDER BY value) AS k, count(*) OVER (PARTITION BY event_type) AS n FROM events WHERE value IS NOT NULL) SELECT name, max(n) AS count, round(sum(value), 4) AS "sum", min(value) AS "min", max(value) AS "max", min(value) FILTER (WHERE k >= 0.5 * n) AS p50, min(value) FILTER (WHERE k >= 0.95 * n) AS p95 FROM r GROUP BY 1')(
     lambda spark, d: operations.histogram(table(spark, d, "events").filter("value IS NOT NULL").select(F.col("event_type").alias("name"), "value")).withColumn("sum", F.round("sum", 4))
 )
+_PROFILE = jobs.Profile(titles=["urgent"], skills=["low", "specified"], locations=["priority 3"], exclude=["medium"])
+
+
+def _job_rows(spark: SparkSession, d: str) -> DataFrame:
+    o = table(spark, d, "orders")
+    k = F.col("o_orderkey")
+    source = F.when(k % 4 == 0, "linkedin").when(k % 4 == 1, "ats").when(k % 4 == 2, "remotive").otherwise("unknown")
+    return o.select(k.alias("position"), F.concat(F.lit("Job "), F.regexp_replace("o_orderpriority", "^[0-9]-", "")).alias("title"), F.lit("c").alias("company"), F.concat(F.lit("priority "), F.substring("o_orderpriority", 1, 1)).alias("location"), F.array().cast("array<string>").alias("tags"), F.concat(F.lit("about "), F.lower("o_orderstatus"), F.lit(" low")).alias("description"), F.lit("").alias("salary"), (k % 5 == 0).alias("remote"), source.alias("source"), F.col("o_orderdate").alias("published_at"), F.concat(F.lit("u"), k.cast("string")).alias("url"))
+
+
+_JOB_SCORE = """WITH j AS (SELECT o_orderkey AS position, lower(regexp_replace(o_orderpriority, '^[0-9]-', '')) AS t, substr(o_orderpriority, 1, 1) AS place, o_orderkey % 5 = 0 AS remote, CASE o_orderkey % 4 WHEN 0 THEN 4.0 WHEN 1 THEN 3.5 WHEN 2 THEN 2.0 ELSE 0.0 END AS trust, CASE o_orderkey % 4 WHEN 0 THEN 'linkedin' WHEN 1 THEN 'ats' WHEN 2 THEN 'remotive' ELSE 'unknown' END AS source, o_orderdate, greatest(0.0, (epoch(TIMESTAMP '1998-06-01 00:00:00') - epoch(o_orderdate)) / 3600) AS hours FROM orders),
+s AS (SELECT position, source, o_orderdate, round(CASE WHEN t = 'medium' THEN -25.0 ELSE 0.0 END + CASE WHEN t = 'urgent' THEN 15.0 ELSE 0.0 END + CASE WHEN t = 'low' THEN 12.0 WHEN t = 'not specified' THEN 12.0 ELSE 0.0 END + 4.0
+  + CASE WHEN place = '3' THEN 14.0 WHEN remote THEN 6.0 ELSE -8.0 END + CASE WHEN hours >= 336 THEN -least(6.0, (hours - 336) / 168 * 6) ELSE 12 * (1 - hours / 336) END + trust, 2) AS score FROM j)"""
+over_tables("jobs_scored", f"{_JOB_SCORE} SELECT position, score FROM s")(lambda spark, d: jobs.scored(_job_rows(spark, d), _PROFILE, ntz("1998-06-01 00:00:00")).select("position", "score"))
+over_tables(
+    "jobs_ranked",
+    f"""{_JOB_SCORE}, p AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY score DESC, o_orderdate DESC NULLS LAST, 'u' || position) AS p FROM s WHERE score > -15),
+t AS (SELECT *, CASE WHEN source = 'linkedin' AND p <= 12 THEN 0 WHEN source = 'linkedin' THEN p - 12 ELSE p END AS turn, CASE WHEN source = 'linkedin' AND p <= 12 THEN p ELSE 0 END AS q, CASE source WHEN 'linkedin' THEN 0 WHEN 'ats' THEN 1 ELSE 2 END AS k FROM p) SELECT position, source, score FROM t ORDER BY turn, q, k, source LIMIT 40""",
+)(lambda spark, d: jobs.ranked(_job_rows(spark, d), _PROFILE, ntz("1998-06-01 00:00:00")).select("position", "source", "score"))
 over_tables("job_freshness", "WITH h AS (SELECT o_orderkey, greatest(0.0, (epoch(TIMESTAMP '1998-06-01 00:00:00') - epoch(o_orderdate)) / 3600) AS hours FROM orders) SELECT o_orderkey, round(CASE WHEN hours >= 336 THEN -least(6.0, (hours - 336) / 168 * 6) ELSE 12 * (1 - hours / 336) END, 4) + 0.0 AS points FROM h")(
     lambda spark, d: table(spark, d, "orders").select("o_orderkey", (F.round(jobs.freshness(F.col("o_orderdate"), ntz("1998-06-01 00:00:00")), 4) + 0.0).alias("points"))
 )
@@ -159,6 +178,11 @@ over_tables("job_freshness", "WITH h AS (SELECT o_orderkey, greatest(0.0, (epoch
 over_captures("capture_detail", "SELECT 'cap-2' AS capture_id, count(*) - 1 AS related_count FROM captures WHERE parent_doc_or_dup_group = (SELECT parent_doc_or_dup_group FROM captures WHERE capture_id = 'cap-2')")(lambda df: briefing.detail(df, "cap-2").select("capture_id", "related_count"))
 registry.GROUPED |= {"capture_detail"}
 over_captures("captures_health", "SELECT count(*) AS captures, CAST(epoch(max(fetch_ts)) AS BIGINT) AS newest, count(*) FILTER (WHERE text IS NULL) AS without_text FROM captures")(lambda df: briefing.health(df).withColumn("newest", F.unix_seconds(F.col("newest").cast("timestamp"))))
+over_captures("sampled_captures", "SELECT 100 AS n, 100 AS known FROM (SELECT 1)")(lambda df: catalog.sampled(df.select("capture_id"), 100, 3).withColumn("hit", F.lit(1)).join(df.select("capture_id").distinct(), "capture_id").agg(F.count("*").alias("n"), F.count_distinct("capture_id").alias("known")))
+over_captures("saved_search", "SELECT capture_id FROM (SELECT *, row_number() OVER (PARTITION BY content_hash ORDER BY fetch_ts DESC, capture_id) AS rn FROM captures WHERE title ILIKE '%theand%' OR text ILIKE '%theand%') WHERE rn = 1 ORDER BY fetch_ts DESC, capture_id LIMIT 30")(
+    lambda df: briefing.run_saved(df, df.sparkSession.createDataFrame([("mine", "theand", "substring")], "name string, query string, mode string"), "mine").rows.select("capture_id")
+)
+over_tables("simulated_messages", "SELECT 's-7-' || k AS tweet_id, CAST(epoch(TIMESTAMP '2024-01-01 00:00:00') + k * 37 * 60 AS BIGINT) AS created FROM (SELECT unnest(generate_series(0, 49)) AS k)")(lambda spark, d: briefing.simulated_messages(spark, "s", 50, 7).select("tweet_id", F.unix_seconds(F.col("created_at").cast("timestamp")).alias("created")))
 _POP = "sum(bit_count(xor(instr('0123456789abcdef', substr(a.signature, CAST(i AS INTEGER), 1)) - 1, instr('0123456789abcdef', substr(b.signature, CAST(i AS INTEGER), 1)) - 1)))"
 over_captures("dedup_check", f"{registry._SIGS} SELECT a.capture_id, CAST({_POP} AS INTEGER) AS distance FROM sig a CROSS JOIN (SELECT signature FROM sig WHERE capture_id = 'cap-2') b CROSS JOIN (SELECT unnest(generate_series(1, 32)) AS i) GROUP BY 1 HAVING {_POP} <= 32")(lambda df: briefing.dedup_check(df, df.filter("capture_id = 'cap-2'").first()["text"]))
 over_captures("weighted_signatures")(lambda df: dedup.weighted_signatures(df, key="capture_id"))
@@ -236,6 +260,41 @@ def _indexed(spark: SparkSession, d: str) -> DataFrame:
 
 over_tables("index_lifecycle", f"WITH {CAPTURES_SQL}{registry._POST} SELECT term, count(*) AS df, (SELECT count(*) FROM captures) AS docs, (SELECT round(greatest(1.0, avg(length(title))), 4) FROM captures) AS avg_title, (SELECT round(greatest(1.0, avg(length(text))), 4) FROM captures) AS avg_text, 0 AS missing FROM post WHERE term IN ({_DROPPED}) GROUP BY term")(_indexed)
 
+# ---- entities --------------------------------------------------------------------------------------------------------------
+
+
+def _entities(where: str) -> str:
+    """ents: capture_id, entity, kind, by the rules of operators/entities.py, of the captures that where holds for."""
+    starters, suffixes, places, nouns = (sql_words(x) for x in (entities.STARTERS, entities.ORG_SUFFIXES, entities.PLACES, entities.HEADLINE_NOUNS))
+    return f"""docs AS (SELECT capture_id, title || chr(10) || text AS t FROM captures WHERE {where}),
+tok AS (SELECT capture_id, unnest(w) AS w, generate_subscripts(w, 1) AS p FROM (SELECT capture_id, regexp_extract_all(t, '[A-Za-z][A-Za-z0-9''&.-]*') AS w FROM docs) WHERE len(w) > 0),
+tc AS (SELECT capture_id, w, p, p - row_number() OVER (PARTITION BY capture_id ORDER BY p) AS g FROM tok WHERE regexp_full_match(w, '[A-Z][A-Za-z]*')),
+sp AS (SELECT * FROM (SELECT capture_id, g, w, row_number() OVER (PARTITION BY capture_id, g ORDER BY p) AS k, w IN ({suffixes}) AS sfx FROM tc) WHERE k <= 8),
+near AS (SELECT *, coalesce(max(CASE WHEN sfx THEN k END) OVER (PARTITION BY capture_id, g ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS prev, bool_or(sfx) OVER (PARTITION BY capture_id, g) AS any_sfx, count(*) OVER (PARTITION BY capture_id, g) AS n FROM sp),
+orgs AS (SELECT s.capture_id, concat_ws(' ', (SELECT string_agg(w, ' ' ORDER BY k) FROM (SELECT w, k FROM sp b WHERE b.capture_id = s.capture_id AND b.g = s.g AND b.k > s.prev AND b.k < s.k AND b.w NOT IN ({starters}) ORDER BY k DESC LIMIT 3)), s.w) AS entity FROM near s WHERE sfx),
+parts AS (SELECT a.capture_id, a.g, a.k, z.size, string_agg(b.w, ' ' ORDER BY b.k) AS entity FROM near a CROSS JOIN (VALUES (1), (2), (3), (4)) z(size) JOIN sp b ON b.capture_id = a.capture_id AND b.g = a.g AND b.k BETWEEN a.k - z.size + 1 AND a.k WHERE NOT a.sfx AND a.k - z.size >= a.prev GROUP BY ALL),
+found AS (SELECT capture_id, entity FROM (SELECT *, row_number() OVER (PARTITION BY capture_id, g, k ORDER BY size) AS rn FROM parts WHERE entity IN ({places})) WHERE rn = 1),
+people AS (SELECT capture_id, max(w) FILTER (WHERE k = 1) || ' ' || max(CASE WHEN lower(w) IN ('and', 'of', 'the', 'for', 'in', 'on', 'at', 'to', 'vs') THEN lower(w) ELSE w END) FILTER (WHERE k = 2) AS entity FROM near WHERE NOT any_sfx AND n BETWEEN 2 AND 3 GROUP BY capture_id, g HAVING bool_and(w NOT IN ({nouns}) AND w NOT IN ({places})) AND max(w) FILTER (WHERE k = 1) NOT IN ({starters})),
+tickers AS (SELECT capture_id, x AS entity FROM docs CROSS JOIN (SELECT unnest([{sql_words(entities.TICKERS)}]) AS x) WHERE contains(upper(t), x) AND regexp_matches(t, '(?i)(^|[^A-Za-z0-9$])[$]?' || x || '($|[^A-Za-z0-9])')),
+every AS (SELECT DISTINCT * FROM (SELECT capture_id, entity, 'ORG' AS kind FROM orgs UNION ALL SELECT capture_id, entity, 'PLACE' FROM found UNION ALL SELECT capture_id, entity, 'PERSON' FROM people)),
+ents AS (SELECT * FROM every WHERE length(entity) BETWEEN 2 AND 80 AND lower(entity) NOT IN ('the', 'a', 'an', 'this', 'that', 'these', 'new', 'old', 'big', 'high', 'low') UNION ALL SELECT capture_id, entity, 'TICKER' FROM tickers)"""
+
+
+over_captures("entity_counts", f", {_entities(chr(39) + 'x' + chr(39) + ' = ' + chr(39) + 'x' + chr(39))} SELECT entity, kind, count(*) AS count FROM ents GROUP BY 1, 2 ORDER BY count DESC, entity, kind LIMIT 100")(lambda df: entities.entity_counts(df))
+over_captures("entity_co_occurrence", f", {_entities(registry._has('The'))} SELECT entity, kind, count(*) AS count FROM ents WHERE lower(entity) <> 'the' GROUP BY 1, 2 ORDER BY count DESC, entity, kind LIMIT 50")(lambda df: entities.co_occurrence(df, "The"))
+
+
+def _with_names(df: DataFrame) -> DataFrame:
+    """Captures with sentences that name things of every kind, by their number."""
+    said = ["Angela Smith met the First National Bank of Ankara in New York", "Shares of $NVDA and btc rose, said The Old River Trust Company News", "Bitcoin Rally Today", "United Kingdom Ministry Board", "Rio de Janeiro, Los Angeles; Mexico City Council", "Jean Of Arc Jones", "XBTC $$ETH AT&T Inc"]
+    k = F.col("doc_id").cast("long")
+    return df.withColumn("text", F.concat(F.get(F.array(*[F.lit(x) for x in said]), (k % len(said)).cast("int")), F.lit(". x "), F.get(F.array(*[F.lit(x) for x in said]), (k % 3).cast("int"))))
+
+
+_SAID = "['Angela Smith met the First National Bank of Ankara in New York', 'Shares of $NVDA and btc rose, said The Old River Trust Company News', 'Bitcoin Rally Today', 'United Kingdom Ministry Board', 'Rio de Janeiro, Los Angeles; Mexico City Council', 'Jean Of Arc Jones', 'XBTC $$ETH AT&T Inc']"
+_NAMED = CAPTURES_SQL.replace("d.text AS text, d.lang", f"{_SAID}[CAST(d.doc_id % 7 AS INTEGER) + 1] || '. x ' || {_SAID}[CAST(d.doc_id % 3 AS INTEGER) + 1] AS text, d.lang")
+over_tables("entity_kinds", f"WITH {_NAMED}, {_entities('true')} SELECT entity, kind, count(*) AS count FROM ents GROUP BY 1, 2 ORDER BY count DESC, entity, kind LIMIT 100")(lambda spark, d: entities.entity_counts(_with_names(captures(spark, d, False))))
+
 # ---- URLs ------------------------------------------------------------------------------------------------------------------
 
 _URLS = "u AS (SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'https://' || source || '.example/' WHEN 1 THEN 'https://' || source || '.example/index.html' WHEN 2 THEN 'http://localhost/' || doc_id WHEN 3 THEN 'https://10.0.0.' || doc_id % 200 || '/x' ELSE 'https://www.' || source || '.co.uk/a?b=' || doc_id END AS url, source FROM documents)"
@@ -351,6 +410,19 @@ over_tables("wet_captures", f"WITH {CAPTURES_SQL}, c AS (SELECT url, domain, {_T
 )
 
 
+def _responses(spark: SparkSession, d: str) -> DataFrame:
+    """Pages as response records, with an HTTP head, read back as titles and texts."""
+    html = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n<html><head><title>Page "), "doc_id", F.lit("</title><script>no</script></head><body><nav>menu</nav><p>One <b>two</b> &amp; "), "doc_id", F.lit("</p><p>three</p></body></html>"))
+    rows = captures(spark, d, False).select("url", html.alias("h"))
+    head = F.concat(F.lit("WARC/1.0\r\nWARC-Type: response\r\nWARC-Target-URI: <"), "url", F.lit(">\r\nContent-Length: "), F.octet_length("h").cast("string"), F.lit("\r\n\r\n"))
+    folder = write_lines(rows.select(F.concat(head, "h", F.lit("\r\n\r\n")).alias("value")), "responses")
+    return web.response_captures(web.read_warc(spark, folder + "/*.txt"), 5).select("url", "title", "text")
+
+
+over_tables("response_captures", f"WITH {CAPTURES_SQL} SELECT url, 'Page ' || doc_id AS title, 'One two & ' || doc_id || chr(10) || 'three' AS text FROM captures")(_responses)
+over_tables("shard_paths", "SELECT 'crawl/' || doc_id || '.wet.gz' AS path FROM documents")(lambda spark, d: web.shard_paths(spark, write_lines(table(spark, d, "documents").select(F.concat(F.lit(" crawl/"), F.col("doc_id").cast("string"), F.lit(".wet.gz ")).alias("value")), "paths")).select("path"))
+
+
 def _archives(spark: SparkSession, d: str) -> DataFrame:
     datasource.register(spark)
     folder = _wet_folder(spark, d)

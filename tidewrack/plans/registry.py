@@ -348,8 +348,6 @@ over_captures("export_rows", "SELECT capture_id FROM (SELECT *, row_number() OVE
 
 # ---- entities, URLs, pages -------------------------------------------------------------------------------------------------
 
-over_captures("entity_counts")(lambda df: entities.entity_counts(df))
-over_captures("entity_co_occurrence")(lambda df: entities.co_occurrence(df, "The"))
 over_captures("entity_trend", f", c AS (SELECT CAST(fetch_ts AS DATE) AS bucket, count(*) AS n FROM captures WHERE {_has('der')} GROUP BY 1), cal AS (SELECT CAST(unnest(generate_series(a, b, INTERVAL 1 DAY)) AS DATE) AS bucket FROM (SELECT min(bucket) AS a, max(bucket) AS b FROM c)) SELECT cal.bucket, CAST(coalesce(n, 0) AS BIGINT) AS count FROM cal LEFT JOIN c ON c.bucket = cal.bucket")(lambda df: entities.entity_trend(df, "der"))
 _CANONICAL = r"""WITH p AS (SELECT page_id, url, regexp_replace(regexp_extract(url, '^https?://([^/?#]+)', 1), '^((www|m|mobile|amp)[.])+', '') AS host, regexp_extract(url, '^https?://[^/?#]+([^?#]*)', 1) AS path, list_filter(string_split(regexp_extract(url, '[?]([^#]*)', 1), '&'), lambda x: x <> '' AND NOT regexp_matches(x, '^(utm_[a-z]+|ref|fbclid)=') AND NOT regexp_matches(x, '^(page|p|paged|pg)=(0?1)?$')) AS q FROM pages),
 c AS (SELECT *, coalesce(nullif(regexp_replace(regexp_replace(path, '[.]html?$', ''), '(.)/$', '\1'), ''), '/') AS plain, array_to_string(list_sort(q), '&') AS kept FROM p)
