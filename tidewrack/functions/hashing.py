@@ -73,7 +73,7 @@ def murmur3_128(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tu
     return h1, h2 + h1
 
 
-def _shingles(text: bytes, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def shingles(text: bytes, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The bytes, and the starts and lengths of the shingles of a text whose words are parted by single blanks."""
     data = np.frombuffer(text, dtype=np.uint8)
     if not len(data):
@@ -91,10 +91,11 @@ def _packed(sums: np.ndarray) -> np.ndarray:
 
 def weighted_signature(h1: np.ndarray, h2: np.ndarray) -> tuple[int, int]:
     """(hi, lo), signed: bits whose sum is not negative, each distinct shingle for or against a bit with the weight 1 + ln(1 + its number)."""
-    pairs, counts = np.unique(np.stack([h1, h2], axis=1), axis=0, return_counts=True)
+    _, first, counts = np.unique(h1, return_index=True, return_counts=True)  # equal shingles; others share 64 bits by chance only
+    pairs = np.stack([h1[first], h2[first]], axis=1)
     weights = 1 + np.log1p(counts)
-    bits = np.unpackbits(np.ascontiguousarray(pairs).view(np.uint8).reshape(len(pairs), 16), axis=1, bitorder="little")
-    lo, hi = _packed(2 * (weights @ bits) - weights.sum()).tolist()
+    bits = np.unpackbits(pairs.view(np.uint8).reshape(len(pairs), 16), axis=1, bitorder="little")
+    lo, hi = _packed(2 * (weights @ bits.astype(np.float64)) - weights.sum()).tolist()
     return hi, lo
 
 
@@ -104,7 +105,7 @@ def simhash64(h1: np.ndarray) -> int:
     return int(_packed(2 * ones - len(h1))[0])
 
 
-def hashed_shingles(texts: list[str | None], width: int = 3) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def hashedshingles(texts: list[str | None], width: int = 3) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Both hash halves of each text's shingles, in order; texts are normalized. Many short texts are hashed together."""
     held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     size = 0
@@ -116,7 +117,7 @@ def hashed_shingles(texts: list[str | None], width: int = 3) -> Iterator[tuple[n
         yield from zip(np.split(h1, cuts), np.split(h2, cuts))
 
     for text in texts:
-        held.append(_shingles((text or "").encode("utf-8", "replace"), width))
+        held.append(shingles((text or "").encode("utf-8", "replace"), width))
         size += len(held[-1][1])
         if size > CHUNK:
             yield from flush()
@@ -129,7 +130,7 @@ def hashed_shingles(texts: list[str | None], width: int = 3) -> Iterator[tuple[n
 def signatures_of(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
     """The weighted 128-bit signature and the plain 64-bit one of normalized texts; null and 0 for texts without words."""
     for part in texts:
-        found = [(*weighted_signature(a, b), simhash64(a)) if len(a) else (None, None, 0) for a, b in hashed_shingles(part.to_pylist())]
+        found = [(*weighted_signature(a, b), simhash64(a)) if len(a) else (None, None, 0) for a, b in hashedshingles(part.to_pylist())]
         yield pa.StructArray.from_arrays([pa.array([r[k] for r in found], pa.int64()) for k in range(3)], ["hi", "lo", "simhash64"])
 
 

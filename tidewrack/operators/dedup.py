@@ -12,13 +12,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewrack.functions.hashing import signatures_of, xxh3_64_hex, xxh3_128_hex
+from tidewrack.functions.hashing import shingles, signatures_of, xxh3_64_hex, xxh3_128_hex
 from tidewrack.functions.text import nfkc
 from tidewrack.session import cut
 
 THRESHOLD, MOST_THRESHOLD, TIGHT = 32, 40, 12
 GUARD_RATIO, GUARD_TOKENS = 0.5, 200
 BANDS, BAND_BITS = 16, 8
+_BYTE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
 
 
 def normalized_for_hash(text: Column) -> Column:
@@ -54,13 +55,17 @@ def capture_id_for(doc: Column, observed: Column, locator: Column) -> Column:
 
 def signature(normal: str) -> tuple[int, int] | None:
     """Two signed halves of the 128-bit signature of a normalized text; None without words."""
-    words = normal.split()
-    if not words:
+    raw = normal.encode()
+    _, starts, lengths = shingles(raw, 3)
+    if not len(starts):
         return None
-    grams = [" ".join(words[k : k + 3]) for k in range(max(1, len(words) - 2))]
-    digests = np.frombuffer(b"".join([hashlib.md5(g.encode(), usedforsecurity=False).digest() for g in grams]), dtype=np.uint8).reshape(-1, 16)
-    ones = np.unpackbits(digests, axis=1).sum(axis=0, dtype=np.int64)
-    hi, lo = np.packbits(2 * ones >= len(grams)).view(">i8").tolist()
+    md5 = hashlib.md5
+    digests = np.frombuffer(b"".join([md5(raw[a:b], usedforsecurity=False).digest() for a, b in zip(starts.tolist(), (starts + lengths).tolist())]), dtype=np.uint8).reshape(-1, 16)
+    if len(digests) < 200:
+        ones = np.unpackbits(digests, axis=1).sum(axis=0, dtype=np.int64)
+    else:  # how often each byte value stands in each place tells all its bits
+        ones = np.concatenate([np.bincount(digests[:, k], minlength=256) @ _BYTE_BITS for k in range(16)])
+    hi, lo = np.packbits(2 * ones >= len(digests)).view(">i8").tolist()
     return hi, lo
 
 

@@ -31,10 +31,12 @@ LEAD_CHARS, LENGTH_PIVOT, LENGTH_FLOOR, HALF_LIFE_DAYS = 280, 4000, 0.75, 30.0
 # ---- index -------------------------------------------------------------------------------------------------------
 
 
-def postings(df: DataFrame, stem: Callable[[DataFrame], DataFrame] | None = None, stopwords: frozenset[str] = frozenset()) -> DataFrame:
-    """term, capture_id, tf_title, tf_text, without stopwords. stem maps a table of distinct terms to (term, stem); it is joined to the tokens."""
+def postings(df: DataFrame, stem: Callable[[DataFrame], DataFrame] | None = None, stopwords: frozenset[str] = frozenset(), only: list[str] | None = None) -> DataFrame:
+    """term, capture_id, tf_title, tf_text, without stopwords, and of some terms only, where they are given. stem maps a table of distinct terms to (term, stem); it is joined to the tokens."""
     parts = [df.select("capture_id", F.lit(k).alias("f"), F.explode(letter_tokens(F.col(c))).alias("term")) for k, c in enumerate(("title", "text"))]
-    rows = parts[0].union(parts[1]).groupBy("capture_id", "term").agg(F.count_if(F.col("f") == 0).alias("tf_title"), F.count_if(F.col("f") == 1).alias("tf_text"))
+    rows = parts[0].union(parts[1])
+    rows = rows if only is None else rows.filter(F.col("term").isin(only))
+    rows = rows.groupBy("capture_id", "term").agg(F.count_if(F.col("f") == 0).alias("tf_title"), F.count_if(F.col("f") == 1).alias("tf_text"))
     if stopwords:
         rows = rows.filter(~F.col("term").isin(*sorted(stopwords)))
     if stem is not None:
@@ -151,7 +153,7 @@ def bm25f(df: DataFrame, terms: list[str], post: DataFrame | None = None, prune:
     With prune, terms of little information are left out where the corpus has twenty documents or more, never all.
     """
     terms = list(dict.fromkeys(terms))
-    post = (postings(df) if post is None else post).filter(F.col("term").isin(terms))
+    post = postings(df, only=terms) if post is None else post.filter(F.col("term").isin(terms))
     stats = field_stats(df)
     freq = document_frequencies(post).join(F.broadcast(stats)).withColumn("idf", idf(F.col("docs"), F.col("df")))
     if prune:
