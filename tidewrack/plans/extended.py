@@ -7,8 +7,8 @@ from datetime import date, datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewrack.functions import html, urls
 from tidewrack.functions import text as texts
-from tidewrack.functions import urls
 from tidewrack.functions.tokens import ANALYTICS_STOPWORDS, SOURCE_STOPWORDS, sql_words
 from tidewrack.functions.windows import bucket
 from tidewrack.operators import alerts, briefing, catalog, crosssource, dedup, digest, entities, jobs, operations, quality, search, sentiment, sources, terms
@@ -260,6 +260,55 @@ def _indexed(spark: SparkSession, d: str) -> DataFrame:
 
 over_tables("index_lifecycle", f"WITH {CAPTURES_SQL}{registry._POST} SELECT term, count(*) AS df, (SELECT count(*) FROM captures) AS docs, (SELECT round(greatest(1.0, avg(length(title))), 4) FROM captures) AS avg_title, (SELECT round(greatest(1.0, avg(length(text))), 4) FROM captures) AS avg_text, 0 AS missing FROM post WHERE term IN ({_DROPPED}) GROUP BY term")(_indexed)
 
+# ---- re-ranking ------------------------------------------------------------------------------------------------------------
+
+
+def _factors(source: str, terms: list[str], keep: str) -> str:
+    """factors: the columns keep of source, and each re-ranking factor's fraction over its title, text, url and domain."""
+    n, wanted = len(terms), "[" + ", ".join(f"'{t}'" for t in terms) + "]"
+    words = lambda x: f"list_filter(regexp_extract_all(lower({x}), '[A-Za-z0-9'']+'), lambda t: length(t) >= 2)"
+    hit = lambda x: "(" + " + ".join(f"CAST(contains({x}, '{t}') AS INTEGER)" for t in terms) + f") / {float(n)}"
+    phrase = lambda x: f"CASE WHEN contains({x}, '{' '.join(terms)}') THEN 1.0 WHEN regexp_matches({x}, '(?s){'.*?'.join(terms)}') THEN 0.5 ELSE 0.0 END"
+    exact, prefix = lambda x: f"CAST({x} = {wanted} AS DOUBLE)", lambda x: f"CAST({x}[1:{n}] = {wanted} AS DOUBLE)"
+    return f"""low AS (SELECT *, lower(coalesce(title, '')) AS ti, lower(substr(coalesce(text, ''), 1, 280)) AS le, lower(domain) || ' ' || lower(url) AS wh, regexp_replace(lower(url), '^[a-z][a-z0-9+.-]*://[^/?#]*|[?#].*$', '', 'g') AS path FROM {source}),
+leaf AS (SELECT *, trim(regexp_replace(wh, '[^a-z0-9'']+', ' ', 'g')) AS bl, regexp_replace(regexp_extract(path, '([^/]+)/*$', 1), '(.)[.](html|htm|php|aspx)$', '\\1') AS slug FROM low),
+lists AS (SELECT *, {words('ti')} AS tt, {words('le')} AS lt, {words('slug')} AS st, regexp_extract_all(lower(domain), '[a-z0-9]+') AS labels FROM leaf),
+factors AS (SELECT {keep}, {hit('ti')} AS title_hit, {phrase('ti')} AS title_phrase, {exact('tt')} AS title_exact, {prefix('tt')} AS title_prefix, {hit('wh')} AS url_hit, {phrase('bl')} AS url_phrase, {exact('st')} AS url_exact, {prefix('st')} AS url_prefix,
+  len(list_filter({wanted}, lambda t: list_contains(labels, t))) / {float(n)} AS domain_nav, {hit('le')} AS lead_hit, {phrase('le')} AS lead_phrase, {prefix('lt')} AS lead_prefix, {exact('lt')} AS lead_exact,
+  CASE WHEN length(coalesce(text, '')) <= 4000 THEN 1.0 ELSE 0.75 + 0.25 * 4000 / length(text) END AS length_factor FROM lists)"""
+
+
+_PRODUCT = " * ".join(f"(1 + {v} * {k})" for k, v in search.BOOSTS.items())
+over_captures(
+    "reranked_search",
+    f"{registry._BM25}, top AS (SELECT c.*, round(score, 9) AS score FROM captures c JOIN scored USING (capture_id) ORDER BY round(score, 9) DESC, capture_id LIMIT 200), {_factors('top', ['theand', 'of'], 'capture_id, score')} SELECT capture_id, round(score / max(score) OVER () * {_PRODUCT} * length_factor, 6) AS final_score FROM factors",
+)(lambda df: search.reranked(df.join(search.bm25f(df, registry._QUERY), "capture_id").orderBy(F.desc("score"), "capture_id").limit(200), ["theand", "of"]).select("capture_id", F.round("final_score", 6).alias("final_score")))
+_TWO = registry._BM25.replace(", ".join(f"'{t}'" for t in registry._QUERY), "'theand', 'of'")
+over_captures(
+    "search_results",
+    f"""{_TWO}, top AS (SELECT c.*, round(score, 9) AS score FROM captures c JOIN scored USING (capture_id) ORDER BY round(score, 9) DESC, capture_id LIMIT 200), {_factors('top', ['theand', 'of'], 'capture_id, score, parent_doc_or_dup_group AS grp')},
+f AS (SELECT capture_id, grp, score, round(score / max(score) OVER () * {_PRODUCT} * length_factor, 9) AS final_score FROM factors), r AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY final_score DESC, score DESC, capture_id) AS rn FROM f)
+SELECT capture_id, round(final_score, 6) AS final_score FROM r WHERE rn = 1 ORDER BY r.final_score DESC, score DESC, capture_id LIMIT 30""",
+)(lambda df: search.search(df, "theand of", prune=False).rows.select("capture_id", F.round("final_score", 6).alias("final_score")))
+registry.GROUPED |= {"search_results"}
+_SAYS = {
+    "title": ["Bitcoin price", "Bitcoin Price surges", "The price of bitcoin", "bitcoin and the price", "Other"],
+    "text": ["Bitcoin price", "bitcoin price rises today", "on bitcoin, its price", "nothing"],
+    "url": ["https://bitcoin.example/a/bitcoin-price.html?x=1", "https://price.example/bitcoin-price-news/", "https://e.example/x/y"],
+    "domain": ["bitcoin.example", "price.example", "e.example"],
+}
+_SAYS_SQL = ", ".join(f"{says}[CAST(CAST(doc_id AS BIGINT) % {len(says)} AS INTEGER) + 1] AS {c}" for c, says in _SAYS.items())
+
+
+def _with_says(df: DataFrame) -> DataFrame:
+    k = F.col("doc_id").cast("long")
+    return df.withColumns({c: F.get(F.array(*[F.lit(x) for x in says]), (k % len(says)).cast("int")) for c, says in _SAYS.items()})
+
+
+over_captures("rerank_factors", f", said AS (SELECT capture_id, fetch_ts, {_SAYS_SQL} FROM captures), {_factors('said', ['bitcoin', 'price'], 'capture_id, fetch_ts')} SELECT * EXCLUDE (fetch_ts), round(1 + 0.5 * pow(0.5, (epoch(TIMESTAMP '{AS_OF}') - epoch(fetch_ts)) / 86400 / 30), 6) AS recency FROM factors")(
+    lambda df: _with_says(df).select("capture_id", *[c.alias(n) for n, c in search.rerank_factors(["bitcoin", "price"]).items()], search.length_factor(F.col("text")).alias("length_factor"), F.round(search.recency_factor(F.col("fetch_ts"), as_of(), 0.5), 6).alias("recency"))
+)
+
 # ---- entities --------------------------------------------------------------------------------------------------------------
 
 
@@ -315,6 +364,11 @@ over_tables("robots_sitemaps", "SELECT doc_id, 'https://e.example/' || doc_id ||
     lambda spark, d: table(spark, d, "documents").select("doc_id", F.array_join(urls.sitemap_urls(F.concat(F.lit("User-agent: *\r\nSitemap: https://e.example/"), F.col("doc_id").cast("string"), F.lit(".xml\n sitemap : https://e.example/all.xml\nSITEMAP:https://e.example/all.xml\nsitemap:\n"))), ",").alias("sitemaps"))
 )
 
+_TITLE = "regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)"
+for _a, _b in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&nbsp;", " "), ("&amp;", "&")):
+    _TITLE = f"replace({_TITLE}, '{_a}', '{_b}')"
+over_tables("html_titles", rf"SELECT page_id, trim(regexp_replace({_TITLE}, '\s+', ' ', 'g')) AS title, nullif(regexp_extract(html, '(?is)<html[^>]*?[ ]lang=.([a-zA-Z-]+)', 1), '') AS language FROM pages")(lambda spark, d: html.html_to_text(table(spark, d, "pages")).select("page_id", "title", "language"))
+
 # ---- round trips through files -----------------------------------------------------------------------------------------------
 
 

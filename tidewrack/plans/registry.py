@@ -312,7 +312,6 @@ over_captures("substring_search", "SELECT capture_id FROM captures WHERE title I
 over_captures("phrase_search", "SELECT capture_id FROM captures WHERE title ILIKE '%of the%' OR text ILIKE '%of the%'")(lambda df: search.phrase_matches(df, search.phrase_of('"of the"')).select("capture_id"))
 over_captures("facets", "SELECT facet, value, count FROM (SELECT *, row_number() OVER (PARTITION BY facet ORDER BY count DESC, value) AS rn FROM (SELECT 'domain' AS facet, lower(trim(domain)) AS value, count(*) AS count FROM captures GROUP BY 2 UNION ALL SELECT 'source', lower(trim(source_type)), count(*) FROM captures GROUP BY 2 UNION ALL SELECT 'language', split_part(lower(language), '-', 1), count(*) FROM captures GROUP BY 2)) WHERE rn <= 10")(lambda df: search.facets(df))
 over_captures("collapsed_search", "SELECT capture_id FROM (SELECT *, row_number() OVER (PARTITION BY parent_doc_or_dup_group ORDER BY fetch_ts DESC, capture_id) AS rn FROM captures WHERE title ILIKE '%the%' OR text ILIKE '%the%') WHERE rn = 1")(lambda df: search.collapsed(search.substring_matches(df, ["the"]), F.col("fetch_ts").desc(), F.col("capture_id")).select("capture_id"))
-over_captures("reranked_search")(lambda df: search.reranked(df.join(search.bm25f(df, _QUERY), "capture_id").orderBy(F.desc("score"), "capture_id").limit(200), ["theand", "of"]).select("capture_id", "final_score"))
 over_captures("search_page")(lambda df: search.search(df, "theand of", prune=False).rows.select("capture_id", "final_score", "snippet"))
 
 # ---- alerts and other series -------------------------------------------------------------------------------------------------
