@@ -19,6 +19,7 @@ import unicodedata
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
@@ -56,8 +57,8 @@ class TrieEncoder:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.ids: dict[str, int] = spec["model"]["vocab"]
-        self.names = {i: s for s, i in self.ids.items()}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"] if t["special"]}
+        self.names = {i: s for s, i in self.ids.items()} | {i: s for s, i in self.special.items()}
         self.rank: dict[tuple[int, int], int] = {}
         self.parts: dict[int, tuple[int, int]] = {}
         self.born: dict[int, int] = {}
@@ -174,8 +175,9 @@ class TextEncoder:
 
     def __init__(self, path: str):
         self.trie = TrieEncoder(path)
-        self.words: dict[str, tuple[bytes, str]] = {}
-        self.chunks: dict[str, tuple[bytes, str]] = {}
+        self.words: dict[str, bytes] = {}
+        self.chunks: dict[str, bytes] = {}
+        self.names = np.array([self.trie.names.get(i, "") for i in range(max(self.trie.names) + 1)], dtype=object)
         self.table = {b: c for b, c in enumerate(self.trie.symbols) if chr(b) != c}
 
     def pieces(self, text: str) -> list[str]:
@@ -202,22 +204,26 @@ class TextEncoder:
     def _symbols(self, word: str) -> str:
         return word.encode("utf-8").decode("latin-1").translate(self.table)
 
-    def learn(self, chunks: Iterable[str]) -> dict[str, tuple[bytes, str]]:
+    def decode(self, raw: bytes) -> str:
+        """The text of ids (little-endian, 32 bits each): their tokens with blanks between, special ones too, as this vocabulary has no decoder of its own."""
+        return " ".join(self.names[np.frombuffer(raw, "<u4")].tolist())
+
+    def learn(self, chunks: Iterable[str]) -> dict[str, bytes]:
         """Encodes chunks that are not known; returns what they give. Those too long are not kept."""
         if len(self.words) > KEPT_WORDS:
             self.words.clear()
         cut = {c: self._pretokens(c) for c in chunks if c not in self.trie.special}
-        words, names, raw = self.words, self.trie.names, self.trie.bytes
+        words, raw = self.words, self.trie.bytes
         made = {}
         for word, ids in self.trie.encode_words({w for ws in cut.values() for w in ws if w not in words}).items():
-            made[word] = (b"".join([raw[i] for i in ids]), " ".join([names[i] for i in ids]))
+            made[word] = b"".join([raw[i] for i in ids])
         fresh = {}
         for c in chunks:
             if c in self.trie.special:
-                fresh[c] = (raw[self.trie.special[c]] if self.trie.special[c] in raw else self.trie.special[c].to_bytes(4, "little"), c)
+                fresh[c] = raw[self.trie.special[c]]
                 continue
             parts = [made.get(w) or words[w] for w in cut[c]]
-            fresh[c] = parts[0] if len(parts) == 1 else (b"".join([p[0] for p in parts]), " ".join([p[1] for p in parts]))
+            fresh[c] = parts[0] if len(parts) == 1 else b"".join(parts)
         words.update((w, x) for w, x in made.items() if len(w) <= KEPT_LENGTH)
         if len(self.chunks) > KEPT_CHUNKS:
             self.chunks.clear()
@@ -225,7 +231,7 @@ class TextEncoder:
         return fresh
 
     def encode(self, texts: list[str], block: int = 4_000_000) -> Iterator[tuple[bytes, str]]:
-        """For each text the ids as little-endian unsigned 32-bit integers, and the decoded text. Blocks bound what is held at once."""
+        """For each text the ids as little-endian unsigned 32-bit integers, and the text that they decode to. Blocks bound what is held at once."""
         k = 0
         while k < len(texts):
             some, unknown, size = [], set(), 0
@@ -241,7 +247,8 @@ class TextEncoder:
             for got, missing in some:
                 for n, piece in missing:
                     got[n] = fresh[piece]
-                yield b"".join([g[0] for g in got]), " ".join([g[1] for g in got])
+                ids = b"".join(got)
+                yield ids, self.decode(ids)
 
 
 @lru_cache(maxsize=2)
