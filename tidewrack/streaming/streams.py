@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tidewrack.operators.catalog import upserted
+from tidewrack.session import shared_subdir
 
 
 def file_stream(spark: SparkSession, path: str, schema, files_per_batch: int | None = None) -> DataFrame:
@@ -48,17 +49,21 @@ def _counted(stream: DataFrame, window: Column, *by: str) -> DataFrame:
 
 
 def drained(stream: DataFrame, name: str, mode: str = "append", checkpoint: str | None = None) -> DataFrame:
-    """Runs a stream over all that is there now, into a table in memory. For tests and small results."""
+    """Runs a stream over all that is there now, into a table in the shared folder, and returns that. Batches that run again replace what they wrote."""
     spark = stream.sparkSession
-    writer = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True)
-    query = (writer.option("checkpointLocation", checkpoint) if checkpoint else writer).start()
-    query.awaitTermination()
-    return spark.table(name)
+    folder = shared_subdir(spark, name)
+    spark.createDataFrame([], stream.schema).write.parquet(f"{folder}/batch=-1")  # for a stream without batches
 
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/batch={number if mode == 'append' else 0}")
 
-def each_batch(stream: DataFrame, work: Callable[[DataFrame, int], None], checkpoint: str, every: str | None = None) -> StreamingQuery:
+    each_batch(stream, keep, checkpoint or shared_subdir(spark, f"{name}-offsets"), mode=mode).awaitTermination()
+    return spark.read.parquet(folder).select(*stream.columns)
+
+
+def each_batch(stream: DataFrame, work: Callable[[DataFrame, int], None], checkpoint: str, every: str | None = None, mode: str = "append") -> StreamingQuery:
     """Calls work on every micro-batch: of all that is there now, or every so often."""
-    writer = stream.writeStream.foreachBatch(work).option("checkpointLocation", checkpoint)
+    writer = stream.writeStream.outputMode(mode).foreachBatch(work).option("checkpointLocation", checkpoint)
     return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
 
 
