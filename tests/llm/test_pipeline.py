@@ -7,7 +7,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tidewrack.llm import bpe, classifier, secrets, simhash
+from tidewrack.llm import bpe, classifier, mixing, secrets, simhash
 from tests.llm.test_operators import ODD, WORD, prose
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -73,7 +73,7 @@ def test_pipeline_equals_brute_force(spark, tmp_path):
 
 def test_stages_on_odd_and_empty_tables(spark, tmp_path):
     rows = [(k, t, None, "s", None) for k, t in enumerate(ODD)] + [(4, ODD[4], "en", None, 3), (None, None, None, None, None)]
-    docs = spark.createDataFrame(rows, SCHEMA).withColumns({"size": F.lit(1), "key": F.lit(2), "fp": F.lit(3), "first": F.lit(4)})
+    docs = spark.createDataFrame(rows, SCHEMA).withColumns({c: F.lit(k) for k, c in enumerate("size key fp first row doc copies taken scan __row __copies __scan __score".split())})
     spark.createDataFrame([(0, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     docs.write.parquet(str(tmp_path / "odd"))
     for table in (spark.read.parquet(str(tmp_path / "odd")), spark.read.parquet(str(tmp_path / "odd")).limit(0)):
@@ -85,6 +85,26 @@ def test_stages_on_odd_and_empty_tables(spark, tmp_path):
     assert texts[ODD[4]] == 1 and np.isclose(sum(1 for r in kept if not (r.text or "").strip()), 1)
 
 
+def test_the_mix_is_the_same_though_the_table_is_split_anew_between_reads(spark, tmp_path, monkeypatch):
+    rows = [(k, prose(20 + k % 7), "en", f"s{k % 3}", 1) for k in range(60)]
+    for k in range(0, 60, 10):
+        spark.createDataFrame(rows[k : k + 10], SCHEMA).coalesce(1).write.mode("append").parquet(str(tmp_path / "docs"))
+    want = Counter(map(tuple, mixing.mix(spark.read.parquet(str(tmp_path / "docs"))).collect()))
+    real, key = mixing.source_targets, "spark.sql.files.maxPartitionBytes"
+
+    def with_other_splits(*args):
+        spark.conf.set(key, "2k")
+        return real(*args)
+
+    monkeypatch.setattr(mixing, "source_targets", with_other_splits)
+    spark.conf.set(key, "128m")
+    try:
+        got = Counter(map(tuple, mixing.mix(spark.read.parquet(str(tmp_path / "docs"))).collect()))
+    finally:
+        spark.conf.unset(key)
+    assert got == want and set(got) <= set(rows)
+
+
 def test_near_duplicates_go_though_the_table_is_split_anew_between_reads(spark, tmp_path, monkeypatch):
     texts = [prose(60) for _ in range(40)]
     rows = [(k, texts[k % 40], "en", "s", 1) for k in range(80)]
