@@ -59,11 +59,6 @@ def bucket(time: Column, granularity: str = "day") -> Column:
     raise ValueError(f"granularity must be one of {GRANULARITIES}")
 
 
-def bounds(df: DataFrame, column: str = "fetch_ts") -> DataFrame:
-    """One row: lo and hi of a time column."""
-    return df.agg(F.min(column).alias("lo"), F.max(column).alias("hi"))
-
-
 def newest(df: DataFrame, column: str = "fetch_ts") -> Column:
     """The newest time of a table as a literal, null for an empty one. It is looked up now, so that filters by it reach the scan and prune days."""
     found = df.agg(F.max(column).cast("string")).first()[0]
