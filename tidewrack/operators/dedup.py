@@ -80,9 +80,11 @@ def _signatures(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
 def signatures(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """key, hi, lo: 128-bit signatures of three-word shingles, from md5 bits, each occurrence +1 or -1, a bit where the sum is not negative.
 
-    Counted in numpy inside the row: nothing is exploded or shuffled. A text of one or two words is one shingle.
+    Counted in numpy inside the row: nothing is exploded or shuffled. A text of one or two words is one shingle. The function
+    is marked so that a filter by its result stays above it, as it would else be worked out twice.
     """
-    return df.select(key, _signatures(normalized_for_hash(F.col(text))).alias("s")).select(key, "s.hi", "s.lo")
+    once = _signatures.asNondeterministic()
+    return df.select(key, once(normalized_for_hash(F.col(text))).alias("s")).select(key, "s.hi", "s.lo")
 
 
 def weighted_signatures(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
