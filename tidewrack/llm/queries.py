@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewrack.llm import bpe, classifier, host_rules, mixing, packing, rlindex, secrets, simhash, spotsigs, warc
+from tidewrack.llm import bpe, classifier, host_rules, infill, mixing, packing, rlindex, secrets, simhash, spotsigs, topk, variants, warc
 from tidewrack.llm.common import table
 
 
@@ -52,6 +52,18 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classifier.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.spelling_variants(table(spark, sf_dir, "documents"))
+
+
+def op12_top_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_products(table(spark, sf_dir, "embeddings"))
+
+
+def op13_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return infill.digests(infill.infilled(table(spark, sf_dir, "documents")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_spotsigs": op1_spotsigs,
@@ -64,8 +76,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_mixing": op8_mixing,
         "op9_packing": op9_packing,
         "op10_quality_classifier": op10_quality_classifier,
+        "op11_spelling_variants": op11_spelling_variants,
+        "op12_top_products": op12_top_products,
+        "op13_infill": op13_infill,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_host_rules": host_rules.HOST_SQL, "op8_mixing": mixing.MIXED_SQL}
+    return {"op5_host_rules": host_rules.HOST_SQL, "op8_mixing": mixing.MIXED_SQL, "op12_top_products": topk.TOP_SQL, "op13_infill": infill.INFILLED_SQL}
