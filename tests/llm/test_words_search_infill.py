@@ -204,9 +204,15 @@ def test_infill_of_a_very_long_text(spark):
     assert got == sorted(plain_infill(*r) for r in rows) and any(r[2] != "plain" for r in got)
 
 
-def test_infill_shuffles_texts_once(spark):
+def test_infill_shuffles_once(spark):
     docs = spark.createDataFrame([(k, "one two three") for k in range(50)], TEXT)
-    made = infill.infilled(docs)
-    made.collect()
-    plan = made._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
-    assert plan.count("Exchange hashpartitioning") - plan.count("ReusedExchange") <= 3 and "BatchEvalPython" not in plan and "ArrowEvalPython" not in plan
+    broadcast = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        made = infill.infilled(docs)
+        made.collect()
+        plan = made._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+    assert plan.count("REPARTITION_BY_NUM") == 3 and plan.count("ReusedExchange") == 2 and "ENSURE_REQUIREMENTS" not in plan
+    assert "BatchEvalPython" not in plan and "ArrowEvalPython" not in plan and plan.count("SortMergeJoin") == 2

@@ -49,9 +49,9 @@ def units(docs: DataFrame) -> DataFrame:
 
 
 def cut_requests(docs: DataFrame, seed: int = SEED) -> DataFrame:
-    """docs: row, doc_id, text. (row, ordinal): after how many units the text is to be cut, twice."""
+    """docs: row, doc_id, text. (row, at): after how many units the text is to be cut, twice."""
     spots = docs.select("row", unit_count().alias("n"), _draw(1, seed).alias("h1"), _draw(2, seed).alias("h2"))
-    return spots.select("row", F.explode(F.array(*[(F.col(h) % (F.col("n") + 1)).cast("int") for h in ("h1", "h2")])).alias("ordinal"))
+    return spots.select("row", F.explode(F.array(*[(F.col(h) % (F.col("n") + 1)).cast("int") for h in ("h1", "h2")])).alias("at"))
 
 
 def restored_column(output: str = "output", form: str = "form") -> Column:
@@ -85,7 +85,9 @@ def infilled(docs: DataFrame, seed: int = SEED, rate: int = RATE, spm_rate: int
     plain = rows.filter(form == "plain").select("doc_id", unit_count().alias("n"), F.lit("plain").alias("form"), F.lit(None).cast("long").alias("prefix_chars"), F.lit(None).cast("long").alias("middle_chars"), F.col("text").alias("output"))
     # all three uses need the same three columns, so they share the exchange
     dealt = rows.filter(form != "plain").repartition(shuffle_partitions(spark), "row")
-    found = units(dealt).join(cut_requests(dealt, seed), ["row", "ordinal"])
+    requests = cut_requests(dealt, seed).withColumnRenamed("row", "cut_row")
+    # the ordinals are compared as a difference, since a second key of equal columns would have both sides dealt by both keys anew
+    found = units(dealt).join(requests, (F.col("row") == F.col("cut_row")) & (F.col("ordinal") - F.col("at") == 0))
     offsets = found.groupBy("row").agg(F.min("upto").alias("a"), F.max("upto").alias("b"), F.first("doc_id").alias("of"))
     cuts = dealt.join(offsets, "row").select("of", unit_count().alias("n"), form.alias("form"), "text", F.col("a").cast("int").alias("a"), F.col("b").cast("int").alias("b"))
     text, a, b = F.col("text"), F.col("a"), F.col("b")
