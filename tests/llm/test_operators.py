@@ -291,7 +291,7 @@ def test_run_length_index_counts_repeats():
                 s[random.randrange(len(s))] = random.choice(b"\x00abx")
                 segments.append(bytes(s))
             c = Counter(s[k : k + length] for s in segments for k in range(len(s) - length + 1))
-            got = [x.tolist() for x in rlindex.repeated_starts(segments, length)]
+            got = [x.tolist() for x in rlindex.repeated_starts(segments, None, length)]
             assert got == [[k for k in range(len(s) - length + 1) if c[s[k : k + length]] > 1] for s in segments]
 
 
@@ -312,6 +312,49 @@ def test_equal_strings_get_equal_longer_anchors():
     assert all(len(keys) == 1 for keys in strings.values())
 
 
+def test_index_of_copies_equals_index_of_all():
+    for _ in range(40):
+        base = "".join(random.choice("ab") for _ in range(300))
+        different = list(dict.fromkeys(base[random.randrange(100) : random.randrange(120, 300)] + random.choice(["", "x", "ab"]) for _ in range(5)))
+        copies = [random.randrange(1, 4) for _ in different]
+        every = [s for s, c in zip(different, copies) for _ in range(c)]
+        for length in (8, 20, 60):
+            got = rlindex.repeated_starts([s.encode() for s in different], copies, length)
+            counts = Counter(s[k : k + length] for s in every for k in range(len(s) - length + 1))
+            assert [x.tolist() for x in got] == [[k for k in range(len(s) - length + 1) if counts[s[k : k + length]] > 1] for s in different]
+        index = rlindex.RunLengthIndex([s.encode() for s in different], copies)
+        assert index.run_lengths.sum() == sum(len(s) + 1 for s in every) and (index.run_symbols[1:] != index.run_symbols[:-1]).all()
+
+
+@pytest.mark.parametrize("most_segments", [1, 5, 4096])
+def test_index_decides(spark, most_segments, tmp_path):
+    """A worker whose index finds nothing removes nothing."""
+    rows = [(k, BASE + prose(3) if k % 2 else prose(100) + BASE) for k in range(12)] + [(20, BASE), (21, BASE)]
+    df = spark.createDataFrame(rows, TEXT)
+    found = rlindex._index_places
+
+    def blind(length, index_bytes):
+        run = found(length, index_bytes)
+
+        def without(batches):
+            from tidewrack.llm import rlindex as module
+
+            real, module.repeated_starts = module.repeated_starts, lambda segments, copies=None, length=400: [np.zeros(0, dtype=np.int64) for _ in segments]
+            try:
+                yield from run(batches)
+            finally:
+                module.repeated_starts = real
+
+        return without
+
+    assert rlindex.repeats_removed(df, most_segments=most_segments).agg(F.sum("n_removed")).first()[0] > 0
+    rlindex._index_places = blind
+    try:
+        assert rlindex.repeats_removed(df, most_segments=most_segments).agg(F.sum("n_removed")).first()[0] == 0
+    finally:
+        rlindex._index_places = found
+
+
 @pytest.mark.parametrize("most_segments", [1, 5, 4096])
 def test_repeats_removed(spark, most_segments):
     shared = prose(150)

@@ -2,22 +2,25 @@
 
 What is removed are the bytes covered by a string of LENGTH bytes that also starts elsewhere in the corpus. Each such
 string has one anchor: the place of its least hashed 32 bytes, which equal strings have at the same offset. The strings
-with one anchor are a segment of text. Anchors that only one place has cannot repeat; equal segments repeat as a
-whole; what remains are segments that share an anchor but differ. Those meet by anchor, one of each content, and are
-indexed together:
+with one anchor are a segment of text. Anchors that only one place has cannot repeat. Of segments that are equal by hash
+two are taken, and all segments that share an anchor are indexed together, whether they are equal or differ:
 
-* their suffixes are sorted and the Burrows-Wheeler transform is run-length compressed; the suffix positions at the
-  heads of runs are kept as samples (a run head is where the preceding byte of neighbouring suffixes differs);
+* the suffixes of the different ones are sorted and the Burrows-Wheeler transform is run-length compressed: a symbol and a
+  length for each run, where a suffix counts as often as its segment stands there; the suffix positions at the heads and
+  ends of runs are kept as samples;
 * the longest match of each suffix with the suffix before it is computed at the samples only, and streamed through the
   text from there: inside a run it shrinks by one from one position to the next. With the samples at run ends the same
   holds for the suffix after it. The larger of the two is the matching statistic of the position against all others;
 * a position whose matching statistic is LENGTH or more begins a repeated string.
 
-No group need be larger than one index: where more different segments share an anchor, each is cut into runs of strings
+Hashes only choose what is indexed together; what repeats is told by the matching statistics of the bytes. What is found
+in one segment holds for all that are equal to it.
+
+No group need be larger than one index: where many different segments share an anchor, each is cut into runs of strings
 that hold the anchor at nearly the same depth, and what all strings of such a run have in common becomes a longer
-anchor. Equal strings get equal longer anchors, so nothing is lost, and only runs that still share too much are cut
-again, down to single strings. Texts move once, compressed, and are checkpointed with their partitioning; later joins
-bring places to texts, not texts to places.
+anchor. Equal strings get equal longer anchors, so nothing is lost; runs are indexed like segments, and only those that
+still share too much are cut again, down to single strings. Texts move once, compressed, and are checkpointed with their
+partitioning; later joins bring places to texts, not texts to places.
 """
 
 from __future__ import annotations
@@ -29,16 +32,16 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewrack.llm.common import cut, release, remove, shared_subdir, shuffle_partitions, text_or_empty
+from tidewrack.llm.common import cut, join_by_hot_keys, release, remove, shared_subdir, shuffle_partitions, text_or_empty
 
 LENGTH = 400
 ANCHOR = 32
 #: Texts are hashed in pieces of so many bytes, with an overlap.
 PIECE = 1 << 20
-#: Bytes that one index holds, and different segments of an anchor beyond which the anchor is made longer.
+#: Bytes that one index gathers, and different segments of an anchor beyond which the anchor is made longer.
 INDEX_BYTES = 1_000_000
 MOST_SEGMENTS = 2_048
 #: Depths of the anchor that the strings of one run have, from cut to cut.
@@ -138,10 +141,15 @@ def _ranked(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class RunLengthIndex:
-    """Run-length compressed Burrows-Wheeler transform of segments, each ended by a symbol of its own, with samples at run heads and ends."""
+    """Run-length compressed Burrows-Wheeler transform of different segments, each ended by a symbol of its own, with samples at run heads and ends.
+
+    copies: how often each segment stands in the collection. Suffixes of its copies are neighbours, so they lengthen runs
+    and need not be sorted.
+    """
 
-    def __init__(self, segments: list[bytes]):
+    def __init__(self, segments: list[bytes], copies: list[int] | None = None):
         lengths = np.array([len(s) + 1 for s in segments], dtype=np.int64)
+        self.copies = np.array(copies or [1] * len(segments), dtype=np.int64)
         self.ends = np.cumsum(lengths)
         self.begins = self.ends - lengths
         text = np.empty(int(self.ends[-1]), dtype=np.int64)
@@ -149,21 +157,26 @@ class RunLengthIndex:
         text[:] = flat.astype(np.int64) + len(segments)
         text[self.ends - 1] = np.arange(len(segments))
         self.text = text
+        owner = np.repeat(np.arange(len(segments)), lengths)
         rest = np.repeat(self.ends - 1, lengths) - np.arange(len(text))  # symbols before the end of the segment
         padded = np.concatenate([flat, np.zeros(8, dtype=np.uint8)])
         words = _words(padded)[: len(text)].byteswap()
         short = np.maximum(8 - rest, 0).astype(np.uint64) * np.uint64(8)
         words = np.where(rest > 0, words >> short << short, np.uint64(0)) if len(text) else words
-        left = np.where(rest < 8, rest * len(segments) + np.repeat(np.arange(len(segments)), lengths), 8 * len(segments))
+        left = np.where(rest < 8, rest * len(segments) + owner, 8 * len(segments))
         order = suffix_order(text, words, left)
         bwt = text[order - 1]  # the byte before each suffix, cyclically
         heads = np.concatenate([[True], bwt[1:] != bwt[:-1]])
-        self.run_heads = np.flatnonzero(heads)
-        ends = np.append(self.run_heads[1:], len(bwt)) - 1
-        before = order[np.maximum(self.run_heads - 1, 0)]
-        after = order[np.minimum(ends + 1, len(order) - 1)]
-        self.head_samples = (order[self.run_heads], np.where(self.run_heads > 0, before, -1))
-        self.end_samples = (order[ends], np.where(ends + 1 < len(order), after, -1))
+        head = np.flatnonzero(heads)
+        end = np.append(head[1:], len(bwt)) - 1
+        self.run_symbols = bwt[head]
+        self.run_lengths = np.add.reduceat(self.copies[owner[order]], head)
+        before = order[np.maximum(head - 1, 0)]
+        after = order[np.minimum(end + 1, len(order) - 1)]
+        self.head_samples = (order[head], np.where(head > 0, before, -1))
+        self.end_samples = (order[end], np.where(end + 1 < len(order), after, -1))
+        self.twins = self.copies > 1
+        self.twin = np.repeat(self.twins, lengths)
 
     def _common(self, a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
         """Length of the common prefix of the suffixes at a and b, up to most; 0 where b is -1."""
@@ -182,10 +195,9 @@ class RunLengthIndex:
             live = live[(k == width) & (out[live] < most)]
         return out
 
-    def _streamed(self, samples: tuple[np.ndarray, np.ndarray], most: int) -> np.ndarray:
-        at, other = samples
+    def _streamed(self, at: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         known = np.zeros(len(self.text), dtype=np.int64)
-        known[at] = self._common(at, other, most)
+        known[at] = lengths
         sampled = np.zeros(len(self.text), dtype=bool)
         sampled[at] = True
         place = np.arange(len(self.text))
@@ -193,13 +205,21 @@ class RunLengthIndex:
         return np.maximum(known[last] - (place - last), 0)
 
     def matching_statistics(self, most: int) -> np.ndarray:
-        """For each position the longest match with any other position. Matches of `most` and more are told apart only from shorter ones."""
-        return np.maximum(self._streamed(self.head_samples, most), self._streamed(self.end_samples, most))
-
-
-def repeated_starts(segments: list[bytes], length: int = LENGTH) -> list[np.ndarray]:
-    """For each segment the starts of strings of `length` bytes that start elsewhere in the segments too."""
-    index = RunLengthIndex(segments)
+        """For each position (of the first copy) the longest match with any other position. Matches of `most` and more are told apart only from shorter ones."""
+        at, before = self.head_samples
+        earlier = self._streamed(at, self._common(at, before, most))
+        at, after = self.end_samples
+        # the suffix after one with copies is the copy's, which is as long; that holds from the start of the segment on
+        once = ~self.twin[at]
+        starts = self.begins[self.twins]
+        at, after = at[once], after[once]
+        later = self._streamed(np.concatenate([at, starts]), np.concatenate([self._common(at, after, most), (self.ends - 1 - self.begins)[self.twins]]))
+        return np.maximum(earlier, later)
+
+
+def repeated_starts(segments: list[bytes], copies: list[int] | None = None, length: int = LENGTH) -> list[np.ndarray]:
+    """Different segments, and how often each stands there. For each the starts of strings of `length` bytes that start elsewhere too."""
+    index = RunLengthIndex(segments, copies)
     # streamed values fall by one a position, so matches are measured to the longest segment, not only to `length`
     found = index.matching_statistics(max(map(len, segments))) >= length
     return [np.flatnonzero(found[a : b - 1]) for a, b in zip(index.begins.tolist(), index.ends.tolist())]
@@ -274,11 +294,12 @@ def _anchor_rows(length: int):
     return run
 
 
-_SEGMENT = pa.schema([("anchor", pa.int64()), ("single", pa.bool_()), ("rid", pa.int64()), ("start", pa.int64()), ("last", pa.int64()), ("deep", pa.int64()), ("segment", pa.binary())])
-_SEGMENT_COLUMNS = "anchor long, single boolean, rid long, start long, last long, deep long, segment binary"
+#: A segment: its anchor, the hash of its bytes, where the anchor lies in it, and the bytes.
+_SEGMENT = pa.schema([("anchor", pa.int64()), ("content", pa.int64()), ("deep", pa.int64()), ("segment", pa.binary())])
+_SEGMENT_COLUMNS = "anchor long, content long, deep long, segment binary"
 
 
-def _segment_batch(rows: list[tuple], schema: pa.Schema = _SEGMENT) -> pa.RecordBatch:
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
 
@@ -288,11 +309,11 @@ def _segments(length: int):
         expand = zstandard.ZstdDecompressor()
         for batch in batches:
             out = []
-            for rid, z, wanted in zip(*[batch.column(k).to_pylist() for k in ("rid", "z", "wanted")]):
+            for z, wanted in zip(*[batch.column(k).to_pylist() for k in ("z", "wanted")]):
                 raw = expand.decompress(z)
-                out += [(w["anchor"], w["single"], rid, w["start"], w["last"], w["deep"], raw[w["start"] : w["last"] + length]) for w in wanted]
+                out += [(w["anchor"], w["content"], w["deep"], raw[w["start"] : w["last"] + length]) for w in wanted]
             if out:
-                yield _segment_batch(out)
+                yield _batch(out, _SEGMENT)
 
     return run
 
@@ -314,28 +335,31 @@ def longer_anchors(anchor: int, start: int, last: int, deep: int, segment: bytes
         first = end + 1
 
 
-_CUT = pa.schema([("content", pa.int64()), *_SEGMENT])
+#: A run of a segment: where it begins in that, and the run as a segment of its own.
+_RUN = pa.schema([("above_anchor", pa.int64()), ("above", pa.int64()), ("offset", pa.int64()), *_SEGMENT])
+_RUN_COLUMNS = "above_anchor long, above long, offset long, " + _SEGMENT_COLUMNS
 
 
 def _longer(length: int, width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for a, single, rid, start, last, deep, segment in zip(*[batch.column(f.name).to_pylist() for f in _SEGMENT]):
-                out += [(_hash(s, 1), k, single, rid, x, y, d, s) for k, x, y, d, s in longer_anchors(a, start, last, deep, segment, width, length)]
+            for a, content, deep, segment in zip(*[batch.column(f.name).to_pylist() for f in _SEGMENT]):
+                out += [(a, content, x, k, _hash(s, 1), d, s) for k, x, _, d, s in longer_anchors(a, 0, len(segment) - length, deep, segment, width, length)]
             if out:
-                yield _segment_batch(out, _CUT)
+                yield _batch(out, _RUN)
 
     return run
 
 
-_PLACES = pa.schema([("rid", pa.int64()), ("start", pa.int64()), ("stop", pa.int64())])
+_MARKS = pa.schema([("anchor", pa.int64()), ("content", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
+_MARK_COLUMNS = "anchor long, content long, a long, b long"
 
 
 def repeated_places(rows: list[tuple[int, bytes]], length: int = LENGTH) -> list[list[tuple[int, int]]]:
     """rows: (group, segment); segments of a group share an anchor. For each the first and last starts of strings that repeat.
 
-    Segments are trimmed to what can repeat. Stretches that are then equal repeat whole; one of each content is indexed.
+    Segments are trimmed to what can repeat; equal stretches are indexed once, with their number.
     """
     stretches = shared_stretches([r[1] for r in rows], [r[0] for r in rows], length)
     parts = [(k, a, b) for k, runs in enumerate(stretches) for a, b in runs]
@@ -343,45 +367,36 @@ def repeated_places(rows: list[tuple[int, bytes]], length: int = LENGTH) -> list
     for n, (k, a, b) in enumerate(parts):
         by_content.setdefault((rows[k][0], rows[k][1][a : b + length]), []).append(n)
     out: list[list[tuple[int, int]]] = [[] for _ in rows]
-    for same in by_content.values():
-        if len(same) > 1:
+    if by_content:
+        for same, starts in zip(by_content.values(), repeated_starts([c for _, c in by_content], [len(x) for x in by_content.values()], length)):
+            runs = _runs(starts)
             for n in same:
-                out[parts[n][0]].append(parts[n][1:])
-    kinds: dict[int, int] = {}
-    for group, _ in by_content:
-        kinds[group] = kinds.get(group, 0) + 1
-    mixed = [(content, same) for (group, content), same in by_content.items() if kinds[group] > 1]
-    if mixed:
-        for (_, same), starts in zip(mixed, repeated_starts([c for c, _ in mixed], length)):
-            if len(same) == 1:
-                k, a, _ = parts[same[0]]
-                out[k] += [(a + x, a + y) for x, y in _runs(starts)]
+                k, a, _ = parts[n]
+                out[k] += [(a + x, a + y) for x, y in runs]
     return out
 
 
 def _index_places(length: int, index_bytes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come ordered by anchor. Whole anchors are gathered up to the size of an index; places of repeats come out."""
+        """Rows come ordered by anchor. Whole anchors are gathered up to the size of an index; what repeats comes out, by segment."""
         held: list[tuple] = []
         size = 0
 
         def flush(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-            out = []
-            if len(rows) > 1:
-                for (_, single, rid, start, _), runs in zip(rows, repeated_places([(r[0] % (1 << 64), r[4]) for r in rows], length)):
-                    if single:
-                        out += [(rid, start + a, start + b + length) for a, b in runs]
+            found = repeated_places([(r[0] % (1 << 64), r[2]) for r in rows], length)
+            out = list(dict.fromkeys((anchor, content, a, b) for (anchor, content, _), runs in zip(rows, found) for a, b in runs))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], schema=_PLACES)
+                yield _batch(out, _MARKS)
 
         for batch in batches:
-            for row in zip(*[batch.column(k).to_pylist() for k in ("anchor", "single", "rid", "start", "segment")]):
+            for row in zip(*[batch.column(k).to_pylist() for k in ("anchor", "content", "segment")]):
                 if size > index_bytes and held[-1][0] != row[0]:
                     yield from flush(held)
                     held, size = [], 0
                 held.append(row)
-                size += len(row[4])
-        yield from flush(held)
+                size += len(row[2])
+        if held:
+            yield from flush(held)
 
     return run
 
@@ -410,64 +425,82 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*out), types)], names=names)
 
 
+class _Tables:
+    """Tables in the shared folder: written, read again, and deleted when what was made from them is there."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.folders = spark, {}
+
+    def written(self, df: DataFrame, name: str) -> DataFrame:
+        self.folders[name] = shared_subdir(self.spark, name)
+        df.write.parquet(self.folders[name])
+        release(self.spark)  # the shuffles behind it can go
+        return self.spark.read.parquet(self.folders[name])
+
+    def drop(self, *names: str) -> None:
+        for name in names:
+            remove(self.spark, self.folders.pop(name))
+
+
+def _marks(segments: DataFrame, kinds: DataFrame, tables: _Tables, length: int, index_bytes: int, most_segments: int, depths: tuple[int, ...]) -> DataFrame:
+    """segments: of each content under an anchor one or two. kinds: anchor, kinds (different contents). (anchor, content, a, b): first and last starts that repeat."""
+    parts = shuffle_partitions(segments.sparkSession)
+
+    def indexed(rows: DataFrame) -> DataFrame:
+        met = rows.select("anchor", "content", "segment").repartition(parts, "anchor").sortWithinPartitions("anchor", "content")
+        return met.mapInArrow(_index_places(length, index_bytes), _MARK_COLUMNS)
+
+    large = kinds.filter(F.col("kinds") > most_segments) if depths else kinds.limit(0)
+    if large.isEmpty():
+        return indexed(segments)
+    level = len(tables.folders)
+    runs = tables.written(segments.join(large, "anchor", "left_semi").mapInArrow(_longer(length, depths[0]), _RUN_COLUMNS), f"runs-{level}")
+    at = F.struct("above_anchor", "above", "offset")
+    contents = tables.written(runs.groupBy("anchor", "content").agg(F.count("*").alias("m"), F.min(at).alias("low"), F.max(at).alias("high")), f"run-contents-{level}")
+    below = tables.written(contents.groupBy("anchor").agg(F.count("*").alias("kinds"), F.sum("m").alias("m")).filter("m > 1"), f"run-kinds-{level}")
+    # two of each content: both copies of one run, or the first and the last of several
+    chosen = runs.join(contents.join(below.select("anchor"), "anchor", "left_semi"), ["anchor", "content"]).filter((at == F.col("low")) | (at == F.col("high")))
+    chosen = tables.written(chosen.select(*_SEGMENT.names), f"run-segments-{level}")
+    found = tables.written(_marks(chosen, below, tables, length, index_bytes, most_segments, depths[1:]), f"run-marks-{level}")
+    places = runs.select("anchor", "content", "above_anchor", "above", "offset").distinct()
+    mapped = places.join(found, ["anchor", "content"]).select(F.col("above_anchor").alias("anchor"), F.col("above").alias("content"), (F.col("offset") + F.col("a")).alias("a"), (F.col("offset") + F.col("b")).alias("b"))
+    return indexed(segments.join(large, "anchor", "left_anti")).unionByName(mapped)
+
+
 def repeats_removed(docs: DataFrame, length: int = LENGTH, index_bytes: int = INDEX_BYTES, most_segments: int = MOST_SEGMENTS, depths: tuple[int, ...] = DEPTHS) -> DataFrame:
     """docs: doc_id, text. One row each: doc_id, n_bytes, n_removed, n_spans, kept_sha256, and what is kept and the removed spans.
 
     A null text counts as empty, a text shorter than length loses nothing; repeated rows and ids are texts of their own, so
-    long equal texts vanish entirely. Other columns are ignored. docs may be read in any order: rows are numbered once.
-    Of depths each must divide the one before, and the last must be 1, where all that share an anchor are equal.
+    long equal texts vanish entirely. Texts may be of any length and are read in pieces; an empty table gives an empty one.
+    Other columns are ignored. docs may be read in any order: rows are numbered once.
+    most_segments is how many different segments of one anchor an index holds before their anchors are made longer, by
+    depths, each of which must divide the one before; with 1 as the last, strings under one anchor are equal.
     """
     spark = docs.sparkSession
-    parts = shuffle_partitions(spark)
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), text_or_empty("text").alias("t"))
-    texts = cut(rows.mapInArrow(_pack, "rid long, doc_id long, z binary").repartition(parts, "rid"))
+    texts = cut(rows.mapInArrow(_pack, "rid long, doc_id long, z binary").repartition(shuffle_partitions(spark), "rid"))
     release(spark)  # the shuffle of the texts is not needed again
-
-    folders: dict[str, str] = {}
-
-    def table(df: DataFrame, name: str) -> DataFrame:
-        """df written to the shared folder; the shuffles behind it can go."""
-        folders[name] = shared_subdir(spark, name)
-        df.write.parquet(folders[name])
-        release(spark)
-        return spark.read.parquet(folders[name])
-
-    found = table(texts.mapInArrow(_anchor_rows(length), "anchor long, content long, rid long, start long, last long, deep long"), "anchors")
-    shared = table(found.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor"), "repeated-anchors")
-    near = table(found.join(shared, "anchor", "left_semi"), "shared-anchors")
-    remove(spark, folders["anchors"])
-    remove(spark, folders["repeated-anchors"])
-    numbers = [F.first(c).alias(c) for c in ("rid", "start", "last", "deep")]
-    contents = table(near.groupBy("anchor", "content").agg(F.count("*").alias("m"), *numbers), "contents")
-    kinds = table(contents.groupBy("anchor").agg(F.count("*").alias("kinds")).filter("kinds > 1"), "kinds")
-    stop = (F.col("last") + length).alias("stop")
-    whole = near.join(contents.filter("m > 1").select("anchor", "content"), ["anchor", "content"], "left_semi").select("rid", "start", stop)
-    mixed = table(contents.join(kinds, "anchor").select("anchor", (F.col("m") == 1).alias("single"), "rid", "start", "last", "deep", (F.col("kinds") > most_segments).alias("large")), "segments")
-
-    def segments(part: DataFrame) -> DataFrame:
-        wanted = part.groupBy("rid").agg(F.collect_list(F.struct("anchor", "single", "start", "last", "deep")).alias("wanted"))
-        return texts.join(wanted, "rid").select("rid", "z", "wanted").mapInArrow(_segments(length), _SEGMENT_COLUMNS)
-
-    indexed = segments(mixed.filter("NOT large"))
-    large = mixed.filter("large")
-    large = None if large.isEmpty() else table(segments(large), "large-0")
-    for width in depths:
-        if large is None:
-            break
-        runs = table(large.mapInArrow(_longer(length, width), "content long, " + _SEGMENT_COLUMNS), f"runs-{width}")
-        contents = table(runs.groupBy("anchor", "content").agg(F.count("*").alias("m"), F.min(F.struct("rid", "start")).alias("head")), f"run-contents-{width}")
-        kinds = table(contents.groupBy("anchor").agg(F.count("*").alias("kinds")), f"run-kinds-{width}")
-        known = table(runs.join(contents.join(kinds, "anchor"), ["anchor", "content"]), f"known-runs-{width}")
-        whole = whole.union(known.filter("single AND m > 1").select("rid", "start", stop))
-        # of each content one run stays; it is no longer to be judged where the content has been found to repeat
-        left = known.filter("kinds > 1 AND struct(rid, start) = head").withColumn("single", F.col("single") & (F.col("m") == 1))
-        indexed = indexed.union(left.filter(F.col("kinds") <= most_segments).select(*_SEGMENT.names))
-        large = left.filter(F.col("kinds") > most_segments).select(*_SEGMENT.names)
-        large = None if large.isEmpty() else large
-    met = indexed.select("anchor", "single", "rid", "start", "segment").repartition(parts, "anchor").sortWithinPartitions("anchor", "rid", "start")
-    places = table(whole.union(met.mapInArrow(_index_places(length, index_bytes), "rid long, start long, stop long")), "places")
-    for name in folders:
-        if name != "places":
-            remove(spark, folders[name])
+    tables = _Tables(spark)
+    found = tables.written(texts.mapInArrow(_anchor_rows(length), "anchor long, content long, rid long, start long, last long, deep long"), "anchors")
+    shared = tables.written(found.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor"), "repeated-anchors")
+    near = tables.written(found.join(shared, "anchor", "left_semi"), "shared-anchors")
+    tables.drop("anchors", "repeated-anchors")
+    at = F.struct("rid", "start", "last", "deep")
+    contents = tables.written(near.groupBy("anchor", "content").agg(F.count("*").alias("m"), F.min(at).alias("low"), F.max(at).alias("high")), "contents")
+    kinds = contents.groupBy("anchor").agg(F.count("*").alias("kinds"))
+    two = F.explode(F.when(F.col("m") > 1, F.array("low", "high")).otherwise(F.array("low")))
+    wanted = contents.select("anchor", "content", two.alias("at")).groupBy("at.rid").agg(F.collect_list(F.struct("anchor", "content", "at.start", "at.last", "at.deep")).alias("wanted"))
+    segments = texts.join(wanted, "rid").select("z", "wanted").mapInArrow(_segments(length), _SEGMENT_COLUMNS)
+    large = tables.written(kinds.filter(F.col("kinds") > most_segments), "large-anchors")
+    if not large.isEmpty():
+        segments = tables.written(segments, "segments")
+    marks = _marks(segments, large, tables, length, index_bytes, most_segments, depths)
+    marks = tables.written(marks.groupBy("anchor", "content").agg(F.collect_list(F.struct("a", "b")).alias("runs")), "marks")
+    key = F.struct("anchor", "content").alias("key")
+    keyed = marks.join(contents.select("anchor", "content", "m"), ["anchor", "content"]).select(key, F.col("m").alias("n"), "runs")
+    placed = join_by_hot_keys(near.select(key, "rid", "start"), tables.written(keyed, "keyed-marks"), "key")
+    placed = placed.select("rid", "start", F.explode("runs").alias("run")).select("rid", (F.col("start") + F.col("run.a")).alias("start"), (F.col("start") + F.col("run.b") + length).alias("stop"))
+    places = tables.written(placed, "places")
+    tables.drop(*[name for name in tables.folders if name != "places"])
     places = places.groupBy("rid").agg(F.collect_list(F.struct("start", "stop")).alias("places"))
     return texts.join(places, "rid", "left").select("doc_id", "z", "places").mapInArrow(_remove, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, spans array<array<long>>")
