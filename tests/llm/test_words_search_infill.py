@@ -3,14 +3,17 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
 import numpy as np
+import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
-from tidewrack.llm import infill, topk, variants
+from tidewrack.llm import bpe, classifier, host_rules, infill, mixing, packing, rlindex, secrets, simhash, spotsigs, topk, variants, warc
 
 TEXT = "doc_id long, text string"
 rng = random.Random(5)
@@ -216,3 +219,60 @@ def test_infill_shuffles_once(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
     assert plan.count("REPARTITION_BY_NUM") == 3 and plan.count("ReusedExchange") == 2 and "ENSURE_REQUIREMENTS" not in plan
     assert "BatchEvalPython" not in plan and "ArrowEvalPython" not in plan and plan.count("SortMergeJoin") == 2
+
+
+# ---- earlier operators on hostile rows --------------------------------------------------------------------------------
+
+
+def test_dotted_names_and_hostile_columns(spark):
+    rows = [(k, f"text number {k} " + "word " * k, "s", 5, "u", "v") for k in range(8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long, `meta.url` string, `a``b` string")
+    for made in (simhash.keep_one_of_each(docs), mixing.mix(docs), secrets.redact(docs)):
+        assert made.columns == docs.columns and {r["meta.url"] for r in made.collect()} == {"u"}
+
+
+def test_secrets_of_dense_texts_take_time_in_proportion():
+    def seconds(n):
+        draw = random.Random(1)
+        text = "-".join("".join(draw.choice("ABCDEFGHJKLMNPQRSTUVWXYZghjkmnpqrstuvwxyz23456789") for _ in range(24)) + "".join(draw.choice("0123456789abcdef") for _ in range(20)) for _ in range(n))
+        encoding = secrets.vocabulary(secrets.default_path())
+        began = time.process_time()
+        secrets.scan(text, encoding)
+        return time.process_time() - began
+
+    seconds(50)
+    assert seconds(4000) < 16 * max(0.02, seconds(500))
+
+
+def test_training_sample_is_bounded(spark):
+    docs = spark.createDataFrame([(1, f"copy {k}") for k in range(10_000)] + [(k, "x" * 100) for k in range(2, 40)], TEXT)
+    labels = spark.createDataFrame([(k, 1) for k in range(1, 40)], "doc_id long, quality int")
+    every = classifier.training_sample(docs, labels).collect()
+    assert len(every) == len({r.doc_id for r in every}) == sum(zlib.crc32(str(k).encode()) % 5 != 0 for k in range(1, 40))
+    few = classifier.training_sample(docs, labels, chars=1000).collect()
+    assert 9 <= len(few) <= 11 and sum(len(r.text) for r in few) <= 1000
+    assert classifier.training_sample(docs, labels, chars=1).count() == 1
+
+
+def test_texts_of_millions_of_characters(spark):
+    """Every operator on one text of five million characters beside short ones."""
+    huge = ("the stone of the river and glass in field " * 120_000)[:5_000_000]
+    rows = [(0, huge, "a"), (1, "short text of the stone", "b"), (2, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    labels = spark.createDataFrame([(0, 1), (1, 0)], "doc_id long, quality int")
+    assert {r.doc_id: r.n_chars for r in spotsigs.fingerprinted(docs).collect()}[0] == 5_000_000
+    assert simhash.simhash_components(docs).count() == 3
+    encoded = {r.doc_id: r for r in bpe.encode_documents(docs).collect()}
+    library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    ids = library.encode(huge, add_special_tokens=False).ids
+    assert encoded[0].n_tokens == len(ids) and encoded[0].decoded_sha256 == hashlib.sha256(library.decode(ids, skip_special_tokens=False).encode()).hexdigest()
+    archived = {r.page_id: r for r in warc.archived(docs.selectExpr("doc_id AS page_id", "cast(doc_id as string) AS url", "text AS html")).collect()}
+    assert archived[0].payload_bytes == 5_000_000
+    assert {r.doc_id: r.n_words for r in host_rules.host_filtered(docs).collect()}[0] == len(huge.split())
+    removed = {r.doc_id: r.n_removed for r in rlindex.repeats_removed(docs).collect()}
+    assert removed[0] == 5_000_000 and removed[1] == 0
+    assert {r.doc_id: r.spans for r in secrets.secret_scan(docs).collect()}[0] == ""
+    assert {r.doc_id: r["size"] for r in mixing.mixed(docs).collect()}[0] == len(huge.split())
+    assert packing.packed(docs).count() >= 1
+    assert classifier.classify(docs, labels).count() == 3
+    assert infill.infilled(docs).count() == 3 and variants.spelling_variants(docs).count() == 4

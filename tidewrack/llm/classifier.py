@@ -19,12 +19,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewrack.llm.common import text_or_empty
 
+#: Rows that are learnt from at most, and characters of them together.
 SAMPLE_ROWS = 6_000
+SAMPLE_CHARS = 40_000_000
 HASH_BITS = 18
 EPOCHS = 4
 THRESHOLD = 0.3
@@ -120,23 +122,29 @@ def held_out(name: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(name).cast("string").cast("binary")) % FOLDS == 0, F.lit(False))
 
 
-def training_sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
-    """(doc_id, text, label): labelled rows that are not held out, the first `rows` by a hash of the id. Repeated labels of an id count once, by their least."""
+def training_sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> DataFrame:
+    """(doc_id, text, label): labelled rows that are not held out, the first `rows` by a hash of the id, as far as their texts together have `chars` characters; the first at least.
+
+    Repeated labels of an id count once, by their least, and of repeated rows of an id the least text is taken.
+    """
     usable = labels.filter(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & ~held_out())
     chosen = usable.groupBy("doc_id").agg(F.min("quality").cast("int").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    found = docs.select("doc_id", text_or_empty().alias("text")).join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("label").alias("label"))
+    order = Window.orderBy(F.xxhash64("doc_id"), "doc_id")  # over `rows` rows at most
+    sized = found.withColumn("upto", F.sum(F.length("text")).over(order)).withColumn("place", F.row_number().over(order))
+    return sized.filter((F.col("upto") <= chars) | (F.col("place") == 1)).select("doc_id", "text", "label")
 
 
 def _trainer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     rows = [r for batch in batches for r in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), batch.column("label").to_pylist())]
-    rows.sort(key=lambda r: (xxhash.xxh64_intdigest(str(r[0])), r[1] or ""))
-    weights = train([(text or "", label) for _, text, label in rows])
+    rows.sort(key=lambda r: (xxhash.xxh64_intdigest(str(r[0])), r[1]))
+    weights = train([(text, label) for _, text, label in rows])
     yield pa.RecordBatch.from_arrays([pa.array([weights.tobytes()], type=pa.binary())], names=["weights"])
 
 
-def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> np.ndarray:
+def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> np.ndarray:
     """The weights; only they, of fixed size, reach the driver. The documents are read by many tasks, the sample goes to one."""
-    got = training_sample(docs, labels, rows).repartition(1).mapInArrow(_trainer, "weights binary").first()
+    got = training_sample(docs, labels, rows, chars).repartition(1).mapInArrow(_trainer, "weights binary").first()
     return np.frombuffer(bytes(got[0]), dtype=np.float32) if got else train([])
 
 
@@ -153,7 +161,11 @@ def score_column(weights: np.ndarray, name: str = "text") -> Column:
 
 
 def classify(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
-    """doc_id, held_out, score, predicted for each row of docs. A null or empty text is scored as one without words; other columns are ignored."""
+    """doc_id, held_out, score, predicted for each row of docs.
+
+    A null or empty text is scored as one without words; repeated rows are scored alike, texts may be of any length, and an
+    empty table gives an empty one. Other columns are ignored.
+    """
     scored = docs.select("doc_id", held_out().alias("held_out"), score_column(fit(docs, labels, rows)).alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
 

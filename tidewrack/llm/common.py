@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidewrack.session import cut, importable, shared_dir, shared_subdir, spread
 
-__all__ = ["SPACE_CLASS", "WORD_PATTERN", "cut", "join_by_hot_keys", "release", "remove", "shared_dir", "shared_subdir", "shuffle_partitions", "table", "text_or_empty"]
+__all__ = ["SPACE_CLASS", "WORD_PATTERN", "as_struct", "cut", "join_by_hot_keys", "release", "remove", "shared_dir", "shared_subdir", "shuffle_partitions", "table", "text_or_empty"]
 
 #: Characters that separate words: space and U+0009 to U+000D.
 SPACE_CLASS = r"\x20\x09-\x0D"
@@ -21,6 +21,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spread(rows) if name in ("documents", "pages") else rows
 
 
+def as_struct(rows: DataFrame) -> Column:
+    """All columns as one, whatever their names."""
+    return F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in rows.columns])
+
+
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewrack.llm.common import WORD_PATTERN, cut, shared_subdir, shuffle_partitions
+from tidewrack.llm.common import WORD_PATTERN, as_struct, cut, shared_subdir, shuffle_partitions
 
 WEIGHTS = (5, 2, 1)
 MAX_EPOCHS = 3
@@ -110,7 +110,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MAX_EPO
     """
     spark = docs.sparkSession
     folder = shared_subdir(spark, "mixing")
-    docs.select(F.struct(*docs.columns).alias("doc"), F.monotonically_increasing_id().alias("row")).write.parquet(folder)
+    docs.select(as_struct(docs).alias("doc"), F.monotonically_increasing_id().alias("row")).write.parquet(folder)
     placed = spark.read.parquet(folder)
     copies = F.floor(F.col("taken") / F.greatest(F.col("size"), F.lit(1)) + 0.5).cast("int")
     taken = _mixed(placed.select("row", "doc.doc_id", "doc.source", "doc.text"), ("row",), weights, most, seed, bucket_rows)

@@ -20,7 +20,7 @@ import tiktoken
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewrack.llm.common import text_or_empty
+from tidewrack.llm.common import as_struct, text_or_empty
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: A candidate has so many characters at least, and so many a token at most.
@@ -80,7 +80,8 @@ def _is_random(run: str, encoding: tiktoken.Encoding, ratio: float) -> bool:
 def _outside(a: int, b: int, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """The stretches of a to b that spans, which are in order and do not meet, leave."""
     left = []
-    for x, y in spans[bisect_right(spans, a, key=lambda s: s[1]) :]:
+    for k in range(bisect_right(spans, a, key=lambda s: s[1]), len(spans)):
+        x, y = spans[k]
         if x >= b:
             break
         if x > a:
@@ -107,17 +108,19 @@ def random_spans(text: str, encoding: tiktoken.Encoding, taken: list[tuple[int,
         if _is_known(m[0]):
             continue
         left = _outside(*m.span(), every)
+        mine: list[tuple[int, int]] = []  # in order
         for a, b in left:
             if _is_random(text[a:b], encoding, ratio):
-                found.add((a, b))
+                mine.append((a, b))
             else:
-                found.update(p.span() for p in _PIECE.finditer(text, a, b) if _is_random(p[0], encoding, ratio))
+                mine += [p.span() for p in _PIECE.finditer(text, a, b) if _is_random(p[0], encoding, ratio)]
+        found.update(mine)
         if left and left != [m.span()] and hexes:
             for p in _PIECE.finditer(text, *m.span()):
                 rest = _outside(*p.span(), every)
                 inner = _outside(*p.span(), rest)
                 if rest and inner and all(x in hexes for x in inner) and _is_random(p[0], encoding, ratio):
-                    found.update(x for x in rest if not any(a < x[1] and x[0] < b for a, b in found))
+                    found.update(x for x in rest if _outside(*x, mine) == [x])
     return [(a, "random", b) for a, b in sorted(found)]
 
 
@@ -170,13 +173,17 @@ def scan_column(name: str = "text", path: str | None = None, with_text: bool = F
 
 
 def secret_scan(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """doc_id, n_assign, n_access, n_hex, base_sha256, spans for each row of docs. A null text counts as empty; other columns are ignored."""
+    """doc_id, n_assign, n_access, n_hex, base_sha256, spans for each row of docs.
+
+    A null text counts as empty, and like an empty one has no spans; repeated rows and ids are scanned each; a text may be
+    of any length, as the work grows with it and no faster; an empty table gives an empty one. Other columns are ignored.
+    """
     return docs.select("doc_id", scan_column("text", path).alias("s")).select("doc_id", "s.n_assign", "s.n_access", "s.n_hex", "s.base_sha256", "s.spans")
 
 
 def redact(docs: DataFrame, path: str | None = None) -> DataFrame:
     """docs with every secret in text replaced, n_chars (if there is one) set anew, and null texts left null; all rows and columns stay."""
-    scanned = docs.select(F.struct(*docs.columns).alias("doc"), scan_column("text", path, with_text=True).alias("scan"))
+    scanned = docs.select(as_struct(docs).alias("doc"), scan_column("text", path, with_text=True).alias("scan"))
     new = {"text": F.when(F.col("doc.text").isNotNull(), F.col("scan.redacted"))}
     if "n_chars" in docs.columns:
         new["n_chars"] = F.when(F.col("scan.spans") != "", F.length("scan.redacted").cast(dict(docs.dtypes)["n_chars"])).otherwise(F.col("doc.n_chars"))

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from tidewrack.llm.common import cut, join_by_hot_keys, shared_subdir, shuffle_partitions, text_or_empty
+from tidewrack.llm.common import as_struct, cut, join_by_hot_keys, shared_subdir, shuffle_partitions, text_or_empty
 from tidewrack.llm.components import connected_components
 
 WORDS = 4
@@ -214,7 +214,7 @@ def keep_one_of_each(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """
     spark = docs.sparkSession
     folder = shared_subdir(spark, "numbered")
-    docs.select(F.struct(*docs.columns).alias("doc"), F.monotonically_increasing_id().alias("row"), fingerprint_column("text").alias("fp")).write.parquet(folder)
+    docs.select(as_struct(docs).alias("doc"), F.monotonically_increasing_id().alias("row"), fingerprint_column("text").alias("fp")).write.parquet(folder)
     placed = spark.read.parquet(folder)
     nodes = placed.groupBy("fp").agg(F.min(F.struct(F.col("doc.doc_id").isNull().alias("missing"), F.col("doc.doc_id").alias("doc_id"), "row")).alias("first"))
     nodes = cut(nodes)

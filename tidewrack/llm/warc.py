@@ -134,6 +134,7 @@ class BundleReader:
         raw = file.read(entries[-1][0])
         self.expand = zstandard.ZstdDecompressor()
         self.index: list[list] = json.loads(self.expand.decompress(raw[8:]))
+        self.places: dict[str, tuple[int, int]] = {name: (frame, offset) for name, frame, offset in reversed(self.index)}
 
     def frame(self, k: int) -> bytes:
         self.file.seek(self.offsets[k])
@@ -149,7 +150,7 @@ class BundleReader:
 
     def find(self, name: str) -> tuple[dict, dict, bytes]:
         """One record by its identifier: one frame is read."""
-        frame, offset = next((f, o) for n, f, o in self.index if n == name)
+        frame, offset = self.places[name]
         return parse_record(self.frame(frame), offset)[:3]
 
 
