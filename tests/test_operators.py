@@ -9,6 +9,10 @@ SCHEMA = "doc_id string, capture_id string, parent_doc_or_dup_group string, sour
 DAY = datetime(2024, 6, 10, 12)
 
 
+def signed(x):
+    return x - 2**64 if x >> 63 else x
+
+
 def make(spark, rows):
     full = []
     for k, r in enumerate(rows):
@@ -112,7 +116,6 @@ def test_weighted_signatures_equal_plain_ones(spark):
     got = {r.doc_id: r for r in dedup.weighted_signatures(df).collect()}
     hashes = {r.doc_id: r.h for r in df.select("doc_id", dedup.content_hash_xxh3(F.col("text")).alias("h")).collect()}
     assert plain_murmur(b"hello") == (0xCBD8A7B341BD9B02, 0x5B1E906A48AE1D19)
-    signed = lambda x: x - 2**64 if x >> 63 else x
     for k, t in enumerate(texts):
         import re
         import unicodedata
@@ -135,34 +138,45 @@ def test_weighted_signatures_equal_plain_ones(spark):
 
 
 @pytest.mark.parametrize("part_rows", [7, 4096])
-def test_nearest_earlier_equals_brute_force_over_bands(spark, monkeypatch, part_rows):
+@pytest.mark.parametrize("plan", [(0, 1), (6, 4), (9, 12)])
+def test_nearest_earlier_equals_brute_force_over_samples(spark, monkeypatch, part_rows, plan):
     import random
 
     monkeypatch.setattr(dedup, "PART_ROWS", part_rows)
     monkeypatch.setattr(dedup, "TILE_ROWS", 5)
+    monkeypatch.setattr(dedup, "sampling_plan", lambda *_: plan)
     rng = random.Random(3)
     base = [rng.getrandbits(128) for _ in range(12)]
     rows = [b ^ sum(1 << k for k in rng.sample(range(128), rng.randrange(45))) for b in base for _ in range(12)] + [0, 0, 2**128 - 1]
     rng.shuffle(rows)
-    signed = lambda x: x - 2**64 if x >> 63 else x
     df = spark.createDataFrame([(k, signed(x >> 64), signed(x & (2**64 - 1))) for k, x in enumerate(rows)], "nid long, hi long, lo long")
     got = {r.nid: (r.d, r.other) for r in dedup.nearest_earlier(df, 32).collect()}
-    want, all_near = {}, 0
+    masks = [(h % 2**64) << 64 | m % 2**64 for h, m in dedup.sample_masks(*plan)]
+    assert len(masks) == plan[1] and all(m.bit_count() == plan[0] for m in masks)
+    want = {}
     for k, x in enumerate(rows):
-        near = sorted(((x ^ y).bit_count(), j) for j, y in enumerate(rows[:k]) if (x ^ y).bit_count() <= 32)
-        shared = [(d, j) for d, j in near if any(not (x ^ rows[j]) >> 8 * s & 255 for s in range(16))]
-        all_near += bool(near)
-        if shared:
-            want[k] = shared[0]
-    assert got == want and len(want) >= 0.9 * all_near  # what bands find of all that have a neighbour
-
-
-def test_wide_bands_cover_the_signature(spark):
-    df = spark.createDataFrame([(1, -(2**63) + 5, 3), (2, -(2**63) + 5, 3)], "nid long, hi long, lo long")
-    x = (2**63 + 5) << 64 | 3
-    for rows, width in ((10, 8), (4096 * 2**13, 13), (4096 * 2**20, 20)):
-        got = {(r.seg, r.key) for r in dedup.band_keys(df, rows).collect()}
-        assert got == {(s, (x >> 8 * s | x << 128 - 8 * s) & (2**width - 1)) for s in range(16)}
+        near = [((x ^ y).bit_count(), j) for j, y in enumerate(rows[:k]) if (x ^ y).bit_count() <= 32 and any(not (x ^ y) & m for m in masks)]
+        if near:
+            want[k] = min(near)
+    assert got == want and want
+
+
+@pytest.mark.parametrize("rows", [10**5, 10**6, 10**8, 10**10])
+def test_recall_at_the_threshold_is_kept_at_any_size(rows):
+    """By formula, and by pairs at distance 32 that meet in the very samples that are used."""
+    import numpy as np
+
+    width, samples = dedup.sampling_plan(rows)
+    assert dedup.expected_recall(width, samples, 32) >= 0.9 and rows / 2**width < 8192
+    draw = np.random.default_rng(1)
+    masks = np.array(dedup.sample_masks(width, samples), dtype=np.int64).view(np.uint64)
+    differ = np.zeros((4000, 2), dtype=np.uint64)
+    for p in differ:
+        for k in draw.permutation(128)[:32].tolist():
+            p[k // 64] |= np.uint64(1 << k % 64)
+    met = ((differ[:, None, :] & masks[None, :, :]) == 0).all(axis=2).any(axis=1)
+    assert met.mean() > 0.88
+    assert dedup.sampling_plan(1000) == dedup.sampling_plan(rows, recall=1.0) == (0, 1)
 
 
 def test_near_decisions_match_one_by_one(spark):
@@ -188,13 +202,12 @@ def test_near_decisions_match_one_by_one(spark):
             continue
         first[t] = doc
         hi, lo = (x % 2**64 for x in dedup.signature(t))
-        bands = [(w >> 8 * b) & 255 for w in (lo, hi) for b in range(8)]
         toks = set(t.split())
-        best = min(((((hi ^ h).bit_count() + (lo ^ l_).bit_count()), n, d, tk) for n, (d, h, l_, bs, tk) in enumerate(seen) if any(x == y for x, y in zip(bands, bs))), default=None)
+        best = min(((((hi ^ h).bit_count() + (lo ^ l_).bit_count()), n, d, tk) for n, (d, h, l_, tk) in enumerate(seen)), default=None)
         near = best is not None and best[0] <= dedup.THRESHOLD and abs(len(toks) - len(best[3])) / max(len(toks), len(best[3])) <= 0.5 and (len(toks) > 200 or len(best[3]) > 200 or toks == best[3])
         root[doc] = root[best[2]] if near else doc
         assert got[name] == ("NEAR_DUP" if near else "NEW", root[doc])
-        seen.append((doc, hi, lo, bands, toks))
+        seen.append((doc, hi, lo, toks))
     assert dedup.calibrated_threshold(128, dedup.false_positive_rate(128, 32)) == 32 and dedup.false_positive_rate(8, 8) == 1.0
 
 
@@ -274,3 +287,15 @@ def test_digest_terms_count_whole_texts(spark):
     as_of = F.expr("timestamp_ntz'2024-06-11 00:00:00'")
     assert [tuple(r) for r in digest.digest_terms(df, as_of).collect()] == [("late", 600), ("early", 500)]
     assert [tuple(r) for r in digest.digest_terms(df, as_of, chars=2000).collect()] == [("early", 333)]
+
+
+def test_folds_of_one_large_group_and_ties(spark):
+    rows = [{"text": str(k), "hash": "h", "at": DAY + timedelta(minutes=k % 7)} for k in range(200)]
+    df = make(spark, rows)
+    df = df.union(df.limit(3))
+    best = lambda newest: sorted(((r.fetch_ts, r.capture_id) for r in df.collect()), key=lambda t: ((-1 if newest else 1) * t[0].timestamp(), t[1]))[0]
+    for newest in (True, False):
+        got = catalog.folded(df, "content", newest=newest).collect()
+        assert [(r.fetch_ts, r.capture_id) for r in got] == [best(newest)] and got[0].asDict().keys() == set(df.columns)
+    assert "Window" not in catalog.folded(df, "content")._jdf.queryExecution().optimizedPlan().toString()
+    assert digest.exported(df, "none", limit=None).count() == 203

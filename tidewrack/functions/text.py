@@ -123,9 +123,9 @@ LANGUAGE_MARKS = {
 }
 
 
-def detect_language(text: Column, min_chars: int = 80, min_confidence: float = 0.5) -> Column:
-    """An approximation by function words in the first 5000 characters: the language with most of them, if it has half of all. Null for short texts."""
-    tokens = F.regexp_extract_all(F.lower(F.substring(text, 1, 5000)), F.lit(r"\p{L}+"), F.lit(0))
+def detect_language(text: Column, min_chars: int = 80, min_confidence: float = 0.5, chars: int | None = None) -> Column:
+    """An approximation by function words of the whole text (the first `chars` characters, if given): the language with most of them, if it has half of all. Null for short texts."""
+    tokens = F.regexp_extract_all(F.lower(text if chars is None else F.substring(text, 1, chars)), F.lit(r"\p{L}+"), F.lit(0))
 
     def found(words: list[str]) -> Column:
         return F.size(F.filter(tokens, lambda t: t.isin(*words)))

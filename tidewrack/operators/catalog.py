@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewrack.functions.text import language_filter
@@ -33,14 +33,25 @@ def fold_key(unique: str) -> Column:
     return F.coalesce(*[blank(n) for n in names[:-1]], F.col(names[-1]))
 
 
+def first_of_each(df: DataFrame, key: Column, *order: Column) -> DataFrame:
+    """Of the rows of each key the least by order and capture_id; all of order are compared ascending, nulls first.
+
+    The least of a key is a grouped minimum of small structs, which is combined before the shuffle; rows are joined to it by
+    key and capture_id, so a key that very many rows have is dealt over many tasks, and no whole rows are sorted.
+    """
+    rows = df.withColumn("__key", key).withColumn("__order", F.struct(*[c.alias(f"o{k}") for k, c in enumerate(order)], F.col("capture_id").isNull().alias("none"), F.col("capture_id").alias("id")))
+    least = rows.groupBy("__key").agg(F.min("__order").alias("__least")).select(F.col("__key").alias("__k"), "__least")
+    same = rows["__key"].eqNullSafe(least["__k"]) & rows["__order"]["id"].eqNullSafe(least["__least"]["id"]) & rows["__order"].eqNullSafe(least["__least"])
+    return rows.join(least, same).dropDuplicates(["__key", "__order"]).drop("__key", "__order", "__k", "__least")
+
+
 def folded(df: DataFrame, unique: str = "none", newest: bool = True, time: Column | None = None) -> DataFrame:
-    """One row of each fold: the newest (or earliest) by time, ties by capture_id."""
+    """One row of each fold: the newest (or earliest) by time, rows without a time last, ties by capture_id."""
     if unique == "none":
         return df
     time = F.col("fetch_ts") if time is None else time
-    order = time.desc_nulls_last() if newest else time.asc_nulls_last()
-    w = Window.partitionBy("__key").orderBy(order, "capture_id")
-    return df.withColumn("__key", fold_key(unique)).withColumn("__n", F.row_number().over(w)).filter("__n = 1").drop("__key", "__n")
+    micros = F.unix_micros(time.cast("timestamp"))
+    return first_of_each(df, fold_key(unique), time.isNull(), -micros if newest else micros)
 
 
 def filtered(df: DataFrame, start: datetime | None = None, end: datetime | None = None, domain: str | None = None, source: str | None = None, language: str | None = None, query: str | None = None) -> DataFrame:

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from math import comb
+from math import ceil, comb, log, log1p
+from random import Random
 
 import numpy as np
 import pyarrow as pa
@@ -124,30 +125,52 @@ def exact_decisions(df: DataFrame, arrival: str = "observed_ts") -> DataFrame:
     return rows.select("capture_id", decision.alias("decision"), F.col("f.doc_id").alias("first_doc"))
 
 
-#: Mean rows of a band's value above which bands are made wider, rows of one side that a task compares, and rows of a numpy tile.
-BAND_ROWS, PART_ROWS, TILE_ROWS = 4096, 4096, 512
+#: Rows of one side that a task compares, and rows of a numpy tile.
+PART_ROWS, TILE_ROWS = 4096, 512
+#: Share of the neighbours at the threshold that samples of bits are to find, and what a row of a sample costs, in comparisons.
+RECALL, ROW_COST = 0.9, 1000
+SIGNATURE_BITS = 128
 
 
-def band_keys(sigs: DataFrame, rows: int) -> DataFrame:
-    """sigs: nid, hi, lo. nid, hi, lo, seg, key: sixteen bands, of eight bits while rows are few, else wider, so that values do not fill up.
+def meeting_chance(width: int, distance: int, bits: int = SIGNATURE_BITS) -> float:
+    """Chance that signatures at that distance agree in `width` bits drawn without return."""
+    return comb(bits - distance, width) / comb(bits, width)
 
-    Bands start every eight bits and wider ones overlap; what they are likely to find falls with their width.
+
+def expected_recall(width: int, samples: int, distance: int) -> float:
+    """Share of the pairs at that distance that meet in one of the samples at least."""
+    return 1 - (1 - meeting_chance(width, distance)) ** samples
+
+
+def sampling_plan(rows: int, distance: int = THRESHOLD, recall: float = RECALL) -> tuple[int, int]:
+    """(width, samples): how many bits a sample has and how many samples there are, so that pairs at the distance meet with the
+    recall, and rows are compared least; (0, 1), all with all, where that costs no more or a recall of 1 is asked for.
+
+    A wider sample has smaller buckets but is agreed on less often, so more of them are taken: the recall stays, at any size.
     """
-    width = BAND_BITS
-    while rows / 2**width > BAND_ROWS and width < 64:
-        width += 1
+    best, cost = (0, 1), ROW_COST + rows / 2
+    for width in range(1, SIGNATURE_BITS - distance + 1) if recall < 1 else ():
+        samples = ceil(log(1 - recall) / log1p(-meeting_chance(width, distance)))
+        if samples * (ROW_COST + rows / 2**width / 2) < cost:
+            best, cost = (width, samples), samples * (ROW_COST + rows / 2**width / 2)
+        if samples * ROW_COST > cost:
+            break
+    return best
+
+
+def sample_masks(width: int, samples: int, seed: int = 0) -> list[tuple[int, int]]:
+    """The bits of each sample, as signed masks of both halves; the same for a seed, and a longer list begins like a shorter one."""
+    draw = Random(f"{seed}:{width}")
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    masks = [sum(1 << k for k in draw.sample(range(SIGNATURE_BITS), width)) for _ in range(samples)]
+    return [(signed(m >> 64), signed(m & (1 << 64) - 1)) for m in masks]
 
-    def bits(s: int) -> Column:
-        """width bits from bit 8 s on; bit 0 is the lowest of lo, and the highest of hi is followed by it again."""
-        first, second = ("lo", "hi") if s < 8 else ("hi", "lo")
-        at = 8 * (s % 8)
-        value = F.shiftrightunsigned(F.col(first), at)
-        if at + width > 64:
-            value = value.bitwiseOR(F.shiftleft(F.col(second), 64 - at))
-        return value.bitwiseAND(F.lit((1 << width) - 1)) if width < 64 else value
 
-    bands = F.array(*[F.struct(F.lit(s).alias("seg"), bits(s).cast("long").alias("key")) for s in range(BANDS)])
-    return sigs.select("nid", "hi", "lo", F.explode(bands).alias("b")).select("nid", "hi", "lo", "b.seg", "b.key")
+def sample_rows(sigs: DataFrame, masks: list[tuple[int, int]]) -> DataFrame:
+    """sigs: nid, hi, lo. nid, hi, lo, seg, key_hi, key_lo: each row once for each sample, with the sample's bits of it."""
+    at = F.array(*[F.struct(F.lit(k).alias("seg"), F.lit(h).cast("long").alias("h"), F.lit(m).cast("long").alias("l")) for k, (h, m) in enumerate(masks)])
+    rows = sigs.select("nid", "hi", "lo", F.explode(at).alias("b"))
+    return rows.select("nid", "hi", "lo", "b.seg", F.col("hi").bitwiseAND(F.col("b.h")).alias("key_hi"), F.col("lo").bitwiseAND(F.col("b.l")).alias("key_lo"))
 
 
 def nearest_before(nid: np.ndarray, bits: np.ndarray, late: np.ndarray, early: np.ndarray, most: int) -> Iterator[tuple[int, int, int]]:
@@ -175,13 +198,13 @@ def _nearest(most: int):
     schema = pa.schema([("nid", pa.int64()), ("d", pa.int64()), ("other", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows (seg, key, i, j, part, nid, hi, lo) come ordered by the first four; one such pair of parts, of bounded size, is held at a time."""
-        held = np.zeros((0, 8), dtype=np.int64)
+        """Rows (seg, key_hi, key_lo, i, j, part, nid, hi, lo) come ordered by the first five; one such pair of parts, of bounded size, is held at a time."""
+        held = np.zeros((0, 9), dtype=np.int64)
 
         def compared(rows: np.ndarray) -> pa.RecordBatch:
-            nid, bits, part = rows[:, 5], rows[:, 6:8].astype(np.int64).view(np.uint64).reshape(-1, 2), rows[:, 4]
+            nid, bits, part = rows[:, 6], np.ascontiguousarray(rows[:, 7:9]).view(np.uint64).reshape(-1, 2), rows[:, 5]
             every = np.arange(len(rows))
-            i, j = int(rows[0, 2]), int(rows[0, 3])
+            i, j = int(rows[0, 3]), int(rows[0, 4])
             if i == j:
                 found = list(nearest_before(nid, bits, every, every, most))
             else:
@@ -190,11 +213,11 @@ def _nearest(most: int):
             return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in range(3)], schema=schema)
 
         for batch in batches:
-            rows = np.stack([batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(8)], axis=1)
+            rows = np.stack([batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(9)], axis=1)
             rows = np.concatenate([held, rows])
             if not len(rows):
                 continue
-            starts = np.flatnonzero(np.concatenate([[True], (rows[1:, :4] != rows[:-1, :4]).any(axis=1)]))
+            starts = np.flatnonzero(np.concatenate([[True], (rows[1:, :5] != rows[:-1, :5]).any(axis=1)]))
             for a, b in zip(starts[:-1].tolist(), starts[1:].tolist()):
                 if b - a > 1:
                     yield compared(rows[a:b])
@@ -205,29 +228,33 @@ def _nearest(most: int):
     return run
 
 
-def nearest_earlier(sigs: DataFrame, most: int) -> DataFrame:
-    """sigs: nid (in order of arrival), hi, lo; a table that has been cut. nid, d, other: the nearest earlier row that shares a band, within most bits.
+def nearest_earlier(sigs: DataFrame, most: int, recall: float = RECALL) -> DataFrame:
+    """sigs: nid (in order of arrival), hi, lo; a table that has been cut. nid, d, other: the nearest earlier row within most bits, of those that agree in a sample of bits.
 
-    A band's value that many rows have is dealt as pairs of parts of its rows to many tasks, so no value meets in one task.
+    The samples follow from the number of rows, so that a pair at `most` bits meets with the recall, and nearer ones more
+    surely; a recall of 1 compares all with all. Rows that agree in a sample are dealt as pairs of parts to many tasks, so
+    none meets in one task.
     """
-    dealt = band_keys(sigs, sigs.count())
-    sizes = dealt.groupBy("seg", "key").agg(F.count("*").alias("n")).filter(F.col("n") > 1)
-    dealt = dealt.join(sizes.select("seg", "key", F.ceil(F.col("n") / PART_ROWS).cast("long").alias("parts")), ["seg", "key"])
+    dealt = sample_rows(sigs, sample_masks(*sampling_plan(sigs.count(), most, recall)))
+    own = ["seg", "key_hi", "key_lo"]
+    sizes = dealt.groupBy(*own).agg(F.count("*").alias("n")).filter(F.col("n") > 1)
+    dealt = dealt.join(sizes.select(*own, F.ceil(F.col("n") / PART_ROWS).cast("long").alias("parts")), own)
     dealt = dealt.withColumn("part", F.pmod(F.xxhash64("nid"), F.col("parts")))
     pair = F.transform(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1), lambda o: F.struct(F.least(o, F.col("part")).alias("i"), F.greatest(o, F.col("part")).alias("j")))
-    dealt = dealt.withColumn("pair", F.explode(pair)).select("seg", "key", "pair.i", "pair.j", "part", "nid", "hi", "lo")
+    dealt = dealt.withColumn("pair", F.explode(pair)).select(*own, "pair.i", "pair.j", "part", "nid", "hi", "lo")
     # with the number of partitions left to Spark, small ones are joined
-    ordered = dealt.repartition("seg", "key", "i", "j").sortWithinPartitions("seg", "key", "i", "j")
+    ordered = dealt.repartition(*own, "i", "j").sortWithinPartitions(*own, "i", "j")
     found = ordered.mapInArrow(_nearest(most), "nid long, d long, other long")
     return found.groupBy("nid").agg(F.min(F.struct("d", "other")).alias("m")).select("nid", "m.d", "m.other")
 
 
-def near_decisions(df: DataFrame, threshold: int = THRESHOLD, arrival: str = "observed_ts", weighted: bool = False) -> DataFrame:
+def near_decisions(df: DataFrame, threshold: int = THRESHOLD, arrival: str = "observed_ts", weighted: bool = False, recall: float = RECALL) -> DataFrame:
     """All decisions, with dup_group: a new document that is nearest to an earlier one, within the threshold and past the guard, joins its group.
 
     weighted takes weighted_signatures, else the portable ones, which SQL can check.
     The nearest earlier neighbour is the only candidate and roots never move, so groups are chains of pointers; they
-    are followed by doubling. Neighbours are looked for among those that share a band; only the nearest leaves a task.
+    are followed by doubling. Neighbours at the threshold are found with the recall at any number of rows (see
+    nearest_earlier), nearer ones more surely, and all of them with a recall of 1; only the nearest leaves a task.
     """
     threshold = max(0, min(threshold, MOST_THRESHOLD))
     exact = exact_decisions(df, arrival)
@@ -235,7 +262,7 @@ def near_decisions(df: DataFrame, threshold: int = THRESHOLD, arrival: str = "ob
     new = df.join(exact.filter("decision = 'NEW'").select("capture_id"), "capture_id", "left_semi").select("capture_id", "doc_id", F.col(arrival).alias("at"), sig.alias("sig"), token_sketch(F.col("text")).alias("s"))
     # sorted as a whole, so that numbers rise with arrival
     new = cut(new.orderBy(F.col("at").asc_nulls_first(), "capture_id").select(F.monotonically_increasing_id().alias("nid"), "capture_id", "doc_id", "sig.hi", "sig.lo", "s.token_hash", "s.token_count"))
-    nearest = nearest_earlier(new.select("nid", "hi", "lo").filter("hi IS NOT NULL"), threshold)
+    nearest = nearest_earlier(new.select("nid", "hi", "lo").filter("hi IS NOT NULL"), threshold, recall)
     own = new.select("nid", "token_hash", "token_count")
     other = new.select(F.col("nid").alias("other"), F.col("token_hash").alias("b_hash"), F.col("token_count").alias("b_count"))
     allowed = guard_allows(F.col("token_hash"), F.col("token_count"), F.col("b_hash"), F.col("b_count"))

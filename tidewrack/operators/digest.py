@@ -83,10 +83,12 @@ def write_llm(df: DataFrame, path: str, fmt: str = "jsonl", limit: int | None =
         raise ValueError("fmt is jsonl or parquet")
 
 
-def exported(df: DataFrame, unique: str = "none", domain: str = "", source: str = "", limit: int = 1000) -> DataFrame:
+def exported(df: DataFrame, unique: str = "none", domain: str = "", source: str = "", limit: int | None = 1000) -> DataFrame:
+    """Rows newest first, as many as limit says; None gives all."""
     df = df.filter(F.lower("domain") == domain.lower()) if domain else df
     df = df.filter(F.lower("source_type") == source.lower()) if source else df
-    return folded(df, unique).orderBy(F.col("fetch_ts").desc_nulls_last(), "capture_id").limit(max(1, min(limit, 100_000)))
+    rows = folded(df, unique).orderBy(F.col("fetch_ts").desc_nulls_last(), "capture_id")
+    return rows if limit is None else rows.limit(max(1, limit))
 
 
 def write_texts(df: DataFrame, path: str) -> None:

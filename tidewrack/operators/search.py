@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewrack.functions.tokens import java_escape, letter_tokens, phrase_of, query_tokens
+from tidewrack.operators.catalog import first_of_each
 from tidewrack.operators.terms import primary_language
 
 MODES = ("auto", "fts", "prefix", "substring")
@@ -277,9 +278,13 @@ def collapse_key() -> Column:
 
 
 def collapsed(rows: DataFrame, *order: Column) -> DataFrame:
-    """The first row of each key, by the given order."""
-    w = Window.partitionBy("__key").orderBy(*order)
-    return rows.withColumn("__key", collapse_key()).withColumn("__n", F.row_number().over(w)).filter("__n = 1").drop("__key", "__n")
+    """The first row of each key, by the given order (compared ascending) and capture_id."""
+    return first_of_each(rows, collapse_key(), *order)
+
+
+def newest_first() -> tuple[Column, Column]:
+    """An order for collapsed: newest rows first, those without a time last."""
+    return F.col("fetch_ts").isNull(), -F.unix_micros(F.col("fetch_ts").cast("timestamp"))
 
 
 def facets(matches: DataFrame, limit: int = 10) -> DataFrame:
@@ -334,7 +339,10 @@ class SearchResult:
 
 
 def search(df: DataFrame, query: str, mode: str = "auto", limit: int = 30, offset: int = 0, max_results: int = MAX_RESULTS, fields: tuple[str, ...] = ("title", "text"), index: SearchIndex | None = None, prune: bool = True, unique: bool = True) -> SearchResult:
-    """A page of results. Ranked search first; if it finds nothing, substrings; a query in quotes is a phrase."""
+    """A page of results. Ranked search first; if it finds nothing, substrings; a query in quotes is a phrase.
+
+    total counts all that is found. A page is a top-k report: the `max_results` best (200 at least) by score are re-ranked.
+    """
     if mode not in MODES:
         raise ValueError(f"mode must be one of {MODES}")
     phrase, terms = phrase_of(query), query_tokens(query)
@@ -356,10 +364,10 @@ def search(df: DataFrame, query: str, mode: str = "auto", limit: int = 30, offse
         window = max(200, max_results)
         top = reranked(ranked.orderBy(F.desc("score"), "capture_id").limit(window), terms)
         order = (F.col("final_score").desc(), F.col("score").desc(), F.col("capture_id").asc())
-        page = collapsed(top, *order) if unique else top
+        page = collapsed(top, -F.col("final_score"), -F.col("score")) if unique else top
     else:
-        page, order = (collapsed(found, *newest) if unique else found), newest
+        page, order = (collapsed(found, *newest_first()) if unique else found), newest
     total = found.count() if not unique else found.select(F.count_distinct(collapse_key())).first()[0]
     rows = page.orderBy(*order).limit(max_results).offset(max(0, offset)).limit(max(1, min(limit, MAX_RESULTS)))
     hints = [] if total else ["no document matches" + ("; try mode substring" if used == "fts" else "")]
-    return SearchResult(used, min(total, max_results), with_snippets(rows, [phrase] if phrase else terms), facets(found), hints)
+    return SearchResult(used, total, with_snippets(rows, [phrase] if phrase else terms), facets(found), hints)

@@ -202,8 +202,7 @@ over_tables("merge_guards", f"WITH s AS (SELECT *, CAST(substr(capture_id, 5) AS
 _XOR = "sum(bit_count(xor(instr('0123456789abcdef', substr(x.signature, CAST(i AS INTEGER), 1)) - 1, instr('0123456789abcdef', substr(y.signature, CAST(i AS INTEGER), 1)) - 1)))"
 _DECIDED = f"""{registry._SIGS}, ex AS ({registry.oracle_sql()["exact_decisions"].partition("documents d)")[2]}), sk AS ({_SKETCH}),
 nu AS (SELECT c.capture_id, c.doc_id, c.observed_ts AS seen_at, signature, token_hash, token_count FROM captures c JOIN ex ON ex.capture_id = c.capture_id LEFT JOIN sig ON sig.capture_id = c.capture_id LEFT JOIN sk ON sk.capture_id = c.capture_id WHERE decision = 'NEW'),
-bands AS (SELECT capture_id, seen_at, seg, substr(signature, 31 - 2 * CAST(seg AS INTEGER), 2) AS v FROM nu CROSS JOIN (SELECT unnest(generate_series(0, 15)) AS seg) WHERE signature IS NOT NULL),
-cand AS (SELECT DISTINCT a.capture_id AS a, b.capture_id AS b FROM bands a JOIN bands b ON a.seg = b.seg AND a.v = b.v AND (b.seen_at < a.seen_at OR b.seen_at = a.seen_at AND b.capture_id < a.capture_id)),
+cand AS (SELECT a.capture_id AS a, b.capture_id AS b FROM nu a JOIN nu b ON (b.seen_at < a.seen_at OR b.seen_at = a.seen_at AND b.capture_id < a.capture_id) WHERE a.signature IS NOT NULL AND b.signature IS NOT NULL),
 dist AS (SELECT a, b, CAST({_XOR} AS INTEGER) AS d FROM cand JOIN nu x ON x.capture_id = a JOIN nu y ON y.capture_id = b CROSS JOIN (SELECT unnest(generate_series(1, 32)) AS i) GROUP BY a, b),
 best AS (SELECT a, b, d FROM (SELECT a, b, d, row_number() OVER (PARTITION BY a ORDER BY d, y.seen_at, b) AS rn FROM dist JOIN nu y ON y.capture_id = b) WHERE rn = 1 AND d <= 32),
 parent AS (SELECT a, b, d FROM best JOIN nu x ON x.capture_id = a JOIN nu y ON y.capture_id = b WHERE coalesce(abs(x.token_count - y.token_count) / greatest(x.token_count, y.token_count) <= 0.5 AND (x.token_count > 200 OR y.token_count > 200 OR x.token_hash = y.token_hash), true)),
@@ -539,7 +538,7 @@ def _index_lines(spark: SparkSession, d: str) -> DataFrame:
 
 over_tables(
     "index_records",
-    "WITH e AS (SELECT 'c' || event_id % 2 AS crawl, 'https://e.example/' || user_id AS url, CAST(epoch(date_trunc('second', ts)) AS BIGINT) AS fetched, 'f' || event_id % 7 AS filename, event_id * 10 AS first_byte FROM events WHERE event_type NOT IN ('error', 'view') AND CAST(ts AS DATE) BETWEEN DATE '2024-01-05' AND DATE '2024-01-24') SELECT crawl, url, fetched, filename, first_byte, first_byte + 9 AS last_byte FROM (SELECT *, row_number() OVER (PARTITION BY crawl ORDER BY url, fetched, filename, first_byte) AS k FROM e) WHERE k <= 5000",
+    "WITH e AS (SELECT 'c' || event_id % 2 AS crawl, 'https://e.example/' || user_id AS url, CAST(epoch(date_trunc('second', ts)) AS BIGINT) AS fetched, 'f' || event_id % 7 AS filename, event_id * 10 AS first_byte FROM events WHERE event_type NOT IN ('error', 'view') AND CAST(ts AS DATE) BETWEEN DATE '2024-01-05' AND DATE '2024-01-24') SELECT crawl, url, fetched, filename, first_byte, first_byte + 9 AS last_byte FROM e",
 )(lambda spark, d: _index_lines(spark, d).withColumn("fetched", F.unix_seconds("fetched")))
 over_tables("board_listings", "SELECT CAST(o_custkey AS VARCHAR) AS company, 'Job ' || o_orderkey AS title, 'https://j.example/' || o_orderkey AS url, o_orderpriority AS location, 'ats' AS source FROM orders")(
     lambda spark, d: web.board_listings(

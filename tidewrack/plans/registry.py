@@ -202,7 +202,7 @@ over_captures("sentiment_series", f"{_SENT} SELECT * FROM series")(lambda df: se
 over_captures("market_heat", f"{_SENT}, k AS (SELECT *, row_number() OVER (ORDER BY bucket) AS k, count(*) OVER () AS n FROM series) SELECT CAST(sum(docs) AS BIGINT) AS docs, CAST(sum(positive) AS BIGINT) AS positive, CAST(sum(negative) AS BIGINT) AS negative, round(coalesce(sum(positive) / nullif(sum(positive) + sum(negative), 0), 0.0), 4) AS positive_ratio, round(stddev_pop(avg_score), 4) AS volatility, round(coalesce(regr_slope(avg_score, CAST(k AS DOUBLE)) FILTER (WHERE k > n - 7), 0.0), 4) AS slope_7d FROM k")(lambda df: sentiment.market_heat(df, OTHER, 14, lexicon=_LEX))
 over_captures(
     "topic_dominance",
-    f""", hits AS (SELECT capture_id, trim(domain) AS domain, substr(text, 1, 200) AS text FROM captures WHERE {_has(OTHER)} AND {_tail(14)} AND trim(domain) <> ''), {_scored('hits')},
+    f""", hits AS (SELECT capture_id, trim(domain) AS domain, text FROM captures WHERE {_has(OTHER)} AND {_tail(14)} AND trim(domain) <> ''), {_scored('hits')},
 d AS (SELECT domain, {_SCORE} AS score FROM hits LEFT JOIN sums ON id = capture_id), g AS (SELECT domain, count(*) AS doc_count, avg(score) AS s FROM d GROUP BY 1)
 SELECT domain, doc_count, round(doc_count / sum(doc_count) OVER (), 4) AS doc_fraction, round(s, 4) AS avg_sentiment FROM g ORDER BY doc_count DESC, domain LIMIT 10""",
 )(lambda df: topics.dominance(df, OTHER, lexicon=_LEX))
@@ -255,7 +255,7 @@ over_tables("sql_passthrough", f"WITH {CAPTURES_SQL} SELECT domain, count(*) AS
 
 over_captures("language_filter", "SELECT capture_id FROM captures WHERE language = 'es' OR language LIKE 'es-%'")(lambda df: df.filter(texts.language_filter("ES")).select("capture_id"))
 _MARKS = ", ".join(f"{{'n': len(list_filter(w, lambda x: x IN ({sql_words(frozenset(m))}))), 'lang': '{k}'}}" for k, m in sorted(texts.LANGUAGE_MARKS.items()))
-over_captures("detected_language", f", t AS (SELECT *, regexp_extract_all(lower(substr(text, 1, 5000)), '\\pL+') AS w FROM captures), c AS (SELECT capture_id, language, text, [{_MARKS}] AS m FROM t), b AS (SELECT *, list_max(m) AS best, list_sum(list_transform(m, lambda x: x.n)) AS total FROM c) SELECT capture_id, language, CASE WHEN length(text) >= 80 AND best.n > 0 AND best.n / total >= 0.5 THEN best.lang END AS detected FROM b")(lambda df: df.select("capture_id", "language", texts.detect_language(F.col("text")).alias("detected")))
+over_captures("detected_language", f", t AS (SELECT *, regexp_extract_all(lower(text), '\\pL+') AS w FROM captures), c AS (SELECT capture_id, language, text, [{_MARKS}] AS m FROM t), b AS (SELECT *, list_max(m) AS best, list_sum(list_transform(m, lambda x: x.n)) AS total FROM c) SELECT capture_id, language, CASE WHEN length(text) >= 80 AND best.n > 0 AND best.n / total >= 0.5 THEN best.lang END AS detected FROM b")(lambda df: df.select("capture_id", "language", texts.detect_language(F.col("text")).alias("detected")))
 _CLEAN = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\r\n?', chr(10), 'g'), '[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]', '', 'g'), '[ \t]+\n', chr(10), 'g'), '[ \t]{2,}', ' ', 'g'), '\n{3,}', chr(10) || chr(10), 'g')"
 over_captures("basic_clean", rf"SELECT capture_id, md5(regexp_replace({_CLEAN}, '^\s+|\s+$', '', 'g')) AS clean_md5 FROM captures")(lambda df: df.select("capture_id", F.md5(texts.basic_clean(F.col("text"), normalize=False).cast("binary")).alias("clean_md5")))
 _STRIP = "'^[.,!?;:\"''()\\[\\]]+|[.,!?;:\"''()\\[\\]]+$'"
@@ -311,7 +311,7 @@ over_captures("document_frequencies", f"{_POST} SELECT term, count(*) AS df FROM
 over_captures("substring_search", "SELECT capture_id FROM captures WHERE title ILIKE '%theand%' OR text ILIKE '%theand%'")(lambda df: search.substring_matches(df, ["theand"]).select("capture_id"))
 over_captures("phrase_search", "SELECT capture_id FROM captures WHERE title ILIKE '%of the%' OR text ILIKE '%of the%'")(lambda df: search.phrase_matches(df, search.phrase_of('"of the"')).select("capture_id"))
 over_captures("facets", "SELECT facet, value, count FROM (SELECT *, row_number() OVER (PARTITION BY facet ORDER BY count DESC, value) AS rn FROM (SELECT 'domain' AS facet, lower(trim(domain)) AS value, count(*) AS count FROM captures GROUP BY 2 UNION ALL SELECT 'source', lower(trim(source_type)), count(*) FROM captures GROUP BY 2 UNION ALL SELECT 'language', split_part(lower(language), '-', 1), count(*) FROM captures GROUP BY 2)) WHERE rn <= 10")(lambda df: search.facets(df))
-over_captures("collapsed_search", "SELECT capture_id FROM (SELECT *, row_number() OVER (PARTITION BY parent_doc_or_dup_group ORDER BY fetch_ts DESC, capture_id) AS rn FROM captures WHERE title ILIKE '%the%' OR text ILIKE '%the%') WHERE rn = 1")(lambda df: search.collapsed(search.substring_matches(df, ["the"]), F.col("fetch_ts").desc(), F.col("capture_id")).select("capture_id"))
+over_captures("collapsed_search", "SELECT capture_id FROM (SELECT *, row_number() OVER (PARTITION BY parent_doc_or_dup_group ORDER BY fetch_ts DESC, capture_id) AS rn FROM captures WHERE title ILIKE '%the%' OR text ILIKE '%the%') WHERE rn = 1")(lambda df: search.collapsed(search.substring_matches(df, ["the"]), *search.newest_first()).select("capture_id"))
 over_captures("search_page")(lambda df: search.search(df, "theand of", prune=False).rows.select("capture_id", "final_score", "snippet"))
 
 # ---- alerts and other series -------------------------------------------------------------------------------------------------
@@ -339,7 +339,7 @@ over_tables("session_authors", "SELECT role AS author, count(*) AS count FROM co
 
 _NOW = f"observed_ts BETWEEN TIMESTAMP '{AS_OF}' - INTERVAL 7 DAY AND TIMESTAMP '{AS_OF}'"
 over_captures("digest_metrics", f", a AS (SELECT count(*) FILTER (WHERE {_NOW}) AS captures, count(*) FILTER (WHERE observed_ts >= TIMESTAMP '{AS_OF}' - INTERVAL 14 DAY AND observed_ts < TIMESTAMP '{AS_OF}' - INTERVAL 7 DAY) AS previous, count(DISTINCT CASE WHEN {_NOW} AND trim(domain) <> '' THEN domain END) AS domains FROM captures), n AS (SELECT count(*) AS new_domains FROM (SELECT min(observed_ts) AS f FROM captures GROUP BY domain) WHERE f BETWEEN TIMESTAMP '{AS_OF}' - INTERVAL 7 DAY AND TIMESTAMP '{AS_OF}') SELECT captures, previous, round((captures - previous) / nullif(previous, 0), 4) AS growth, domains, new_domains FROM a CROSS JOIN n")(lambda df: digest.digest_metrics(df, as_of()))
-over_captures("digest_terms", f", t AS (SELECT unnest(regexp_extract_all(lower(title || ' ' || substr(text, 1, 2000)), '\\pL+')) AS term FROM captures WHERE {_NOW}) SELECT term, count(*) AS count FROM t WHERE length(term) >= 3 AND term NOT IN ({sql_words(DIGEST_STOPWORDS)}) GROUP BY 1 ORDER BY count DESC, term LIMIT 20")(lambda df: digest.digest_terms(df, as_of(), chars=2000))
+over_captures("digest_terms", f", t AS (SELECT unnest(regexp_extract_all(lower(title || ' ' || text), '\\pL+')) AS term FROM captures WHERE {_NOW}) SELECT term, count(*) AS count FROM t WHERE length(term) >= 3 AND term NOT IN ({sql_words(DIGEST_STOPWORDS)}) GROUP BY 1 ORDER BY count DESC, term LIMIT 20")(lambda df: digest.digest_terms(df, as_of()))
 over_captures("digest_terms_whole", f", t AS (SELECT unnest(regexp_extract_all(lower(concat_ws(' ', title, text)), '\\pL+')) AS term FROM captures WHERE {_NOW}) SELECT term, count(*) AS count FROM t WHERE length(term) >= 3 AND term NOT IN ({sql_words(DIGEST_STOPWORDS)}) GROUP BY 1 ORDER BY count DESC, term LIMIT 20")(lambda df: digest.digest_terms(df, as_of()))
 over_captures("title_bigrams", f", t AS (SELECT capture_id, list_filter(regexp_extract_all(lower(title), '\\pL+'), lambda x: length(x) >= 3 AND x NOT IN ({sql_words(DIGEST_STOPWORDS)})) AS w FROM captures WHERE {_NOW}), u AS (SELECT capture_id, unnest(w) AS a, generate_subscripts(w, 1) AS p FROM t WHERE len(w) > 0), b AS (SELECT a || ' ' || lead(a) OVER (PARTITION BY capture_id ORDER BY p) AS term FROM u) SELECT term, count(*) AS count FROM b WHERE term IS NOT NULL GROUP BY 1 ORDER BY count DESC, term LIMIT 20")(lambda df: digest.title_bigrams(df, as_of()))
 over_captures("llm_export", "SELECT md5(regexp_replace(title || chr(10) || chr(10) || text, '^\\n+|\\n+$', '', 'g')) AS output_md5, capture_id FROM (SELECT *, row_number() OVER (PARTITION BY parent_doc_or_dup_group ORDER BY observed_ts, capture_id) AS rn FROM captures) WHERE rn = 1")(lambda df: digest.llm_records(df).select(F.md5(F.col("output").cast("binary")).alias("output_md5"), "metadata.capture_id"))

@@ -50,19 +50,21 @@ def shard_paths(spark: SparkSession, listing: str, most: int | None = None) -> D
 _INDEX_LINE = "url string, timestamp string, filename string, `offset` string, length string, status string, mime string, digest string"
 
 
-def index_records(lines: DataFrame, start: Column, end: Column, most: int = 5_000) -> DataFrame:
+def index_records(lines: DataFrame, start: Column, end: Column, most: int | None = None) -> DataFrame:
     """lines: crawl, first, last, value (a line of an index reply, as JSON). Byte ranges of the archives to read: crawl, url, fetched, filename, first_byte, last_byte.
 
-    Only successful HTML replies inside both the crawl's window and [start, end] count, each range once; of each crawl the
-    first `most`, by address and time, as one query of the index gives no more.
+    Only successful HTML replies inside both the crawl's window and [start, end] count, each range once: all of them, or
+    of each crawl the first `most` by address and time, as one query of an index may give no more.
     """
     rows = lines.select("crawl", "first", "last", F.from_json("value", _INDEX_LINE).alias("r")).select("crawl", "first", "last", "r.*")
     rows = rows.withColumn("fetched", F.try_to_timestamp("timestamp", F.lit("yyyyMMddHHmmss"))).withColumns({"first_byte": F.expr("try_cast(`offset` AS bigint)"), "size": F.expr("try_cast(length AS bigint)")})
     day = F.to_date("fetched")
     rows = rows.filter((F.col("status") == "200") & F.coalesce(F.col("mime").contains("html"), F.lit(True)) & day.between(F.col("first"), F.col("last")) & day.between(start, end) & F.col("first_byte").isNotNull() & (F.col("size") > 0))
     rows = rows.dropDuplicates(["crawl", "filename", "first_byte"])
-    place = F.row_number().over(Window.partitionBy("crawl").orderBy("url", "fetched", "filename", "first_byte"))
-    return rows.withColumn("place", place).filter(F.col("place") <= most).select("crawl", "url", "fetched", "filename", "first_byte", (F.col("first_byte") + F.col("size") - 1).alias("last_byte"))
+    if most is not None:
+        place = F.row_number().over(Window.partitionBy("crawl").orderBy("url", "fetched", "filename", "first_byte"))
+        rows = rows.withColumn("place", place).filter(F.col("place") <= most)
+    return rows.select("crawl", "url", "fetched", "filename", "first_byte", (F.col("first_byte") + F.col("size") - 1).alias("last_byte"))
 
 
 def index_pages(matches: int, page: int = 100, most: int = 5_000) -> list[tuple[int, int]]:
