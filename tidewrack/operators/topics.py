@@ -77,9 +77,9 @@ def emerging(df: DataFrame, days: int = 7, limit: int = 20) -> DataFrame:
 def dominance(df: DataFrame, term: str, days: int = 14, limit: int = 10, lexicon: Lexicon = DEFAULT, chars: int | None = None) -> DataFrame:
     """domain, doc_count, doc_fraction, avg_sentiment of the documents with the term; of whole texts, unless chars is given."""
     hits = tail(df, days).filter(matches(term)).select(F.trim("domain").alias("domain"), (F.col("text") if chars is None else F.substring("text", 1, chars)).alias("text")).filter("domain <> ''")
-    rows = scored(hits, lexicon=lexicon).groupBy("domain").agg(F.count("*").alias("doc_count"), F.avg("score").alias("s"))
+    rows = scored(hits, lexicon=lexicon).groupBy("domain").agg(F.count("*").alias("doc_count"), F.avg(F.round(F.col("score") * 10_000).cast("long")).alias("s"))  # whole numbers, so the mean does not depend on their order
     rows = with_totals(rows, F.sum("doc_count").alias("all"))
-    return rows.select("domain", "doc_count", F.round(F.col("doc_count") / F.col("all"), 4).alias("doc_fraction"), F.round("s", 4).alias("avg_sentiment")).orderBy(F.desc("doc_count"), "domain").limit(checked_limit(limit))
+    return rows.select("domain", "doc_count", F.round(F.col("doc_count") / F.col("all"), 4).alias("doc_fraction"), (F.round("s") / 10_000).alias("avg_sentiment")).orderBy(F.desc("doc_count"), "domain").limit(checked_limit(limit))
 
 
 def lead_times(df: DataFrame, since: Column | None = None) -> DataFrame:

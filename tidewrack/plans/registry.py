@@ -203,8 +203,8 @@ over_captures("market_heat", f"{_SENT}, k AS (SELECT *, row_number() OVER (ORDER
 over_captures(
     "topic_dominance",
     f""", hits AS (SELECT capture_id, trim(domain) AS domain, text FROM captures WHERE {_has(OTHER)} AND {_tail(14)} AND trim(domain) <> ''), {_scored('hits')},
-d AS (SELECT domain, {_SCORE} AS score FROM hits LEFT JOIN sums ON id = capture_id), g AS (SELECT domain, count(*) AS doc_count, avg(score) AS s FROM d GROUP BY 1)
-SELECT domain, doc_count, round(doc_count / sum(doc_count) OVER (), 4) AS doc_fraction, round(s, 4) AS avg_sentiment FROM g ORDER BY doc_count DESC, domain LIMIT 10""",
+d AS (SELECT domain, {_SCORE} AS score FROM hits LEFT JOIN sums ON id = capture_id), g AS (SELECT domain, count(*) AS doc_count, avg(CAST(round(score * 10000) AS BIGINT)) AS s FROM d GROUP BY 1)
+SELECT domain, doc_count, round(doc_count / sum(doc_count) OVER (), 4) AS doc_fraction, round(s) / 10000 AS avg_sentiment FROM g ORDER BY doc_count DESC, domain LIMIT 10""",
 )(lambda df: topics.dominance(df, OTHER, lexicon=_LEX))
 
 # ---- quality ---------------------------------------------------------------------------------------------------------------
