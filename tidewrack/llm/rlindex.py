@@ -109,37 +109,37 @@ def suffix_order(text: np.ndarray, packed: np.ndarray | None = None, left: np.nd
     """The suffix array of a text of non-negative numbers, by doubling. The end sorts before all symbols.
 
     packed, if given, has the first eight symbols of each suffix as one number, zeros behind the end of its segment, and
-    left tells suffixes with less than eight symbols apart, in their order and before all others.
+    left tells suffixes with less than eight symbols apart, in their order and before all others. A suffix has the rank of
+    the first place that its equals so far take; once it is alone there, it is not sorted again.
     """
     n = len(text)
     if packed is None:
-        _, ranks = np.unique(text, return_inverse=True)
-        ranks, step = ranks.astype(np.int64) + 1, 1
+        key, step = text, 1
     else:
         order = np.argsort(packed)
         ordered = packed[order]
-        ranks = np.empty(n, dtype=np.int64)
-        ranks[order] = np.cumsum(np.concatenate([[1], ordered[1:] != ordered[:-1]]))
-        order, ranks = _ranked(ranks * (int(left.max()) + 2) + left)
-        step = 8
+        key = np.empty(n, dtype=np.int64)
+        key[order] = np.cumsum(np.concatenate([[1], ordered[1:] != ordered[:-1]]))
+        key, step = key * (int(left.max()) + 2) + left, 8
+    order = np.argsort(key)
+    heads = np.concatenate([[True], key[order[1:]] != key[order[:-1]]])
+    ranks = np.empty(n, dtype=np.int64)
+    ranks[order] = np.maximum.accumulate(np.where(heads, np.arange(n), 0))
     while True:
-        after = np.zeros(n, dtype=np.int64)
-        if step < n:
-            after[:-step] = ranks[step:]
-        order, ranks = _ranked(ranks * (n + 2) + after)
-        if int(ranks[order[-1]]) == n or step >= n:
+        live = np.flatnonzero(~(heads & np.append(heads[1:], True)))
+        if not len(live):
             return order
+        at = order[live]
+        after = np.where(at + step < n, ranks[np.minimum(at + step, n - 1)] + 1, 0)
+        key = ranks[at] * (n + 2) + after
+        by = np.argsort(key)
+        at, key = at[by], key[by]
+        fresh = np.concatenate([[True], key[1:] != key[:-1]])
+        order[live], heads[live] = at, fresh
+        ranks[at] = np.maximum.accumulate(np.where(fresh, live, 0))
         step *= 2
 
 
-def _ranked(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    order = np.argsort(key)
-    ordered = key[order]
-    ranks = np.empty(len(key), dtype=np.int64)
-    ranks[order] = np.cumsum(np.concatenate([[1], ordered[1:] != ordered[:-1]]))
-    return order, ranks
-
-
 class RunLengthIndex:
     """Run-length compressed Burrows-Wheeler transform of different segments, each ended by a symbol of its own, with samples at run heads and ends.
 
