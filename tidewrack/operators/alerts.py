@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewrack.functions.manyterms import terms_found
 from tidewrack.functions.tokens import matches
 from tidewrack.functions.windows import checked_limit, pruned
 
@@ -24,22 +25,55 @@ class Rule:
     cooldown_minutes: float = 60.0
 
 
-def evaluated(df: DataFrame, rules: list[Rule], as_of: Column) -> DataFrame:
-    """rule_id, kind, term, count, baseline, required, fired of every rule: counts in [as_of - window, as_of), the baseline over the seven days before."""
-    interval = lambda h: F.make_dt_interval(hours=F.lit(int(h)), mins=F.lit(int(h % 1 * 60)))
-    longest = max(r.window_hours for r in rules)
-    part = pruned(df, as_of - interval(longest) - interval(24 * BASELINE_DAYS), as_of)
+#: Rules beyond which texts are read once for all of them, by an automaton.
+MANY_RULES = 16
+
+
+def _interval(hours: float) -> Column:
+    return F.make_dt_interval(hours=F.lit(int(hours)), mins=F.lit(int(hours % 1 * 60)))
+
+
+def _counted(part: DataFrame, rules: list[Rule], as_of: Column) -> DataFrame:
+    """rule_id, kind, term, threshold, count, baseline of each rule: a conditional count for each."""
     hits, counts = {}, []
     for k, r in enumerate(rules):
-        start = as_of - interval(r.window_hours)
+        start = as_of - _interval(r.window_hours)
         now = (F.col("fetch_ts") >= start) & (F.col("fetch_ts") < as_of)
-        before = (F.col("fetch_ts") >= start - interval(24 * BASELINE_DAYS)) & (F.col("fetch_ts") < start)
+        before = (F.col("fetch_ts") >= start - _interval(24 * BASELINE_DAYS)) & (F.col("fetch_ts") < start)
         hits[f"__{k}"] = F.when((now | before) & matches(r.term), now)  # whether a hit is in the window; the time is looked at first
         counts.append(F.count(F.when(F.col(f"__{k}"), True)).alias(f"c{k}"))
         counts.append(F.count(F.when(~F.col(f"__{k}"), True)).alias(f"b{k}"))
     one = part.select(*[c.alias(n) for n, c in hits.items()]).agg(*counts)
     each = F.explode(F.array(*[F.struct(F.lit(r.id).alias("rule_id"), F.lit(r.kind).alias("kind"), F.lit(r.term).alias("term"), F.lit(float(r.threshold)).alias("threshold"), F.col(f"c{k}").alias("count"), (F.col(f"b{k}") / BASELINE_DAYS).alias("baseline")) for k, r in enumerate(rules)]))
-    rows = one.select(each.alias("r")).select("r.*")
+    return one.select(each.alias("r")).select("r.*")
+
+
+def _counted_at_once(part: DataFrame, rules: list[Rule], as_of: Column) -> DataFrame:
+    """The same for any number of rules: each text is read once, its terms are rows, and they meet the rules, which are broadcast."""
+    terms = sorted({r.term.strip().lower() for r in rules})
+    number = {t: k for k, t in enumerate(terms)}
+    table = part.sparkSession.createDataFrame([(r.id, r.kind, r.term, float(r.threshold), int(r.window_hours * 3600), number[r.term.strip().lower()]) for r in rules], "rule_id int, kind string, term string, threshold double, seconds long, number int")
+    age = F.unix_micros(as_of.cast("timestamp")) - F.unix_micros(F.col("fetch_ts").cast("timestamp"))
+    rows = part.filter(age > 0).select(age.alias("age"), F.explode(terms_found(terms, "title", "text")).alias("number"))
+    # as many rows as there are terms and different ages at most, before any rule is looked at
+    met = rows.groupBy("number", "age").agg(F.count("*").alias("n")).join(F.broadcast(table.select("number", "rule_id", "seconds")), "number")
+    inside, upto = F.col("age") <= F.col("seconds") * 1_000_000, F.col("age") <= (F.col("seconds") + 86_400 * BASELINE_DAYS) * 1_000_000
+    counts = met.groupBy("rule_id").agg(F.sum(F.when(inside, F.col("n")).otherwise(0)).alias("c"), F.sum(F.when(~inside & upto, F.col("n")).otherwise(0)).alias("b"))
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
+    return table.join(counts, "rule_id", "left").select("rule_id", "kind", "term", "threshold", zero("c").alias("count"), (zero("b") / BASELINE_DAYS).alias("baseline"))
+
+
+def evaluated(df: DataFrame, rules: list[Rule], as_of: Column) -> DataFrame:
+    """rule_id, kind, term, count, baseline, required, fired of every rule: counts in [as_of - window, as_of), the baseline over the seven days before.
+
+    Rules have ids of their own. Beyond MANY_RULES rules, those with ASCII terms are looked for all at once; the counts are the same.
+    """
+    longest = max(r.window_hours for r in rules)
+    part = pruned(df, as_of - _interval(longest) - _interval(24 * BASELINE_DAYS), as_of)
+    plain = [r for r in rules if r.term.isascii()] if len(rules) > MANY_RULES else []
+    others = [r for r in rules if r not in plain]
+    parts = [_counted_at_once(part, plain, as_of)] * bool(plain) + ([_counted(part, others, as_of)] if others else [])
+    rows = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
     spike = F.greatest("threshold", F.when(F.col("baseline") > 0, SPIKE_FACTOR * F.col("baseline")).otherwise(SPIKE_FLOOR))
     required = F.when(F.col("kind") == "term_spike", spike).otherwise(F.col("threshold"))
     return rows.select("rule_id", "kind", "term", "count", F.round("baseline", 4).alias("baseline"), F.round(required, 4).alias("required"), (F.col("count") >= required).alias("fired"))

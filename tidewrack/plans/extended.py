@@ -7,7 +7,7 @@ from datetime import date, datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewrack.functions import html, urls
+from tidewrack.functions import html, stemmer, urls
 from tidewrack.functions import text as texts
 from tidewrack.functions.tokens import ANALYTICS_STOPWORDS, SOURCE_STOPWORDS, sql_words
 from tidewrack.functions.windows import bucket
@@ -17,7 +17,7 @@ from tidewrack.plans.registry import AS_OF, OTHER, RULES, TERM, TOPICS, as_of, o
 from tidewrack.session import shared_subdir
 from tidewrack.sources import datasource, jsonl, web
 from tidewrack.sources.testdata import CAPTURES_SQL, captures, table
-from tidewrack.streaming import streams
+from tidewrack.streaming import stateful, streams
 
 
 def ntz(said: str):
@@ -560,3 +560,63 @@ def _loaded(spark: SparkSession, d: str) -> DataFrame:
 
 
 over_tables("stream_loading", "SELECT 'e' || event_id AS capture_id, event_type FROM events")(_loaded)
+
+
+# ---- many rules, stems, stateful streams, chunked output -------------------------------------------------------------------------
+
+MANY = [alerts.Rule(k, w, w, "term_spike" if k % 3 else "term_count", 1 + k % 4, 12 * (1 + k % 5)) for k, w in enumerate(sorted(ANALYTICS_STOPWORDS))]
+over_captures(
+    "alerts_many_rules",
+    f""", r(rule_id, kind, term, threshold, hours) AS (VALUES {', '.join(f"({r.id}, '{r.kind}', '{r.term}', CAST({r.threshold} AS DOUBLE), {int(r.window_hours)})" for r in MANY)}),
+w AS (SELECT DISTINCT capture_id, fetch_ts, unnest(regexp_extract_all(lower(title || chr(10) || text), '[a-z0-9_]+')) AS t FROM captures),
+h AS (SELECT rule_id, count(*) FILTER (WHERE fetch_ts >= TIMESTAMP '{AS_OF}' - to_hours(hours)) AS n, count(*) FILTER (WHERE fetch_ts < TIMESTAMP '{AS_OF}' - to_hours(hours)) AS b
+  FROM r JOIN w ON t = term AND fetch_ts < TIMESTAMP '{AS_OF}' AND fetch_ts >= TIMESTAMP '{AS_OF}' - to_hours(hours + 168) GROUP BY 1),
+e AS (SELECT rule_id, kind, term, threshold, coalesce(n, 0) AS n, coalesce(b, 0) / 7 AS baseline FROM r LEFT JOIN h USING (rule_id)),
+q AS (SELECT *, CASE WHEN kind = 'term_spike' THEN greatest(threshold, CASE WHEN baseline > 0 THEN 3.0 * baseline ELSE 3.0 END) ELSE threshold END AS required FROM e)
+SELECT rule_id, kind, term, n AS count, round(baseline, 4) AS baseline, round(required, 4) AS required, n >= required AS fired FROM q""",
+)(lambda df: alerts.evaluated(df, MANY, as_of()))
+
+
+def _stemmed_scores(df: DataFrame) -> DataFrame:
+    return search.postings(df, stem=stemmer.stems).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf_text").alias("occurrences")).orderBy(F.desc("df"), "term")
+
+
+over_captures("stemmed_frequencies")(_stemmed_scores)
+
+
+def _window_events(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "events").select(F.col("user_id").cast("string").alias("feed"), F.col("event_type").alias("url"), F.col("event_id").cast("long").alias("position"))
+    folder = shared_subdir(spark, "seen-window-in")
+    rows.write.parquet(folder)
+    return streams.drained(stateful.seen_window(streams.file_stream(spark, folder, rows.schema), cap=2), "seen-window")
+
+
+over_tables(
+    "stream_seen_window",
+    """WITH e AS (SELECT CAST(user_id AS VARCHAR) AS feed, event_type AS url, event_id AS position FROM events),
+p AS (SELECT *, lag(position) OVER (PARTITION BY feed, url ORDER BY position) AS before FROM e)
+SELECT feed, url, position FROM p WHERE before IS NULL OR (SELECT count(DISTINCT o.url) FROM e o WHERE o.feed = p.feed AND o.position > p.before AND o.position < p.position) >= 2""",
+)(_window_events)
+
+
+def _stream_links(spark: SparkSession, d: str) -> DataFrame:
+    """The nearest earlier signature of every document, as documents arrive, and in SQL by all pairs that agree in a sample's byte."""
+    rows = dedup.signatures(captures(spark, d, False).dropDuplicates(["content_hash"]).withColumn("nid", F.col("doc_id").cast("long")), key="nid").filter("hi IS NOT NULL")
+    folder = shared_subdir(spark, "near-links-in")
+    rows.write.parquet(folder)
+    masks = dedup.sample_masks(*dedup.sampling_plan(1_000_000))
+    links = stateful.near_links(streams.file_stream(spark, folder, rows.schema), masks, dedup.THRESHOLD)
+    return stateful.nearest(streams.drained(links, "near-links"))
+
+
+over_tables("stream_near_links")(_stream_links)
+
+
+def _chunked_lines(spark: SparkSession, d: str) -> DataFrame:
+    datasource.register(spark)
+    folder = shared_subdir(spark, "chunked-lines")
+    captures(spark, d, False).select("capture_id", "title", "text").write.format("tidewrack_jsonl").option("path", folder).option("records", 1000).mode("append").save()
+    return spark.read.schema("capture_id string, title string, text string").json(folder).select("capture_id", "title", F.md5(F.col("text").cast("binary")).alias("text_md5"))
+
+
+over_tables("chunked_lines", f"WITH {CAPTURES_SQL} SELECT capture_id, title, md5(text) AS text_md5 FROM captures")(_chunked_lines)

@@ -7,6 +7,8 @@ from collections.abc import Iterator
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from tidewrack.sources.jsonl_sink import JsonlSink
+
 
 class FilePartition(InputPartition):
     def __init__(self, path: str):
@@ -49,8 +51,8 @@ class WarcDataSource(DataSource):
         return WarcReader(self.options["path"])
 
 
-#: Sources by kind; register() makes them known to a session.
-REGISTRY = {"warc": WarcDataSource}
+#: Sources and sinks by kind; register() makes them known to a session.
+REGISTRY = {"warc": WarcDataSource, "jsonl": JsonlSink}
 
 
 def register(spark: SparkSession) -> None:
