@@ -105,9 +105,10 @@ def train(rows: list[tuple[str, int]], epochs: int = EPOCHS) -> np.ndarray:
     for text, label in rows:
         found = features(text)
         index, counts = np.unique(found, return_counts=True)
-        samples.append((np.append(index, _SIZE), np.append(5 * counts / len(found), 1.0), label))
+        samples.append((index.astype(np.int32), counts.astype(np.int32), len(found), label))  # small numbers, as all are held at once
     for _ in range(epochs if samples else 0):
-        for index, value, label in samples:
+        for index, counts, size, label in samples:
+            index, value = np.append(index, _SIZE), np.append(5 * counts / size, 1.0)
             zi, ni = z[index], n[index]
             w = np.where(np.abs(zi) <= L1, 0.0, -(zi - np.sign(zi) * L1) / ((BETA + np.sqrt(ni)) / ALPHA + L2))
             g = (_logistic(float(w @ value)) - label) * value
