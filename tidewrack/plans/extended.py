@@ -600,7 +600,7 @@ SELECT feed, url, position FROM p WHERE before IS NULL OR (SELECT count(DISTINCT
 
 
 def _stream_links(spark: SparkSession, d: str) -> DataFrame:
-    """The nearest earlier signature of every document, as documents arrive, and in SQL by all pairs that agree in a sample's byte."""
+    """The nearest earlier signature of each document, as documents arrive. No SQL: a test holds it against the form for tables."""
     rows = dedup.signatures(captures(spark, d, False).dropDuplicates(["content_hash"]).withColumn("nid", F.col("doc_id").cast("long")), key="nid").filter("hi IS NOT NULL")
     folder = shared_subdir(spark, "near-links-in")
     rows.write.parquet(folder)
