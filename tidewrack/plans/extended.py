@@ -7,11 +7,11 @@ from datetime import date, datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewrack.functions import html, stemmer, urls
+from tidewrack.functions import html, langprofile, stemmer, urls
 from tidewrack.functions import text as texts
 from tidewrack.functions.tokens import ANALYTICS_STOPWORDS, SOURCE_STOPWORDS, sql_words
 from tidewrack.functions.windows import bucket
-from tidewrack.operators import alerts, briefing, catalog, crosssource, dedup, digest, entities, jobs, operations, quality, search, sentiment, sources, terms
+from tidewrack.operators import alerts, briefing, catalog, crosssource, dedup, digest, entities, jobs, operations, quality, search, sentiment, sources, substrings, terms
 from tidewrack.plans import registry
 from tidewrack.plans.registry import AS_OF, OTHER, RULES, TERM, TOPICS, as_of, over_captures, over_tables
 from tidewrack.session import shared_subdir
@@ -620,3 +620,38 @@ def _chunked_lines(spark: SparkSession, d: str) -> DataFrame:
 
 
 over_tables("chunked_lines", f"WITH {CAPTURES_SQL} SELECT capture_id, title, md5(text) AS text_md5 FROM captures")(_chunked_lines)
+
+
+# ---- archives as streams, learnt languages, substrings by an index -----------------------------------------------------------
+
+
+def _archive_stream(spark: SparkSession, d: str) -> DataFrame:
+    """Documents written as archives, and read back as a stream in pieces."""
+    datasource.register(spark)
+    folder = shared_subdir(spark, "archive-stream")
+    captures(spark, d, False).select(F.lit("response").alias("record_type"), "url", F.col("text").cast("binary").alias("payload")).write.format("tidewrack_warc").option("path", folder).mode("append").save()
+    stream = spark.readStream.format("tidewrack_warc").option("split_bytes", 8 << 20).load(folder)
+    return streams.drained(stream, "archive-stream-out").select("record_type", "url", F.md5("payload").alias("payload_md5"))
+
+
+over_tables("archive_stream", f"WITH {CAPTURES_SQL} SELECT 'response' AS record_type, url, md5(coalesce(text, '')) AS payload_md5 FROM captures")(_archive_stream)
+
+
+def _learned_language(df: DataFrame) -> DataFrame:
+    """Profiles are learnt from four fifths of the rows, by a hash of the id; all rows are told."""
+    df = df.withColumn("held_out", F.crc32(F.col("doc_id").cast("binary")) % 5 == 0)
+    detect = langprofile.detector(langprofile.learn(df.filter("NOT held_out")))
+    return df.select("capture_id", "language", "held_out", detect(F.col("text")).alias("x")).select("capture_id", "language", "held_out", F.col("x.language").alias("detected"), F.round("x.confidence", 6).alias("confidence"))
+
+
+over_captures("learned_language")(_learned_language)
+
+INDEXED_ROOTS = ["theand", "ung des", "zzzz"]
+
+
+def _indexed_substrings(df: DataFrame) -> DataFrame:
+    index = substrings.SubstringIndex(df.sparkSession, shared_subdir(df.sparkSession, "substring-index")).build(df.select("capture_id", "title", "text"))
+    return index.matches(INDEXED_ROOTS).select("capture_id")
+
+
+over_captures("indexed_substrings", "SELECT capture_id FROM captures WHERE " + " OR ".join(f"{c} ILIKE '%{r}%'" for r in INDEXED_ROOTS for c in ("title", "text")))(_indexed_substrings)

@@ -1,56 +1,12 @@
-"""A Python data source for archive files: spark.read.format("tidewrack_warc").load(folder)."""
+"""The Python data sources by kind: spark.read.format("tidewrack_warc").load(folder), and so on."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 from pyspark.sql import SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from tidewrack.sources.archives import WarcDataSource
 from tidewrack.sources.jsonl_sink import JsonlSink
 
-
-class FilePartition(InputPartition):
-    def __init__(self, path: str):
-        self.path = path
-
-
-class WarcReader(DataSourceReader):
-    def __init__(self, path: str):
-        self.path = path if "://" in path else "file://" + path.removeprefix("file:")
-
-    def partitions(self) -> list[FilePartition]:
-        from pyarrow import fs
-
-        system, base = fs.FileSystem.from_uri(self.path)
-        found = system.get_file_info(fs.FileSelector(base, recursive=True))
-        return [FilePartition(x.path) for x in sorted(found, key=lambda x: x.path) if x.is_file and x.path.endswith((".warc", ".warc.gz", ".wet", ".wet.gz"))] or [FilePartition("")]
-
-    def read(self, partition: FilePartition) -> Iterator[tuple]:
-        from pyarrow import fs
-
-        from tidewrack.sources.web import opened, records_of
-
-        if not partition.path:
-            return
-        system = fs.FileSystem.from_uri(self.path)[0]
-        with system.open_input_stream(partition.path, compression=None) as f:
-            for k, (h, body) in enumerate(records_of(opened(f, partition.path))):
-                yield partition.path, k, h.get("warc-type"), h.get("warc-target-uri"), body
-
-
-class WarcDataSource(DataSource):
-    @classmethod
-    def name(cls) -> str:
-        return "tidewrack_warc"
-
-    def schema(self) -> str:
-        return "path string, ordinal long, record_type string, url string, payload binary"
-
-    def reader(self, schema) -> WarcReader:
-        return WarcReader(self.options["path"])
-
-
 #: Sources and sinks by kind; register() makes them known to a session.
 REGISTRY = {"warc": WarcDataSource, "jsonl": JsonlSink}
 

@@ -18,7 +18,7 @@ CHUNK_RECORDS, CHUNK_BYTES = 5_000, 64 << 20
 HIDDEN = ".writing-"
 
 
-def _store(path: str):
+def store_of(path: str):
     from pyarrow import fs
 
     return fs.FileSystem.from_uri(path if "://" in path else "file://" + path.removeprefix("file:"))
@@ -36,7 +36,7 @@ class _Chunked:
         self.records, self.bytes = int(options.get("records", CHUNK_RECORDS)), int(options.get("bytes", CHUNK_BYTES))
 
     def write(self, iterator: Iterator) -> Chunks:
-        system, base = _store(self.path)
+        system, base = store_of(self.path)
         system.create_dir(base, recursive=True)
         names, total, held, file, size = [], 0, 0, None, 0
         for row in iterator:
@@ -54,12 +54,12 @@ class _Chunked:
         return Chunks(names, total)
 
     def publish(self, messages: list[Chunks | None], name: str) -> None:
-        system, base = _store(self.path)
+        system, base = store_of(self.path)
         for k, chunk in enumerate(c for m in messages if m for c in m.names):
             system.move(f"{base}/{chunk}", f"{base}/{name}-{k:06}.jsonl")
 
     def discard(self, messages: list[Chunks | None]) -> None:
-        system, base = _store(self.path)
+        system, base = store_of(self.path)
         for chunk in (c for m in messages if m for c in m.names):
             system.delete_file(f"{base}/{chunk}")
 
@@ -74,7 +74,7 @@ class JsonlWriter(_Chunked, DataSourceWriter):
         if self.overwrite:
             from pyarrow import fs
 
-            system, base = _store(self.path)
+            system, base = store_of(self.path)
             old = [x.path for x in system.get_file_info(fs.FileSelector(base, allow_not_found=True)) if x.is_file and x.path.endswith(".jsonl") and HIDDEN not in x.path]
         self.publish(messages, f"chunk-{uuid.uuid4().hex[:12]}")
         for path in old:
@@ -88,7 +88,7 @@ class JsonlStreamWriter(_Chunked, DataSourceStreamWriter):
     def commit(self, messages: list[Chunks | None], batchId: int) -> None:
         from pyarrow import fs
 
-        system, base = _store(self.path)
+        system, base = store_of(self.path)
         name = f"batch-{batchId:010}"
         for x in system.get_file_info(fs.FileSelector(base, allow_not_found=True)):  # of a run that was broken off
             if x.is_file and x.base_name.startswith(name + "-"):
@@ -115,7 +115,7 @@ def swept(path: str) -> int:
     """Deletes what broken-off jobs have left, and says how many files that were. For when no job writes there."""
     from pyarrow import fs
 
-    system, base = _store(path)
+    system, base = store_of(path)
     left = [x.path for x in system.get_file_info(fs.FileSelector(base, allow_not_found=True)) if x.is_file and x.base_name.startswith(HIDDEN)]
     for file in left:
         system.delete_file(file)
