@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -89,11 +89,13 @@ def _packed(sums: np.ndarray) -> np.ndarray:
     return np.packbits(sums >= 0, bitorder="little").view("<i8")
 
 
-def weighted_signature(h1: np.ndarray, h2: np.ndarray) -> tuple[int, int]:
-    """(hi, lo), signed: bits whose sum is not negative, each distinct shingle for or against a bit with the weight 1 + ln(1 + its number)."""
+def weighted_signature(h1: np.ndarray, h2: np.ndarray, rarity: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None) -> tuple[int, int]:
+    """(hi, lo), signed: bits whose sum is not negative, each distinct shingle for or against a bit with the weight 1 + ln(1 + its number), times its rarity, if that is given."""
     _, first, counts = np.unique(h1, return_index=True, return_counts=True)  # equal shingles; others share 64 bits by chance only
     pairs = np.stack([h1[first], h2[first]], axis=1)
     weights = 1 + np.log1p(counts)
+    if rarity is not None:
+        weights = weights * rarity(h1[first], h2[first])
     bits = np.unpackbits(pairs.view(np.uint8).reshape(len(pairs), 16), axis=1, bitorder="little")
     lo, hi = _packed(2 * (weights @ bits.astype(np.float64)) - weights.sum()).tolist()
     return hi, lo

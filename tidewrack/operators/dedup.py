@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidewrack.functions.corpusweights import CorpusWeights, weighted_signatures_of
+from tidewrack.functions.corpusweights import learn as learn_weights
 from tidewrack.functions.hashing import shingles, signatures_of, xxh3_64_hex, xxh3_128_hex
 from tidewrack.functions.text import nfkc
 from tidewrack.session import cut
@@ -93,6 +95,13 @@ def weighted_signatures(df: DataFrame, text: str = "text", key: str = "doc_id")
     return df.select(key, signatures_of(normalized_for_hash(nfkc(F.col(text)))).alias("s")).select(key, "s.hi", "s.lo", "s.simhash64")
 
 
+def corpus_weighted_signatures(df: DataFrame, weights: CorpusWeights | None = None, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """key, hi, lo: 128-bit signatures in which shingles that many documents share count for less. weights are learnt from df if none are given."""
+    normal = normalized_for_hash(nfkc(F.col(text)))
+    signed = weighted_signatures_of(learn_weights(df, normal) if weights is None else weights)
+    return df.select(key, signed(normal).alias("s")).select(key, "s.hi", "s.lo")
+
+
 def hamming(hi_a: str, lo_a: str, hi_b: str, lo_b: str) -> Column:
     return F.bit_count(F.col(hi_a).bitwiseXOR(F.col(hi_b))) + F.bit_count(F.col(lo_a).bitwiseXOR(F.col(lo_b)))
 

@@ -655,3 +655,4 @@ def _indexed_substrings(df: DataFrame) -> DataFrame:
 
 
 over_captures("indexed_substrings", "SELECT capture_id FROM captures WHERE " + " OR ".join(f"{c} ILIKE '%{r}%'" for r in INDEXED_ROOTS for c in ("title", "text")))(_indexed_substrings)
+over_captures("corpus_weighted_signatures")(lambda df: dedup.corpus_weighted_signatures(df, key="capture_id"))

@@ -9,7 +9,7 @@ import gzip
 import io
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from datetime import date, datetime, timedelta
 from typing import BinaryIO
 from xml.etree import ElementTree
@@ -145,15 +145,15 @@ def read_warc(spark: SparkSession, path: str, whole: bool = False) -> DataFrame:
     return names.repartition(max(1, min(names.count(), 10_000))).mapInArrow(_streamed, _RECORD)
 
 
-def wet_captures(records: DataFrame, domains: list[str] | None = None, languages: list[str] | None = None, min_chars: int = 200, quality: bool = True, after: int | None = None) -> DataFrame:
-    """Conversion records as captures, in the order of the tests: domain, length, language, quality gate. after resumes behind an ordinal."""
+def wet_captures(records: DataFrame, domains: list[str] | None = None, languages: list[str] | None = None, min_chars: int = 200, quality: bool = True, after: int | None = None, detect: Callable[[Column], Column] = detect_language) -> DataFrame:
+    """Conversion records as captures, in the order of the tests: domain, length, language, quality gate. after resumes behind an ordinal; detect tells the language of a text."""
     rows = records.filter("record_type = 'conversion'")
     rows = rows if after is None else rows.filter(F.col("ordinal") > after)
     rows = rows.withColumn("domain", domain_column("url"))
     if domains:
         rows = rows.filter(F.col("domain").isin([d.lower() for d in domains]))
     rows = rows.withColumn("text", basic_clean(F.decode("payload", "UTF-8"))).filter(F.length("text") >= min_chars)
-    rows = rows.withColumn("language", detect_language(F.col("text")))
+    rows = rows.withColumn("language", detect(F.col("text")))
     if languages:
         wanted = language_filter(languages[0])
         for x in languages[1:]:
