@@ -1,8 +1,8 @@
-"""An index of three-character runs that narrows a search for substrings to candidate rows before texts are read.
+"""An index of three-character runs that narrows a search for substrings to candidate rows before their texts are searched.
 
-Stored as Parquet: `postings` (gram, ids: rows of a batch that have it), dealt by range of (gram, ids) and sorted, so a gram's
-are in few files and row groups, and a frequent gram's in several tasks; `counts` (gram, docs); and `rows`, the captures
-sorted by id, so that pages of texts without a candidate are skipped.
+Stored as Parquet: `rows`, the captures with a number each, rising in every file; `counts` (gram, docs); and `postings` (gram,
+block, offs: the rows number block * 2^15 + off that have it), dealt by range of (gram, block) and sorted, so a gram's are in
+few files and row groups. Runs that a fifth of the rows have narrow nothing and have no postings.
 """
 
 from __future__ import annotations
@@ -19,8 +19,10 @@ from tidewrack.operators.search import substring_matches
 
 #: A root is looked up by so many of its rarest runs; if even the rarest is in a larger share of the rows, texts are read instead.
 GRAMS, SHARE = 3, 0.2
-#: Candidates that are sent to the scan as literals or broadcast; more are joined.
-LITERALS, BROADCAST_ROWS = 1_000, 1_000_000
+#: Candidates that the scan is told by number, so that pages without one are skipped, or that are broadcast; more are joined.
+LITERALS, BROADCAST_ROWS = 200, 1_000_000
+#: Bits of a row's number within its block.
+BLOCK_BITS = 15
 
 
 def grams_of(text: str | None) -> np.ndarray:
@@ -30,56 +32,70 @@ def grams_of(text: str | None) -> np.ndarray:
 
 
 def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """gram, block, offs of the rows (id, t) of each batch; a gram's rows of one block may come in several."""
     for batch in batches:
         found = [grams_of(t) for t in batch.column("t").to_pylist()]
         ids = np.repeat(batch.column("id").to_numpy(), [len(g) for g in found])
-        every = np.concatenate(found) if found else np.empty(0, dtype=np.int64)
-        order = np.lexsort((ids, every))
-        every, ids = every[order], ids[order]
-        grams, starts = np.unique(every, return_index=True)
-        lists = pa.ListArray.from_arrays(pa.array(np.append(starts, len(ids)), pa.int32()), pa.array(ids, pa.int64()))
-        yield pa.RecordBatch.from_arrays([pa.array(grams, pa.int64()), lists], names=["gram", "ids"])
+        grams = np.concatenate(found) if found else np.empty(0, dtype=np.int64)
+        order = np.lexsort((ids, grams))
+        grams, ids = grams[order], ids[order]
+        blocks = ids >> BLOCK_BITS
+        starts = np.flatnonzero(np.diff(grams, prepend=-1).astype(bool) | np.diff(blocks, prepend=-1).astype(bool))
+        lists = pa.ListArray.from_arrays(pa.array(np.append(starts, len(ids)), pa.int32()), pa.array((ids & ((1 << BLOCK_BITS) - 1)).astype(np.int16)))
+        yield pa.RecordBatch.from_arrays([pa.array(grams[starts]), pa.array(blocks[starts]), lists], names=["gram", "block", "offs"])
 
 
-def _id(key: str) -> Column:
-    return F.xxhash64(F.col(key))
+def _any(tests: list[Column]) -> Column:
+    """A balanced disjunction, which reaches the scan whole."""
+    while len(tests) > 1:
+        tests = [tests[k] | tests[k + 1] if k + 1 < len(tests) else tests[k] for k in range(0, len(tests), 2)]
+    return tests[0]
 
 
 @dataclass
 class SubstringIndex:
-    """Rows are found by the hash of their key; rows with equal hashes are candidates together, and all candidates are tested by their texts, so results are those of `substring_matches`."""
+    """All candidates are tested by their texts, so results are those of `substring_matches`, repeated rows included."""
 
     spark: SparkSession
     path: str
-    key: str = "capture_id"
     fields: tuple[str, ...] = ("title", "text")
 
     def build(self, df: DataFrame) -> SubstringIndex:
         """Writes the index of all rows. Null fields are empty; runs do not go across fields."""
-        df.withColumn("_id", _id(self.key)).repartitionByRange("_id").sortWithinPartitions("_id").write.parquet(f"{self.path}/rows")
+        df.withColumn("_id", F.monotonically_increasing_id()).write.parquet(f"{self.path}/rows")  # numbers count from here on
         joined = F.lower(F.concat_ws("\0\0", *[F.coalesce(F.col(c), F.lit("")) for c in self.fields]))
-        df.select(_id(self.key).alias("id"), joined.alias("t")).mapInArrow(_postings, "gram long, ids array<long>").write.parquet(f"{self.path}/lists")
+        self.rows().select(F.col("_id").alias("id"), joined.alias("t")).mapInArrow(_postings, "gram long, block long, offs array<short>").write.parquet(f"{self.path}/lists")
         lists = self.spark.read.parquet(f"{self.path}/lists")
-        lists.repartitionByRange("gram", F.col("ids")[0]).sortWithinPartitions("gram").write.parquet(f"{self.path}/postings")
-        lists.groupBy("gram").agg(F.sum(F.size("ids")).alias("docs")).repartitionByRange("gram").sortWithinPartitions("gram").write.parquet(f"{self.path}/counts")
+        lists.groupBy("gram").agg(F.sum(F.size("offs")).alias("docs")).repartitionByRange("gram").sortWithinPartitions("gram").write.parquet(f"{self.path}/counts")
+        frequent = self._counts().filter(F.col("docs") > SHARE * self.rows().count()).select("gram")
+        if frequent.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:  # at most five times the runs of a mean text; if not, theirs stay
+            lists = lists.join(F.broadcast(frequent), "gram", "left_anti")
+        lists.repartitionByRange("gram", "block").sortWithinPartitions("gram", "block").write.parquet(f"{self.path}/postings")
+        place = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/lists")
+        place.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
         return self
 
     def rows(self) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/rows")
 
+    def _counts(self) -> DataFrame:
+        return self.spark.read.parquet(f"{self.path}/counts")
+
     def candidates(self, root: str) -> DataFrame | None:
         """_id of the rows that have the rarest runs of the root; None if the root is too short or its runs too frequent to narrow anything."""
         low = self.spark.range(1).select(F.lower(F.lit(root))).first()[0]
         wanted = grams_of(low).tolist()
         if not wanted:
             return None
-        known = {r.gram: r.docs for r in self.spark.read.parquet(f"{self.path}/counts").filter(F.col("gram").isin(wanted)).collect()}
+        known = {r.gram: r.docs for r in self._counts().filter(F.col("gram").isin(wanted)).collect()}
         if len(known) < len(wanted):
             return self.spark.createDataFrame([], "_id long")
-        rarest = sorted(wanted, key=lambda g: (known[g], g))[:GRAMS]
-        if known[rarest[0]] > SHARE * self.rows().count():
+        most = SHARE * self.rows().count()
+        rarest = sorted((g for g in wanted if known[g] <= most), key=lambda g: (known[g], g))[:GRAMS]
+        if not rarest:
             return None
-        found = self.spark.read.parquet(f"{self.path}/postings").filter(F.col("gram").isin(rarest)).select("gram", F.explode("ids").alias("_id"))
+        found = self.spark.read.parquet(f"{self.path}/postings").filter(F.col("gram").isin(rarest)).select("gram", "block", F.explode("offs").alias("off"))
+        found = found.select("gram", (F.shiftleft("block", BLOCK_BITS) + F.col("off")).alias("_id"))
         return found.groupBy("_id").agg(F.count_distinct("gram").alias("n")).filter(F.col("n") == len(rarest)).select("_id")
 
     def matches(self, roots: list[str]) -> DataFrame:
@@ -95,7 +111,7 @@ class SubstringIndex:
         every = every.distinct()
         few = [r[0] for r in every.limit(LITERALS + 1).collect()]
         if len(few) <= LITERALS:
-            rows = rows.filter(F.col("_id").isin(few)) if few else rows.limit(0)
+            rows = rows.filter(_any([F.col("_id") == k for k in few])) if few else rows.limit(0)
         else:
             bounded = every.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
             rows = rows.join(F.broadcast(every) if bounded else every, "_id", "left_semi")
