@@ -7,7 +7,7 @@ from datetime import date, datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewrack.functions import html, langprofile, stemmer, urls
+from tidewrack.functions import html, langprofile, maintext, stemmer, urls
 from tidewrack.functions import text as texts
 from tidewrack.functions.tokens import ANALYTICS_STOPWORDS, SOURCE_STOPWORDS, sql_words
 from tidewrack.functions.windows import bucket
@@ -368,6 +368,13 @@ for _a, _b in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), (
     _TITLE = f"replace({_TITLE}, '{_a}', '{_b}')"
 over_tables("html_titles", rf"SELECT page_id, trim(regexp_replace({_TITLE}, '\s+', ' ', 'g')) AS title, nullif(regexp_extract(html, '(?is)<html[^>]*?[ ]lang=.([a-zA-Z-]+)', 1), '') AS language FROM pages")(lambda spark, d: html.html_to_text(table(spark, d, "pages")).select("page_id", "title", "language"))
 
+_MAIN = r"regexp_replace(regexp_extract(html, '(?s)<article>(.*)</article>', 1), '<[^>]*>', ' ', 'g')"
+for _a, _b in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&#x27;", "''"), ("&amp;", "&")):
+    _MAIN = f"replace({_MAIN}, '{_a}', '{_b}')"
+over_tables("main_texts", rf"SELECT page_id, trim(regexp_replace({_MAIN}, '\s+', ' ', 'g')) AS text, nullif(regexp_extract(html, '(?is)<html[^>]*?[ ]lang=.([a-zA-Z-]+)', 1), '') AS language FROM pages")(
+    lambda spark, d: maintext.with_main_text(table(spark, d, "pages")).select("page_id", F.trim(F.regexp_replace("page.text", r"\s+", " ")).alias("text"), "page.language")
+)
+
 # ---- round trips through files -----------------------------------------------------------------------------------------------
 
 

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewrack.functions.html import extract
+from tidewrack.functions.maintext import main_text
 from tidewrack.functions.text import basic_clean, detect_language, gate_for_language, language_filter
 from tidewrack.functions.urls import canonical_column, domain_column
 
@@ -177,9 +178,17 @@ def _response_text(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         yield pa.StructArray.from_arrays([pa.array([r[k] for r in rows], pa.string()) for k in (0, 1)], ["title", "text"])
 
 
-def response_captures(records: DataFrame, min_chars: int = 200) -> DataFrame:
-    """Response records as title and text of their HTML."""
-    rows = records.filter("record_type = 'response'").withColumn("x", _response_text("payload"))
+@F.arrow_udf(_PAGE)
+def main_response_text(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """Title and main text of response payloads, for response_captures."""
+    for part in parts:
+        pages = [main_text((body or b"").partition(b"\r\n\r\n")[2].decode("utf-8", "replace")) for body in part.to_pylist()]
+        yield pa.StructArray.from_arrays([pa.array([p.title for p in pages], pa.string()), pa.array([p.text for p in pages], pa.string())], ["title", "text"])
+
+
+def response_captures(records: DataFrame, min_chars: int = 200, reader: Callable[[str], Column] = _response_text) -> DataFrame:
+    """Response records as title and text of their HTML: all text outside menus, or by reader (main_response_text: the main text)."""
+    rows = records.filter("record_type = 'response'").withColumn("x", reader("payload"))
     return rows.select("path", "ordinal", "record_id", "url", "x.title", "x.text").filter(F.length("text") >= min_chars)
 
 
