@@ -105,9 +105,10 @@ def ranked(jobs: DataFrame, profile: Profile, as_of: Column, query: str = "", li
 
 
 def diversified(rows: DataFrame, best: list[Column], limit: int) -> DataFrame:
+    """The first `limit` in turns. A listing with as many better ones of its source is not among them, so each task keeps that many of a source before they meet."""
     place = F.row_number().over(Window.partitionBy("source").orderBy(*best))
     slots = max(1, round(limit * RESERVE))
-    rows = rows.withColumn("__p", place)
+    rows = rows.withColumn("__p", place).filter(F.col("__p") <= limit)
     reserved = (F.col("source") == "linkedin") & (F.col("__p") <= slots)
     turn = F.when(reserved, 0).otherwise(F.when(F.col("source") == "linkedin", F.col("__p") - slots).otherwise(F.col("__p")))
     kind = F.when(F.col("source") == "linkedin", 0).when(F.col("source") == "ats", 1).otherwise(2)

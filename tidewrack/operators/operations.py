@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewrack.session import cut
+
 
 def backlog(manifests: DataFrame, as_of: Column) -> DataFrame:
     """manifests: records, bytes, created_at, compacted. One row: files, records, bytes, oldest_seconds."""
@@ -82,11 +84,29 @@ def expired(tasks: DataFrame, as_of: Column, days: int) -> DataFrame:
 
 
 def percentile(value: str, share: float) -> Column:
-    """Nearest rank: the value at share * (n - 1), rounded half to even, of the sorted values."""
+    """Nearest rank: the value at share * (n - 1), rounded half to even, of the sorted values. For small groups: a group is one list; `percentiles` takes any."""
     ordered = F.array_sort(F.collect_list(value))
     return F.get(ordered, F.bround(F.lit(share) * (F.size(ordered) - 1)).cast("int"))
 
 
+def percentiles(metrics: DataFrame, shares: dict[str, float], name: str = "name", value: str = "value") -> DataFrame:
+    """name, and a column for each of shares: `percentile` of groups of any size, exactly. Nulls are not counted; a group of nulls only has nulls.
+
+    Equal values are counted before they move; the counts are dealt in ranges of (name, value), so a large group is many tasks, and a value's
+    rank is the sum of the parts before its own and of the values before it in its part.
+    """
+    counts = metrics.groupBy(F.col(name).alias("name"), F.col(value).alias("value")).agg(F.count(value).alias("n"))
+    counts = cut(counts.repartitionByRange("name", "value").withColumn("part", F.spark_partition_id()))
+    by_name, by_part = Window.partitionBy("name"), Window.partitionBy("name", "part")
+    parts = counts.groupBy("name", "part").agg(F.sum("n").alias("size"))
+    parts = parts.select(F.col("name").alias("of"), F.col("part").alias("in"), (F.sum("size").over(by_name.orderBy("part")) - F.col("size")).alias("before"), F.sum("size").over(by_name).alias("total"))
+    ranked = counts.withColumn("upto", F.sum("n").over(by_part.orderBy("value"))).join(parts, F.col("name").eqNullSafe(F.col("of")) & (F.col("part") == F.col("in")))
+    upto = F.col("upto") + F.col("before")
+    rank = lambda share: F.bround(F.lit(share) * (F.col("total") - 1))
+    picked = [F.max(F.when((rank(s) >= upto - F.col("n")) & (rank(s) < upto), F.col("value"))).alias(c) for c, s in shares.items()]
+    return ranked.groupBy("name").agg(*picked).select(F.col("name").alias(name), *shares)
+
+
 def approx_percentiles(value: str, *shares: float) -> Column:
     """For large groups: percentiles of a mergeable sketch, not of a list."""
     return F.percentile_approx(value, list(shares), 10_000)

@@ -9,6 +9,7 @@ from tidewrack.functions.tokens import matches
 from tidewrack.functions.windows import bucket, checked_limit, newest, pruned, tail
 from tidewrack.operators.sources import named
 from tidewrack.operators.terms import domain_breakdown, language_breakdown
+from tidewrack.session import cut
 
 
 def topic_matrix(df: DataFrame, terms: list[str], days: int = 30, top_domains: int = 20) -> DataFrame:
@@ -58,8 +59,10 @@ def quality_history(df: DataFrame, days: int = 30, granularity: str = "day") ->
     step = {"day": "interval 1 day", "week": "interval 7 days", "month": "interval 1 month"}[granularity]
     cal = df.sparkSession.range(1).select(F.explode(F.sequence(bucket(start, granularity), bucket(end, granularity), F.expr(step))).alias("bucket"))
     part = pruned(df, start.cast(df.schema["fetch_ts"].dataType), None)
-    key = bucket(F.col("fetch_ts"), granularity)
-    total = part.groupBy(key.alias("bucket")).agg(F.count("*").alias("total"), F.avg(F.length(F.coalesce("text", F.lit("")))).alias("avg_length"))
+    # read once: three counts need these few columns, and texts only as lengths
+    part = cut(part.select("capture_id", "doc_id", "content_hash", "parent_doc_or_dup_group", bucket(F.col("fetch_ts"), granularity).alias("key"), F.length(F.coalesce("text", F.lit(""))).alias("chars")))
+    key = F.col("key")
+    total = part.groupBy(key.alias("bucket")).agg(F.count("*").alias("total"), F.avg("chars").alias("avg_length"))
     dup = _repeated(part, "content_hash", key).withColumnRenamed("n", "dup")
     near = _repeated(part, "parent_doc_or_dup_group", key, F.col("parent_doc_or_dup_group") != F.col("doc_id")).withColumnRenamed("n", "near")
     first = named(df, "trim").groupBy("domain").agg(F.min("fetch_ts").alias("first")).filter(F.to_date("first") >= start)

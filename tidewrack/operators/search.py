@@ -9,12 +9,13 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from types import ModuleType
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidewrack.functions.tokens import java_escape, letter_tokens, phrase_of, query_tokens
+from tidewrack.functions.tokens import QUERY_TOKEN, java_escape, letter_tokens, phrase_of, query_tokens
 from tidewrack.operators.catalog import first_of_each
 from tidewrack.operators.terms import primary_language
 
@@ -33,15 +34,16 @@ LEAD_CHARS, LENGTH_PIVOT, LENGTH_FLOOR, HALF_LIFE_DAYS = 280, 4000, 0.75, 30.0
 
 
 def postings(df: DataFrame, stem: Callable[[DataFrame], DataFrame] | None = None, stopwords: frozenset[str] = frozenset(), only: list[str] | None = None) -> DataFrame:
-    """term, capture_id, tf_title, tf_text, without stopwords, and of some terms only, where they are given. stem maps a table of distinct terms to (term, stem); it is joined to the tokens."""
+    """term, capture_id, tf_title, tf_text, without stopwords, and of some terms (with stem: stems) only, where they are given. stem maps a table of distinct terms to (term, stem); it is joined to the tokens."""
     parts = [df.select("capture_id", F.lit(k).alias("f"), F.explode(letter_tokens(F.col(c))).alias("term")) for k, c in enumerate(("title", "text"))]
     rows = parts[0].union(parts[1])
-    rows = rows if only is None else rows.filter(F.col("term").isin(only))
+    rows = rows if only is None or stem is not None else rows.filter(F.col("term").isin(only))
     rows = rows.groupBy("capture_id", "term").agg(F.count_if(F.col("f") == 0).alias("tf_title"), F.count_if(F.col("f") == 1).alias("tf_text"))
     if stopwords:
         rows = rows.filter(~F.col("term").isin(*sorted(stopwords)))
     if stem is not None:
         stems = stem(rows.select("term").distinct())
+        stems = stems if only is None else stems.filter(F.col("stem").isin(only))
         rows = rows.join(stems, "term").groupBy("capture_id", F.col("stem").alias("term")).agg(F.sum("tf_title").alias("tf_title"), F.sum("tf_text").alias("tf_text"))
     return rows.select("term", "capture_id", "tf_title", "tf_text")
 
@@ -148,13 +150,13 @@ def idf(docs: Column, df: Column) -> Column:
     return F.log(1 + (docs - df + 0.5) / (df + 0.5))
 
 
-def bm25f(df: DataFrame, terms: list[str], post: DataFrame | None = None, prune: bool = False) -> DataFrame:
+def bm25f(df: DataFrame, terms: list[str], post: DataFrame | None = None, prune: bool = False, stem: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """capture_id, score: field-weighted BM25 over distinct query terms; lengths in characters.
 
-    With prune, terms of little information are left out where the corpus has twenty documents or more, never all.
+    With prune, terms of little information are left out where the corpus has twenty documents or more, never all. With stem, terms are stems.
     """
     terms = list(dict.fromkeys(terms))
-    post = postings(df, only=terms) if post is None else post.filter(F.col("term").isin(terms))
+    post = postings(df, stem, only=terms) if post is None else post.filter(F.col("term").isin(terms))
     stats = field_stats(df)
     freq = document_frequencies(post).join(F.broadcast(stats)).withColumn("idf", idf(F.col("docs"), F.col("df")))
     if prune:
@@ -295,13 +297,26 @@ def facets(matches: DataFrame, limit: int = 10) -> DataFrame:
     return rows.withColumn("__n", F.row_number().over(w)).filter(F.col("__n") <= limit).drop("__n")
 
 
-def snippet(text: str, title: str | None, terms: list[str]) -> tuple[str, list[tuple[int, int]]]:
-    """About 220 characters around the first term, widened to whole words, and the places of terms in them."""
+def snippet(text: str, title: str | None, terms: list[str], stem: Callable[[str], str] | None = None) -> tuple[str, list[tuple[int, int]]]:
+    """About 220 characters around the first term, widened to whole words, and the places of terms in them. With stem, terms are stems, and all words of theirs count."""
     text = text or title or ""
     if not text or not terms:
         return text[:200].strip(), []
     words = re.compile(r"\b(?:%s)\b" % "|".join(map(re.escape, terms)), re.IGNORECASE)
-    first = words.search(text)
+    known: dict[str, bool] = {}
+
+    def hits(said: str) -> Iterator[re.Match]:
+        if stem is None:
+            yield from words.finditer(said)
+            return
+        for m in QUERY_TOKEN.finditer(said):
+            word = m[0].lower()
+            if word not in known:
+                known[word] = stem(word) in terms
+            if known[word]:
+                yield m
+
+    first = next(hits(text), None)
     if first:
         a, b = first.span()
         a, b = a - 80, b + 140
@@ -316,14 +331,14 @@ def snippet(text: str, title: str | None, terms: list[str]) -> tuple[str, list[t
     while b < len(text) and text[b].isalnum():
         b += 1
     said = ("… " if a else "") + text[a:b].strip() + (" …" if b < len(text) else "")
-    return said, [m.span() for m in words.finditer(said)]
+    return said, [m.span() for m in hits(said)]
 
 
-def with_snippets(page: DataFrame, terms: list[str]) -> DataFrame:
+def with_snippets(page: DataFrame, terms: list[str], stem: Callable[[str], str] | None = None) -> DataFrame:
     @F.arrow_udf("struct<snippet:string,hits:array<array<int>>>")
     def cut(rows: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for texts, titles in rows:
-            got = [snippet(x, t, terms) for x, t in zip(texts.to_pylist(), titles.to_pylist())]
+            got = [snippet(x, t, terms, stem) for x, t in zip(texts.to_pylist(), titles.to_pylist())]
             yield pa.StructArray.from_arrays([pa.array([g[0] for g in got], pa.string()), pa.array([[list(h) for h in g[1]] for g in got], pa.list_(pa.list_(pa.int32())))], ["snippet", "hits"])
 
     return page.withColumn("__s", cut("text", "title")).select(*page.columns, "__s.snippet", "__s.hits")
@@ -338,10 +353,11 @@ class SearchResult:
     hints: list[str] = field(default_factory=list)
 
 
-def search(df: DataFrame, query: str, mode: str = "auto", limit: int = 30, offset: int = 0, max_results: int = MAX_RESULTS, fields: tuple[str, ...] = ("title", "text"), index: SearchIndex | None = None, prune: bool = True, unique: bool = True) -> SearchResult:
+def search(df: DataFrame, query: str, mode: str = "auto", limit: int = 30, offset: int = 0, max_results: int = MAX_RESULTS, fields: tuple[str, ...] = ("title", "text"), index: SearchIndex | None = None, prune: bool = True, unique: bool = True, stemmer: ModuleType | None = None) -> SearchResult:
     """A page of results. Ranked search first; if it finds nothing, substrings; a query in quotes is a phrase.
 
-    total counts all that is found. A page is a top-k report: the `max_results` best (200 at least) by score are re-ranked.
+    stemmer has `stem` of a word and `stems` of a table (functions.stemmer): ranked search then finds every form of a word, and an index must be
+    built with its `stems`. Re-ranking looks at the words as they were asked. total counts all that is found. A page is a top-k report: the `max_results` best (200 at least) by score are re-ranked.
     """
     if mode not in MODES:
         raise ValueError(f"mode must be one of {MODES}")
@@ -356,7 +372,8 @@ def search(df: DataFrame, query: str, mode: str = "auto", limit: int = 30, offse
         found = df.limit(0)
     else:
         used = "fts"
-        scores = bm25f(df, terms, index.of_terms(terms) if index else None, prune)
+        roots = [stemmer.stem(t) for t in terms] if stemmer else terms
+        scores = bm25f(df, roots, index.of_terms(roots) if index else None, prune, stemmer and stemmer.stems)
         found = ranked = df.join(scores, "capture_id")
         if mode == "auto" and found.isEmpty():
             used, ranked, found = "substring", None, substring_matches(df, terms, fields)
@@ -370,4 +387,5 @@ def search(df: DataFrame, query: str, mode: str = "auto", limit: int = 30, offse
     total = found.count() if not unique else found.select(F.count_distinct(collapse_key())).first()[0]
     rows = page.orderBy(*order).limit(max_results).offset(max(0, offset)).limit(max(1, min(limit, MAX_RESULTS)))
     hints = [] if total else ["no document matches" + ("; try mode substring" if used == "fts" else "")]
-    return SearchResult(used, total, with_snippets(rows, [phrase] if phrase else terms), facets(found), hints)
+    said = with_snippets(rows, [phrase] if phrase else terms) if ranked is None or not stemmer else with_snippets(rows, roots, stemmer.stem)
+    return SearchResult(used, total, said, facets(found), hints)

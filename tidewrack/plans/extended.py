@@ -589,6 +589,7 @@ def _stemmed_scores(df: DataFrame) -> DataFrame:
 
 
 over_captures("stemmed_frequencies")(_stemmed_scores)
+over_captures("stemmed_search")(lambda df: search.search(df, "thering theing", mode="fts", prune=False, stemmer=stemmer).rows.select("capture_id", "final_score", "snippet"))
 
 
 def _window_events(spark: SparkSession, d: str) -> DataFrame:

@@ -369,7 +369,7 @@ over_tables("jobs_diversified", f"WITH j AS ({_JOBS}), p AS (SELECT *, row_numbe
 over_tables("jobs_deduped", "SELECT min(o_orderkey) AS position FROM orders GROUP BY o_custkey")(lambda spark, d: jobs.deduped(table(spark, d, "orders").select(F.col("o_orderkey").alias("position"), F.concat(F.lit("https://Jobs.example/"), F.col("o_custkey").cast("string"), F.lit("/")).alias("url"), F.lit("s").alias("source"), F.lit("c").alias("company"), F.col("o_custkey").cast("string").alias("title"), F.lit("l").alias("location"))).select("position"))
 over_tables("status_counts", "SELECT user_id AS job_id, event_type AS status, count(*) AS count FROM events GROUP BY 1, 2")(lambda spark, d: operations.status_counts(table(spark, d, "events").select(F.col("user_id").alias("job_id"), F.col("event_type").alias("status"))))
 over_tables("last_checkpoints", "SELECT user_id AS partition_key, arg_max(event_id, event_id) AS checkpoint FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events) WHERE rn = 1 GROUP BY 1")(lambda spark, d: operations.last_checkpoints(table(spark, d, "events").select(F.col("user_id").alias("partition_key"), F.col("event_id").alias("checkpoint"), F.col("event_id").alias("task_id"), F.col("ts").alias("completed_at"), F.lit("completed").alias("status"))))
-over_tables("percentiles", "WITH r AS (SELECT event_type AS name, value, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS k, count(*) OVER (PARTITION BY event_type) AS n FROM events) SELECT name, max(value) FILTER (WHERE k = CAST(round_even(0.5 * (n - 1), 0) AS BIGINT)) AS p50, max(value) FILTER (WHERE k = CAST(round_even(0.95 * (n - 1), 0) AS BIGINT)) AS p95 FROM r GROUP BY 1")(lambda spark, d: table(spark, d, "events").groupBy(F.col("event_type").alias("name")).agg(operations.percentile("value", 0.5).alias("p50"), operations.percentile("value", 0.95).alias("p95")))
+over_tables("percentiles", "WITH r AS (SELECT event_type AS name, value, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS k, count(*) OVER (PARTITION BY event_type) AS n FROM events) SELECT name, max(value) FILTER (WHERE k = CAST(round_even(0.5 * (n - 1), 0) AS BIGINT)) AS p50, max(value) FILTER (WHERE k = CAST(round_even(0.95 * (n - 1), 0) AS BIGINT)) AS p95 FROM r GROUP BY 1")(lambda spark, d: operations.percentiles(table(spark, d, "events").select(F.col("event_type").alias("name"), "value"), {"p50": 0.5, "p95": 0.95}))
 over_tables("backlog", "SELECT count(*) AS files, CAST(sum(user_id) AS BIGINT) AS records, CAST(sum(event_id) AS BIGINT) AS bytes, CAST(epoch(TIMESTAMP '2024-03-01 00:00:00') - floor(epoch(min(ts))) AS BIGINT) AS oldest_seconds FROM events WHERE event_type <> 'purchase'")(lambda spark, d: operations.backlog(table(spark, d, "events").select(F.col("user_id").alias("records"), F.col("event_id").alias("bytes"), F.col("ts").alias("created_at"), (F.col("event_type") == "purchase").alias("compacted")), F.expr("timestamp_ntz'2024-03-01 00:00:00'")))
 over_tables("feed_health", "SELECT user_id AS feed, count(*) AS fetches, round(100 * count(*) FILTER (WHERE event_type = 'error') / count(*), 2) AS error_percent, round(greatest(0.0, least(100.0, 100 - 10 * (100 * count(*) FILTER (WHERE event_type = 'error') / count(*)) - 5 * (100 * count(*) FILTER (WHERE event_type = 'purchase') / count(*)))), 2) AS score FROM events GROUP BY 1")(lambda spark, d: operations.feed_health(table(spark, d, "events").select(F.col("user_id").alias("feed"), F.when(F.col("event_type") == "purchase", 500).otherwise(200).alias("status"), F.when(F.col("event_type") == "error", "x").alias("error"))))
 
