@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from tidewrack.functions.tokens import QUERY_TOKEN, java_escape, letter_tokens, phrase_of, query_tokens
 from tidewrack.operators.catalog import first_of_each
 from tidewrack.operators.terms import primary_language
+from tidewrack.session import cut
 
 MODES = ("auto", "fts", "prefix", "substring")
 FIELDS = ("title", "text", "domain", "url")
@@ -374,6 +375,7 @@ def search(df: DataFrame, query: str, mode: str = "auto", limit: int = 30, offse
         used = "fts"
         roots = [stemmer.stem(t) for t in terms] if stemmer else terms
         scores = bm25f(df, roots, index.of_terms(roots) if index else None, prune, stemmer and stemmer.stems)
+        scores = cut(scores) if stemmer and not index else scores  # rows, total and facets need them; the vocabulary is stemmed once
         found = ranked = df.join(scores, "capture_id")
         if mode == "auto" and found.isEmpty():
             used, ranked, found = "substring", None, substring_matches(df, terms, fields)
