@@ -123,3 +123,29 @@ def test_near_duplicates_go_though_the_table_is_split_anew_between_reads(spark,
     finally:
         spark.conf.unset(key)
     assert sorted((r.doc_id, r.text) for r in kept) == list(enumerate(texts))
+
+
+def test_a_worker_holds_the_tables_of_one_operator_and_takes_batches_in_pieces(spark, tmp_path):
+    import pyarrow as pa
+
+    from tidewrack.llm import common
+
+    rows = [(k, prose(80), "en", f"s{k % 4}", 1) for k in range(200)]
+    spark.createDataFrame(rows, SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(k, k % 2, 0) for k in range(200)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet")).repartition(8)
+
+    def held(batches):
+        for _ in batches:
+            pass
+        yield pa.RecordBatch.from_pydict({"n": [sum(map(bool, (len(classifier._words), secrets.vocabulary.cache_info().currsize, bpe.encoder.cache_info().currsize)))]})
+
+    for stage in (corpus_pipeline.classify, corpus_pipeline.redact, corpus_pipeline.encode):
+        stage(spark, docs, str(tmp_path)).write.parquet(str(tmp_path / stage.__name__))
+        counts = [r.n for r in spark.range(0, 64, 1, 8).mapInArrow(held, "n long").collect()]
+        assert 1 == max(counts), (stage.__name__, counts)
+
+    texts = pa.array([t for _, t, *_ in rows] + [None, "", "x" * 5000])
+    pieces = list(common.slices(iter([texts, texts.slice(0, 0)]), 4096))
+    assert [x for p in pieces for x in p.to_pylist()] == texts.to_pylist()
+    assert max(p.nbytes for p in pieces[:-2]) < 3 * 4096 and len(pieces) > 10

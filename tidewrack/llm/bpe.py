@@ -25,7 +25,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewrack.llm.common import text_or_empty
+from tidewrack.llm.common import hold_alone, slices, text_or_empty
 
 VOCABULARY = "word_bpe_49k.json"
 #: Known chunks, pre-tokens and pairs of tokens are forgotten beyond so many, about 150 MB a worker in all.
@@ -230,7 +230,7 @@ class TextEncoder:
         self.chunks.update((c, x) for c, x in fresh.items() if len(c) <= KEPT_LENGTH)
         return fresh
 
-    def encode(self, texts: list[str], block: int = 4_000_000) -> Iterator[tuple[bytes, str]]:
+    def encode(self, texts: list[str], block: int = 1_000_000) -> Iterator[tuple[bytes, str]]:
         """For each text the ids as little-endian unsigned 32-bit integers, and the text that they decode to. Blocks bound what is held at once."""
         k = 0
         while k < len(texts):
@@ -271,8 +271,9 @@ def encoded_column(name: str = "text", path: str | None = None, with_ids: bool =
 
     @F.arrow_udf(SCHEMA)
     def encoded(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        hold_alone("bpe", encoder.cache_clear)
         made = encoder(path)
-        for part in parts:
+        for part in slices(parts):
             n, shas, decoded_shas, ids, decoded = [], [], [], [], []
             for raw, said in made.encode([x or "" for x in part.to_pylist()]):
                 n.append(len(raw) // 4)

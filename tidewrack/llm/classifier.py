@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewrack.llm.common import text_or_empty
+from tidewrack.llm.common import hold_alone, slices, text_or_empty
 
 #: Rows that are learnt from at most, and characters of them together.
 SAMPLE_ROWS = 6_000
@@ -61,6 +61,13 @@ class _Words(dict):
 
 
 _words = _Words()
+
+
+def _forget() -> None:
+    """A function of the module, so that it comes to the worker's own table; a closure would bring its copy of the driver's."""
+    _words.clear()
+
+
 _PRIMES = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5)]
 
 
@@ -137,6 +144,7 @@ def training_sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS,
 
 
 def _trainer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    hold_alone("classifier", _forget)
     rows = [r for batch in batches for r in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), batch.column("label").to_pylist())]
     rows.sort(key=lambda r: (xxhash.xxh64_intdigest(str(r[0])), r[1]))
     weights = train([(text, label) for _, text, label in rows])
@@ -154,8 +162,9 @@ def score_column(weights: np.ndarray, name: str = "text") -> Column:
 
     @F.arrow_udf("double")
     def scored(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        hold_alone("classifier", _forget)
         w = np.frombuffer(sent, dtype=np.float32)
-        for part in parts:
+        for part in slices(parts):
             yield pa.array([score(x or "", w) for x in part.to_pylist()], type=pa.float64())
 
     return scored(text_or_empty(name))

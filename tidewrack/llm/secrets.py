@@ -20,7 +20,7 @@ import tiktoken
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewrack.llm.common import as_struct, text_or_empty
+from tidewrack.llm.common import as_struct, hold_alone, slices, text_or_empty
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: A candidate has so many characters at least, and so many a token at most.
@@ -157,8 +157,9 @@ def scan_column(name: str = "text", path: str | None = None, with_text: bool = F
 
     @F.arrow_udf(SCHEMA)
     def scanned(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        hold_alone("secrets", vocabulary.cache_clear)
         encoding = vocabulary(path)
-        for part in parts:
+        for part in slices(parts):
             rows = []
             for text in part.to_pylist():
                 base, spans = scan(text or "", encoding)
