@@ -215,6 +215,26 @@ def test_bpe_equals_the_library(spark):
     assert bpe.encode_documents(empty(spark)).count() == 0
 
 
+def test_bpe_keeps_words_in_use(monkeypatch):
+    """Words that every text has are encoded once, in either case and with marks, though the tables fill up again and again; ids stay the library's."""
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(bpe, "KEPT_CHUNKS", 40)
+    monkeypatch.setattr(bpe, "KEPT_WORDS", 20)
+    tok, made, asked = Tokenizer.from_file(bpe.default_path()), bpe.TextEncoder(bpe.default_path()), Counter()
+    encode_words = made.trie.encode_words
+    monkeypatch.setattr(made.trie, "encode_words", lambda words: asked.update(words := list(words)) or encode_words(words))
+    rare = ["".join(random.choice("abcdefghijkléüÀ") for _ in range(8)) for _ in range(900)]
+    odd = ["ΑΣ ΣΑΣ ς", "İI\u0307 e\u0301É", "ÀÉ<|endoftext|>É <|ENDOFTEXT|>", "It's IT'S 'S 'll.", "\x00a,\x01. ,.", "x" * 5000 + "Y" * 300 + "é" * 700, "Ã© ã©", ". , ?! a.b, 1. ١٢."]
+    texts = [" ".join(["House river, RIVER HOUSE. Élan élan; ÉLAN", *rare[3 * k : 3 * k + 3], *odd[k : k + 1]]) for k in range(300)]
+    for t in texts:
+        raw, said = next(iter(made.encode([t])))
+        ids = tok.encode(t, add_special_tokens=False).ids
+        assert np.frombuffer(raw, "<u4").tolist() == ids and said == tok.decode(ids, skip_special_tokens=False)
+    assert [asked[w] for w in ("house", "river", made._symbols("élan"))] == [1, 1, 1]
+    assert max(map(len, (made.chunks, made.old_chunks, made.words, made.old_words))) < 120
+
+
 # ---- 4 ---------------------------------------------------------------------------------------------------------------
 
 

@@ -2,9 +2,11 @@
 
 A text is cut into space-free chunks, chunks into pre-tokens, and what a chunk encodes to is kept, so a text is two
 table look-ups a chunk. Chunks that are not yet known are gathered over a whole Arrow batch; their distinct pre-tokens
-go into one trie of byte symbols, kept as a sorted list. A depth-first walk carries, for every prefix, the last token of that prefix's
-encoding: the one vocabulary entry ending there that may follow the last token of what precedes it. A prefix that many
-words share is thus encoded once, and a word's encoding is read back by following last tokens from its end.
+go into one trie of byte symbols, kept as a sorted list. A depth-first walk carries, for the prefixes that are asked for, the last token
+of that prefix's encoding: the one vocabulary entry ending there that may follow the last token of what precedes it. A prefix that many
+words share is thus encoded once at most, and a word's encoding is read back by following last tokens from its end.
+
+What is kept has two generations. A full one becomes the old one; what is found there moves to the new one, so words in use stay.
 
 Two tokens may stand side by side if merging their symbols from scratch keeps them apart: no symbol that ends the left
 one during its merges and no symbol that begins the right one at the same time form a pair that merges earlier.
@@ -28,12 +30,14 @@ from pyspark.sql import functions as F
 from tidewrack.llm.common import hold_alone, slices, text_or_empty
 
 VOCABULARY = "word_bpe_49k.json"
-#: Known chunks, pre-tokens and pairs of tokens are forgotten beyond so many, about 150 MB a worker in all.
+#: A generation of known chunks (with pre-tokens of ASCII), or of other pre-tokens, is full at so many; pairs of tokens are forgotten beyond so many.
 KEPT_CHUNKS = 250_000
-KEPT_WORDS = 150_000
+KEPT_WORDS = 50_000
 KEPT_PAIRS = 300_000
 #: A chunk or pre-token of more characters is encoded but not kept.
 KEPT_LENGTH = 64
+#: In a pre-token of more symbols the last tokens of all prefixes are worked out in order, as asking for them from the end would nest too deep.
+NESTED_LENGTH = 200
 
 _SPACES = re.compile("[\t-\r \x85\xa0  -     　]+")
 _ODD_SPACES = re.compile("[\x1c-\x1f]")
@@ -80,7 +84,8 @@ class TrieEncoder:
         self.bytes = {i: i.to_bytes(4, "little") for i in self.names}
         self.symbols = byte_symbols()
         self._edges: dict[tuple[int, int], list[tuple[int, float, float]]] = {}
-        self._fits: dict[tuple[int, int], bool] = {}
+        self._fits: dict[int, bool] = {}
+        self.width = max(self.names) + 1
         self.split_pattern = re.compile("(" + "|".join(map(re.escape, self.special)) + ")")
 
     def _edge(self, token: int, side: int) -> list[tuple[int, float, float]]:
@@ -99,7 +104,7 @@ class TrieEncoder:
 
     def fits(self, left: int, right: int) -> bool:
         """Whether the two tokens stay apart when their symbols are merged together."""
-        key = (left, right)
+        key = left * self.width + right
         known = self._fits.get(key)
         if known is None:
             known = True
@@ -125,14 +130,32 @@ class TrieEncoder:
         """Token ids of each distinct pre-token, given as byte symbols.
 
         The sorted words are the trie, in the order of a depth-first walk: from one word to the next, the walk goes up
-        to the end of their common prefix and down the rest. `lasts` is the path's state.
+        to the end of their common prefix and down the rest. `lasts` is the path's state, None where nothing has asked for it yet.
         """
         out: dict[str, list[int]] = {}
-        inner, final, length = self.inner.get, self.final.get, self.length
+        inner, final, length, width = self.inner.get, self.final.get, self.length, self.width
         inner_reach, final_reach = self.inner_reach.get, self.final_reach.get
         known, fits = self._fits.get, self.fits
-        lasts: list[int] = [-1]  # lasts[k]: the last token of the first k symbols
-        before = ""
+        lasts: list[int | None] = [-1]  # lasts[k]: the last token of the first k symbols
+        before = word = ""
+
+        def last(d: int) -> int:
+            for j in range(max(0, d - inner_reach(word[d - 3 : d], 2)) if d > 2 else 0, d):
+                token = inner(word[j:d])
+                if token is not None:
+                    if not j:
+                        break
+                    left = lasts[j]
+                    if left is None:
+                        left = last(j)
+                    fit = known(left * width + token)
+                    if fit or (fit is None and fits(left, token)):
+                        break
+            else:
+                token = -1
+            lasts[d] = token
+            return token
+
         for word in sorted(words):
             n = len(word)
             k, most = 0, min(len(before), n) - 1
@@ -140,25 +163,20 @@ class TrieEncoder:
                 k += 1
             before = word
             del lasts[k + 1 :]
-            for d in range(k + 1, n):
-                for j in range(max(0, d - inner_reach(word[d - 3 : d], 2)) if d > 2 else 0, d):
-                    token = inner(word[j:d])
-                    if token is not None:
-                        if not j:
-                            break
-                        fit = known((lasts[j], token))
-                        if fit or (fit is None and fits(lasts[j], token)):
-                            break
-                else:
-                    token = -1
-                lasts.append(token)
+            lasts += [None] * (n - 1 - k)
+            if n > NESTED_LENGTH:
+                for d in range(k + 1, n):
+                    last(d)
             for j in range(max(0, n - final_reach(word[n - 3 : n], 2)) if n > 2 else 0, n):
                 token = final(word[j:n])
                 if token is not None:
                     if not j:
                         break
-                    fit = known((lasts[j], token))
-                    if fit or (fit is None and fits(lasts[j], token)):
+                    left = lasts[j]
+                    if left is None:
+                        left = last(j)
+                    fit = known(left * width + token)
+                    if fit or (fit is None and fits(left, token)):
                         break
             ids, at = [token], n - length[token]
             while at > 0:
@@ -177,17 +195,23 @@ class TextEncoder:
         self.trie = TrieEncoder(path)
         self.words: dict[str, bytes] = {}
         self.chunks: dict[str, bytes] = {}
+        self.old_words: dict[str, bytes] = {}
+        self.old_chunks: dict[str, bytes] = {}
         self.names = np.array([self.trie.names.get(i, "") for i in range(max(self.trie.names) + 1)], dtype=object)
         self.table = {b: c for b, c in enumerate(self.trie.symbols) if chr(b) != c}
 
     def pieces(self, text: str) -> list[str]:
-        """Space-free chunks and special tokens, in order."""
+        """Space-free chunks and special tokens, in order. Those of Latin-1 texts are in lower case, so fewer are to be known: there it is told letter by letter, and NFC changes nothing."""
         if "<|" in text:
             out = []
             for k, part in enumerate(self.trie.split_pattern.split(text)):
                 out += [part] if k % 2 else self._chunks(part)
             return out
-        return self._chunks(text)
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return self._chunks(text)
+        return self._chunks(text.lower())
 
     @staticmethod
     def _chunks(text: str) -> list[str]:
@@ -195,7 +219,9 @@ class TextEncoder:
 
     def _pretokens(self, chunk: str) -> list[str]:
         if chunk.isascii():  # printable ASCII characters are their own byte symbols
-            lower = chunk.lower()
+            lower = chunk if chunk.islower() else chunk.lower()
+            if lower[:-1].isalpha() and lower[-1] in ".,;:!?":
+                return [lower[:-1], lower[-1]]
             return [lower] if lower.isalpha() else [w if w.isprintable() else self._symbols(w) for w in _ASCII_PRETOKENS.findall(lower)]
         text = unicodedata.normalize("NFC", chunk)
         lower = "".join(map(str.lower, text)) if "Σ" in text else text.lower()  # by characters: no final sigma
@@ -211,25 +237,40 @@ class TextEncoder:
     def learn(self, chunks: Iterable[str]) -> dict[str, bytes]:
         """Encodes chunks that are not known; returns what they give. Those too long are not kept."""
         if len(self.words) > KEPT_WORDS:
-            self.words.clear()
-        cut = {c: self._pretokens(c) for c in chunks if c not in self.trie.special}
-        words, raw = self.words, self.trie.bytes
-        made = {}
-        for word, ids in self.trie.encode_words({w for ws in cut.values() for w in ws if w not in words}).items():
-            made[word] = b"".join([raw[i] for i in ids])
+            self.words, self.old_words = {}, self.words
+        if len(self.chunks) > KEPT_CHUNKS:
+            self.chunks, self.old_chunks = {}, self.chunks
+        raw, special = self.trie.bytes, self.trie.special
+        cut = {c: self._pretokens(c) for c in chunks if c not in special}
+        found: dict[str, bytes | None] = {}
+        for ws in cut.values():
+            for w in ws:
+                if w not in found:
+                    found[w] = self._known(w)
+        for w, ids in self.trie.encode_words([w for w, x in found.items() if x is None]).items():
+            found[w] = x = b"".join([raw[i] for i in ids])
+            if len(w) <= KEPT_LENGTH:
+                (self.chunks if w.isascii() else self.words)[w] = x
         fresh = {}
+        for c, ws in cut.items():
+            fresh[c] = x = found[ws[0]] if len(ws) == 1 else b"".join([found[w] for w in ws])
+            if len(c) <= KEPT_LENGTH:
+                self.chunks[c] = x
         for c in chunks:
-            if c in self.trie.special:
-                fresh[c] = raw[self.trie.special[c]]
-                continue
-            parts = [made.get(w) or words[w] for w in cut[c]]
-            fresh[c] = parts[0] if len(parts) == 1 else b"".join(parts)
-        words.update((w, x) for w, x in made.items() if len(w) <= KEPT_LENGTH)
-        if len(self.chunks) > KEPT_CHUNKS:
-            self.chunks.clear()
-        self.chunks.update((c, x) for c, x in fresh.items() if len(c) <= KEPT_LENGTH)
+            if c in special:
+                fresh[c] = self.chunks[c] = raw[special[c]]
         return fresh
 
+    def _known(self, word: str) -> bytes | None:
+        """What a pre-token gives, if kept. One of ASCII is a chunk too, as it is its own byte symbols and its only pre-token."""
+        kept, old = (self.chunks, self.old_chunks) if word.isascii() else (self.words, self.old_words)
+        known = kept.get(word)
+        if known is None:
+            known = old.get(word)
+            if known is not None:
+                kept[word] = known
+        return known
+
     def encode(self, texts: list[str], block: int = 1_000_000) -> Iterator[tuple[bytes, str]]:
         """For each text the ids as little-endian unsigned 32-bit integers, and the text that they decode to. Blocks bound what is held at once."""
         k = 0
@@ -238,9 +279,16 @@ class TextEncoder:
             while k < len(texts) and (not some or size < block):
                 pieces = self.pieces(texts[k])
                 got = list(map(self.chunks.get, pieces))
-                missing = [n for n, g in enumerate(got) if g is None] if None in got else []
-                unknown.update([pieces[n] for n in missing])
-                some.append((got, [(n, pieces[n]) for n in missing]))
+                missing = []
+                for n in [n for n, g in enumerate(got) if g is None] if None in got else ():
+                    piece = pieces[n]
+                    known = self.old_chunks.get(piece)
+                    if known is None:
+                        missing.append((n, piece))
+                    else:
+                        got[n] = self.chunks[piece] = known
+                unknown.update([piece for _, piece in missing])
+                some.append((got, missing))
                 size += len(texts[k])
                 k += 1
             fresh = self.learn(unknown) if unknown else {}
