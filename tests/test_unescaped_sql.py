@@ -25,7 +25,7 @@ def test_cut_references_agree_with_the_sql(spark, tmp_path):
     pages = [(k, f'<html lang="en"><head><title>{t}</title></head><body><article><p>{t} and more words of a paragraph, with commas, to be its text.</p></article></body></html>') for k, t in enumerate(["fish &amp", "fish&amp;chips &#x27", "a&nbsp;&#8195;b &copy", "&amp;amp &lt"])]
     spark.createDataFrame(pages, "page_id long, html string").write.parquet(str(tmp_path / "pages.parquet"))
     queries, sql = extended.registry.queries(), extended.registry.oracle_sql()
-    for name in ("html_titles",):
+    for name in ("html_titles", "main_texts"):
         with duckdb.connect() as c:
             c.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
             want = sorted(c.execute(sql[name]).fetchall())
